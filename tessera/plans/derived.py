@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def documents(spark: SparkSession, sf: str, cols=("doc_id", "text")) -> DataFrame:
-    return table(spark, sf, "documents", list(cols))
+    return spread(table(spark, sf, "documents", list(cols)), "doc_id")
 
 
 def pairs_conv(spark: SparkSession, sf: str) -> DataFrame:
-    conv = table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    conv = spread(table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]), "conv_id")
     user = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("source"))
     reply = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))

@@ -69,3 +69,43 @@ DOC_CANDS = """doc_cands AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def rouge_n_ctes(src: str, keys: list[str], pred: str, ref: str, n: int, name: str) -> str:
+    """CTEs ending in ``{name}(keys..., np, nr, m)``: n-gram totals and the
+    clipped match count, by unnest + group + join (independent of the
+    sorted-run formulation used in Spark)."""
+    k = ", ".join(keys)
+    return f"""{name}_t0 AS (SELECT {k}, {alnum_tokens(pred)} AS ptok, {alnum_tokens(ref)} AS rtok FROM {src}),
+{name}_t AS (SELECT {k}, {ngrams('ptok', n)} AS pg, {ngrams('rtok', n)} AS rg FROM {name}_t0),
+{name}_pc AS (SELECT {k}, g, count(*) AS c FROM (SELECT {k}, unnest(pg) AS g FROM {name}_t) GROUP BY ALL),
+{name}_rc AS (SELECT {k}, g, count(*) AS c FROM (SELECT {k}, unnest(rg) AS g FROM {name}_t) GROUP BY ALL),
+{name}_m AS (SELECT {k}, sum(least(a.c, b.c)) AS m FROM {name}_pc a JOIN {name}_rc b USING ({k}, g) GROUP BY ALL),
+{name} AS (SELECT {k}, len(pg) AS np, len(rg) AS nr, coalesce(m, 0) AS m
+           FROM {name}_t LEFT JOIN {name}_m USING ({k}))"""
+
+
+def prf_cols(m: str, np_: str, nr: str, prefix: str) -> str:
+    p = f"(CASE WHEN {np_} > 0 THEN {m} / {np_} ELSE 0.0 END)"
+    r = f"(CASE WHEN {nr} > 0 THEN {m} / {nr} ELSE 0.0 END)"
+    f = f"(CASE WHEN {p} + {r} > 0 THEN 2.0 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)"
+    return f"{p} AS {prefix}_p, {r} AS {prefix}_r, {f} AS {prefix}_f"
+
+
+def f1(m: str, np_: str, nr: str) -> str:
+    p = f"(CASE WHEN {np_} > 0 THEN {m} / {np_} ELSE 0.0 END)"
+    r = f"(CASE WHEN {nr} > 0 THEN {m} / {nr} ELSE 0.0 END)"
+    return f"(CASE WHEN {p} + {r} > 0 THEN 2.0 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)"
+
+
+def seeded_hash(key: str, seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 15))::BIGINT"
+
+
+def lcs_len(a: str, b: str) -> str:
+    """LCS length of two token lists by a row-by-row DP fold."""
+    rows = f"list_transform({a}, lambda x: list_transform({b}, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))"
+    n = f"len({b})"
+    return (f"list_reduce({rows}, lambda r, e: list_reduce(range(1, {n} + 1), lambda acc, j: "
+            f"list_append(acc, CASE WHEN e[j] = 1 THEN r[j] + 1 ELSE greatest(r[j + 1], acc[-1]) END), "
+            f"[0]::BIGINT[]), list_resize([0]::BIGINT[], {n} + 1, 0))[-1]")

@@ -17,3 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str,
     ReadSchema carries just what the plan needs."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give CPU-heavy per-row text work at least one partition per core.
+
+    A large input already scans as thousands of splits and is returned
+    unchanged (no shuffle).  Only an input that scans as fewer partitions
+    than the cluster has cores (one small file, one row group) is hash-spread
+    on ``key`` (deterministic under retries; later aggregations on the same
+    key reuse this partitioning)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
