@@ -1 +1,122 @@
-"""placeholder"""
+"""Corpus ROUGE / BLEU, bootstrap intervals, ROUGE-Lsum, stemmed ROUGE,
+first-word agreement, score-time normalisation (B1-B5 B9 A10 T4 P19)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import metrics as mt
+from tessera.plans import derived
+from tessera.plans import sqltext as sq
+from tessera.plans.catalog import register
+
+R = 6
+_KEYS = ["sample_id", "cand_rank"]
+_TOP = sq.with_(sq.DOC_LINES, sq.DOC_CANDS) + """, top AS (
+  SELECT sample_id, cand_rank, text, gold FROM doc_cands WHERE cand_rank = 0)"""
+
+
+def _top1(spark, sf):
+    c = derived.doc_candidates(spark, sf)
+    return c.where(F.col("cand_rank") == 0).select(
+        "sample_id", F.col("text").alias("pred"), F.col("gold").alias("ref"))
+
+
+@register("corpus_rouge", "B4 B9 A13", _TOP + ", " + sq.rouge_n_ctes("top", _KEYS, "text", "gold", 1, "r1")
+          + ", " + sq.rouge_n_ctes("top", _KEYS, "text", "gold", 2, "r2") + f""",
+lt AS (SELECT sample_id, cand_rank, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM top),
+l AS (SELECT len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM lt)
+SELECT 'rouge1' AS metric, round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) AS value FROM r1
+UNION ALL SELECT 'rouge2', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) FROM r2
+UNION ALL SELECT 'rougeL', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) FROM l""")
+def corpus_rouge(spark, sf):
+    return mt.corpus_rouge(_top1(spark, sf))
+
+
+def _bleu_sql() -> str:
+    parts = [sq.ngram_match_ctes("top", _KEYS, sq.tokens_13a("text"), sq.tokens_13a("gold"), n, f"b{n}")
+             for n in range(1, 5)]
+    sums = ", ".join(f"sum(b{n}.m) AS m{n}, sum(greatest(b{n}.np, 0)) AS t{n}" for n in range(1, 5))
+    joins = " ".join(f"JOIN b{n} USING (sample_id, cand_rank)" for n in range(2, 5))
+    zs = []
+    logs = []
+    for n in range(1, 5):
+        zs.append(f"(CASE WHEN m{n} = 0 THEN 1 ELSE 0 END)")
+        z = " + ".join(zs)
+        p = (f"(CASE WHEN t{n} = 0 THEN 0.0 WHEN m{n} = 0 THEN 100.0 / (pow(2.0, {z}) * t{n}) "
+             f"ELSE 100.0 * m{n} / t{n} END)")
+        logs.append(f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE -9999999999.0 END)")
+    bp = ("(CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1.0 - ref_len / sys_len) "
+          "ELSE 0.0 END)")
+    return (_TOP + ", " + ", ".join(parts) + f""",
+s AS (SELECT CAST(sum(b1.np) AS BIGINT) AS sys_len, CAST(sum(b1.nr) AS BIGINT) AS ref_len, {sums}
+      FROM b1 {joins}),
+s2 AS (SELECT sys_len, ref_len, {', '.join(f'CAST(m{n} AS BIGINT) AS m{n}, CAST(t{n} AS BIGINT) AS t{n}' for n in range(1, 5))} FROM s)
+SELECT *, round({bp} * exp(({' + '.join(logs)}) / 4), 4) AS bleu, round({bp}, {R}) AS bp,
+       round(sys_len / ref_len, {R}) AS ratio FROM s2""")
+
+
+@register("corpus_bleu", "B5", _bleu_sql())
+def corpus_bleu(spark, sf):
+    return mt.corpus_bleu(_top1(spark, sf))
+
+
+@register("bootstrap_rouge", "B4")
+def bootstrap_rouge(spark, sf):
+    return mt.bootstrap_rouge(_top1(spark, sf), "sample_id", replicates=200, seed=42)
+
+
+@register("rouge_lsum_scores", "B3 P6 P12")
+def rouge_lsum_scores(spark, sf):
+    c = derived.doc_candidates(spark, sf, with_source=True)
+    from tessera.functions import rouge as rg
+    s = rg.rouge_lsum(F.col("source"), F.col("gold"))
+    return c.where(F.col("cand_rank") == 0).select(
+        "sample_id", F.round(s["p"], R).alias("rlsum_p"), F.round(s["r"], R).alias("rlsum_r"),
+        F.round(s["f"], R).alias("rlsum_f"))
+
+
+@register("rouge_stemmed", "B1 stemmed")
+def rouge_stemmed(spark, sf):
+    from tessera.functions import rouge as rg
+    c = derived.doc_candidates(spark, sf)
+    pt, rt = rg.rouge_tokens("text", stem=True), rg.rouge_tokens("gold", stem=True)
+    c = c.select(*_KEYS, pt.alias("pt"), rt.alias("rt"))
+    r1, r2 = rg.rouge_n(F.col("pt"), F.col("rt"), 1), rg.rouge_n(F.col("pt"), F.col("rt"), 2)
+    return c.select(*_KEYS, F.round(r1["f"], R).alias("r1_f"), F.round(r2["f"], R).alias("r2_f"))
+
+
+_FW = _TOP + f""", fw AS (SELECT {sq.first_word('gold')} AS g, {sq.first_word('text')} AS p FROM top)"""
+
+
+def _first_words(spark, sf):
+    t = _top1(spark, sf)
+    return t.select(tx.first_word("ref").alias("g"), tx.first_word("pred").alias("p"))
+
+
+@register("first_word_agreement", "A10 T4", _FW + """
+SELECT CASE WHEN g = p THEN g ELSE g || '=' || p END AS key,
+       CAST(g = p AS BIGINT) AS correct, count(*) AS n
+FROM fw GROUP BY ALL""")
+def first_word_agreement(spark, sf):
+    fw = _first_words(spark, sf)
+    key = F.when(F.col("g") == F.col("p"), F.col("g")).otherwise(F.concat_ws("=", "g", "p"))
+    return fw.groupBy(key.alias("key"), (F.col("g") == F.col("p")).cast("long").alias("correct")) \
+             .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("first_word_accuracy", "A10", _FW + f"""
+SELECT count(*) AS n, CAST(sum(CAST(g = p AS INT)) AS BIGINT) AS n_correct,
+       round(avg(CAST(g = p AS DOUBLE)), {R}) AS accuracy FROM fw""")
+def first_word_accuracy(spark, sf):
+    fw = _first_words(spark, sf)
+    ok = (F.col("g") == F.col("p"))
+    return fw.agg(F.count(F.lit(1)).alias("n"), F.sum(ok.cast("long")).alias("n_correct"),
+                  F.round(F.avg(ok.cast("double")), R).alias("accuracy"))
+
+
+@register("normalize_text", "P19", f"""
+SELECT doc_id, {sq.normalize('text')} AS text_norm FROM documents""")
+def normalize_text(spark, sf):
+    return derived.documents(spark, sf).select("doc_id", tx.normalize_text("text").alias("text_norm"))

@@ -71,12 +71,12 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def rouge_n_ctes(src: str, keys: list[str], pred: str, ref: str, n: int, name: str) -> str:
+def ngram_match_ctes(src: str, keys: list[str], ptok: str, rtok: str, n: int, name: str) -> str:
     """CTEs ending in ``{name}(keys..., np, nr, m)``: n-gram totals and the
     clipped match count, by unnest + group + join (independent of the
     sorted-run formulation used in Spark)."""
     k = ", ".join(keys)
-    return f"""{name}_t0 AS (SELECT {k}, {alnum_tokens(pred)} AS ptok, {alnum_tokens(ref)} AS rtok FROM {src}),
+    return f"""{name}_t0 AS (SELECT {k}, {ptok} AS ptok, {rtok} AS rtok FROM {src}),
 {name}_t AS (SELECT {k}, {ngrams('ptok', n)} AS pg, {ngrams('rtok', n)} AS rg FROM {name}_t0),
 {name}_pc AS (SELECT {k}, g, count(*) AS c FROM (SELECT {k}, unnest(pg) AS g FROM {name}_t) GROUP BY ALL),
 {name}_rc AS (SELECT {k}, g, count(*) AS c FROM (SELECT {k}, unnest(rg) AS g FROM {name}_t) GROUP BY ALL),
@@ -85,6 +85,35 @@ def rouge_n_ctes(src: str, keys: list[str], pred: str, ref: str, n: int, name: s
            FROM {name}_t LEFT JOIN {name}_m USING ({k}))"""
 
 
+def rouge_n_ctes(src: str, keys: list[str], pred: str, ref: str, n: int, name: str) -> str:
+    return ngram_match_ctes(src, keys, alnum_tokens(pred), alnum_tokens(ref), n, name)
+
+
+TOK13A_PUNCT = r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{20}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}\x{2f}])"
+
+
+def tokens_13a(x: str) -> str:
+    y = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for ent, ch in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        y = f"replace({y}, '{ent}', '{ch}')"
+    y = f"(' ' || {y} || ' ')"
+    y = f"regexp_replace({y}, '{TOK13A_PUNCT}', ' \\1 ', 'g')"
+    y = f"regexp_replace({y}, '([^0-9])([.,])', '\\1 \\2 ', 'g')"
+    y = f"regexp_replace({y}, '([.,])([^0-9])', ' \\1 \\2', 'g')"
+    y = f"regexp_replace({y}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+    return ws_tokens(y)
+
+
+def normalize(x: str) -> str:
+    from tessera.functions import text as tx
+    y = f"translate({x}, '{tx.NORM_PUNCT_FROM.replace(chr(39), chr(39) * 2)}', '{tx.NORM_PUNCT_TO.replace(chr(39), chr(39) * 2)}')"
+    y = f"regexp_replace({y}, '\\p{{Cc}}', ' ', 'g')"
+    y = f"translate({y}, '{tx.DIACRITICS_FROM}', '{tx.DIACRITICS_TO}')"
+    y = f"regexp_replace({y}, ' +([.,!?;:])', '\\1', 'g')"
+    y = f"regexp_replace({y}, '{WS}+', ' ', 'g')"
+    return strip(y)
+
+
 def prf_cols(m: str, np_: str, nr: str, prefix: str) -> str:
     p = f"(CASE WHEN {np_} > 0 THEN {m} / {np_} ELSE 0.0 END)"
     r = f"(CASE WHEN {nr} > 0 THEN {m} / {nr} ELSE 0.0 END)"
