@@ -96,3 +96,44 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
         frac = F.first(h - F.floor(h))
         aggs.append((lo + (hi - lo) * frac).alias(k))
     return picked.groupBy(*group).agg(*aggs)
+
+
+def running_sums(df: DataFrame, order: Sequence, sums: Sequence[str],
+                 suffix: str = "_cum", num_partitions: int | None = None) -> DataFrame:
+    """Inclusive prefix sums of ``sums`` in ``order``.
+
+    Range-partition + sort, a vectorised cumulative sum inside each partition
+    (Arrow batches, carried across batches), then the totals of earlier
+    partitions (one row per partition, broadcast) are added."""
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    order_cols = _cols(order)
+    n_parts = num_partitions or default_partitions(df.sparkSession)
+    staged = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
+    fields = list(staged.schema.fields) + [T.StructField(_PID, T.LongType())] + [
+        T.StructField(c + suffix, T.DoubleType()) for c in sums]
+    schema = T.StructType(fields)
+    cols = list(sums)
+
+    def local(batches):
+        pid = TaskContext.get().partitionId()
+        carry = {c: 0.0 for c in cols}
+        for pdf in batches:
+            pdf[_PID] = pid
+            for c in cols:
+                cum = pdf[c].astype("float64").cumsum() + carry[c]
+                if len(cum):
+                    carry[c] = float(cum.iloc[-1])
+                pdf[c + suffix] = cum
+            yield pdf
+
+    loc = staged.mapInPandas(local, schema)
+    totals = loc.groupBy(_PID).agg(*[F.sum(c).cast("double").alias(f"_t_{c}") for c in cols])
+    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_PID, *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0.0)).alias(f"_o_{c}")
+                                    for c in cols])
+    out = loc.join(F.broadcast(offsets), _PID)
+    for c in cols:
+        out = out.withColumn(c + suffix, F.col(c + suffix) + F.col(f"_o_{c}"))
+    return out.drop(_PID, *[f"_o_{c}" for c in cols])

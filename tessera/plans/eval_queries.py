@@ -1 +1,203 @@
-"""placeholder"""
+"""Rerank, scorer evaluation, threshold metrics, fold roll-up, leaderboard,
+negative sampling (U3 C9 C10 A7-A9 A17 A4 C11 J8 T5 J6 C4 F7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import rouge as rg
+from tessera.functions import text as tx
+from tessera.operators import candidates as cd
+from tessera.operators import evaluation as ev
+from tessera.operators import negatives as ng
+from tessera.operators import splits
+from tessera.plans import derived
+from tessera.plans import sqltext as sq
+from tessera.plans.catalog import register
+from tessera.sources.tables import table
+
+R = 6
+_KEYS = ["sample_id", "cand_rank"]
+_BASE = sq.with_(sq.DOC_LINES, sq.DOC_CANDS)
+
+
+def _lex_sql(src: str, cand: str) -> str:
+    s = f"list_distinct({sq.ws_tokens(f'lower({src})')})"
+    c = f"list_distinct({sq.ws_tokens(f'lower({cand})')})"
+    return f"round(coalesce(len(list_intersect({c}, {s})) / nullif(len({s}), 0), 0.0), {R})"
+
+
+def _lex_scored(spark, sf):
+    docs = derived.documents(spark, sf).select(
+        F.col("doc_id").alias("sample_id"),
+        F.array_distinct(tx.lower_ws_tokens("text")).alias("_sw"),
+        tx.non_empty_lines("text").alias("_lines"))
+    c = docs.select("sample_id", "_sw", F.get(F.col("_lines"), 0).alias("gold"),
+                    F.posexplode(F.slice(F.col("_lines"), 2, F.greatest(F.size("_lines") - 1, F.lit(1))))
+                     .alias("cand_rank", "text")).withColumn("cand_rank", F.col("cand_rank").cast("long"))
+    cw = F.array_distinct(tx.lower_ws_tokens("text"))
+    score = F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(cw, F.col("_sw"))).cast("double"),
+                                            F.size("_sw").cast("double")), F.lit(0.0)), R)
+    return c.select("sample_id", "cand_rank", "text", "gold", score.alias("score"))
+
+
+_LEX = _BASE + f""", lex AS (
+  SELECT c.sample_id, c.cand_rank, c.text, c.gold, {_lex_sql('d.text', 'c.text')} AS score
+  FROM doc_cands c JOIN documents d ON d.doc_id = c.sample_id)"""
+
+
+@register("rerank", "U3 C9 A6 T1", _LEX + """
+SELECT sample_id, cand_rank, text, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_rank) AS k FROM lex)
+WHERE k = 1""")
+def rerank(spark, sf):
+    return ev.rerank(_lex_scored(spark, sf))
+
+
+@register("evaluate_scorer", "C10 A7 A8 A9 W2", _LEX + f""",
+t AS (SELECT sample_id, cand_rank, score, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM lex),
+l AS (SELECT sample_id, cand_rank, score, len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM t),
+s AS (SELECT sample_id, cand_rank, score, round(100 * {sq.f1('m', 'np', 'nr')}, 4) AS rl FROM l),
+mx AS (SELECT sample_id, max(rl) AS mx FROM s GROUP BY sample_id),
+ex AS (SELECT s.sample_id, s.cand_rank, s.score, CASE WHEN mx = 0 THEN 0.0 ELSE rl / mx END AS label
+       FROM s JOIN mx USING (sample_id)),
+ch AS (SELECT sample_id, label AS chosen FROM (
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_rank) AS k FROM ex) WHERE k = 1),
+b AS (SELECT sample_id, max(label) AS best FROM ex GROUP BY sample_id)
+SELECT (SELECT count(*) FROM b) AS n_ids,
+       (SELECT count(*) FROM b JOIN ch USING (sample_id) WHERE chosen = best AND best > 0) AS num_best_target,
+       (SELECT round(avg(pow(score - label, 2)), {R}) FROM ex) AS mse""")
+def evaluate_scorer(spark, sf):
+    s = _lex_scored(spark, sf)
+    s = cd.score_candidates(s.withColumnRenamed("score", "lex"), "rougeL", name="rl")
+    ex = cd.relative_labels(s, score="rl").select(*_KEYS, F.col("lex").alias("score"), "label")
+    return ev.evaluate_scorer(ex)
+
+
+_TTR = f"""WITH d AS (SELECT l.doc_id, l.quality AS label,
+  round(len(list_distinct({sq.ws_tokens('lower(d.text)')})) / len({sq.ws_tokens('d.text')}), {R}) AS score
+  FROM labels l JOIN documents d USING (doc_id))"""
+
+
+@register("threshold_metrics", "A17", _TTR + f""",
+g AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+             sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM d GROUP BY score),
+tot AS (SELECT sum(pos) AS npos, sum(pos) + sum(neg) AS ntot FROM g),
+c AS (SELECT score AS t, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g
+      WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT c.t, pos, tp / (tp + fp) AS p, tp / npos AS r, (tp + (ntot - npos) - fp) / ntot AS acc FROM c, tot),
+m2 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM m),
+bf AS (SELECT f1, p, r, t FROM m2 ORDER BY f1 DESC, t DESC LIMIT 1)
+SELECT round(greatest((SELECT max(acc) FROM m2), (SELECT (ntot - npos) / ntot FROM tot)), {R}) AS accuracy,
+       round(bf.f1, {R}) AS f1, round(bf.p, {R}) AS precision, round(bf.r, {R}) AS recall,
+       round(bf.t, {R}) AS f1_threshold,
+       round((SELECT sum(pos / (SELECT npos FROM tot) * p) FROM m2), {R}) AS average_precision
+FROM bf""")
+def threshold_metrics(spark, sf):
+    lab = table(spark, sf, "labels", ["doc_id", "quality"])
+    docs = derived.documents(spark, sf)
+    d = lab.join(docs, "doc_id").select(
+        F.col("quality").alias("label"),
+        F.round(F.size(F.array_distinct(tx.lower_ws_tokens("text"))) / F.size(tx.ws_tokens("text")), R)
+         .alias("score"))
+    return ev.threshold_metrics(d)
+
+
+def _doc_folds_sql() -> str:
+    return f"""dl AS (SELECT doc_id, lang, {sq.seeded_hash('doc_id', 42)} AS h FROM documents),
+dr AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) - 1 AS rn FROM dl),
+ds AS (SELECT lang, count(*) AS n FROM dl GROUP BY lang),
+dof AS (SELECT lang, coalesce(sum(n) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ds),
+dfold AS (SELECT doc_id, CAST((off + rn) % 5 AS BIGINT) AS fold FROM dr JOIN dof USING (lang))"""
+
+
+@register("aggregate_runs", "C11 A4 W5 B4", _BASE + """, top AS (
+  SELECT sample_id, cand_rank, text, gold FROM doc_cands WHERE cand_rank = 0), """
+          + sq.rouge_n_ctes("top", _KEYS, "text", "gold", 1, "r1") + ", "
+          + sq.rouge_n_ctes("top", _KEYS, "text", "gold", 2, "r2") + ", " + _doc_folds_sql() + f""",
+runs AS (
+  SELECT fold, 'rouge1' AS metric, round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) AS value
+  FROM r1 JOIN dfold ON dfold.doc_id = r1.sample_id GROUP BY fold
+  UNION ALL
+  SELECT fold, 'rouge2', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4)
+  FROM r2 JOIN dfold ON dfold.doc_id = r2.sample_id GROUP BY fold)
+SELECT metric, round(avg(value), {R}) AS mean, round(stddev_pop(value), {R}) AS std,
+       round(min(value), {R}) AS min, round(max(value), {R}) AS max, count(*) AS n
+FROM runs GROUP BY metric""")
+def aggregate_runs(spark, sf):
+    folds = splits.stratified_folds(table(spark, sf, "documents", ["doc_id", "lang"]), "doc_id",
+                                    ["lang"], k=5, seed=42).select(F.col("doc_id").alias("sample_id"), "fold")
+    top = derived.doc_candidates(spark, sf).where(F.col("cand_rank") == 0)
+    pt, rt = rg.rouge_tokens("text"), rg.rouge_tokens("gold")
+    sc = top.select("sample_id", rg.rouge_n(pt, rt, 1)["f"].alias("rouge1"),
+                    rg.rouge_n(pt, rt, 2)["f"].alias("rouge2"))
+    per_fold = sc.join(folds, "sample_id").groupBy("fold").agg(
+        F.round(F.avg("rouge1") * 100, 4).alias("rouge1"), F.round(F.avg("rouge2") * 100, 4).alias("rouge2"))
+    long_df = per_fold.select("fold", F.inline(F.array(
+        F.struct(F.lit("rouge1").alias("metric"), F.col("rouge1").alias("value")),
+        F.struct(F.lit("rouge2").alias("metric"), F.col("rouge2").alias("value")))))
+    return ev.aggregate_runs(long_df)
+
+
+GRID = "max_rank=1:3:5 min_words=0:5"
+
+
+def _leaderboard_sql() -> str:
+    combos = ev.parse_grid(GRID)
+    sel = []
+    for c in combos:
+        mr, mw = int(c["max_rank"]), int(c["min_words"])
+        sel.append(f"SELECT {mr}.0 AS max_rank, {mw}.0 AS min_words, round(avg(coalesce(b_{mr}_{mw}, 0.0)), {R}) AS score FROM per")
+    cols = ", ".join(
+        f"max(CASE WHEN cand_rank < {int(c['max_rank'])} AND nw >= {int(c['min_words'])} THEN score END) "
+        f"AS b_{int(c['max_rank'])}_{int(c['min_words'])}" for c in combos)
+    return (_BASE + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 2, "rn") + f""",
+s AS (SELECT sample_id, cand_rank, round(100 * {sq.f1('m', 'np', 'nr')}, 4) AS score,
+             len({sq.ws_tokens('c.text')}) AS nw FROM rn JOIN doc_cands c USING (sample_id, cand_rank)),
+per AS (SELECT sample_id, {cols} FROM s GROUP BY sample_id),
+res AS ({' UNION ALL '.join(sel)})
+SELECT max_rank, min_words, score,
+       row_number() OVER (ORDER BY score DESC, max_rank, min_words) AS rank FROM res""")
+
+
+@register("leaderboard", "J8 T5 P20", _leaderboard_sql())
+def leaderboard(spark, sf):
+    combos = ev.parse_grid(GRID)
+    s = cd.score_candidates(derived.doc_candidates(spark, sf), "rouge2")
+    s = s.withColumn("nw", tx.word_count("text"))
+    aggs = [F.max(F.when((F.col("cand_rank") < int(c["max_rank"])) & (F.col("nw") >= int(c["min_words"])),
+                         F.col("score"))).alias(f"b{i}") for i, c in enumerate(combos)]
+    per = s.groupBy("sample_id").agg(*aggs)
+    means = per.agg(*[F.round(F.avg(F.coalesce(F.col(f"b{i}"), F.lit(0.0))), R).alias(f"b{i}")
+                      for i in range(len(combos))])
+    rows = F.inline(F.array(*[F.struct(
+        ev.typed_value(F.lit(c["max_rank"])).alias("max_rank"),
+        ev.typed_value(F.lit(c["min_words"])).alias("min_words"),
+        F.col(f"b{i}").alias("score")) for i, c in enumerate(combos)]))
+    return ev.leaderboard(means.select(rows), ["score"], ["max_rank", "min_words"])
+
+
+_NEG_SQL = sq.with_(sq.DOC_LINES, sq.DOC_GOLD) + f""", pool AS (
+  SELECT sample_id, gold, row_number() OVER (ORDER BY sample_id) - 1 AS pos FROM doc_gold),
+n AS (SELECT count(*) AS n FROM pool),
+q AS (SELECT p.sample_id, p.gold, r.j,
+             ({sq.seeded_hash('p.sample_id', 42)} % n + r.j * (1 + {sq.seeded_hash('p.sample_id', 43)} % (n // 3))) % n AS idx
+      FROM pool p, n, (SELECT range AS j FROM range(3)) r),
+negs AS (SELECT q.sample_id, q.j, pool.sample_id AS neg_id FROM q JOIN pool ON pool.pos = q.idx
+         WHERE pool.gold <> q.gold)"""
+
+
+@register("negative_sampling", "J6 T7 F7", _NEG_SQL + "\nSELECT sample_id, j, neg_id FROM negs")
+def negative_sampling(spark, sf):
+    gold = derived.doc_gold(spark, sf).select("sample_id", "gold")
+    return ng.sample_negatives(gold, "sample_id", "gold", 3, 42).select(
+        "sample_id", "j", F.col("neg_key").alias("neg_id"))
+
+
+@register("gold_examples", "C4 X1 J6", _NEG_SQL + """
+SELECT sample_id AS guid, sample_id AS cand_id, 1.0 AS label FROM pool
+UNION ALL SELECT sample_id, neg_id, 0.0 FROM negs""")
+def gold_examples(spark, sf):
+    gold = derived.doc_gold(spark, sf)
+    ex = ng.labelled_examples(gold, "sample_id", "source", "gold", 3, 42)
+    return ex.select("guid", F.col("cand_key").alias("cand_id"), "label")
