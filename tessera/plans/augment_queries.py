@@ -1 +1,93 @@
-"""placeholder"""
+"""Symmetric pairs, duplicate mining funnel, fold extension."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import augment as au
+from tessera.operators import splits
+from tessera.plans import derived
+from tessera.plans import sqltext as sq
+from tessera.plans.catalog import register
+from tessera.plans.split_queries import _KFOLD_SQL, _folds
+
+
+@register("symmetric_pairs", "P9 X1", sq.with_(sq.PAIRS_CONV) + """
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS mirrored, source, target FROM pairs_conv
+UNION ALL SELECT conv_id, turn, CAST(1 AS BIGINT), target, source FROM pairs_conv""")
+def symmetric_pairs(spark, sf):
+    return au.symmetric_pairs(derived.pairs_conv(spark, sf), ["conv_id", "turn"])
+
+
+def _dups(spark, sf):
+    docs = derived.documents(spark, sf)
+    pairs = au.star_pairs(docs, "doc_id", F.get(tx.non_empty_lines("text"), 0))
+    return pairs.withColumn("is_duplicate",
+                            au.word_set_jaccard_at_least(F.col("q1"), F.col("q2"), 1, 2).cast("long"))
+
+
+_DUP_SQL = f"""WITH fl AS (SELECT doc_id, text, ({sq.lines('text')})[1] AS k FROM documents),
+rep AS (SELECT k, min(doc_id) AS rep FROM fl WHERE k IS NOT NULL GROUP BY k),
+dp AS (SELECT r.rep AS id1, f.doc_id AS id2, r1.text AS q1, f.text AS q2
+       FROM fl f JOIN rep r USING (k) JOIN fl r1 ON r1.doc_id = r.rep WHERE f.doc_id <> r.rep),
+ws AS (SELECT *, list_distinct({sq.ws_tokens('lower(q1)')}) AS a, list_distinct({sq.ws_tokens('lower(q2)')}) AS b FROM dp),
+dups AS (SELECT id1, id2, q1, q2,
+       CAST(len(list_intersect(a, b)) * 2 >= (len(a) + len(b) - len(list_intersect(a, b)))
+            AND (len(a) + len(b) - len(list_intersect(a, b))) > 0 AS BIGINT) AS is_duplicate FROM ws),
+st AS (SELECT *, len({sq.sentences('q1')}) AS n1, len({sq.sentences('q2')}) AS n2 FROM dups)"""
+
+
+@register("duplicate_pairs", "S4 P8 J1", _DUP_SQL + "\nSELECT id1, id2, is_duplicate FROM dups")
+def duplicate_pairs(spark, sf):
+    return _dups(spark, sf).select("id1", "id2", "is_duplicate")
+
+
+@register("mine_augmentation", "C2 F1 F2 F3 P6 P7 P8", _DUP_SQL + """
+SELECT id1, id2, n1 AS num_sent_1, n2 AS num_sent_2, abs(n1 - n2) AS sent_diff,
+       CASE WHEN n1 < n2 THEN id2 ELSE id1 END AS source_id,
+       CASE WHEN n1 < n2 THEN id1 ELSE id2 END AS target_id
+FROM st WHERE is_duplicate = 1 AND abs(n1 - n2) >= 1 AND (n1 = 1 OR n2 = 1)""")
+def mine_augmentation(spark, sf):
+    m = au.mine(_dups(spark, sf))
+    return m.select("id1", "id2", "num_sent_1", "num_sent_2", "sent_diff",
+                    F.when(F.col("_swapped"), F.col("id2")).otherwise(F.col("id1")).alias("source_id"),
+                    F.when(F.col("_swapped"), F.col("id1")).otherwise(F.col("id2")).alias("target_id"))
+
+
+@register("mine_augmentation_multi", "C2 F1 F2 P6 P7 P8", _DUP_SQL + """
+SELECT id1, id2, n1 AS num_sent_1, n2 AS num_sent_2, abs(n1 - n2) AS sent_diff,
+       CASE WHEN n1 < n2 THEN id2 ELSE id1 END AS source_id,
+       CASE WHEN n1 < n2 THEN id1 ELSE id2 END AS target_id
+FROM st WHERE is_duplicate = 1 AND abs(n1 - n2) >= 1""")
+def mine_augmentation_multi(spark, sf):
+    """Same miner with the single-sentence condition switched off."""
+    m = au.mine(_dups(spark, sf), require_single=False)
+    return m.select("id1", "id2", "num_sent_1", "num_sent_2", "sent_diff",
+                    F.when(F.col("_swapped"), F.col("id2")).otherwise(F.col("id1")).alias("source_id"),
+                    F.when(F.col("_swapped"), F.col("id1")).otherwise(F.col("id2")).alias("target_id"))
+
+
+@register("hard_pairs", "F4", _DUP_SQL + """
+SELECT id1, id2, abs(n1 - n2) AS sent_diff FROM st
+WHERE is_duplicate = 1 AND abs(n1 - n2) >= 3 AND (n1 = 1 OR n2 = 1)""")
+def hard_pairs(spark, sf):
+    return au.mine(_dups(spark, sf), min_diff=3).select("id1", "id2", "sent_diff")
+
+
+@register("funnel_counts", "A14", _DUP_SQL + """
+SELECT count(*) AS n_read, count_if(is_duplicate = 1) AS n_duplicate,
+       count_if(is_duplicate = 1 AND abs(n1 - n2) >= 1) AS n_sent_diff,
+       count_if(is_duplicate = 1 AND abs(n1 - n2) >= 1 AND (n1 = 1 OR n2 = 1)) AS n_one_sentence
+FROM st""")
+def funnel_counts(spark, sf):
+    return au.funnel_counts(_dups(spark, sf))
+
+
+@register("extend_folds", "C3 J9 X1 K9", _KFOLD_SQL + ", " + _DUP_SQL.replace("WITH ", "", 1) + """,
+ext AS (SELECT count(*) AS n FROM st WHERE is_duplicate = 1 AND abs(n1 - n2) >= 1 AND (n1 = 1 OR n2 = 1)),
+tot AS (SELECT count(*) AS n FROM f)
+SELECT fold, tot.n - count(*) AS n_base_train, ext.n AS n_extension, tot.n - count(*) + ext.n AS n_train
+FROM f, tot, ext GROUP BY fold, tot.n, ext.n""")
+def extend_folds(spark, sf):
+    return splits.fold_train_sizes(_folds(spark, sf), au.mine(_dups(spark, sf)), k=10)
