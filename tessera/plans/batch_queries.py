@@ -1 +1,110 @@
-"""placeholder"""
+"""Batching, sharding, chunking, padding and packing queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import batching as bt
+from tessera.plans import derived
+from tessera.plans import sqltext as sq
+from tessera.plans.catalog import register
+
+_NW = f"""WITH d AS (SELECT doc_id, len({sq.ws_tokens('text')}) AS n_words FROM documents)"""
+
+
+def _nw(spark, sf):
+    return derived.documents(spark, sf).select("doc_id", tx.word_count("text").alias("n_words"))
+
+
+@register("length_batches", "W8", _NW + """
+SELECT doc_id, n_words, (row_number() OVER (ORDER BY n_words DESC, doc_id) - 1) // 8 AS batch_id FROM d""")
+def length_batches(spark, sf):
+    return bt.length_batches(_nw(spark, sf), "doc_id", "n_words", 8)
+
+
+@register("sortish_batches", "W9 T8", _NW + f""",
+p AS (SELECT doc_id, n_words, (row_number() OVER (ORDER BY {sq.seeded_hash('doc_id', 42)}, doc_id) - 1) // 400 AS chunk FROM d),
+r AS (SELECT doc_id, n_words, (chunk * 400 + row_number() OVER (PARTITION BY chunk ORDER BY n_words DESC, doc_id) - 1) // 8 AS batch_id FROM p),
+b AS (SELECT batch_id, max(n_words) AS mx FROM r GROUP BY batch_id),
+lead AS (SELECT batch_id FROM b ORDER BY mx DESC, batch_id LIMIT 1),
+o AS (SELECT batch_id, row_number() OVER (ORDER BY {sq.seeded_hash('batch_id', 43)}, batch_id) AS batch_pos
+      FROM b WHERE batch_id NOT IN (SELECT batch_id FROM lead)
+      UNION ALL SELECT batch_id, 0 FROM lead)
+SELECT doc_id, n_words, batch_id, batch_pos FROM r JOIN o USING (batch_id)""")
+def sortish_batches(spark, sf):
+    return bt.sortish_batches(_nw(spark, sf), "doc_id", "n_words", 8, seed=42)
+
+
+@register("padding_waste", "A15 W8", _NW + """,
+s AS (SELECT n_words, (row_number() OVER (ORDER BY n_words DESC, doc_id) - 1) // 8 AS b FROM d),
+f AS (SELECT n_words, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS b FROM d),
+ws AS (SELECT b, max(n_words) * count(*) - sum(n_words) AS w FROM s GROUP BY b),
+wf AS (SELECT b, max(n_words) * count(*) - sum(n_words) AS w FROM f GROUP BY b)
+SELECT 'length_sorted' AS scheme, count(*) AS n_batches, CAST(sum(w) AS BIGINT) AS pad_tokens FROM ws
+UNION ALL SELECT 'file_order', count(*), CAST(sum(w) AS BIGINT) FROM wf""")
+def padding_waste(spark, sf):
+    nw = _nw(spark, sf)
+    a = bt.padding_waste(bt.length_batches(nw, "doc_id", "n_words", 8), "batch_id", "n_words")
+    b = bt.padding_waste(bt.chunks(nw, ["doc_id"], 8, "batch_id"), "batch_id", "n_words")
+    return a.select(F.lit("length_sorted").alias("scheme"), "*").unionByName(
+        b.select(F.lit("file_order").alias("scheme"), "*"))
+
+
+@register("round_robin_shards", "W11", """
+WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents),
+n AS (SELECT count(*) AS n FROM documents)
+SELECT doc_id, o % 4 AS shard, CAST(0 AS BIGINT) AS is_padding FROM o
+UNION ALL
+SELECT doc_id, (o + n) % 4, CAST(1 AS BIGINT) FROM o, n WHERE o < ((n + 3) // 4) * 4 - n""")
+def round_robin_shards(spark, sf):
+    return bt.round_robin_shards(derived.documents(spark, sf, ("doc_id",)), "doc_id", 4)
+
+
+@register("chunks", "W13", """
+SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS chunk_id FROM documents""")
+def chunks(spark, sf):
+    return bt.chunks(derived.documents(spark, sf, ("doc_id",)), ["doc_id"], 16)
+
+
+_GT = sq.with_(sq.DOC_LINES, sq.DOC_GOLD) + f""", gt AS (
+  SELECT sample_id, {sq.alnum_tokens('gold')} AS tok FROM doc_gold)"""
+
+
+@register("truncate_pad", "P15 P16 P17", _GT + """,
+tp AS (SELECT sample_id, tok[1:8] AS t FROM gt),
+pd AS (SELECT sample_id, CASE WHEN len(t) < 8 THEN list_concat(t, list_transform(range(8 - len(t)), lambda x: '<pad>')) ELSE t END AS p FROM tp)
+SELECT sample_id, array_to_string(p, ' ') AS input_tokens,
+       array_to_string(list_concat(['<s>'], p[1:len(p) - 1]), ' ') AS decoder_tokens FROM pd""")
+def truncate_pad(spark, sf):
+    g = derived.doc_gold(spark, sf).select("sample_id", tx.alnum_tokens("gold").alias("tok"))
+    p = bt.pad_to(bt.truncate(F.col("tok"), 8), 8, "<pad>")
+    return g.select("sample_id", F.array_join(p, " ").alias("input_tokens"),
+                    F.array_join(bt.shift_right(p, "<s>"), " ").alias("decoder_tokens"))
+
+
+@register("trim_batch", "F8 W8 P16", _GT + """,
+b AS (SELECT sample_id, len(tok) AS n, (row_number() OVER (ORDER BY len(tok) DESC, sample_id) - 1) // 8 AS batch_id FROM gt),
+m AS (SELECT batch_id, max(n) AS mx, count(*) AS n_rows FROM b GROUP BY batch_id)
+SELECT batch_id, CAST(mx AS BIGINT) AS width, n_rows FROM m""")
+def trim_batch(spark, sf):
+    g = derived.doc_gold(spark, sf).select("sample_id", tx.alnum_tokens("gold").alias("tok"))
+    g = g.withColumn("n", F.size("tok"))
+    batched = bt.length_batches(g, "sample_id", "n", 8)
+    mx = batched.groupBy("batch_id").agg(F.max("n").alias("_mx"))
+    padded = batched.join(mx, "batch_id").withColumn("tok", F.concat(
+        F.col("tok"), F.array_repeat(F.lit("<pad>"), (F.col("_mx") - F.col("n")).cast("int"))))
+    return bt.trim_width(padded, "batch_id", "tok", "<pad>")
+
+
+@register("token_budget_batches", "W10 T8")
+def token_budget_batches(spark, sf):
+    d = _nw(spark, sf).withColumn("n_tokens", F.least(F.col("n_words"), F.lit(142)).cast("long"))
+    return bt.token_budget_batches(d.select("doc_id", "n_tokens"), "doc_id", "n_tokens", max_tokens=1024)
+
+
+@register("pack_pairs", "W12 C18")
+def pack_pairs(spark, sf):
+    p = derived.pairs_conv(spark, sf).select(
+        "conv_id", "turn", tx.word_count("source").alias("sl"), tx.word_count("target").alias("tl"))
+    return bt.pack_pairs(p, ["conv_id", "turn"], "sl", "tl", max_tokens=128)
