@@ -1 +1,60 @@
-"""placeholder"""
+"""Distance histogram, threshold pairs, single-linkage components."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import cluster as cl
+from tessera.plans.catalog import register
+from tessera.sources.tables import spread, table
+
+EPS = 1.1
+
+_DIST = """WITH d AS (
+  SELECT a.vec_id AS id1, b.vec_id AS id2,
+         sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding),
+              lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))) AS distance
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"""
+
+
+def _emb(spark, sf):
+    return spread(table(spark, sf, "embeddings", ["vec_id", "embedding"]), "vec_id")
+
+
+@register("distance_histogram", "J7 A16", _DIST + """
+SELECT CAST(floor(distance * 20.0) AS BIGINT) AS bin, count(*) AS n FROM d GROUP BY ALL""")
+def distance_histogram(spark, sf):
+    return cl.distance_histogram(_emb(spark, sf), width=0.05)
+
+
+@register("epsilon_pairs", "J7", _DIST + f"""
+SELECT id1, id2, round(distance, 6) AS distance FROM d WHERE distance <= {EPS}""")
+def epsilon_pairs(spark, sf):
+    p = cl.epsilon_pairs(_emb(spark, sf), EPS)
+    return p.select("id1", "id2", F.round("distance", 6).alias("distance"))
+
+
+_CC_SQL = f"""WITH RECURSIVE d AS (
+  SELECT a.vec_id AS id1, b.vec_id AS id2,
+         sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding),
+              lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))) AS distance
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id),
+e AS (SELECT id1 AS s, id2 AS t FROM d WHERE distance <= {EPS} UNION ALL SELECT id2, id1 FROM d WHERE distance <= {EPS}),
+r(v, lab) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.t, r.lab FROM r JOIN e ON e.s = r.v)
+SELECT v AS vec_id, min(lab) AS cluster FROM r GROUP BY v"""
+
+
+@register("cluster_components", "C15 J7", _CC_SQL)
+def cluster_components(spark, sf):
+    emb = _emb(spark, sf)
+    return cl.connected_components(emb.select("vec_id"), cl.epsilon_pairs(emb, EPS).select("id1", "id2"))
+
+
+@register("cluster_size_profile", "C15 A18", _CC_SQL.replace(
+    "SELECT v AS vec_id, min(lab) AS cluster FROM r GROUP BY v",
+    """, c AS (SELECT v, min(lab) AS cluster FROM r GROUP BY v),
+s AS (SELECT cluster, count(*) AS size FROM c GROUP BY cluster)
+SELECT size, count(*) AS n_clusters FROM s GROUP BY size"""))
+def cluster_size_profile(spark, sf):
+    comp = cluster_components(spark, sf)
+    return cl.cluster_sizes(comp).groupBy("size").agg(F.count(F.lit(1)).alias("n_clusters"))
