@@ -80,7 +80,8 @@ def bootstrap_rouge(pairs: DataFrame, key: str, pred: str = "pred", ref: str = "
 def corpus_bleu(pairs: DataFrame, pred: str = "pred", ref: str = "ref", smooth: str = "exp",
                 tokenizer: str = "13a") -> DataFrame:
     """Sum clipped matches / totals / lengths over rows, then the closed form."""
-    tok = bl.tokens_13a if tokenizer == "13a" else (lambda c: F.split(F.col(c), " "))
+    from tessera.functions import text as tx
+    tok = bl.tokens_13a if tokenizer == "13a" else tx.ws_tokens
     stats = pairs.select(bl.bleu_stats(tok(pred), tok(ref)).alias("s")).select("s.*")
     sums = stats.agg(*[F.sum(c).cast("long").alias(c) for c in stats.columns])
     return sums.select("*", *bl.corpus_bleu_from_sums(smooth))
