@@ -144,3 +144,10 @@ def stem_token(tok: str) -> str:
 def stem_tokens_udf(tokens: pd.Series) -> pd.Series:
     return pd.Series([[stem_token(t) for t in toks] if toks is not None else []
                       for toks in tokens])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stem_nested_udf(token_lists: pd.Series) -> pd.Series:
+    """Stem an array of token arrays (e.g. all lines of a document) in one call."""
+    return pd.Series([[[stem_token(t) for t in toks] for toks in lists] if lists is not None else []
+                      for lists in token_lists])

@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rouge as rg
 from tessera.operators.ordering import global_index
+from tessera.session import cut_lineage
+
+
+def materialize(scored: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Write the narrow score table once to the shared checkpoint folder when
+    it feeds several branches (per-key max + join back), so expensive scoring
+    is not recomputed per branch and a lost executor does not replay it."""
+    return cut_lineage(scored.select(*cols))
 
 
 def number_flat_candidates(df: DataFrame, order: Sequence, per_sample: int = 1) -> DataFrame:

@@ -103,7 +103,7 @@ SELECT count(*) AS n_ids,
   round(avg(gap), 6) AS mean_dist_12, round(min(gap), 6) AS min_dist_12, round(max(gap), 6) AS max_dist_12
 FROM x""")
 def candidate_spread(spark, sf):
-    return cd.score_spread(_scored(spark, sf))
+    return cd.score_spread(cd.materialize(_scored(spark, sf), [*_KEYS, "score"]))
 
 
 _RL_SCORED = _RL_SQL + f""",
@@ -115,7 +115,7 @@ mx AS (SELECT sample_id, max(score) AS mx FROM s GROUP BY sample_id)"""
 SELECT sample_id, cand_rank, score, CASE WHEN mx = 0 THEN 0.0 ELSE score / mx END AS label
 FROM s JOIN mx USING (sample_id)""")
 def relative_labels(spark, sf):
-    s = _scored(spark, sf, "rougeL").select(*_KEYS, "score")
+    s = cd.materialize(_scored(spark, sf, "rougeL"), [*_KEYS, "score"])
     return cd.relative_labels(s)
 
 
@@ -123,7 +123,7 @@ def relative_labels(spark, sf):
 SELECT sample_id, cand_rank, score, CASE WHEN score = mx THEN 1.0 ELSE 0.0 END AS label
 FROM s JOIN mx USING (sample_id)""")
 def binary_labels(spark, sf):
-    s = _scored(spark, sf, "rougeL").select(*_KEYS, "score")
+    s = cd.materialize(_scored(spark, sf, "rougeL"), [*_KEYS, "score"])
     return cd.relative_labels(s, binary=True)
 
 

@@ -70,8 +70,9 @@ SELECT (SELECT count(*) FROM b) AS n_ids,
 def evaluate_scorer(spark, sf):
     s = _lex_scored(spark, sf)
     s = cd.score_candidates(s.withColumnRenamed("score", "lex"), "rougeL", name="rl")
+    s = cd.materialize(s, [*_KEYS, "lex", "rl"])
     ex = cd.relative_labels(s, score="rl").select(*_KEYS, F.col("lex").alias("score"), "label")
-    return ev.evaluate_scorer(ex)
+    return ev.evaluate_scorer(cd.materialize(ex, [*_KEYS, "score", "label"]))
 
 
 _TTR = f"""WITH d AS (SELECT l.doc_id, l.quality AS label,

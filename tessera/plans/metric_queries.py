@@ -79,10 +79,17 @@ def rouge_lsum_scores(spark, sf):
 
 @register("rouge_stemmed", "B1 stemmed")
 def rouge_stemmed(spark, sf):
+    """Stemmed ROUGE-1/2 per candidate; each document's lines are tokenised
+    and stemmed once (before candidates fan out), not once per candidate."""
     from tessera.functions import rouge as rg
-    c = derived.doc_candidates(spark, sf)
-    pt, rt = rg.rouge_tokens("text", stem=True), rg.rouge_tokens("gold", stem=True)
-    c = c.select(*_KEYS, pt.alias("pt"), rt.alias("rt"))
+    from tessera.functions.stem import stem_nested_udf
+    docs = derived.documents(spark, sf).select(
+        F.col("doc_id").alias("sample_id"),
+        F.transform(tx.non_empty_lines("text"), lambda l: tx.alnum_tokens(l)).alias("_toks"))
+    docs = docs.where(F.size("_toks") > 0).select("sample_id", stem_nested_udf("_toks").alias("_st"))
+    c = docs.select("sample_id", F.get(F.col("_st"), 0).alias("rt"),
+                    F.posexplode(F.slice(F.col("_st"), 2, F.greatest(F.size("_st") - 1, F.lit(1))))
+                     .alias("cand_rank", "pt")).withColumn("cand_rank", F.col("cand_rank").cast("long"))
     r1, r2 = rg.rouge_n(F.col("pt"), F.col("rt"), 1), rg.rouge_n(F.col("pt"), F.col("rt"), 2)
     return c.select(*_KEYS, F.round(r1["f"], R).alias("r1_f"), F.round(r2["f"], R).alias("r2_f"))
 
