@@ -76,9 +76,9 @@ def hard_pairs(spark, sf):
 
 
 @register("funnel_counts", "A14", _DUP_SQL + """
-SELECT count(*) AS n_read, count_if(is_duplicate = 1) AS n_duplicate,
-       count_if(is_duplicate = 1 AND abs(n1 - n2) >= 1) AS n_sent_diff,
-       count_if(is_duplicate = 1 AND abs(n1 - n2) >= 1 AND (n1 = 1 OR n2 = 1)) AS n_one_sentence
+SELECT count(*) AS n_read, CAST(count_if(is_duplicate = 1) AS BIGINT) AS n_duplicate,
+       CAST(count_if(is_duplicate = 1 AND abs(n1 - n2) >= 1) AS BIGINT) AS n_sent_diff,
+       CAST(count_if(is_duplicate = 1 AND abs(n1 - n2) >= 1 AND (n1 = 1 OR n2 = 1)) AS BIGINT) AS n_one_sentence
 FROM st""")
 def funnel_counts(spark, sf):
     return au.funnel_counts(_dups(spark, sf))

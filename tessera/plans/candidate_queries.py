@@ -120,7 +120,7 @@ def relative_labels(spark, sf):
 
 
 @register("binary_labels", "C5 W3", _RL_SCORED + """
-SELECT sample_id, cand_rank, score, CASE WHEN score = mx THEN 1.0 ELSE 0.0 END AS label
+SELECT sample_id, cand_rank, score, CAST(CASE WHEN score = mx THEN 1.0 ELSE 0.0 END AS DOUBLE) AS label
 FROM s JOIN mx USING (sample_id)""")
 def binary_labels(spark, sf):
     s = cd.materialize(_scored(spark, sf, "rougeL"), [*_KEYS, "score"])
@@ -129,7 +129,7 @@ def binary_labels(spark, sf):
 
 @register("rerank_inputs", "C6 J2", _BASE + f""", g AS (
   SELECT doc_id AS sample_id, {sq.strip('text')} AS source FROM documents)
-SELECT c.sample_id, c.cand_rank, g.source, c.text AS candidate, 0.0 AS label
+SELECT c.sample_id, c.cand_rank, g.source, c.text AS candidate, CAST(0.0 AS DOUBLE) AS label
 FROM doc_cands c JOIN g USING (sample_id)""")
 def rerank_inputs(spark, sf):
     c = derived.doc_candidates(spark, sf, with_source=True)

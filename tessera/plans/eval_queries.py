@@ -148,7 +148,7 @@ def _leaderboard_sql() -> str:
     sel = []
     for c in combos:
         mr, mw = int(c["max_rank"]), int(c["min_words"])
-        sel.append(f"SELECT {mr}.0 AS max_rank, {mw}.0 AS min_words, round(avg(coalesce(b_{mr}_{mw}, 0.0)), {R}) AS score FROM per")
+        sel.append(f"SELECT CAST({mr} AS DOUBLE) AS max_rank, CAST({mw} AS DOUBLE) AS min_words, round(avg(coalesce(b_{mr}_{mw}, 0.0)), {R}) AS score FROM per")
     cols = ", ".join(
         f"max(CASE WHEN cand_rank < {int(c['max_rank'])} AND nw >= {int(c['min_words'])} THEN score END) "
         f"AS b_{int(c['max_rank'])}_{int(c['min_words'])}" for c in combos)
@@ -196,8 +196,8 @@ def negative_sampling(spark, sf):
 
 
 @register("gold_examples", "C4 X1 J6", _NEG_SQL + """
-SELECT sample_id AS guid, sample_id AS cand_id, 1.0 AS label FROM pool
-UNION ALL SELECT sample_id, neg_id, 0.0 FROM negs""")
+SELECT sample_id AS guid, sample_id AS cand_id, CAST(1.0 AS DOUBLE) AS label FROM pool
+UNION ALL SELECT sample_id, neg_id, CAST(0.0 AS DOUBLE) FROM negs""")
 def gold_examples(spark, sf):
     gold = derived.doc_gold(spark, sf)
     ex = ng.labelled_examples(gold, "sample_id", "source", "gold", 3, 42)

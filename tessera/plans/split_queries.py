@@ -30,7 +30,7 @@ def stratified_kfold(spark, sf):
 
 
 @register("fold_sizes", "W5 A1", _KFOLD_SQL + """
-SELECT fold, count(*) AS n, sum(quality) AS n_quality, sum(toxic) AS n_toxic FROM f GROUP BY fold""")
+SELECT fold, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_quality, CAST(sum(toxic) AS BIGINT) AS n_toxic FROM f GROUP BY fold""")
 def fold_sizes(spark, sf):
     return _folds(spark, sf).groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.sum("quality").cast("long").alias("n_quality"),

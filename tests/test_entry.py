@@ -39,3 +39,19 @@ def test_oracle_agrees_at_sf0001(spark, name):
     idx = [dcols.index(c) for c in key]
     b = sorted(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
     assert a == b
+
+
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
+def test_oracle_types_match(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    qs = E.queries()
+    for name, sql in E.oracle_sql().items():
+        s = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType))
+             for f in qs[name](spark, SF).schema.fields}
+        d = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+        assert s == d, name
