@@ -2,9 +2,9 @@
 group) through one task.
 
 ``global_index``: range-partition on the order key, sort inside partitions,
-take each row's position inside its partition from
-``monotonically_increasing_id`` and add the row count of all earlier
-partitions.  The only collected-side table is one row per partition, so the
+write that layout once to the checkpoint folder, take each row's position
+inside its partition from ``monotonically_increasing_id`` and add the row
+count of all earlier partitions.  The only collected-side table is one row per partition, so the
 broadcast is bounded by the partition count, not the data.
 
 ``rank_within``: the same index over (group, order) minus the index of the
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import default_partitions
+from tessera.session import cut_lineage, default_partitions
 
 _PID, _MID, _CNT, _OFF = "_tsr_pid", "_tsr_mid", "_tsr_cnt", "_tsr_off"
 
@@ -28,18 +28,30 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _numbered_layout(df: DataFrame, order_cols: list[Column], num_partitions: int | None) -> DataFrame:
+    """One range-partitioned, sorted layout of ``df``, written once.
+
+    Every later reader (counts, offsets, positions) uses these files, so all
+    of them see the same range boundaries.  Deriving two branches from an
+    unwritten range exchange is wrong: column pruning makes the exchanges
+    different plans and each one samples boundaries of its own.
+    """
+    n_parts = num_partitions or default_partitions(df.sparkSession)
+    return cut_lineage(df.repartitionByRange(n_parts, *order_cols)
+                         .sortWithinPartitions(*order_cols)
+                         .withColumn(_PID, F.spark_partition_id())
+                         .withColumn(_MID, F.monotonically_increasing_id()))
+
+
 def global_index(df: DataFrame, order: Sequence, name: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based LONG ``name`` = position of the row in ``order``.
 
     ``order`` should end in a unique column so positions are reproducible.
+    All columns of ``df`` are written once to the checkpoint folder: pass a
+    narrow table (key and order columns) and join wide payload back.
     """
-    order_cols = _cols(order)
-    n_parts = num_partitions or default_partitions(df.sparkSession)
-    staged = (df.repartitionByRange(n_parts, *order_cols)
-                .sortWithinPartitions(*order_cols)
-                .withColumn(_PID, F.spark_partition_id())
-                .withColumn(_MID, F.monotonically_increasing_id()))
+    staged = _numbered_layout(df, _cols(order), num_partitions)
     counts = staged.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
     offsets = counts.select(
         _PID,
@@ -78,11 +90,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     base = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     ranked = rank_within(base, group, ["_v"], "_r")
     if group:
-        sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
         joined = ranked.join(sizes, group)
     else:
-        # a single scalar comes back to the driver, never rows
-        joined = ranked.withColumn("_n", F.lit(base.count()))
+        joined = ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("_n"))))  # one row
     pos = {k: F.lit(p) * (F.col("_n") - 1) for k, p in probs.items()}
     keep = None
     for k, h in pos.items():
@@ -128,7 +139,8 @@ def running_sums(df: DataFrame, order: Sequence, sums: Sequence[str],
                 pdf[c + suffix] = cum
             yield pdf
 
-    loc = staged.mapInPandas(local, schema)
+    # written once: the totals and the rows must come from the same layout
+    loc = cut_lineage(staged.mapInPandas(local, schema))
     totals = loc.groupBy(_PID).agg(*[F.sum(c).cast("double").alias(f"_t_{c}") for c in cols])
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_PID, *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0.0)).alias(f"_o_{c}")
