@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import embeddings, langid, packing, ppm, quality, sharding, simhash, warc
+from tessera.llm import bpe, embeddings, langid, licenses, packing, ppm, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_language": langid.op1_language,
     "op2_length_buckets": packing.op2_length_buckets,
     "op3_simhash": simhash.op3_simhash,
+    "op4_bpe": bpe.op4_bpe,
     "op5_embeddings": embeddings.op5_embeddings,
     "op6_quality": quality.op6_quality,
     "op7_jump_shards": sharding.op7_jump_shards,
+    "op8_licenses": licenses.op8_licenses,
     "op9_ppm": ppm.op9_ppm,
     "op10_warc": warc.op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op8_licenses": licenses.ORACLE_SQL}

@@ -256,7 +256,7 @@ def _labelled(texts: list[str | None], model: Model, penalty: float):
     yield from portion(own)
 
 
-def _predicted(model, penalty: float, spans: bool):
+def _predicted(model, penalty: float, spans: bool, keep_text: bool):
     def run(batches):
         m = model.value
         for batch in batches:
@@ -271,16 +271,18 @@ def _predicted(model, penalty: float, spans: bool):
                         new = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
                         last = np.append(new[1:], len(path)) - 1
                         found[i] = json.dumps([[int(starts[a]), int(ends[b]), m.languages[path[a]]] for a, b in zip(new, last)])
-            kept = batch.drop_columns(["_text"])
+            kept = batch if keep_text else batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang), pa.array(score), *[pa.array(found, pa.string())] * spans],
                                              [*kept.schema.names, "lang_pred", "score", *["_spans"] * spans])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, *carried: Column, text: str = "text", penalty: float = PENALTY, spans: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *carried: Column, text: str = "text", penalty: float = PENALTY, spans: bool = False,
+            keep_text: bool = False) -> DataFrame:
     """The ``carried`` columns, lang_pred and score of every row, and with
-    ``spans`` an array of (start, end, lang) in characters.
+    ``spans`` an array of (start, end, lang) in characters, with
+    ``keep_text`` the text as ``_text``.
 
     ``score`` is the share of the text's letters in spans of ``lang_pred``.
     Texts that are null or have no letter are ``und`` with score 0, and all
@@ -290,8 +292,8 @@ def predict(docs: DataFrame, model: Model, *carried: Column, text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(*carried, F.col(text).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["lang_pred string", "score double"]
-    out = rows.mapInArrow(_predicted(spark.sparkContext.broadcast(model), penalty, spans), ", ".join([*kinds, *["_spans string"] * spans]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(rows.columns) - (not keep_text)]] + ["lang_pred string", "score double"]
+    out = rows.mapInArrow(_predicted(spark.sparkContext.broadcast(model), penalty, spans, keep_text), ", ".join([*kinds, *["_spans string"] * spans]))
     if spans:
         out = out.withColumn("spans", F.from_json("_spans", "array<array<string>>")).withColumn("spans", F.transform("spans", lambda s: F.struct(
             F.get(s, F.lit(0)).cast("int").alias("start"), F.get(s, F.lit(1)).cast("int").alias("end"), F.get(s, F.lit(2)).alias("lang")))).drop("_spans")
@@ -306,9 +308,9 @@ def held_out(key: Column, mod: int = 5) -> Column:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a language that holds at least ``least`` of
     the letters, learned from the rows' own lang; with their columns."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    found = predict(docs, learn(docs), whole)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
+    found = predict(docs, learn(docs), others, keep_text=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[(F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ documents, and the share of good ones, without labels; a document is kept by
 the posterior probability that it is good.
 
 Votes of R rules have at most 3^R patterns.  The corpus is reduced to a count
-for each pattern (19,683 rows at most for nine rules), the estimation is one
+for each pattern (59,049 rows at most for ten rules), the estimation is one
 expression over that row, and the verdicts go back to the documents by a join
 with the pattern table, whose size is bounded by the number of rules.
 """
@@ -23,7 +23,7 @@ from tessera.llm._common import WS, cut_lineage, let, read, words_of
 
 WINDOW = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FIGURES = (*BASE, "n_lines", "n_upper", "n_letters", "n_bangs", "n_bare")
+FIGURES = (*BASE, "n_lines", "n_upper", "n_letters", "n_bangs", "n_bare", "n_echoes")
 
 
 def repeated_words(words: Column, k: int = WINDOW) -> Column:
@@ -71,7 +71,8 @@ def figures(text: Column) -> Column:
                 _chars(t, r"\p{Lu}").alias("n_upper"),
                 _chars(t, r"\p{L}").alias("n_letters"),
                 _chars(t, "!").alias("n_bangs"),
-                F.size(F.filter(w, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_bare")))
+                F.size(F.filter(w, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_bare"),
+                F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).cast("long").alias("n_echoes")))
 
         return let(words_of(t), of_words)
 
@@ -102,12 +103,13 @@ RULES = (
     Rule("n_words", None, low=50, high=float("inf"), bad_low=20, bad_high=float("inf")),
     Rule("word_chars", "n_words", low=3.0, high=10.0, bad_low=2.0, bad_high=15.0),
     Rule("n_symbols", "n_words", high=0.02, bad_high=0.1),
-    Rule("n_dup_lines", "n_lines", high=0.1, bad_high=0.3),
+    Rule("n_dup_lines", "n_lines", high=0.34, bad_high=0.5),
     Rule("n_repeat_words", "n_words", high=0.1, bad_high=0.3),
     Rule("n_upper", "n_letters", high=0.2, bad_high=0.5),
     Rule("n_letters", "word_chars", low=0.85, high=1.0, bad_low=0.7, bad_high=1.0),
     Rule("n_bangs", "n_words", high=0.05, bad_high=0.2),
     Rule("n_bare", "n_words", high=0.05, bad_high=0.2),
+    Rule("n_echoes", "n_words", high=0.05, bad_high=0.2),
 )
 
 
