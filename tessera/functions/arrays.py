@@ -18,6 +18,13 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), 0)
 
 
+def once(**columns: Column) -> Column:
+    """A generator of one row with these columns, for ``select``: what is
+    generated is computed once, however often it is used afterwards (a plain
+    projection may be copied into each use, a filter included)."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Contiguous n-grams of a token array, joined by one space."""
     if n == 1:

@@ -16,7 +16,7 @@ from tessera.functions.arrays import let, multiset_overlap, ngrams
 # 2. period/comma unless preceded by a digit
 # 3. period/comma unless followed by a digit
 # 4. dash when preceded by a digit
-TOK13A_PUNCT = r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{20}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}\x{2f}])"
+TOK13A_PUNCT = r"([\{-~\[-` -&(-+:-@/])"
 TOK13A_RULES = [
     (TOK13A_PUNCT, " $1 "),
     (r"([^0-9])([.,])", "$1 $2 "),

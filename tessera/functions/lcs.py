@@ -4,13 +4,14 @@ LCS is inherently sequential per pair, so it runs as an Arrow-batched pandas
 UDF: two token arrays in, one integer out, no shuffle.  The length uses the
 bit-parallel recurrence (one big-integer add/or per token of the second text),
 O(|a|·|b|/64) per pair.  Summary-level LCS needs the aligned positions, so it
-backtracks a small per-sentence table.
+walks back through a table per pair of sentences, filled a row at a time.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,20 +31,15 @@ def lcs_length(a, b) -> int:
     return len(a) - bin(v).count("1")
 
 
-def lcs_positions(ref, pred) -> list[int]:
-    """Indices of ``ref`` on one longest common subsequence with ``pred``."""
+def lcs_positions(ref: np.ndarray, pred: np.ndarray) -> list[int]:
+    """Indices of ``ref`` on one longest common subsequence with ``pred``
+    (token numbers); of equals the walk back steps in ``ref``, as the
+    published scorer does."""
     n, m = len(ref), len(pred)
-    if n == 0 or m == 0:
-        return []
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        ri = ref[i - 1]
-        row, prev = table[i], table[i - 1]
-        for j in range(1, m + 1):
-            if ri == pred[j - 1]:
-                row[j] = prev[j - 1] + 1
-            else:
-                row[j] = row[j - 1] if row[j - 1] > prev[j] else prev[j]
+    table = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n):
+        # a match adds one to the corner; every other cell is the running maximum
+        np.maximum.accumulate(np.maximum(table[i, 1:], np.where(pred == ref[i], table[i, :-1] + 1, 0)), out=table[i + 1, 1:])
     out = []
     i, j = n, m
     while i > 0 and j > 0:
@@ -51,10 +47,10 @@ def lcs_positions(ref, pred) -> list[int]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif table[i - 1][j] > table[i][j - 1]:
-            i -= 1
-        else:
+        elif table[i, j - 1] > table[i - 1, j]:
             j -= 1
+        else:
+            i -= 1
     out.reverse()
     return out
 
@@ -64,11 +60,16 @@ def summary_lcs_hits(ref_sents, pred_sents) -> int:
     occurrence on both sides."""
     ref_counts = Counter(t for s in ref_sents for t in s)
     pred_counts = Counter(t for s in pred_sents for t in s)
+    number: dict[str, int] = {}
+    as_numbers = lambda ts: np.array([number.setdefault(t, len(number)) for t in ts], np.int64)
+    pred_numbers = [as_numbers(p) for p in pred_sents]
     hits = 0
     for r in ref_sents:
         union: set[int] = set()
-        for p in pred_sents:
-            union.update(lcs_positions(list(r), list(p)))
+        own = as_numbers(r)
+        for p in pred_numbers:
+            if len(own) and len(p):
+                union.update(lcs_positions(own, p))
         for idx in sorted(union):
             tok = r[idx]
             if ref_counts[tok] > 0 and pred_counts[tok] > 0:

@@ -8,19 +8,15 @@ native (sorted run-length overlap); the LCS variants call the Arrow UDFs in
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.arrays import let, multiset_overlap, ngrams
 
 
-def rouge_tokens(col, stem: bool = False) -> Column:
-    toks = tx.alnum_tokens(col)
-    if stem:
-        from tessera.functions.stem import stem_tokens_udf
-        toks = stem_tokens_udf(toks)
-    return toks
 
 
 def prf(matches: Column, n_pred: Column, n_ref: Column) -> Column:
@@ -50,17 +46,49 @@ def rouge_l(pred_tokens: Column, ref_tokens: Column) -> Column:
     return prf(lcs_udf(pred_tokens, ref_tokens), F.size(pred_tokens), F.size(ref_tokens))
 
 
-def rouge_lsum(pred_text, ref_text, stem: bool = False) -> Column:
+def sentence_tokens(text) -> Column:
+    """ROUGE tokens of each sentence that has some."""
+    return F.filter(F.transform(tx.sentences(text), lambda s: tx.alnum_tokens(s)), lambda t: F.size(t) > 0)
+
+
+def rouge_lsum(pred_text, ref_text) -> Column:
     """Summary-level LCS over sentences (one sentence per line)."""
+    return rouge_lsum_tokens(sentence_tokens(pred_text), sentence_tokens(ref_text))
+
+
+def rouge_lsum_tokens(pred: Column, ref: Column) -> Column:
     from tessera.functions.lcs import summary_lcs_udf
 
-    def sent_tokens(c):
-        return F.filter(F.transform(tx.sentences(c), lambda s: rouge_tokens(s, stem)),
-                        lambda t: F.size(t) > 0)
-    ref_s, pred_s = sent_tokens(ref_text), sent_tokens(pred_text)
-    n_ref = F.aggregate(ref_s, F.lit(0), lambda acc, s: acc + F.size(s))
-    n_pred = F.aggregate(pred_s, F.lit(0), lambda acc, s: acc + F.size(s))
-    return prf(summary_lcs_udf(ref_s, pred_s), n_pred, n_ref)
+    def total(sentences: Column) -> Column:
+        return F.aggregate(sentences, F.lit(0), lambda acc, s: acc + F.size(s))
+
+    return prf(summary_lcs_udf(ref, pred), total(pred), total(ref))
+
+
+def scored(df: DataFrame, pred: str, ref: str, metrics: Sequence[str], stem: bool = False, carried: Sequence[str] = ("*",)) -> DataFrame:
+    """``df``'s ``carried`` columns and a (p, r, f) struct for each metric
+    (rouge1..rouge4, rougeL, rougeLsum).  Tokens, stemmed or not, are columns
+    of their own before they are scored: every metric shares them."""
+    tokens, nested = any(m != "rougeLsum" for m in metrics), "rougeLsum" in metrics
+    rows = df.select("*", *[tx.alnum_tokens(c).alias(n) for c, n in ((pred, "_pt"), (ref, "_rt")) if tokens],
+                     *[sentence_tokens(c).alias(n) for c, n in ((pred, "_ps"), (ref, "_rs")) if nested])
+    if stem:
+        from tessera.functions.stem import stem_nested_udf, stem_tokens_udf
+        for names, udf in ((("_pt", "_rt"), stem_tokens_udf), (("_ps", "_rs"), stem_nested_udf)):
+            rows = rows.withColumns({n: udf(n) for n in names if n in rows.columns})
+    pt, rt = F.col("_pt"), F.col("_rt")
+    out = []
+    for m in metrics:
+        if m == "rougeL":
+            s = rouge_l(pt, rt)
+        elif m == "rougeLsum":
+            s = rouge_lsum_tokens(F.col("_ps"), F.col("_rs"))
+        elif m in ("rouge1", "rouge2", "rouge3", "rouge4"):
+            s = rouge_n(pt, rt, int(m[-1]))
+        else:
+            raise ValueError(f"unknown metric {m}")
+        out.append(s.alias(m))
+    return rows.select(*(df.columns if tuple(carried) == ("*",) else carried), *out)
 
 
 def score100(f: Column, digits: int = 4) -> Column:

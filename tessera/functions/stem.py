@@ -1,5 +1,6 @@
 """Porter stemmer (M. F. Porter, "An algorithm for suffix stripping", 1980)
-applied to ROUGE tokens longer than three characters.
+with its later published extensions, applied to ROUGE tokens longer than three
+characters.
 
 Stemming is per word, so it runs inside an Arrow-batched pandas UDF over the
 token arrays with a per-worker memo: each distinct word is stemmed once per
@@ -52,6 +53,8 @@ def _double_cons(w: str) -> bool:
 
 def _cvc(w: str) -> bool:
     n = len(w)
+    if n == 2:
+        return not _cons(w, 0) and _cons(w, 1)
     return (n >= 3 and _cons(w, n - 3) and not _cons(w, n - 2) and _cons(w, n - 1)
             and w[-1] not in "wxy")
 
@@ -64,36 +67,51 @@ def _replace(w: str, rules, cond) -> str:
     return w
 
 
-# --- fixed values: suffix rules of the published algorithm, steps 2-4 ------
+# --- fixed values: suffix rules of the published algorithm, steps 2-4, in
+# order, and the later extensions (irregular forms, bli, fulli, logi) ---------
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"),
-          ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
+          ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
           ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"),
           ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
-          ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+          ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
           ("ful", ""), ("ness", "")]
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
           "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+_IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+              "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+              "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+              "exceed": "exceed", "succeed": "succeed"}
 # ---------------------------------------------------------------------------
 
 
+def _step2(w: str) -> str:
+    if w.endswith("alli") and _measure(w[:-4]) > 0:
+        return _step2(w[:-2])
+    if w.endswith("logi"):
+        return w[:-1] if _measure(w[:-3]) > 0 else w
+    return _replace(w, _STEP2, lambda s: _measure(s) > 0)
+
+
 @lru_cache(maxsize=1 << 16)
 def porter(word: str) -> str:
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
     w = word
     if len(w) <= 2:
         return w
     # step 1a
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
+    if w.endswith("ies"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("sses"):
         w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
+    elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
     # step 1b
     extra = False
-    if w.endswith("eed"):
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -103,26 +121,23 @@ def porter(word: str) -> str:
     if extra:
         if w.endswith(("at", "bl", "iz")):
             w += "e"
-        elif _double_cons(w) and w[-1] not in "lsz":
-            w = w[:-1]
+        elif _double_cons(w):
+            w = w if w[-1] in "lsz" else w[:-1]
         elif _measure(w) == 1 and _cvc(w):
             w += "e"
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and len(w) > 2 and _cons(w, len(w) - 2):
         w = w[:-1] + "i"
-    # steps 2 and 3
-    w = _replace(w, sorted(_STEP2, key=lambda r: -len(r[0])), lambda s: _measure(s) > 0)
-    w = _replace(w, sorted(_STEP3, key=lambda r: -len(r[0])), lambda s: _measure(s) > 0)
+    w = _step2(w)
+    w = _replace(w, _STEP3, lambda s: _measure(s) > 0)
     # step 4
-    for suf in sorted(_STEP4, key=len, reverse=True):
+    for suf in _STEP4:
         if w.endswith(suf):
             stem = w[: len(w) - len(suf)]
-            if suf == "ion":
-                if _measure(stem) > 1 and stem.endswith(("s", "t")):
-                    w = stem
-            elif _measure(stem) > 1:
+            if _measure(stem) > 1 and (suf != "ion" or stem.endswith(("s", "t"))):
                 w = stem
-            break
+            if suf != "ion" or stem.endswith(("s", "t")):
+                break
     # step 5a
     if w.endswith("e"):
         stem = w[:-1]
@@ -130,7 +145,7 @@ def porter(word: str) -> str:
         if m > 1 or (m == 1 and not _cvc(stem)):
             w = stem
     # step 5b
-    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
+    if w.endswith("ll") and _measure(w[:-1]) > 1:
         w = w[:-1]
     return w
 

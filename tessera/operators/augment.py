@@ -7,6 +7,8 @@ input — no all-pairs expansion inside a group, however hot the key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,45 +22,49 @@ def symmetric_pairs(pairs: DataFrame, keys, a: str = "source", b: str = "target"
     return pairs.select(*keys, F.inline(both))
 
 
-def word_set_jaccard_at_least(a: Column, b: Column, num: int, den: int) -> Column:
-    """|A & B| / |A | B| >= num/den on lower-cased word sets, in integers."""
-    sa, sb = F.array_distinct(tx.lower_ws_tokens(a)), F.array_distinct(tx.lower_ws_tokens(b))
-    inter = F.size(F.array_intersect(sa, sb))
-    union = F.size(sa) + F.size(sb) - inter
-    return (inter * den >= union * num) & (union > 0)
+def star_pairs(df: DataFrame, id_col: str, key: Column, columns: Sequence[str]) -> DataFrame:
+    """(id1 = group representative, id2 = member, ``{c}_1`` and ``{c}_2`` of
+    each of ``columns``) for every other member of each key group.  What is
+    derived from a text (its words, its sentences) is best a column of ``df``,
+    so that it is computed once for a representative too."""
+    keyed = df.select(id_col, *columns, key.alias("_k")).where(F.col("_k").isNotNull())
+    reps = keyed.groupBy("_k").agg(F.min(id_col).alias("id1"))
+    own = keyed.select(F.col(id_col).alias("id1"), *[F.col(c).alias(f"{c}_1") for c in columns])
+    return (keyed.join(reps, "_k").where(F.col(id_col) != F.col("id1")).join(own, "id1")
+                 .select("id1", F.col(id_col).alias("id2"), *[F.col(f"{c}_1") for c in columns],
+                         *[F.col(c).alias(f"{c}_2") for c in columns]))
 
 
-def star_pairs(df: DataFrame, id_col: str, key: Column, text: str = "text") -> DataFrame:
-    """(id1 = group representative, id2 = member, q1, q2) for every non-
-    representative member of each key group."""
-    keyed = df.select(id_col, text, key.alias("_k")).where(F.col("_k").isNotNull())
-    reps = keyed.groupBy("_k").agg(F.min(id_col).alias("id1"))
-    rep_text = keyed.select(F.col(id_col).alias("id1"), F.col(text).alias("q1"))
-    return (keyed.join(reps, "_k").where(F.col(id_col) != F.col("id1"))
-                 .join(rep_text, "id1")
-                 .select("id1", F.col(id_col).alias("id2"), "q1", F.col(text).alias("q2")))
+def jaccard_at_least(a: Column, b: Column, num: int, den: int) -> Column:
+    """|A & B| / |A | B| >= num/den of two arrays of distinct words, in integers."""
+    inter = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - inter
+    return (inter * den >= union * num) & (union > 0)
 
 
 def with_sentence_stats(pairs: DataFrame, q1: str = "q1", q2: str = "q2") -> DataFrame:
-    return (pairs.withColumn("num_sent_1", tx.sentence_count(q1))
-                 .withColumn("num_sent_2", tx.sentence_count(q2))
-                 .withColumn("sent_diff", F.abs(F.col("num_sent_1") - F.col("num_sent_2"))))
+    """Sentence counts of both sides (kept if they are there) and their difference."""
+    for name, q in (("num_sent_1", q1), ("num_sent_2", q2)):
+        if name not in pairs.columns:
+            pairs = pairs.withColumn(name, tx.sentence_count(q))
+    return pairs.withColumn("sent_diff", F.abs(F.col("num_sent_1") - F.col("num_sent_2")))
 
 
 def mine(pairs: DataFrame, min_diff: int = 1, q1: str = "q1", q2: str = "q2",
          dup: str = "is_duplicate", require_single: bool = True) -> DataFrame:
     """Duplicates whose sentence counts differ and where one side is a single
-    sentence, oriented longer -> shorter (ties keep q1 as source).  The cheap
-    duplicate filter runs before sentence splitting."""
+    sentence, oriented longer -> shorter (ties keep the first as source):
+    ``source`` and ``target`` where the texts are there, ``_swapped`` always."""
     s = with_sentence_stats(pairs.where(F.col(dup) == 1), q1, q2)
     s = s.where(F.col("sent_diff") >= min_diff)
     if require_single:
         s = s.where((F.col("num_sent_1") == 1) | (F.col("num_sent_2") == 1))
-    swap = F.col("num_sent_1") < F.col("num_sent_2")
-    return s.select("*",
-                    F.when(swap, F.col(q2)).otherwise(F.col(q1)).alias("source"),
-                    F.when(swap, F.col(q1)).otherwise(F.col(q2)).alias("target"),
-                    swap.alias("_swapped"))
+    s = s.withColumn("_swapped", F.col("num_sent_1") < F.col("num_sent_2"))
+    if q1 not in s.columns:
+        return s
+    swap = F.col("_swapped")
+    return s.select("*", F.when(swap, F.col(q2)).otherwise(F.col(q1)).alias("source"),
+                    F.when(swap, F.col(q1)).otherwise(F.col(q2)).alias("target"))
 
 
 def funnel_counts(pairs: DataFrame, q1: str = "q1", q2: str = "q2", dup: str = "is_duplicate") -> DataFrame:

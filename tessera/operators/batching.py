@@ -2,21 +2,20 @@
 padding accounting and greedy packing (W8-W13 A15 F8 P15-P17 T8 C18).
 
 Order-dependent numbering uses the range-partitioned global index.  The two
-greedy, inherently sequential operators (token-budget batches, packing) run
-per contiguous shard of bounded size inside ``applyInPandas``; a batch or
-pack never spans a shard edge (documented trade-off for parallelism).
+greedy operators (token-budget batches, packing) know for each row where a
+batch or pack that starts there ends; the starts are the chain from the first
+row, followed shard by shard (``chain_starts``), exact for any shard size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import global_index, rank_within
+from tessera.operators.ordering import global_index, rank_within, running_sums
 from tessera.operators.splits import seeded_hash
+from tessera.session import cut_lineage
 
 
 def length_batches(df: DataFrame, id_col: str, length: str, bs: int) -> DataFrame:
@@ -37,12 +36,11 @@ def sortish_batches(df: DataFrame, id_col: str, length: str, bs: int, seed: int
     rows = ranked.withColumn("batch_id", F.floor((F.col("_chunk") * chunk + F.col("_rn")) / bs).cast("long")) \
                  .drop("_h", "_p", "_chunk", "_rn")
     batches = rows.groupBy("batch_id").agg(F.max(length).alias("_mx"))
-    leader = batches.agg(F.max_by("batch_id", F.struct(F.col("_mx"), -F.col("batch_id"))).alias("b")).first()["b"]
-    others = batches.where(F.col("batch_id") != leader).withColumn("_bh", seeded_hash("batch_id", seed + 1))
-    order = global_index(others, ["_bh", "batch_id"], "_bp").select(
-        "batch_id", (F.col("_bp") + 1).alias("batch_pos"))
-    lead = batches.where(F.col("batch_id") == leader).select("batch_id", F.lit(0).cast("long").alias("batch_pos"))
-    return rows.join(order.unionByName(lead), "batch_id")
+    first = batches.agg(F.max_by("batch_id", F.struct(F.col("_mx"), -F.col("batch_id"))).alias("_lead"))
+    marked = batches.crossJoin(F.broadcast(first)).select(  # one row
+        "batch_id", F.when(F.col("batch_id") == F.col("_lead"), F.lit(-1)).otherwise(seeded_hash("batch_id", seed + 1)).alias("_bh"))
+    order = global_index(marked, ["_bh", "batch_id"], "batch_pos").drop("_bh")
+    return rows.join(order, "batch_id")
 
 
 def padding_waste(batched: DataFrame, batch: str, length: str) -> DataFrame:
@@ -55,7 +53,7 @@ def round_robin_shards(df: DataFrame, id_col: str, replicas: int, pad: bool = Tr
     """Row i goes to shard i mod R; with ``pad`` the first rows are repeated
     so every shard has ceil(n/R) rows (``is_padding`` marks the repeats)."""
     idx = global_index(df, [id_col], "_o")
-    n = df.count()  # scalar
+    n = idx.count()  # scalar
     base = idx.select("*", (F.col("_o") % replicas).cast("long").alias("shard"),
                       F.lit(0).cast("long").alias("is_padding"))
     if not pad:
@@ -83,100 +81,130 @@ def shift_right(tokens: Column, start: str) -> Column:
     return F.concat(F.array(F.lit(start)), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))))
 
 
-def trim_width(batched: DataFrame, batch: str, tokens: str, pad: str) -> DataFrame:
-    """Columns kept after dropping all-pad columns: the last position that is
-    not padding in any row of the batch."""
-    last = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), F.lit(0),
-                       lambda acc, i: F.when(F.element_at(F.col(tokens), i) != F.lit(pad), i).otherwise(acc))
-    return batched.groupBy(batch).agg(F.max(F.when(F.size(tokens) > 0, last).otherwise(0)).cast("long").alias("width"),
-                                      F.count(F.lit(1)).alias("n_rows"))
-
-
-# --------------------------- greedy per-shard work ---------------------------
-
-def budget_batches_local(lengths: list[int], max_tokens: int, multiple: int) -> list[list[int]]:
-    """Greedy batches over rows already sorted longest first: a batch is full
-    when (rows + 1) x longest > budget; then it is cut to a multiple of
-    ``multiple`` rows (or kept whole below it) and the rest carries over."""
-    batches, batch, lens = [], [], []
-    longest = 0
-    for i, ln in enumerate(lengths):
-        lens.append(ln)
-        longest = max(longest, ln)
-        if batch and (len(batch) + 1) * longest > max_tokens:
-            keep = max(multiple * (len(batch) // multiple), len(batch) % multiple)
-            batches.append(batch[:keep])
-            batch, lens = batch[keep:], lens[keep:]
-            longest = max(lens) if lens else 0
-        batch.append(i)
-    if batch:
-        batches.append(batch)
-    return batches
+def trim_batch(batched: DataFrame, batch: str, tokens: str, pad: str) -> DataFrame:
+    """Rows without the columns in which every row of their batch has ``pad``
+    (interior ones too): ``tokens`` is cut, ``width`` is what is left.  A
+    batch's kept columns are at most its token width."""
+    used = F.filter(F.transform(tokens, lambda t, i: F.when(t != F.lit(pad), i)), lambda i: i.isNotNull())
+    kept = batched.select(batch, F.explode(used).alias("_c")).groupBy(batch).agg(F.sort_array(F.collect_set("_c")).alias("_kept"))
+    rows = batched.join(kept, batch, "left").withColumn("_kept", F.coalesce("_kept", F.array().cast("array<int>")))
+    cut = F.transform("_kept", lambda i: F.coalesce(F.get(F.col(tokens), i), F.lit(pad)))
+    return rows.withColumn(tokens, cut).withColumn("width", F.size("_kept").cast("long")).drop("_kept")
 
 
-def token_budget_batches(df: DataFrame, id_col: str, length: str, max_tokens: int = 1024,
-                         multiple: int = 64, shard_rows: int = 65536, seed: int = 42) -> DataFrame:
-    """(id, batch_id, batch_pos): costliest batch (longest x rows) first, the
-    rest in seeded order."""
-    idx = global_index(df.select(id_col, length), [F.col(length).desc(), F.col(id_col)], "_o")
-    idx = idx.withColumn("_shard", F.floor(F.col("_o") / shard_rows).cast("long"))
+# ------------------------------- greedy cuts --------------------------------
+
+def chain_starts(rows: DataFrame, n: int, shard_rows: int = 65536) -> DataFrame:
+    """Positions reached from 0 by following ``_next`` (> ``_o``), as ``_o``.
 
-    def per_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    ``rows`` has ``_o`` = 0..n-1 and ``_next``.  Each shard of consecutive
+    positions works out, for every position, where a chain that passes it
+    leaves the shard.  Chains that enter a shard at different positions soon
+    meet, so the distinct exits are a few per shard; only their own exits come
+    to the driver, which follows one step per shard.  Each shard then replays
+    its part from its true entry.  The result doesn't depend on the shards.
+    """
+    sharded = rows.select("_o", "_next", F.floor(F.col("_o") / shard_rows).cast("long").alias("_shard"))
+
+    def leaving(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_o")
+        first, size = int(pdf["_o"].iloc[0]), len(pdf)
+        out = pdf["_next"].tolist()
+        for i in range(size - 1, -1, -1):
+            if out[i] - first < size:
+                out[i] = out[out[i] - first]
+        return pd.DataFrame({"_o": pdf["_o"].to_numpy(), "_exit": out})
+
+    exits = cut_lineage(sharded.groupBy("_shard").applyInPandas(leaving, "_o long, _exit long"))
+    met = exits.select(F.col("_exit").alias("_o")).distinct().join(exits, "_o").unionByName(exits.where(F.col("_o") == 0))
+    step = {r["_o"]: r["_exit"] for r in met.toLocalIterator()}
+    entries, at = [], 0
+    while at < n:
+        entries.append((at // shard_rows, at))
+        at = step[at]
+    entry = rows.sparkSession.createDataFrame(entries, "_shard long, _entry long")
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o")
-        shard = int(pdf["_shard"].iloc[0])
-        out_b = [0] * len(pdf)
-        for b, members in enumerate(budget_batches_local(pdf[length].astype(int).tolist(), max_tokens, multiple)):
-            for m in members:
-                out_b[m] = shard * (shard_rows + 1) + b
-        return pd.DataFrame({id_col: pdf[id_col].values, length: pdf[length].values, "batch_id": out_b})
-
-    schema = f"{id_col} long, {length} long, batch_id long"
-    rows = idx.groupBy("_shard").applyInPandas(per_shard, schema)
+        first, nxt, out = int(pdf["_o"].iloc[0]), pdf["_next"].tolist(), []
+        i = int(pdf["_entry"].iloc[0]) - first
+        while i < len(nxt):
+            out.append(first + i)
+            i = nxt[i] - first
+        return pd.DataFrame({"_o": out}, dtype="int64")
+
+    return sharded.join(entry, "_shard").groupBy("_shard").applyInPandas(replay, "_o long")
+
+
+def _numbered(rows: DataFrame, starts: DataFrame, name: str) -> DataFrame:
+    """Rows with the number of the start at or before their position."""
+    ids = global_index(starts, ["_o"], name)
+    spans = rows.join(ids, "_o").select(name, F.explode(F.sequence(F.col("_o"), F.col("_next") - 1)).alias("_o"))
+    return rows.join(spans, "_o")
+
+
+def token_budget_batches(df: DataFrame, id_col: str, length: str, max_tokens: int = 1024,
+                         multiple: int = 64, shard_rows: int = 65536, seed: int = 42) -> DataFrame:
+    """(id, length, batch_id, batch_pos): rows longest first; a batch takes as
+    many rows as fit the budget at the length of its first one (at least one),
+    cut down to a multiple of ``multiple`` rows where there are that many; the
+    costliest batch (longest x rows) goes first, the rest in seeded order."""
+    rows = cut_lineage(global_index(df.select(id_col, F.col(length).cast("long").alias(length)), [F.col(length).desc(), F.col(id_col)], "_o"))
+    n = rows.count()
+    fits = F.greatest(F.floor(F.lit(max_tokens) / F.greatest(F.col(length), F.lit(1))), F.lit(1))
+    whole = F.greatest(F.floor(fits / multiple) * multiple, fits % multiple)
+    rows = rows.withColumn("_next", F.when(F.col("_o") + fits >= n, F.lit(n)).otherwise(F.col("_o") + whole).cast("long"))
+    rows = _numbered(rows, chain_starts(rows, n, shard_rows), "batch_id").select(id_col, length, "batch_id")
+    rows = cut_lineage(rows)
     cost = rows.groupBy("batch_id").agg((F.max(length) * F.count(F.lit(1))).alias("_cost"))
-    first = cost.agg(F.max_by("batch_id", F.struct(F.col("_cost"), -F.col("batch_id"))).alias("b")).first()["b"]
-    others = cost.where(F.col("batch_id") != first).withColumn("_bh", seeded_hash("batch_id", seed))
-    order = global_index(others, ["_bh", "batch_id"], "_bp").select("batch_id", (F.col("_bp") + 1).alias("batch_pos"))
-    lead = cost.where(F.col("batch_id") == first).select("batch_id", F.lit(0).cast("long").alias("batch_pos"))
-    return rows.join(order.unionByName(lead), "batch_id")
-
-
-def pack_local(src_lens: list[int], tgt_lens: list[int], max_tokens: int,
-               joined_len: Callable[[int, int], int] | None = None) -> list[list[int]]:
-    """Greedy packing of consecutive pairs: extend the current pack unless the
-    joined source or target would exceed the budget; an oversize pair stays
-    alone.  ``joined_len`` defaults to additive (whitespace tokens)."""
-    join = joined_len or (lambda a, b: a + b)
-    packs, cur = [], [0] if src_lens else []
-    cs, ct = (src_lens[0], tgt_lens[0]) if src_lens else (0, 0)
-    for i in range(1, len(src_lens)):
-        ns, nt = join(cs, src_lens[i]), join(ct, tgt_lens[i])
-        if ns > max_tokens or nt > max_tokens:
-            packs.append(cur)
-            cur, cs, ct = [i], src_lens[i], tgt_lens[i]
-        else:
-            cur.append(i)
-            cs, ct = ns, nt
-    if cur:
-        packs.append(cur)
-    return packs
+    first = cost.agg(F.max_by("batch_id", F.struct(F.col("_cost"), -F.col("batch_id"))).alias("_lead"))
+    marked = cost.crossJoin(F.broadcast(first)).select(  # one row
+        "batch_id", F.when(F.col("batch_id") == F.col("_lead"), F.lit(-1)).otherwise(seeded_hash("batch_id", seed)).alias("_bh"))
+    order = global_index(marked, ["_bh", "batch_id"], "batch_pos").drop("_bh")
+    return rows.join(order, "batch_id")
+
+
+def pack_rows(pairs: DataFrame, order, src_len: str, tgt_len: str, max_tokens: int = 1024,
+              shard_rows: int = 65536) -> DataFrame:
+    """``pairs`` with pack_id and pack_pos: consecutive pairs share a pack
+    while the source lengths and the target lengths each add up to the budget
+    at most; a pair beyond the budget is alone.
+
+    Where the pack that starts at a row ends is a rank among prefix sums: the
+    number of rows whose sum is at most the row's own start plus the budget.
+    """
+    rows = global_index(pairs.withColumn("_sl", F.col(src_len).cast("long")).withColumn("_tl", F.col(tgt_len).cast("long")), order, "_o")
+    rows = cut_lineage(rows)
+    n = rows.count()
+    ends = rows.select("_o")
+    for c in ("_sl", "_tl"):
+        sums = cut_lineage(running_sums(rows.select("_o", c), ["_o"], [c]).select("_o", F.col(c + "_cum").cast("long").alias("_to"), (F.col(c + "_cum") - F.col(c)).cast("long").alias("_from")))
+        # rows' sums and packs' limits in one order; a limit lies after the sums equal to it
+        both = sums.select(F.col("_to").alias("_v"), F.lit(0).alias("_limit"), F.col("_o").alias("_r"), F.lit(1).cast("long").alias("_row")).unionByName(
+            sums.select((F.col("_from") + max_tokens).alias("_v"), F.lit(1).alias("_limit"), F.col("_o").alias("_r"), F.lit(0).cast("long").alias("_row")))
+        ranked = running_sums(both, ["_v", "_limit", "_r"], ["_row"])
+        ends = ends.join(ranked.where(F.col("_limit") == 1).select(F.col("_r").alias("_o"), F.col("_row_cum").cast("long").alias(f"_end{c}")), "_o")
+    nxt = cut_lineage(ends.select("_o", F.greatest(F.col("_o") + 1, F.least("_end_sl", "_end_tl")).cast("long").alias("_next")))
+    packs = global_index(chain_starts(nxt, n, shard_rows), ["_o"], "pack_id")
+    spans = nxt.join(packs, "_o").select("pack_id", F.posexplode(F.sequence(F.col("_o"), F.col("_next") - 1)).alias("pack_pos", "_o"))
+    return rows.join(spans, "_o").drop("_sl", "_tl")
 
 
 def pack_pairs(pairs: DataFrame, order, src_len: str, tgt_len: str, max_tokens: int = 1024,
                shard_rows: int = 65536) -> DataFrame:
     """One row per pack: pack_id, first_ord, n_pairs, src_tokens, tgt_tokens."""
-    idx = global_index(pairs.select(*[c for c in pairs.columns]), order, "_o")
-    idx = idx.select("_o", F.col(src_len).cast("long").alias("_sl"), F.col(tgt_len).cast("long").alias("_tl"),
-                     F.floor(F.col("_o") / shard_rows).cast("long").alias("_shard"))
-
-    def per_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        shard = int(pdf["_shard"].iloc[0])
-        sl, tl, o = pdf["_sl"].tolist(), pdf["_tl"].tolist(), pdf["_o"].tolist()
-        rows = []
-        for p, members in enumerate(pack_local(sl, tl, max_tokens)):
-            rows.append((shard * (shard_rows + 1) + p, o[members[0]], len(members),
-                         sum(sl[m] for m in members), sum(tl[m] for m in members)))
-        return pd.DataFrame(rows, columns=["pack_id", "first_ord", "n_pairs", "src_tokens", "tgt_tokens"])
-
-    schema = "pack_id long, first_ord long, n_pairs long, src_tokens long, tgt_tokens long"
-    return idx.groupBy("_shard").applyInPandas(per_shard, schema)
+    return pack_rows(pairs, order, src_len, tgt_len, max_tokens, shard_rows).groupBy("pack_id").agg(
+        F.min("_o").alias("first_ord"), F.count(F.lit(1)).alias("n_pairs"),
+        F.sum(src_len).cast("long").alias("src_tokens"), F.sum(tgt_len).cast("long").alias("tgt_tokens"))
+
+
+def packed_texts(pairs: DataFrame, order, src_len: str, tgt_len: str, max_tokens: int = 1024, source: str = "source",
+                 target: str = "target", shard_rows: int = 65536) -> DataFrame:
+    """One row per pack: pack_id, n_pairs and the sources and targets of its
+    pairs, each joined by a blank (bounded by the budget, or one pair)."""
+    rows = pack_rows(pairs, order, src_len, tgt_len, max_tokens, shard_rows)
+    members = F.sort_array(F.collect_list(F.struct("pack_pos", F.col(source).alias("s"), F.col(target).alias("t"))))
+    rows = rows.groupBy("pack_id").agg(members.alias("_m"))
+    return rows.select("pack_id", F.size("_m").cast("long").alias("n_pairs"),
+                       F.array_join(F.transform("_m", lambda m: m["s"]), " ").alias(source),
+                       F.array_join(F.transform("_m", lambda m: m["t"]), " ").alias(target))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rouge as rg
+from tessera.functions.arrays import once
 from tessera.operators.ordering import global_index
 from tessera.session import cut_lineage
 
@@ -47,25 +48,18 @@ def attach_gold(cands: DataFrame, gold: DataFrame, key: str = "sample_id",
 
 
 def score_candidates(cands: DataFrame, metric: str = "rouge2", pred: str = "text",
-                     ref: str = "gold", stem: bool = False, name: str = "score") -> DataFrame:
-    """Add ``name`` = metric F1 x 100 rounded to 4 digits, as the reference reports."""
-    if metric == "rougeLsum":
-        s = rg.rouge_lsum(F.col(pred), F.col(ref), stem)
-    else:
-        pt, rt = rg.rouge_tokens(pred, stem), rg.rouge_tokens(ref, stem)
-        if metric == "rougeL":
-            s = rg.rouge_l(pt, rt)
-        elif metric in ("rouge1", "rouge2", "rouge3", "rouge4"):
-            s = rg.rouge_n(pt, rt, int(metric[-1]))
-        else:
-            raise ValueError(f"unknown metric {metric}")
-    return cands.withColumn(name, rg.score100(s["f"]))
+                     ref: str = "gold", stem: bool = True, name: str = "score") -> DataFrame:
+    """Add ``name`` = metric F1 x 100 rounded to 4 digits, as the reference
+    reports; stemmed like its scores unless ``stem`` is off."""
+    rows = rg.scored(cands, pred, ref, (metric,), stem)
+    return rows.select(*cands.columns, once(**{name: rg.score100(F.col(metric)["f"])}))
 
 
 def pick_best(scored: DataFrame, key: str = "sample_id", score: str = "score",
               rank: str = "cand_rank", payload: Sequence[str] = ("text",)) -> DataFrame:
     """Argmax per key, earliest rank wins ties.  Scores <= -1 or NaN are never
-    chosen (their key disappears), as with a running ``>`` from -1."""
+    chosen (their key disappears), as with a running ``>`` from -1.  The
+    aggregate holds numbers only unless there is text in the payload."""
     valid = scored.where((F.col(score) > -1) & ~F.isnan(F.col(score)))
     best = F.max_by(F.struct(F.col(rank), *[F.col(c) for c in payload], F.col(score)),
                     F.struct(F.col(score), -F.col(rank)))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import global_index
 from tessera.session import cut_lineage
 
 
@@ -141,9 +142,13 @@ def blind_mentions(texts: DataFrame, mentions: DataFrame, key: str = "doc_id", t
 
 
 def cluster_sections(components: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Text export rows: "Cluster i" header, members, blank line (K7)."""
-    j = components.join(texts, key).groupBy("cluster").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(key), F.col(text)))).alias("_m"))
-    return j.select("cluster", F.concat(F.lit("Cluster "), F.col("cluster").cast("string"), F.lit("\n"),
-                                        F.array_join(F.transform("_m", lambda s: s[text]), "\n"),
-                                        F.lit("\n")).alias("section"))
+    """The lines of a text export as rows (cluster_no from 1, kind, key, line):
+    a header "Cluster n", the members in key order, a blank line.  Sorted by
+    (cluster_no, kind, key) they are the file; no cluster is held in one row."""
+    numbers = global_index(components.select("cluster").distinct(), ["cluster"], "_n")
+    numbers = numbers.select("cluster", (F.col("_n") + 1).alias("cluster_no"))
+    ends = F.array(F.struct(F.lit(0).alias("kind"), F.concat(F.lit("Cluster "), F.col("cluster_no").cast("string")).alias("line")),
+                   F.struct(F.lit(2).alias("kind"), F.lit("").alias("line")))
+    frame = numbers.select("cluster_no", F.inline(ends)).select("cluster_no", "kind", F.lit(None).cast(components.schema[key].dataType).alias(key), "line")
+    members = components.join(numbers, "cluster").join(texts.select(key, F.col(text).alias("line")), key)
+    return frame.unionByName(members.select("cluster_no", F.lit(1).alias("kind"), key, "line"))

@@ -17,13 +17,17 @@ from tessera.operators.ordering import running_sums
 R = 6
 
 
-def lexical_score(source, candidate) -> Column:
-    """Default pair scorer: share of the source's distinct words that the
-    candidate covers (lower-cased whitespace tokens), rounded to 6."""
-    s = F.array_distinct(tx.lower_ws_tokens(source))
+def lexical_share(source_words: Column, candidate) -> Column:
+    """Share of the source's distinct words (lower-cased whitespace tokens)
+    that the candidate covers, rounded to 6; 0 without words."""
     c = F.array_distinct(tx.lower_ws_tokens(candidate))
-    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(c, s)).cast("double"),
-                                           F.size(s).cast("double")), F.lit(0.0)), R)
+    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(c, source_words)).cast("double"),
+                                           F.size(source_words).cast("double")), F.lit(0.0)), R)
+
+
+def lexical_score(source, candidate) -> Column:
+    """Default pair scorer: ``lexical_share`` of a source text."""
+    return lexical_share(F.array_distinct(tx.lower_ws_tokens(source)), candidate)
 
 
 def rerank(examples: DataFrame, key: str = "sample_id", score: str = "score",
@@ -32,19 +36,22 @@ def rerank(examples: DataFrame, key: str = "sample_id", score: str = "score",
 
 
 def evaluate_scorer(examples: DataFrame, key: str = "sample_id", score: str = "score",
-                    label: str = "label", rank: str = "cand_rank") -> DataFrame:
+                    label: str = "label", rank: str = "cand_rank", chosen: dict[str, str] | None = None) -> DataFrame:
     """n ids, ids where the top-scored candidate has the best label (> 0),
-    and the MSE of scores against labels over all candidates."""
-    chosen = pick_best(examples, key, score, rank, payload=[label]).select(
-        key, F.col(label).alias("_chosen"))
+    the MSE of scores against labels over all candidates, and the mean over
+    the chosen candidates of the columns named in ``chosen`` (e.g. ROUGE)."""
+    more = dict(chosen or {})
+    picked = pick_best(examples, key, score, rank, payload=[label, *more]).select(
+        key, F.col(label).alias("_chosen"), *[F.col(c).alias(f"_{c}") for c in more])
     best = examples.groupBy(key).agg(F.max(label).alias("_best"),
                                      F.sum(F.pow(F.col(score) - F.col(label), 2)).alias("_se"),
                                      F.count(F.lit(1)).alias("_n"))
-    j = best.join(chosen, key, "left")
+    j = best.join(picked, key, "left")
     return j.agg(
         F.count(F.lit(1)).alias("n_ids"),
         F.count_if((F.col("_chosen") == F.col("_best")) & (F.col("_best") > 0)).alias("num_best_target"),
-        F.round(F.sum("_se") / F.sum("_n"), R).alias("mse"))
+        F.round(F.sum("_se") / F.sum("_n"), R).alias("mse"),
+        *[F.round(F.avg(f"_{c}"), 4).alias(name) for c, name in more.items()])
 
 
 def threshold_metrics(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

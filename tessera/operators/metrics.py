@@ -3,73 +3,84 @@ corpus BLEU (B4, B5, B9, A12)."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import bleu as bl
 from tessera.functions import rouge as rg
+from tessera.operators.splits import seeded_hash
 
 
-def rouge_columns(pred: str, ref: str, keys: Sequence[str] = ("rouge1", "rouge2", "rougeL"),
-                  stem: bool = False) -> list:
-    pt, rt = rg.rouge_tokens(pred, stem), rg.rouge_tokens(ref, stem)
-    cols = []
-    for k in keys:
-        if k == "rougeL":
-            s = rg.rouge_l(pt, rt)
-        elif k == "rougeLsum":
-            s = rg.rouge_lsum(F.col(pred), F.col(ref), stem)
-        else:
-            s = rg.rouge_n(pt, rt, int(k[-1]))
-        cols.append(s["f"].alias(k))
-    return cols
+def raw_rouge(pairs: DataFrame, pred: str = "pred", ref: str = "ref", carried: Sequence[str] = (),
+              keys: Sequence[str] = ("rouge1", "rouge2", "rougeL"), stem: bool = True) -> DataFrame:
+    """The scores of every row: (p, r, f) structs named by metric."""
+    return rg.scored(pairs, pred, ref, keys, stem, carried)
 
 
 def corpus_rouge(pairs: DataFrame, pred: str = "pred", ref: str = "ref",
-                 keys: Sequence[str] = ("rouge1", "rouge2", "rougeL"), stem: bool = False) -> DataFrame:
-    """Deterministic aggregation: mean F1 x 100 rounded to 4, long form."""
-    scored = pairs.select(*rouge_columns(pred, ref, keys, stem))
-    agg = scored.agg(*[F.round(F.avg(k) * 100.0, 4).alias(k) for k in keys])
-    return agg.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"))
-                                         for k in keys])))
-
-
-def poisson1(u):
-    """Inverse CDF of Poisson(1) on a uniform u in [0, 1)."""
-    import math
-    cdf, term, k = 0.0, math.exp(-1.0), 0
-    expr = None
-    bounds = []
-    while k < 12:
-        cdf += term
-        bounds.append(cdf)
-        k += 1
+                 keys: Sequence[str] = ("rouge1", "rouge2", "rougeL"), stem: bool = True,
+                 triple: bool = False) -> DataFrame:
+    """Deterministic aggregation: mean F1 x 100 rounded to 4, long form; with
+    ``triple`` the means of precision and recall beside it."""
+    parts = (("p", "precision"), ("r", "recall"), ("f", "value")) if triple else (("f", "value"),)
+    means = rg.scored(pairs, pred, ref, keys, stem, ()).agg(*[
+        F.struct(F.lit(k).alias("metric"), *[F.round(F.avg(F.col(k)[x]) * 100.0, 4).alias(n) for x, n in parts]).alias(k) for k in keys])
+    return means.select(F.inline(F.array(*keys)))
+
+
+#: Hashes are mixed for each replicate modulo this prime.
+PRIME = 2**31 - 1
+
+
+def _poisson_bounds(n: int = 12) -> tuple[float, ...]:
+    """The first ``n`` values of the distribution function of Poisson(1)."""
+    out, total, term = [], 0.0, math.exp(-1.0)
+    for k in range(1, n + 1):
+        total += term
+        out.append(total)
         term /= k
-    expr = F.lit(12)
-    for i in range(len(bounds) - 1, -1, -1):
-        expr = F.when(u < F.lit(bounds[i]), F.lit(i)).otherwise(expr)
-    return expr
+    return tuple(out)
+
+
+POISSON = _poisson_bounds()
 
 
 def bootstrap_rouge(pairs: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
                     keys: Sequence[str] = ("rouge1", "rouge2", "rougeL"), replicates: int = 1000,
-                    seed: int = 42, stem: bool = False) -> DataFrame:
-    """Poisson bootstrap: each row gets a Poisson(1) weight per replicate from
-    a seeded hash; replicate means are partial aggregates (B rows per task),
-    and low/mid/high are the 2.5/50/97.5 percentiles of those B means."""
-    scored = pairs.select(key, *rouge_columns(pred, ref, keys, stem))
-    rep = scored.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col("b"), F.col(key))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    w = poisson1(u)
-    rep = rep.withColumn("w", w.cast("double"))
-    means = rep.groupBy("b").agg(*[(F.sum(F.col(k) * F.col("w")) / F.sum("w")).alias(k) for k in keys])
-    out = []
-    for k in keys:
-        q = F.percentile(F.col(k), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-        out.append(q.alias(k))
-    agg = means.agg(*out)
+                    seed: int = 42, stem: bool = True) -> DataFrame:
+    """Poisson bootstrap: each row has a Poisson(1) weight in each replicate,
+    from one hash of its key and a seeded mix per replicate.  A task sums its
+    rows for all replicates at once and passes on one row each; low, mid and
+    high are the 2.5, 50 and 97.5 percentiles of the replicates' means."""
+    def mixed(tag: str, i: int) -> int:
+        return int(hashlib.md5(f"{seed}:{tag}{i}".encode()).hexdigest()[:15], 16)
+
+    a = np.array([1 + mixed("a", i) % (PRIME - 1) for i in range(1, replicates + 1)], np.int64)
+    c = np.array([mixed("c", i) % PRIME for i in range(1, replicates + 1)], np.int64)
+    names = list(keys)
+
+    def sums(batches):
+        total = np.zeros((replicates, len(names) + 1))
+        for pdf in batches:
+            for at in range(0, len(pdf), 2048):
+                part = pdf.iloc[at:at + 2048]
+                u = (part["_h"].to_numpy(np.int64)[:, None] * a + c) % PRIME / PRIME
+                w = np.searchsorted(POISSON, u, side="right").astype(np.float64)
+                total[:, 0] += w.sum(axis=0)
+                total[:, 1:] += w.T @ part[names].to_numpy(np.float64)
+        yield pd.DataFrame({"b": np.arange(replicates), "w": total[:, 0], **{k: total[:, i + 1] for i, k in enumerate(names)}})
+
+    scored = rg.scored(pairs, pred, ref, keys, stem, (key,)).select(
+        (seeded_hash(key, seed) % F.lit(PRIME)).alias("_h"), *[F.col(k)["f"].alias(k) for k in keys])
+    parts = scored.mapInPandas(sums, "b long, w double, " + ", ".join(f"{k} double" for k in keys))
+    means = parts.groupBy("b").agg(*[(F.sum(k) / F.sum("w")).alias(k) for k in keys])
+    agg = means.agg(*[F.percentile(F.col(k), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias(k) for k in keys])
     return agg.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("metric"),
                  F.round(F.col(k)[0] * 100, 4).alias("low"),
@@ -92,3 +103,20 @@ def mean_length(df: DataFrame, tokens_col: str, pad: str | None = None, digits:
     size = F.size(F.filter(F.col(tokens_col), lambda t: t != F.lit(pad))) if pad is not None \
         else F.size(F.col(tokens_col))
     return df.agg(F.round(F.avg(size), digits).alias("gen_len"))
+
+
+def corpus_score(pairs: DataFrame, metric: str, pred: str = "pred", ref: str = "ref", **options) -> DataFrame:
+    """Scoring by name: ``rouge`` (all of them), ``bleu``, or one ROUGE metric."""
+    if metric == "bleu":
+        return corpus_bleu(pairs, pred, ref, **options)
+    if metric == "rouge":
+        return corpus_rouge(pairs, pred, ref, **options)
+    return corpus_rouge(pairs, pred, ref, (metric,), **options)
+
+
+def run_result(scores: DataFrame, n_rows: int, seconds: float) -> DataFrame:
+    """Long-form scores with the run's rows, seconds and seconds per row."""
+    extra = scores.sparkSession.createDataFrame(
+        [("n_obs", float(n_rows)), ("runtime", round(seconds, 4)), ("seconds_per_sample", round(seconds / max(n_rows, 1), 4))],
+        "metric string, value double")
+    return scores.select("metric", F.col("value").cast("double").alias("value")).unionByName(extra)

@@ -14,25 +14,27 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ordering import global_index
 from tessera.operators.splits import seeded_hash
+from tessera.session import cut_lineage
 
 
 def sample_negatives(examples: DataFrame, key: str, target: str, k: int,
                      seed: int = 42) -> DataFrame:
     """(key, j, neg_key, neg_target) — negatives equal to the row's own
-    target text are dropped (text comparison, as in the reference)."""
-    pool = global_index(examples.select(F.col(key).alias("neg_key"), F.col(target).alias("neg_target")),
-                        ["neg_key"], "pos")
-    n = examples.count()  # scalar
+    target text are dropped (text comparison, as in the reference).
+
+    Only keys are indexed; the drawn rows' texts come by a join on the key.
+    """
+    texts = examples.select(F.col(key).alias("neg_key"), F.col(target).alias("neg_target"))
+    pool = cut_lineage(global_index(examples.select(F.col(key).alias("neg_key")), ["neg_key"], "pos"))
+    n = pool.count()  # scalar
     if k > n:
         raise ValueError(f"cannot draw {k} negatives from a pool of {n}")
-    step = F.lit(1) + seeded_hash(key, seed + 1) % F.lit(n // k)
-    a = seeded_hash(key, seed) % F.lit(n)
-    draws = examples.select(key, target, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"),
-                            a.alias("_a"), step.alias("_s"))
-    draws = draws.withColumn("pos", ((F.col("_a") + F.col("j") * F.col("_s")) % F.lit(n)).cast("long"))
-    return (draws.join(pool, "pos")
-                 .where(F.col("neg_target") != F.col(target))
-                 .select(key, F.col("j").cast("long").alias("j"), "neg_key", "neg_target"))
+    step = F.lit(1) + seeded_hash("neg_key", seed + 1) % F.lit(n // k)
+    a = seeded_hash("neg_key", seed) % F.lit(n)
+    draws = pool.select(F.col("neg_key").alias(key), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"), a.alias("_a"), step.alias("_s"))
+    draws = draws.select(key, "j", ((F.col("_a") + F.col("j") * F.col("_s")) % F.lit(n)).cast("long").alias("pos"))
+    drawn = draws.join(pool, "pos").join(texts, "neg_key").join(examples.select(key, F.col(target).alias("_own")), key)
+    return drawn.where(F.col("neg_target") != F.col("_own")).select(key, F.col("j").cast("long").alias("j"), "neg_key", "neg_target")
 
 
 def labelled_examples(examples: DataFrame, key: str, source: str, target: str, k: int,
@@ -53,3 +55,13 @@ def labelled_examples(examples: DataFrame, key: str, source: str, target: str, k
                        F.col(source).alias("source"), F.col("neg_target").alias("candidate"),
                        lab.alias("label"))
     return pos.unionByName(negs)
+
+
+def split_examples(parts: dict[str, DataFrame], key: str, source: str, target: str, k: int, seed: int = 42, score_fn=None) -> DataFrame:
+    """``labelled_examples`` of each named part, negatives drawn inside it
+    (no gold text of one part becomes an example of another)."""
+    out = None
+    for name, rows in parts.items():
+        own = labelled_examples(rows, key, source, target, k, seed, score_fn).withColumn("part", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out

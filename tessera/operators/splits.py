@@ -80,6 +80,20 @@ def fold_train_sizes(folded: DataFrame, extension: DataFrame | None, k: int,
         (F.lit(total) - F.col("_nf") + F.lit(n_ext)).cast("long").alias("n_train"))
 
 
+def extended_fold(folded: DataFrame, extension: DataFrame, k: int, id_col: str, seed: int = 42,
+                  fold: str = "fold") -> DataFrame:
+    """(part, pos, id, extension) of fold ``k``: the train rows of all other
+    folds and the extension rows in one seeded shuffle, the rows of fold ``k``
+    as val and as test in order of their ids."""
+    base = folded.select(F.col(id_col).alias("id"), F.col(fold).alias("_f"), F.lit(False).alias("extension"))
+    more = extension.select(F.col(id_col).alias("id"), F.lit(True).alias("extension"))
+    train = base.where(F.col("_f") != k).drop("_f").unionByName(more)
+    train = train.withColumn("_h", seeded_hash(F.concat_ws("-", F.col("extension").cast("int"), "id"), seed))
+    train = global_index(train, ["_h", "extension", "id"], "pos").select(F.lit("train").alias("part"), "pos", "id", "extension")
+    held = global_index(base.where(F.col("_f") == k).drop("_f"), ["id"], "pos")
+    return train.unionByName(held.select(F.explode(F.array(F.lit("val"), F.lit("test"))).alias("part"), "pos", "id", "extension"))
+
+
 def shuffle_positions(df: DataFrame, id_col: str, seed: int = 42,
                       name: str = "shuffle_pos") -> DataFrame:
     """Seeded shuffle as an explicit position column (md5 order, id tie-break)."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.arrays import once
 from tessera.operators import augment as au
 from tessera.operators import splits
+from tessera.operators.cluster import blind_mentions as blind
 from tessera.plans import derived
 from tessera.plans import sqltext as sq
 from tessera.plans.catalog import register
@@ -21,16 +23,32 @@ def symmetric_pairs(spark, sf):
 
 
 def _dups(spark, sf):
-    docs = derived.documents(spark, sf)
-    pairs = au.star_pairs(docs, "doc_id", F.get(tx.non_empty_lines("text"), 0))
-    return pairs.withColumn("is_duplicate",
-                            au.word_set_jaccard_at_least(F.col("q1"), F.col("q2"), 1, 2).cast("long"))
-
-
-_DUP_SQL = f"""WITH fl AS (SELECT doc_id, text, ({sq.lines('text')})[1] AS k FROM documents),
+    """Pairs of documents that share their first line, and of each line with
+    itself and the next one (id2 < 0): duplicates of one and more sentences.
+    Words and sentences are taken once per document and per line."""
+    docs = derived.documents(spark, sf).select(
+        "doc_id", F.get(tx.non_empty_lines("text"), 0).alias("_first"),
+        F.array_distinct(tx.lower_ws_tokens("text")).alias("w"), tx.sentence_count("text").alias("n"))
+    stars = au.star_pairs(docs, "doc_id", F.col("_first"), ["w", "n"])
+    lines = derived.documents(spark, sf).select("doc_id", tx.non_empty_lines("text").alias("_l"))
+    two = F.transform("_l", lambda x, i: F.struct(x.alias("a"), F.get(F.col("_l"), i + 1).alias("b")))
+    lines = lines.select("doc_id", F.posexplode(F.filter(two, lambda p: p["b"].isNotNull())).alias("i", "p"))
+    both = F.concat_ws(" ", "p.a", "p.b")
+    runs = lines.select(
+        F.col("doc_id").alias("id1"), (-1 - F.col("i")).cast("long").alias("id2"),
+        F.array_distinct(tx.lower_ws_tokens(F.col("p.a"))).alias("w_1"), F.array_distinct(tx.lower_ws_tokens(both)).alias("w_2"),
+        tx.sentence_count(F.col("p.a")).alias("n_1"), tx.sentence_count(both).alias("n_2"))
+    pairs = stars.select("id1", "id2", "w_1", "w_2", "n_1", "n_2").unionByName(runs)
+    dup = au.jaccard_at_least(F.col("w_1"), F.col("w_2"), 1, 2).cast("long")
+    return pairs.select("id1", "id2", F.col("n_1").alias("num_sent_1"), F.col("n_2").alias("num_sent_2"), once(is_duplicate=dup))
+
+
+_DUP_SQL = f"""WITH fl AS (SELECT doc_id, text, ({sq.lines('text')})[1] AS k, {sq.lines('text')} AS l FROM documents),
 rep AS (SELECT k, min(doc_id) AS rep FROM fl WHERE k IS NOT NULL GROUP BY k),
 dp AS (SELECT r.rep AS id1, f.doc_id AS id2, r1.text AS q1, f.text AS q2
-       FROM fl f JOIN rep r USING (k) JOIN fl r1 ON r1.doc_id = r.rep WHERE f.doc_id <> r.rep),
+       FROM fl f JOIN rep r USING (k) JOIN fl r1 ON r1.doc_id = r.rep WHERE f.doc_id <> r.rep
+       UNION ALL SELECT doc_id, -i, l[i], l[i] || ' ' || l[i + 1]
+       FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM fl)),
 ws AS (SELECT *, list_distinct({sq.ws_tokens('lower(q1)')}) AS a, list_distinct({sq.ws_tokens('lower(q2)')}) AS b FROM dp),
 dups AS (SELECT id1, id2, q1, q2,
        CAST(len(list_intersect(a, b)) * 2 >= (len(a) + len(b) - len(list_intersect(a, b)))
@@ -84,10 +102,53 @@ def funnel_counts(spark, sf):
     return au.funnel_counts(_dups(spark, sf))
 
 
-@register("extend_folds", "C3 J9 X1 K9", _KFOLD_SQL + ", " + _DUP_SQL.replace("WITH ", "", 1) + """,
-ext AS (SELECT count(*) AS n FROM st WHERE is_duplicate = 1 AND abs(n1 - n2) >= 1 AND (n1 = 1 OR n2 = 1)),
-tot AS (SELECT count(*) AS n FROM f)
-SELECT fold, tot.n - count(*) AS n_base_train, ext.n AS n_extension, tot.n - count(*) + ext.n AS n_train
-FROM f, tot, ext GROUP BY fold, tot.n, ext.n""")
+_EXT_SQL = _KFOLD_SQL + ", " + _DUP_SQL.replace("WITH ", "", 1) + """,
+ext AS (SELECT id1, id2 FROM st WHERE is_duplicate = 1 AND abs(n1 - n2) >= 1 AND (n1 = 1 OR n2 = 1))"""
+
+
+@register("extend_folds", "C3 J9 X1 K9", _EXT_SQL + """,
+tot AS (SELECT count(*) AS n FROM f), e AS (SELECT count(*) AS n FROM ext)
+SELECT fold, tot.n - count(*) AS n_base_train, e.n AS n_extension, tot.n - count(*) + e.n AS n_train
+FROM f, tot, e GROUP BY fold, tot.n, e.n""")
 def extend_folds(spark, sf):
     return splits.fold_train_sizes(_folds(spark, sf), au.mine(_dups(spark, sf)), k=10)
+
+
+@register("extended_fold_rows", "C3 J9 X1 T6 K9", _EXT_SQL + f""",
+tr AS (SELECT doc_id AS id, FALSE AS extension, {sq.seeded_hash("('0-' || doc_id)", 42)} AS h FROM f WHERE fold <> 0
+       UNION ALL SELECT id1 * 100000 - id2, TRUE, {sq.seeded_hash("('1-' || (id1 * 100000 - id2))", 42)} FROM ext),
+held AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM f WHERE fold = 0)
+SELECT 'train' AS part, row_number() OVER (ORDER BY h, extension, id) - 1 AS pos, id, extension FROM tr
+UNION ALL SELECT 'val', pos, id, FALSE FROM held UNION ALL SELECT 'test', pos, id, FALSE FROM held""")
+def extended_fold_rows(spark, sf):
+    """Fold 0 with the mined pairs; a pair's id is id1 * 100000 - id2."""
+    mined = au.mine(_dups(spark, sf)).select((F.col("id1") * 100000 - F.col("id2")).alias("doc_id"))
+    return splits.extended_fold(_folds(spark, sf), mined, 0, "doc_id")
+
+
+# mentions: the words of ten and more letters of each text, scored by a hash
+_MENTIONS = f"""m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-z]{{10,}}')) AS mention FROM documents),
+ms AS (SELECT doc_id, mention, ({sq.seeded_hash('mention', 5)} % 1000) / 1000.0::DOUBLE AS score FROM m)"""
+
+
+def _mentions(spark, sf):
+    m = derived.documents(spark, sf).select("doc_id", F.explode(F.array_distinct(
+        F.regexp_extract_all("text", F.lit("[a-z]{10,}"), F.lit(0)))).alias("mention"))
+    return m.withColumn("score", (splits.seeded_hash("mention", 5) % 1000) / F.lit(1000.0))
+
+
+@register("entity_filter", "F5", _DUP_SQL + ", " + _MENTIONS + """,
+hit AS (SELECT DISTINCT doc_id FROM ms WHERE score > 0.99)
+SELECT id1, id2, id1 IN (SELECT doc_id FROM hit) OR id2 IN (SELECT doc_id FROM hit) AS has_entity FROM dups WHERE id2 >= 0""")
+def entity_filter(spark, sf):
+    pairs = _dups(spark, sf).where(F.col("id2") >= 0).select("id1", "id2")
+    return au.has_entity(pairs, _mentions(spark, sf), threshold=0.99)
+
+
+@register("blind_mentions", "P13 C16", "WITH " + _MENTIONS + """,
+g AS (SELECT doc_id, list(mention ORDER BY mention) AS ms FROM ms WHERE score > 0.5 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN ms IS NULL THEN text ELSE list_reduce(list_prepend(text, ms), lambda t, x: replace(t, x, 'disease')) END AS text
+FROM documents LEFT JOIN g USING (doc_id)""")
+def blind_mentions(spark, sf):
+    m = _mentions(spark, sf).where(F.col("score") > 0.5)
+    return blind(derived.documents(spark, sf), m, order="mention")

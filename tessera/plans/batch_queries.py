@@ -83,28 +83,71 @@ def truncate_pad(spark, sf):
                     F.array_join(bt.shift_right(p, "<s>"), " ").alias("decoder_tokens"))
 
 
-@register("trim_batch", "F8 W8 P16", _GT + """,
-b AS (SELECT sample_id, len(tok) AS n, (row_number() OVER (ORDER BY len(tok) DESC, sample_id) - 1) // 8 AS batch_id FROM gt),
-m AS (SELECT batch_id, max(n) AS mx, count(*) AS n_rows FROM b GROUP BY batch_id)
-SELECT batch_id, CAST(mx AS BIGINT) AS width, n_rows FROM m""")
-def trim_batch(spark, sf):
-    g = derived.doc_gold(spark, sf).select("sample_id", tx.alnum_tokens("gold").alias("tok"))
-    g = g.withColumn("n", F.size("tok"))
-    batched = bt.length_batches(g, "sample_id", "n", 8)
-    mx = batched.groupBy("batch_id").agg(F.max("n").alias("_mx"))
-    padded = batched.join(mx, "batch_id").withColumn("tok", F.concat(
-        F.col("tok"), F.array_repeat(F.lit("<pad>"), (F.col("_mx") - F.col("n")).cast("int"))))
-    return bt.trim_width(padded, "batch_id", "tok", "<pad>")
+_TRIM = _GT + """,
+b AS (SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN tok ELSE list_concat(['<pad>', '<pad>'], tok) END AS tok,
+             (row_number() OVER (ORDER BY len(tok) DESC, sample_id) - 1) // 8 AS batch_id FROM gt),
+c AS (SELECT batch_id, sample_id, generate_subscripts(tok, 1) AS i, unnest(tok) AS t FROM b),
+k AS (SELECT batch_id, list_sort(list(DISTINCT i)) AS kept FROM c WHERE t <> '<pad>' GROUP BY batch_id)"""
 
 
-@register("token_budget_batches", "W10 T8")
+@register("trim_batch", "F8 W8 P16", _TRIM + """
+SELECT sample_id, batch_id, CAST(coalesce(len(kept), 0) AS BIGINT) AS width,
+       coalesce(array_to_string(list_transform(kept, lambda i: coalesce(tok[i], '<pad>')), ' '), '') AS tokens
+FROM b LEFT JOIN k USING (batch_id)""")
+def trim_batch(spark, sf):
+    """Batches of eight by length; two of three rows are padded on the left,
+    so a batch without a row that starts at once has all-pad columns in front."""
+    g = derived.doc_gold(spark, sf).select("sample_id", tx.alnum_tokens("gold").alias("tok"))
+    batched = bt.length_batches(g.withColumn("n", F.size("tok")), "sample_id", "n", 8)
+    left = F.concat(F.array(F.lit("<pad>"), F.lit("<pad>")), F.col("tok"))
+    padded = batched.withColumn("tok", F.when(F.col("sample_id") % 3 == 0, F.col("tok")).otherwise(left))
+    return bt.trim_batch(padded, "batch_id", "tok", "<pad>").select(
+        "sample_id", "batch_id", "width", F.array_join("tok", " ").alias("tokens"))
+
+
+@register("token_budget_batches", "W10 T8", "WITH RECURSIVE " + _NW.replace("WITH ", "", 1) + f""",
+o AS (SELECT doc_id, least(n_words, 142) AS n_tokens,
+             row_number() OVER (ORDER BY least(n_words, 142) DESC, doc_id) - 1 AS o FROM d),
+f AS (SELECT *, greatest(1024 // greatest(n_tokens, 1), 1) AS fits, count(*) OVER () AS n FROM o),
+x AS (SELECT *, CASE WHEN o + fits >= n THEN n ELSE o + greatest((fits // 64) * 64, fits % 64) END AS nxt FROM f),
+s(o, nxt) AS (SELECT o, nxt FROM x WHERE o = 0 UNION ALL SELECT x.o, x.nxt FROM s JOIN x ON x.o = s.nxt),
+b AS (SELECT o, nxt, row_number() OVER (ORDER BY o) - 1 AS batch_id FROM s),
+r AS (SELECT x.doc_id, x.n_tokens, b.batch_id FROM x JOIN b ON x.o >= b.o AND x.o < b.nxt),
+c AS (SELECT batch_id, max(n_tokens) * count(*) AS cost FROM r GROUP BY batch_id),
+l AS (SELECT batch_id FROM c ORDER BY cost DESC, batch_id LIMIT 1),
+p AS (SELECT batch_id, row_number() OVER (ORDER BY CASE WHEN batch_id IN (SELECT batch_id FROM l) THEN -1
+             ELSE {sq.seeded_hash('batch_id', 42)} END, batch_id) - 1 AS batch_pos FROM c)
+SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, batch_id, batch_pos FROM r JOIN p USING (batch_id)""")
 def token_budget_batches(spark, sf):
     d = _nw(spark, sf).withColumn("n_tokens", F.least(F.col("n_words"), F.lit(142)).cast("long"))
     return bt.token_budget_batches(d.select("doc_id", "n_tokens"), "doc_id", "n_tokens", max_tokens=1024)
 
 
-@register("pack_pairs", "W12 C18")
+_PACKS = "WITH RECURSIVE " + sq.PAIRS_CONV + f""",
+o AS (SELECT source, target, len({sq.ws_tokens('source')}) AS sl, len({sq.ws_tokens('target')}) AS tl,
+             row_number() OVER (ORDER BY conv_id, turn) - 1 AS o FROM pairs_conv),
+c AS (SELECT *, sum(sl) OVER w AS ss, sum(tl) OVER w AS ts FROM o WINDOW w AS (ORDER BY o)),
+x AS (SELECT a.o, greatest(a.o + 1, least(
+        (SELECT count(*) FROM c b WHERE b.ss <= a.ss - a.sl + 128), (SELECT count(*) FROM c b WHERE b.ts <= a.ts - a.tl + 128))) AS nxt FROM c a),
+s(o, nxt) AS (SELECT o, nxt FROM x WHERE o = 0 UNION ALL SELECT x.o, x.nxt FROM s JOIN x ON x.o = s.nxt),
+k AS (SELECT o AS first_ord, nxt, row_number() OVER (ORDER BY o) - 1 AS pack_id FROM s),
+m AS (SELECT k.pack_id, k.first_ord, c.* FROM k JOIN c ON c.o >= k.first_ord AND c.o < k.nxt)"""
+
+
+def _pairs(spark, sf):
+    return derived.pairs_conv(spark, sf).select(
+        "conv_id", "turn", "source", "target", tx.word_count("source").alias("sl"), tx.word_count("target").alias("tl"))
+
+
+@register("pack_pairs", "W12 C18", _PACKS + """
+SELECT pack_id, first_ord, count(*) AS n_pairs, CAST(sum(sl) AS BIGINT) AS src_tokens, CAST(sum(tl) AS BIGINT) AS tgt_tokens
+FROM m GROUP BY pack_id, first_ord""")
 def pack_pairs(spark, sf):
-    p = derived.pairs_conv(spark, sf).select(
-        "conv_id", "turn", tx.word_count("source").alias("sl"), tx.word_count("target").alias("tl"))
-    return bt.pack_pairs(p, ["conv_id", "turn"], "sl", "tl", max_tokens=128)
+    return bt.pack_pairs(_pairs(spark, sf).drop("source", "target"), ["conv_id", "turn"], "sl", "tl", max_tokens=128)
+
+
+@register("packed_texts", "W12 C18", _PACKS + """
+SELECT pack_id, count(*) AS n_pairs, string_agg(source, ' ' ORDER BY o) AS source, string_agg(target, ' ' ORDER BY o) AS target
+FROM m GROUP BY pack_id""")
+def packed_texts(spark, sf):
+    return bt.packed_texts(_pairs(spark, sf), ["conv_id", "turn"], "sl", "tl", max_tokens=128)

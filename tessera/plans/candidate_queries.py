@@ -43,10 +43,14 @@ FROM rn""")
 
 
 def _rouge_n_frame(spark, sf, n):
-    c = derived.doc_candidates(spark, sf)
-    s = rg.rouge_n(rg.rouge_tokens("text"), rg.rouge_tokens("gold"), n)
-    return c.select(*_KEYS, F.round(s["p"], R).alias(f"r{n}_p"), F.round(s["r"], R).alias(f"r{n}_r"),
-                    F.round(s["f"], R).alias(f"r{n}_f"))
+    c = derived.doc_candidate_tokens(spark, sf)
+    return _rounded(c, rg.rouge_n(F.col("pt"), F.col("rt"), n), f"r{n}")
+
+
+def _rounded(c, score, name):
+    """The three parts of one score, computed once per row."""
+    return c.select(*_KEYS, F.inline(F.array(score))).select(
+        *_KEYS, *[F.round(x, R).alias(f"{name}_{x}") for x in ("p", "r", "f")])
 
 
 @register("rouge1_scores", "B1", _rouge_query_sql(1))
@@ -69,10 +73,8 @@ SELECT sample_id, cand_rank, round(CASE WHEN np > 0 THEN m / np ELSE 0.0 END, {R
        round(CASE WHEN nr > 0 THEN m / nr ELSE 0.0 END, {R}) AS rl_r,
        round({sq.f1('m', 'np', 'nr')}, {R}) AS rl_f FROM l""")
 def rouge_l_scores(spark, sf):
-    c = derived.doc_candidates(spark, sf)
-    s = rg.rouge_l(rg.rouge_tokens("text"), rg.rouge_tokens("gold"))
-    return c.select(*_KEYS, F.round(s["p"], R).alias("rl_p"), F.round(s["r"], R).alias("rl_r"),
-                    F.round(s["f"], R).alias("rl_f"))
+    c = derived.doc_candidate_tokens(spark, sf)
+    return _rounded(c, rg.rouge_l(F.col("pt"), F.col("rt")), "rl")
 
 
 def _scored(spark, sf, metric="rouge2", stem=False):

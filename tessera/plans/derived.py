@@ -50,6 +50,19 @@ def doc_candidates(spark: SparkSession, sf: str, with_source: bool = False) -> D
     return out.select(*keep)
 
 
+def doc_candidate_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(sample_id, cand_rank, pt, rt): ROUGE tokens of each candidate and of
+    its gold; every line of a document is tokenised once, before candidates
+    fan out."""
+    d = documents(spark, sf).select(
+        F.col("doc_id").alias("sample_id"),
+        F.transform(tx.non_empty_lines("text"), lambda line: tx.alnum_tokens(line)).alias("_toks"))
+    d = d.where(F.size("_toks") > 1)
+    return d.select("sample_id", F.get("_toks", F.lit(0)).alias("rt"),
+                    F.posexplode(F.slice("_toks", 2, F.size("_toks") - 1)).alias("cand_rank", "pt")
+                    ).select("sample_id", F.col("cand_rank").cast("long").alias("cand_rank"), "pt", "rt")
+
+
 def doc_gold(spark: SparkSession, sf: str) -> DataFrame:
     """(sample_id, gold, source): the first cleaned line of each document."""
     return documents(spark, sf).select(

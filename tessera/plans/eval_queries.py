@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rouge as rg
 from tessera.functions import text as tx
+from tessera.functions.arrays import once
 from tessera.operators import candidates as cd
 from tessera.operators import evaluation as ev
 from tessera.operators import negatives as ng
 from tessera.operators import splits
+from tessera.operators.ordering import global_index
 from tessera.plans import derived
 from tessera.plans import sqltext as sq
 from tessera.plans.catalog import register
@@ -35,10 +37,7 @@ def _lex_scored(spark, sf):
     c = docs.select("sample_id", "_sw", F.get(F.col("_lines"), 0).alias("gold"),
                     F.posexplode(F.slice(F.col("_lines"), 2, F.greatest(F.size("_lines") - 1, F.lit(1))))
                      .alias("cand_rank", "text")).withColumn("cand_rank", F.col("cand_rank").cast("long"))
-    cw = F.array_distinct(tx.lower_ws_tokens("text"))
-    score = F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(cw, F.col("_sw"))).cast("double"),
-                                            F.size("_sw").cast("double")), F.lit(0.0)), R)
-    return c.select("sample_id", "cand_rank", "text", "gold", score.alias("score"))
+    return c.select("sample_id", "cand_rank", "text", "gold", once(score=ev.lexical_share(F.col("_sw"), "text")))
 
 
 _LEX = _BASE + f""", lex AS (
@@ -63,16 +62,17 @@ ex AS (SELECT s.sample_id, s.cand_rank, s.score, CASE WHEN mx = 0 THEN 0.0 ELSE
        FROM s JOIN mx USING (sample_id)),
 ch AS (SELECT sample_id, label AS chosen FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_rank) AS k FROM ex) WHERE k = 1),
-b AS (SELECT sample_id, max(label) AS best FROM ex GROUP BY sample_id)
-SELECT (SELECT count(*) FROM b) AS n_ids,
+b AS (SELECT sample_id, max(label) AS best FROM ex GROUP BY sample_id),
+cr AS (SELECT rl FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_rank) AS k FROM s) WHERE k = 1)
+SELECT (SELECT count(*) FROM b) AS n_ids, (SELECT round(avg(rl), 4) FROM cr) AS chosen_rouge_l,
        (SELECT count(*) FROM b JOIN ch USING (sample_id) WHERE chosen = best AND best > 0) AS num_best_target,
        (SELECT round(avg(pow(score - label, 2)), {R}) FROM ex) AS mse""")
 def evaluate_scorer(spark, sf):
     s = _lex_scored(spark, sf)
-    s = cd.score_candidates(s.withColumnRenamed("score", "lex"), "rougeL", name="rl")
+    s = cd.score_candidates(s.withColumnRenamed("score", "lex"), "rougeL", name="rl", stem=False)
     s = cd.materialize(s, [*_KEYS, "lex", "rl"])
-    ex = cd.relative_labels(s, score="rl").select(*_KEYS, F.col("lex").alias("score"), "label")
-    return ev.evaluate_scorer(cd.materialize(ex, [*_KEYS, "score", "label"]))
+    ex = cd.relative_labels(s, score="rl").select(*_KEYS, F.col("lex").alias("score"), "label", "rl")
+    return ev.evaluate_scorer(cd.materialize(ex, [*_KEYS, "score", "label", "rl"]), chosen={"rl": "chosen_rouge_l"})
 
 
 _TTR = f"""WITH d AS (SELECT l.doc_id, l.quality AS label,
@@ -112,10 +112,9 @@ dof AS (SELECT lang, coalesce(sum(n) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED
 dfold AS (SELECT doc_id, CAST((off + rn) % 5 AS BIGINT) AS fold FROM dr JOIN dof USING (lang))"""
 
 
-@register("aggregate_runs", "C11 A4 W5 B4", _BASE + """, top AS (
-  SELECT sample_id, cand_rank, text, gold FROM doc_cands WHERE cand_rank = 0), """
-          + sq.rouge_n_ctes("top", _KEYS, "text", "gold", 1, "r1") + ", "
-          + sq.rouge_n_ctes("top", _KEYS, "text", "gold", 2, "r2") + ", " + _doc_folds_sql() + f""",
+@register("aggregate_runs", "C11 A4 W5 B4", _BASE + """, """
+          + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 1, "r1") + ", "
+          + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 2, "r2") + ", " + _doc_folds_sql() + f""",
 runs AS (
   SELECT fold, 'rouge1' AS metric, round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) AS value
   FROM r1 JOIN dfold ON dfold.doc_id = r1.sample_id GROUP BY fold
@@ -128,10 +127,9 @@ FROM runs GROUP BY metric""")
 def aggregate_runs(spark, sf):
     folds = splits.stratified_folds(table(spark, sf, "documents", ["doc_id", "lang"]), "doc_id",
                                     ["lang"], k=5, seed=42).select(F.col("doc_id").alias("sample_id"), "fold")
-    top = derived.doc_candidates(spark, sf).where(F.col("cand_rank") == 0)
-    pt, rt = rg.rouge_tokens("text"), rg.rouge_tokens("gold")
-    sc = top.select("sample_id", rg.rouge_n(pt, rt, 1)["f"].alias("rouge1"),
-                    rg.rouge_n(pt, rt, 2)["f"].alias("rouge2"))
+    c = derived.doc_candidate_tokens(spark, sf)
+    pt, rt = F.col("pt"), F.col("rt")
+    sc = c.select("sample_id", rg.rouge_n(pt, rt, 1)["f"].alias("rouge1"), rg.rouge_n(pt, rt, 2)["f"].alias("rouge2"))
     per_fold = sc.join(folds, "sample_id").groupBy("fold").agg(
         F.round(F.avg("rouge1") * 100, 4).alias("rouge1"), F.round(F.avg("rouge2") * 100, 4).alias("rouge2"))
     long_df = per_fold.select("fold", F.inline(F.array(
@@ -164,7 +162,7 @@ SELECT max_rank, min_words, score,
 @register("leaderboard", "J8 T5 P20", _leaderboard_sql())
 def leaderboard(spark, sf):
     combos = ev.parse_grid(GRID)
-    s = cd.score_candidates(derived.doc_candidates(spark, sf), "rouge2")
+    s = cd.score_candidates(derived.doc_candidates(spark, sf), "rouge2", stem=False)
     s = s.withColumn("nw", tx.word_count("text"))
     aggs = [F.max(F.when((F.col("cand_rank") < int(c["max_rank"])) & (F.col("nw") >= int(c["min_words"])),
                          F.col("score"))).alias(f"b{i}") for i, c in enumerate(combos)]
@@ -195,10 +193,40 @@ def negative_sampling(spark, sf):
         "sample_id", "j", F.col("neg_key").alias("neg_id"))
 
 
-@register("gold_examples", "C4 X1 J6", _NEG_SQL + """
-SELECT sample_id AS guid, sample_id AS cand_id, CAST(1.0 AS DOUBLE) AS label FROM pool
-UNION ALL SELECT sample_id, neg_id, CAST(0.0 AS DOUBLE) FROM negs""")
+def _neg_part(name: str, rest: str) -> str:
+    return f"""{name}p AS (SELECT sample_id, gold, row_number() OVER (ORDER BY sample_id) - 1 AS pos FROM doc_gold
+  WHERE {sq.seeded_hash('sample_id', 7)} % 10 {rest}),
+{name}n AS (SELECT count(*) AS n FROM {name}p),
+{name}q AS (SELECT p.sample_id, p.gold, r.j,
+             ({sq.seeded_hash('p.sample_id', 42)} % n + r.j * (1 + {sq.seeded_hash('p.sample_id', 43)} % (n // 3))) % n AS idx
+      FROM {name}p p, {name}n, (SELECT range AS j FROM range(3)) r),
+{name} AS (SELECT sample_id AS guid, sample_id AS cand_id, CAST(1.0 AS DOUBLE) AS label FROM {name}p
+  UNION ALL SELECT q.sample_id, p.sample_id, 0.0 FROM {name}q q JOIN {name}p p ON p.pos = q.idx WHERE p.gold <> q.gold)"""
+
+
+@register("gold_examples", "C4 X1 J6 B8", sq.with_(sq.DOC_LINES, sq.DOC_GOLD) + f""",
+{_neg_part('train', '<> 9')}, {_neg_part('test', '= 9')}
+SELECT 'train' AS part, * FROM train UNION ALL SELECT 'test', * FROM test""")
 def gold_examples(spark, sf):
+    """One part in ten is held out; negatives are drawn inside each part."""
     gold = derived.doc_gold(spark, sf)
-    ex = ng.labelled_examples(gold, "sample_id", "source", "gold", 3, 42)
-    return ex.select("guid", F.col("cand_key").alias("cand_id"), "label")
+    held = splits.seeded_hash("sample_id", 7) % 10 == 9
+    ex = ng.split_examples({"train": gold.where(~held), "test": gold.where(held)}, "sample_id", "source", "gold", 3, 42)
+    return ex.select("part", "guid", F.col("cand_key").alias("cand_id"), "label")
+
+
+@register("prediction_examples", "C5 W2 W4", _BASE + f""",
+t AS (SELECT sample_id, cand_rank, text, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM doc_cands),
+l AS (SELECT sample_id, cand_rank, text, len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM t),
+s AS (SELECT sample_id, cand_rank, text, round(100 * {sq.f1('m', 'np', 'nr')}, 4) AS score FROM l),
+mx AS (SELECT sample_id, max(score) AS mx, row_number() OVER (ORDER BY sample_id) - 1 AS guid FROM s GROUP BY sample_id)
+SELECT guid, CASE WHEN {sq.seeded_hash('sample_id', 7)} % 10 = 9 THEN 'test' ELSE 'train' END AS part,
+       cand_rank, text AS candidate, CASE WHEN mx = 0 THEN 0.0 ELSE score / mx END AS label
+FROM s JOIN mx USING (sample_id)""")
+def prediction_examples(spark, sf):
+    """Labelled candidates; the examples of a sample share a consecutive id."""
+    s = cd.score_candidates(derived.doc_candidates(spark, sf), "rougeL", stem=False).select(*_KEYS, "text", "score")
+    ex = cd.relative_labels(cd.materialize(s, [*_KEYS, "text", "score"]))
+    ids = global_index(ex.select("sample_id").distinct(), ["sample_id"], "guid")
+    part = F.when(splits.seeded_hash("sample_id", 7) % 10 == 9, F.lit("test")).otherwise(F.lit("train"))
+    return ex.join(ids, "sample_id").select("guid", part.alias("part"), "cand_rank", F.col("text").alias("candidate"), "label")

@@ -13,29 +13,28 @@ from tessera.plans.catalog import register
 
 R = 6
 _KEYS = ["sample_id", "cand_rank"]
-_TOP = sq.with_(sq.DOC_LINES, sq.DOC_CANDS) + """, top AS (
-  SELECT sample_id, cand_rank, text, gold FROM doc_cands WHERE cand_rank = 0)"""
+_ALL = sq.with_(sq.DOC_LINES, sq.DOC_CANDS)
 
 
-def _top1(spark, sf):
-    c = derived.doc_candidates(spark, sf)
-    return c.where(F.col("cand_rank") == 0).select(
-        "sample_id", F.col("text").alias("pred"), F.col("gold").alias("ref"))
+def _pairs(spark, sf):
+    """Every candidate against its gold."""
+    return derived.doc_candidates(spark, sf).select(
+        *_KEYS, F.col("text").alias("pred"), F.col("gold").alias("ref"))
 
 
-@register("corpus_rouge", "B4 B9 A13", _TOP + ", " + sq.rouge_n_ctes("top", _KEYS, "text", "gold", 1, "r1")
-          + ", " + sq.rouge_n_ctes("top", _KEYS, "text", "gold", 2, "r2") + f""",
-lt AS (SELECT sample_id, cand_rank, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM top),
+@register("corpus_rouge", "B4 B9 A13", _ALL + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 1, "r1")
+          + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 2, "r2") + f""",
+lt AS (SELECT sample_id, cand_rank, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM doc_cands),
 l AS (SELECT len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM lt)
 SELECT 'rouge1' AS metric, round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) AS value FROM r1
 UNION ALL SELECT 'rouge2', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) FROM r2
 UNION ALL SELECT 'rougeL', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) FROM l""")
 def corpus_rouge(spark, sf):
-    return mt.corpus_rouge(_top1(spark, sf))
+    return mt.corpus_rouge(_pairs(spark, sf), stem=False)
 
 
 def _bleu_sql() -> str:
-    parts = [sq.ngram_match_ctes("top", _KEYS, sq.tokens_13a("text"), sq.tokens_13a("gold"), n, f"b{n}")
+    parts = [sq.ngram_match_ctes("doc_cands", _KEYS, sq.tokens_13a("text"), sq.tokens_13a("gold"), n, f"b{n}")
              for n in range(1, 5)]
     sums = ", ".join(f"sum(b{n}.m) AS m{n}, sum(greatest(b{n}.np, 0)) AS t{n}" for n in range(1, 5))
     joins = " ".join(f"JOIN b{n} USING (sample_id, cand_rank)" for n in range(2, 5))
@@ -49,7 +48,7 @@ def _bleu_sql() -> str:
         logs.append(f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE -9999999999.0 END)")
     bp = ("(CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1.0 - ref_len / sys_len) "
           "ELSE 0.0 END)")
-    return (_TOP + ", " + ", ".join(parts) + f""",
+    return (_ALL + ", " + ", ".join(parts) + f""",
 s AS (SELECT CAST(sum(b1.np) AS BIGINT) AS sys_len, CAST(sum(b1.nr) AS BIGINT) AS ref_len, {sums}
       FROM b1 {joins}),
 s2 AS (SELECT sys_len, ref_len, {', '.join(f'CAST(m{n} AS BIGINT) AS m{n}, CAST(t{n} AS BIGINT) AS t{n}' for n in range(1, 5))} FROM s)
@@ -59,22 +58,38 @@ SELECT *, round({bp} * exp(({' + '.join(logs)}) / 4), 4) AS bleu, round({bp}, {R
 
 @register("corpus_bleu", "B5", _bleu_sql())
 def corpus_bleu(spark, sf):
-    return mt.corpus_bleu(_top1(spark, sf))
-
-
-@register("bootstrap_rouge", "B4")
+    return mt.corpus_bleu(_pairs(spark, sf))
+
+
+_REPLICATES = 200
+
+
+@register("bootstrap_rouge", "B4", _ALL + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 1, "r1")
+          + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 2, "r2") + f""",
+lt AS (SELECT sample_id, cand_rank, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM doc_cands),
+l AS (SELECT sample_id, cand_rank, len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM lt),
+f AS (SELECT {sq.seeded_hash("(sample_id || '-' || cand_rank)", 42)} % {mt.PRIME} AS h, {sq.f1('r1.m', 'r1.np', 'r1.nr')} AS a,
+             {sq.f1('r2.m', 'r2.np', 'r2.nr')} AS b, {sq.f1('l.m', 'l.np', 'l.nr')} AS c
+      FROM r1 JOIN r2 USING (sample_id, cand_rank) JOIN l USING (sample_id, cand_rank)),
+g AS (SELECT range AS i, 1 + {sq.seeded_hash("('a' || range)", 42)} % {mt.PRIME - 1} AS x,
+             {sq.seeded_hash("('c' || range)", 42)} % {mt.PRIME} AS y FROM range(1, {_REPLICATES + 1})),
+w AS (SELECT i, a, b, c, len(list_filter({list(mt.POISSON)}, lambda t: t <= ((h * x + y) % {mt.PRIME}) / {mt.PRIME}.0::DOUBLE)) AS w FROM f, g),
+s AS (SELECT i, sum(a * w) / sum(w) AS a, sum(b * w) / sum(w) AS b, sum(c * w) / sum(w) AS c FROM w GROUP BY i)
+""" + " UNION ALL ".join(f"""SELECT '{name}' AS metric, round(quantile_cont({col}, 0.025) * 100, 4) AS low,
+  round(quantile_cont({col}, 0.5) * 100, 4) AS mid, round(quantile_cont({col}, 0.975) * 100, 4) AS high FROM s"""
+                        for name, col in (("rouge1", "a"), ("rouge2", "b"), ("rougeL", "c"))))
 def bootstrap_rouge(spark, sf):
-    return mt.bootstrap_rouge(_top1(spark, sf), "sample_id", replicates=200, seed=42)
+    p = _pairs(spark, sf).withColumn("key", F.concat_ws("-", *_KEYS))
+    return mt.bootstrap_rouge(p, "key", replicates=_REPLICATES, seed=42, stem=False)
 
 
 @register("rouge_lsum_scores", "B3 P6 P12")
 def rouge_lsum_scores(spark, sf):
-    c = derived.doc_candidates(spark, sf, with_source=True)
+    """Every document's whole text against its gold line."""
     from tessera.functions import rouge as rg
     s = rg.rouge_lsum(F.col("source"), F.col("gold"))
-    return c.where(F.col("cand_rank") == 0).select(
-        "sample_id", F.round(s["p"], R).alias("rlsum_p"), F.round(s["r"], R).alias("rlsum_r"),
-        F.round(s["f"], R).alias("rlsum_f"))
+    return derived.doc_gold(spark, sf).select("sample_id", F.inline(F.array(s))).select(
+        "sample_id", F.round("p", R).alias("rlsum_p"), F.round("r", R).alias("rlsum_r"), F.round("f", R).alias("rlsum_f"))
 
 
 @register("rouge_stemmed", "B1 stemmed")
@@ -94,11 +109,11 @@ def rouge_stemmed(spark, sf):
     return c.select(*_KEYS, F.round(r1["f"], R).alias("r1_f"), F.round(r2["f"], R).alias("r2_f"))
 
 
-_FW = _TOP + f""", fw AS (SELECT {sq.first_word('gold')} AS g, {sq.first_word('text')} AS p FROM top)"""
+_FW = _ALL + f""", fw AS (SELECT {sq.first_word('gold')} AS g, {sq.first_word('text')} AS p FROM doc_cands)"""
 
 
 def _first_words(spark, sf):
-    t = _top1(spark, sf)
+    t = _pairs(spark, sf)
     return t.select(tx.first_word("ref").alias("g"), tx.first_word("pred").alias("p"))
 
 

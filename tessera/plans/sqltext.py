@@ -89,7 +89,8 @@ def rouge_n_ctes(src: str, keys: list[str], pred: str, ref: str, n: int, name: s
     return ngram_match_ctes(src, keys, alnum_tokens(pred), alnum_tokens(ref), n, name)
 
 
-TOK13A_PUNCT = r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{20}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}\x{2f}])"
+# fixed value: the punctuation class of the 13a tokeniser
+TOK13A_PUNCT = r"([\{-~\[-` -&(-+:-@/])"
 
 
 def tokens_13a(x: str) -> str:

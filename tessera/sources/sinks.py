@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, default_partitions
 
 
 def write_pairs_text(pairs: DataFrame, out_dir: str, prefix: str, key: str = "pair_id",
@@ -15,7 +15,7 @@ def write_pairs_text(pairs: DataFrame, out_dir: str, prefix: str, key: str = "pa
     """``{prefix}.source`` / ``{prefix}.target`` folders whose i-th part files
     hold the same rows: both are written from one range-partitioned,
     checkpointed frame."""
-    n = parts or max(1, pairs.rdd.getNumPartitions())
+    n = parts or default_partitions(pairs.sparkSession)
     staged = cut_lineage(pairs.repartitionByRange(n, key).sortWithinPartitions(key))
     for col in ("source", "target"):
         staged.select(col).write.mode(mode).text(f"{out_dir.rstrip('/')}/{prefix}.{col}")
@@ -43,13 +43,14 @@ def write_metrics_json(metrics: DataFrame, path: str, mode: str = "overwrite") -
     metrics.select(*sorted(metrics.columns)).write.mode(mode).json(path)
 
 
-def write_ordered_text(df: DataFrame, path: str, key: str, text: str, mode: str = "errorifexists") -> None:
+def write_ordered_text(df: DataFrame, path: str, key: str | Sequence[str], text: str, mode: str = "errorifexists") -> None:
     """Newline-terminated lines in key order (range-partitioned part files)."""
-    df.orderBy(key).select(text).write.mode(mode).text(path)
+    df.orderBy(*([key] if isinstance(key, str) else key)).select(text).write.mode(mode).text(path)
 
 
-def write_sections(sections: DataFrame, path: str, key: str = "cluster", mode: str = "errorifexists") -> None:
-    write_ordered_text(sections, path, key, "section", mode)
+def write_sections(sections: DataFrame, path: str, key: str, mode: str = "errorifexists") -> None:
+    """The rows of ``cluster_sections`` as text."""
+    write_ordered_text(sections, path, ["cluster_no", "kind", key], "line", mode)
 
 
 def carry_split(*frames: DataFrame) -> DataFrame:

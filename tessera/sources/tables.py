@@ -20,14 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str,
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy per-row text work at least one partition per core.
-
-    A large input already scans as thousands of splits and is returned
-    unchanged (no shuffle).  Only an input that scans as fewer partitions
-    than the cluster has cores (one small file, one row group) is hash-spread
-    on ``key`` (deterministic under retries; later aggregations on the same
-    key reuse this partitioning)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    """Deal rows over ``tessera.scan.partitions`` partitions (a session
+    setting) before CPU-heavy per-row work, for inputs in a few small files;
+    without the setting scans keep their splits."""
+    n = df.sparkSession.conf.get("tessera.scan.partitions", None)
+    if not n:
         return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
+    return df.repartition(int(n), key) if key else df.repartition(int(n))

@@ -44,8 +44,10 @@ def read_json_records(spark: SparkSession, path: str, multiline: bool = True) ->
 
 
 def gather_shards(spark: SparkSession, directory: str, expected: int | None = None) -> DataFrame:
-    """Per-rank JSON shards (a list of {id, pred} each) -> (id, pred) rows.
-    With ``expected`` the number of shard files is checked (a commit-complete
+    """Per-rank JSON shards (a list of {id, pred} each) -> (id, cand_rank,
+    pred) rows; a list of predictions is one row each, best first.  An id
+    that two ranks hold (padding of the last batch) is kept once.  With
+    ``expected`` the number of shard files is checked (a commit-complete
     directory replaces polling)."""
     df = spark.read.option("multiLine", True).json(f"{directory.rstrip('/')}/rank_*.json")
     df = df.withColumn("_f", F.col("_metadata.file_path"))
@@ -53,7 +55,10 @@ def gather_shards(spark: SparkSession, directory: str, expected: int | None = No
         n = df.select("_f").distinct().count()
         if n != expected:
             raise RuntimeError(f"expected {expected} shard files, found {n}")
-    return df.drop("_f")
+    if not isinstance(df.schema["pred"].dataType, T.ArrayType):
+        df = df.withColumn("pred", F.array("pred"))
+    rows = df.groupBy("id").agg(F.min_by("pred", "_f").alias("pred"))
+    return rows.select("id", F.posexplode("pred").alias("cand_rank", "pred")).withColumn("cand_rank", F.col("cand_rank").cast("long"))
 
 
 def project_translation(df: DataFrame, src_lang: str, tgt_lang: str, col: str = "translation") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators.ordering import rank_within
 
 
@@ -27,14 +28,31 @@ def numbered_lines(spark: SparkSession, path: str, name: str = "line_no") -> Dat
                .select("file", (F.col("_m") - F.col("_m0") + F.col("_base")).cast("long").alias(name), "text"))
 
 
+def _file_key():
+    """What the two sides of a parallel text share in a file's name: the part
+    number of a written folder, else the name without its last suffix."""
+    name = F.regexp_extract(F.col("file"), "([^/]*)$", 1)
+    part = F.regexp_extract(name, r"^part-(\d+)", 1)
+    return F.when(part != "", part).otherwise(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1))
+
+
 def parallel_pairs(spark: SparkSession, source_path: str, target_path: str, prefix: str = "",
                    validate: bool = True) -> DataFrame:
     """Row i of the source file with row i of the target file (truncates to
-    the shorter side).  ``validate`` fails the job on an empty line."""
-    s = numbered_lines(spark, source_path, "pair_id").select(
-        "pair_id", F.concat(F.lit(prefix or ""), F.col("text")).alias("source"))
-    t = numbered_lines(spark, target_path, "pair_id").select("pair_id", F.col("text").alias("target"))
-    pairs = s.join(t, "pair_id")
+    the shorter side); of folders, row i of part k with row i of part k.
+    ``pair_id`` counts on from part to part.  ``validate`` fails the job on
+    an empty line."""
+    s = numbered_lines(spark, source_path, "_line").select(
+        _file_key().alias("_part"), "_line", F.concat(F.lit(prefix or ""), F.col("text")).alias("source"))
+    t = numbered_lines(spark, target_path, "_line").select(_file_key().alias("_part"), "_line", F.col("text").alias("target"))
+    single = not any("*" in p or _is_folder(spark, p) for p in (source_path, target_path))
+    if single:  # the names of two single files need not agree
+        s, t = s.withColumn("_part", F.lit("")), t.withColumn("_part", F.lit(""))
+    sizes = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_a")).join(t.groupBy("_part").agg(F.count(F.lit(1)).alias("_b")), "_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    bases = sizes.select("_part", F.coalesce(F.sum(F.least("_a", "_b")).over(before), F.lit(0)).alias("_base"))
+    pairs = s.join(t, ["_part", "_line"]).join(F.broadcast(bases), "_part").select(
+        (F.col("_base") + F.col("_line")).cast("long").alias("pair_id"), "source", "target")
     if validate:
         ok = F.when((F.length("source") == 0) | (F.length("target") == 0),
                     F.raise_error(F.concat(F.lit("empty line at pair "), F.col("pair_id").cast("string")))
@@ -43,15 +61,19 @@ def parallel_pairs(spark: SparkSession, source_path: str, target_path: str, pref
     return pairs
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
 def candidate_list(spark: SparkSession, path: str) -> DataFrame:
     """``sample_id \\t text`` lines -> (sample_id, cand_rank, text); rank is
     the order of appearance in the file within the sample; fields after the
-    second tab are ignored."""
+    second tab are ignored.  A line without a tab fails the job."""
     lines = numbered_lines(spark, path, "_ln")
     parts = F.split(F.col("text"), "\t")
-    rows = lines.select("file", "_ln", F.trim(parts[0]).cast("long").alias("sample_id"),
-                        F.regexp_replace(F.get(parts, 1), r"^\s+|\s+$", "").alias("text"))
-    rows = rows.where(F.col("text").isNotNull())
+    ok = F.when(F.size(parts) < 2, F.raise_error(F.concat(F.lit("no tab in candidate line: "), F.col("text")))).otherwise(F.lit(True))
+    rows = lines.where(ok).select("file", "_ln", F.trim(parts[0]).cast("long").alias("sample_id"), tx.strip(F.get(parts, 1)).alias("text"))
     ranked = rank_within(rows, ["sample_id"], ["file", "_ln"], "cand_rank")
     return ranked.select("sample_id", "cand_rank", "text")
 
@@ -70,3 +92,15 @@ def result_files(spark: SparkSession, directory: str) -> DataFrame:
 def path_field(pattern: str, name: str):
     """Column extracted from the input path (e.g. fold number, split name)."""
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias(name)
+
+
+def read_folds(spark: SparkSession, directory: str) -> DataFrame:
+    """``fold_{k}/{split}.{source,target}`` files -> (fold, split, pair_id,
+    source, target); ``pair_id`` is the line of the pair in its files."""
+    def side(name: str) -> DataFrame:
+        lines = numbered_lines(spark, f"{directory.rstrip('/')}/fold_*/*.{name}", "pair_id")
+        parts = r"fold_(\d+)/([^/]+)\.[^./]+$"
+        return lines.select(F.regexp_extract("file", parts, 1).cast("long").alias("fold"), F.regexp_extract("file", parts, 2).alias("split"),
+                            "pair_id", F.col("text").alias(name))
+
+    return side("source").join(side("target"), ["fold", "split", "pair_id"])

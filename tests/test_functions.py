@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as ar
@@ -23,8 +24,22 @@ def test_bit_parallel_lcs_matches_dp():
         a = [rng.choice("abcde") for _ in range(rng.randint(0, 90))]
         b = [rng.choice("abcde") for _ in range(rng.randint(0, 90))]
         assert lcs_length(a, b) == _dp_lcs(a, b)
-        pos = lcs_positions(a, b)
-        assert len(pos) == _dp_lcs(a, b)
+        pos = lcs_positions(np.array(a), np.array(b))
+        assert len(pos) == _dp_lcs(a, b) and _dp_lcs([a[i] for i in pos], b) == len(pos)
+
+
+def test_lcs_walk_steps_in_the_reference_on_ties():
+    assert lcs_positions(np.array(["a", "b"]), np.array(["b", "a"])) == [0]
+    assert lcs_positions(np.array(list("abc")), np.array(list("cab"))) == [0, 1]
+
+
+def test_summary_lcs_by_hand():
+    # union over both sentences: w1 w2 from the first, w1 w3 w5 from the second
+    ref, pred = ["w1 w2 w3 w4 w5".split()], ["w1 w2 w6 w7 w8".split(), "w1 w3 w8 w9 w5".split()]
+    assert summary_lcs_hits(ref, pred) == 4
+    # a hit uses up one occurrence on each side
+    assert summary_lcs_hits([["a"], ["a"]], [["a"]]) == 1
+    assert summary_lcs_hits([], [["a"]]) == 0 and summary_lcs_hits([["a"]], [[]]) == 0
 
 
 def test_summary_lcs_single_sentence_equals_lcs():
@@ -35,8 +50,13 @@ def test_summary_lcs_single_sentence_equals_lcs():
 def test_porter_known_words():
     pairs = {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop",
              "generalizations": "gener", "effective": "effect", "happy": "happi"}
+    # the extended rules: logi, bli, y after a consonant only, short -ies, irregular forms
+    pairs |= {"pathology": "patholog", "biology": "biolog", "enjoy": "enjoy", "dying": "die", "dies": "die",
+              "possibly": "possibl", "skies": "sky", "ties": "tie", "died": "die", "cried": "cri", "hopefully": "hope",
+              "treatments": "treatment", "radiology": "radiolog", "say": "say", "by": "by", "controlled": "control",
+              "succeed": "succeed", "news": "news", "geologically": "geolog", "falling": "fall", "agreed": "agre"}
     for w, s in pairs.items():
-        assert porter(w) == s
+        assert porter(w) == s, w
     assert stem_token("cats") == "cat" and stem_token("was") == "was"
 
 

@@ -53,31 +53,69 @@ def test_negatives_distinct_and_not_gold(spark):
         ng.sample_negatives(df.limit(3), "id", "t", 5)
 
 
-def test_budget_batches_invariants():
+def slow_budget_batches(lens, budget, multiple):
+    """Lengths in descending order -> batches of positions, row by row."""
+    out, rest = [], list(range(len(lens)))
+    while rest:
+        n = 1
+        while n < len(rest) and (n + 1) * lens[rest[0]] <= budget:
+            n += 1
+        if n < len(rest):
+            n = n // multiple * multiple or n
+        out.append(rest[:n])
+        rest = rest[n:]
+    return out
+
+
+def test_budget_batches_against_row_by_row(spark):
     rng = random.Random(5)
-    lens = sorted((rng.randint(1, 140) for _ in range(5000)), reverse=True)
-    batches = bt.budget_batches_local(lens, 1024, 64)
-    assert sorted(i for b in batches for i in b) == list(range(len(lens)))
-    assert len({len(b) for b in batches}) > 1
-    for b in batches[:-1]:
-        assert len(b) % 64 == 0 or len(b) < 64
-        assert max(lens[i] for i in b) * len(b) <= 1024 * 1.1 or len(b) < 64
-
-
-def test_pack_local_brute_force():
+    lens = sorted((rng.choice([0, 1, 3, 9, rng.randint(1, 140)]) for _ in range(1500)), reverse=True)
+    df = spark.createDataFrame(list(enumerate(lens)), "id long, n long")
+    want = slow_budget_batches([max(x, 1) for x in lens], 1024, 64)
+    for shard in (100, 65536):
+        got = {}
+        for r in bt.token_budget_batches(df, "id", "n", 1024, 64, shard_rows=shard).collect():
+            got.setdefault((r.batch_id, r.batch_pos), []).append(r.id)
+        assert [sorted(v) for _, v in sorted(got.items())] == want
+        assert sorted(p for _, p in got) == list(range(len(want)))
+        costs = {b: len(v) * max(lens[i] for i in v) for (b, p), v in got.items()}
+        assert [costs[b] for b, p in got if p == 0] == [max(costs.values())]
+
+
+def slow_packs(s, t, budget):
+    out, i = [], 0
+    while i < len(s):
+        j = i + 1
+        while j < len(s) and sum(s[i:j + 1]) <= budget and sum(t[i:j + 1]) <= budget:
+            j += 1
+        out.append(list(range(i, j)))
+        i = j
+    return out
+
+
+def test_packs_against_row_by_row(spark):
     rng = random.Random(9)
-    for _ in range(50):
-        s = [rng.randint(1, 50) for _ in range(rng.randint(1, 40))]
-        t = [rng.randint(1, 50) for _ in range(len(s))]
-        packs = bt.pack_local(s, t, 100)
-        assert [i for p in packs for i in p] == list(range(len(s)))
-        for p in packs:
-            if len(p) > 1:
-                assert sum(s[i] for i in p) <= 100 and sum(t[i] for i in p) <= 100
-        # greedy: the next pair would not have fitted
-        for a, b in zip(packs, packs[1:]):
-            nxt = b[0]
-            assert sum(s[i] for i in a) + s[nxt] > 100 or sum(t[i] for i in a) + t[nxt] > 100
+    for n in (1, 40, 900):
+        s = [rng.choice([0, 0, 5, 150, rng.randint(1, 50)]) for _ in range(n)]
+        t = [rng.choice([0, 2, rng.randint(1, 50)]) for _ in range(n)]
+        df = spark.createDataFrame([(i, a, b, f"s{i}", f"t{i}") for i, (a, b) in enumerate(zip(s, t))],
+                                   "id long, a long, b long, source string, target string")
+        want = slow_packs(s, t, 100)
+        for shard in (7, 100, 65536):
+            got = {}
+            for r in bt.pack_rows(df, ["id"], "a", "b", 100, shard_rows=shard).collect():
+                got.setdefault(r.pack_id, []).append((r.pack_pos, r.id))
+            assert [[i for _, i in sorted(v)] for _, v in sorted(got.items())] == want
+    texts = bt.packed_texts(df, ["id"], "a", "b", 100).collect()
+    assert sorted((r.pack_id, r.n_pairs, r.source, r.target) for r in texts) == [
+        (k, len(v), " ".join(f"s{i}" for i in v), " ".join(f"t{i}" for i in v)) for k, v in enumerate(want)]
+
+
+def test_trim_batch_cuts_interior_columns(spark):
+    rows = [(1, 0, ["a", "p", "b", "p"]), (2, 0, ["p", "p", "c"]), (3, 1, ["p", "p"]), (4, 1, [])]
+    df = spark.createDataFrame(rows, "id long, batch long, tok array<string>")
+    got = {r.id: (r.tok, r.width) for r in bt.trim_batch(df, "batch", "tok", "p").collect()}
+    assert got == {1: (["a", "b"], 2), 2: (["p", "c"], 2), 3: ([], 0), 4: ([], 0)}
 
 
 def test_round_robin_shards_disjoint(spark):
