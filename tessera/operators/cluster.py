@@ -131,13 +131,14 @@ def cluster_sizes(components: DataFrame) -> DataFrame:
 
 def blind_mentions(texts: DataFrame, mentions: DataFrame, key: str = "doc_id", text: str = "text",
                    mention: str = "mention", order: str = "start", token: str = "disease") -> DataFrame:
-    """Replace every occurrence of each mention, sequentially in mention
-    order, by ``token``.  Mentions are grouped per document (bounded by the
-    document's own mentions) and folded with ``aggregate``."""
-    per = mentions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, mention))).alias("_m"))
+    """Replace every occurrence of each mention, sequentially in order of
+    first mention, by ``token``.  Distinct mentions are grouped per document
+    (bounded by the document's own) and folded with ``aggregate``."""
+    once = mentions.groupBy(key, F.col(mention).alias("_w")).agg(F.min(order).alias("_at"))
+    per = once.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "_w"))).alias("_m"))
     j = texts.join(per, key, "left")
     blinded = F.aggregate(F.coalesce(F.col("_m"), F.array().cast(per.schema["_m"].dataType)), F.col(text),
-                          lambda acc, m: F.replace(acc, m[mention], F.lit(token)))
+                          lambda acc, m: F.replace(acc, m["_w"], F.lit(token)))
     return j.withColumn(text, blinded).drop("_m")
 
 

@@ -51,9 +51,9 @@ def score_pairs(model: LinearRegressionModel, pairs: DataFrame, name: str = "sco
 
 
 def predict_best(candidates: DataFrame, score: Column, key: str = "sample_id", text: str = "text",
-                 gold: str = "gold", metric: str = "rouge") -> tuple[DataFrame, DataFrame]:
+                 gold: str = "gold", metric: str = "rouge", **options) -> tuple[DataFrame, DataFrame]:
     """(picked, metrics): the best-scored candidate of each sample and the
     corpus metrics of the picks against their golds."""
     scored = candidates.select("*", once(score=score))
     picked = pick_best(scored, key, payload=[text, gold])
-    return picked, corpus_score(picked.select(F.col(text).alias("pred"), F.col(gold).alias("ref")), metric)
+    return picked, corpus_score(picked.select(F.col(text).alias("pred"), F.col(gold).alias("ref")), metric, **options)

@@ -13,9 +13,11 @@ from tessera.operators import evaluation as ev
 from tessera.operators import negatives as ng
 from tessera.operators import splits
 from tessera.operators.ordering import global_index
+from tessera.operators.scorer import fit_scorer, predict_best, score_pairs
 from tessera.plans import derived
 from tessera.plans import sqltext as sq
 from tessera.plans.catalog import register
+from tessera.session import cut_lineage
 from tessera.sources.tables import table
 
 R = 6
@@ -230,3 +232,32 @@ def prediction_examples(spark, sf):
     ids = global_index(ex.select("sample_id").distinct(), ["sample_id"], "guid")
     part = F.when(splits.seeded_hash("sample_id", 7) % 10 == 9, F.lit("test")).otherwise(F.lit("train"))
     return ex.join(ids, "sample_id").select("guid", part.alias("part"), "cand_rank", F.col("text").alias("candidate"), "label")
+
+
+@register("prediction_run", "C13 C6 C9 B4 A13", _LEX + """,
+pk AS (SELECT sample_id, 0 AS cand_rank, text, gold FROM (
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_rank) AS k FROM lex) WHERE k = 1), """
+          + sq.rouge_n_ctes("pk", _KEYS, "text", "gold", 1, "r1") + ", " + sq.rouge_n_ctes("pk", _KEYS, "text", "gold", 2, "r2") + f""",
+pl AS (SELECT len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m
+       FROM (SELECT {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM pk))
+SELECT 'rouge1' AS metric, round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) AS value FROM r1
+UNION ALL SELECT 'rouge2', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) FROM r2
+UNION ALL SELECT 'rougeL', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) FROM pl""")
+def prediction_run(spark, sf):
+    """Candidates of every document, the best by the lexical scorer, ROUGE of
+    the picks: the two-stage job from end to end."""
+    c = _lex_scored(spark, sf).withColumnRenamed("score", "lex")
+    return predict_best(c, F.col("lex"), stem=False)[1]
+
+
+@register("trained_scorer", "C17 C4 A8")
+def trained_scorer(spark, sf):
+    """A scorer fitted on the train part of the labelled gold examples and
+    measured on the test part: rows, mean squared error, pairs in order."""
+    gold = derived.doc_gold(spark, sf)
+    held = splits.seeded_hash("sample_id", 7) % 10 == 9
+    ex = cut_lineage(ng.split_examples({"train": gold.where(~held), "test": gold.where(held)}, "sample_id", "source", "gold", 3, 42))
+    model = fit_scorer(ex.where(F.col("part") == "train"))
+    out = score_pairs(model, ex.where(F.col("part") == "test"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.pow(F.col("score") - F.col("label"), 2)), 4).alias("mse"),
+                   F.round(F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double")), 4).alias("accuracy"))
