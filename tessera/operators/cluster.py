@@ -1,10 +1,9 @@
 """Embedding distances, threshold pairs, single-linkage components and
 entity blinding (J7 A16 C15 C16 P13 K7).
 
-Exact pairwise work is blocked: rows are hashed into B blocks and each row is
-sent to the B block pairs it belongs to, so one task handles at most two
-blocks (bounded by ``block_rows``), computes distances with numpy and emits
-only histogram bins or pairs within the threshold — never the full matrix.
+Threshold pairs are exact: vectors are dealt to the cells of pivots, those
+near a border visit the cell behind it, and cells are compared in blocks of
+bounded size with numpy; only pairs within the threshold leave a task.
 Components are found by star contraction of the threshold edges, with the
 edges checkpointed to the shared checkpoint folder each round (lineage stays
 short; a lost executor recomputes one round).
@@ -16,76 +15,100 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import global_index
 from tessera.session import cut_lineage
 
 
-def _blocked(df: DataFrame, id_col: str, vec: str, block_rows: int) -> tuple[DataFrame, int]:
-    n = df.count()  # scalar
-    blocks = max(1, math.ceil(n / block_rows))
-    b = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks))
-    rep = df.select(F.col(id_col).alias("_id"), F.col(vec).alias("_v"), b.alias("_b"),
-                    F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
-    rep = rep.select("_id", "_v", "_b", F.least("_b", "_o").alias("_p1"), F.greatest("_b", "_o").alias("_p2"))
-    return rep, blocks
-
-
-def _pair_distances(pdf: pd.DataFrame):
-    """Distances of all unordered pairs inside one block pair (float64)."""
-    p1, p2 = int(pdf["_p1"].iloc[0]), int(pdf["_p2"].iloc[0])
-    ids = pdf["_id"].to_numpy()
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_v"]]) if len(pdf) else np.zeros((0, 0))
-    blk = pdf["_b"].to_numpy()
-    if p1 == p2:
-        sel = np.nonzero(blk == p1)[0]
-        xa, ia = x[sel], ids[sel]
-        if len(ia) < 2:
-            return ia[:0], ia[:0], np.zeros(0)
-        i, j = np.triu_indices(len(ia), 1)
-        d = np.sqrt(((xa[i] - xa[j]) ** 2).sum(axis=1))
-        return np.minimum(ia[i], ia[j]), np.maximum(ia[i], ia[j]), d
-    sa, sb = np.nonzero(blk == p1)[0], np.nonzero(blk == p2)[0]
-    if len(sa) == 0 or len(sb) == 0:
-        return ids[:0], ids[:0], np.zeros(0)
-    xa, xb = x[sa], x[sb]
-    d = np.sqrt(((xa[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2))
-    ia = np.repeat(ids[sa], len(sb))
-    ib = np.tile(ids[sb], len(sa))
-    lo, hi = np.minimum(ia, ib), np.maximum(ia, ib)
-    return lo, hi, d.reshape(-1)
-
-
-def distance_histogram(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-                       width: float = 0.05, block_rows: int = 256) -> DataFrame:
-    """Counts of all pairwise Euclidean distances per bin floor(d / width)."""
-    rep, _ = _blocked(df, id_col, vec, block_rows)
-    scale = 1.0 / width
+#: Vectors a cell is meant to hold, and most cells (pivots are broadcast).
+CELL, MOST_CELLS = 1024, 2048
+
+
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+
+
+def _visits(pivots: np.ndarray, eps: float):
+    """For every vector its home (the nearest pivot's cell) and the lower
+    cells it visits: those whose border with its home is within ``eps``."""
+    gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)) if len(pivots) <= 256 else None
 
-    def hist(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, d = _pair_distances(pdf)
-        bins = np.floor(d * scale).astype(np.int64)
-        u, c = np.unique(bins, return_counts=True)
-        return pd.DataFrame({"bin": u, "n": c.astype(np.int64)})
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo:lo + 512]
+                x = _matrix(part["_v"])
+                d2 = np.maximum(0, (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T)
+                home = d2.argmin(axis=1)
+                gap = gaps[home] if gaps is not None else np.sqrt(((pivots[home][:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+                border = d2 - d2.min(axis=1, keepdims=True) <= 2 * gap * eps + 1e-6
+                near = border & (np.arange(len(pivots)) < home[:, None])
+                near[np.arange(len(x)), home] = True
+                row, cell = np.nonzero(near)
+                out = part.iloc[row].copy()
+                out["_cell"], out["_home"] = cell.astype(np.int64), cell == home[row]
+                yield out
 
-    part = rep.groupBy("_p1", "_p2").applyInPandas(hist, "bin long, n long")
-    return part.groupBy("bin").agg(F.sum("n").cast("long").alias("n"))
+    return run
 
 
 def epsilon_pairs(df: DataFrame, eps: float, id_col: str = "vec_id", vec: str = "embedding",
-                  block_rows: int = 256) -> DataFrame:
-    """All pairs (id1 < id2) with distance <= eps, exact."""
-    rep, _ = _blocked(df, id_col, vec, block_rows)
+                  block_rows: int = 1024, cell_rows: int = CELL) -> DataFrame:
+    """All pairs (id1 < id2) with distance <= eps, exact.
+
+    A vector lives in the cell of its nearest pivot.  If two vectors within
+    ``eps`` have different homes, the border between these cells (the plane
+    halfway between the pivots) separates them, so each is within ``eps`` of
+    it; the one with the higher cell visits the other's.  How many cells a
+    vector visits depends on the space around it, not on the number of rows.
+    Cells of any size are compared in blocks of bounded size.  Null vectors
+    have no pair; all vectors must have one length.
+    """
+    rows = cut_lineage(df.select(F.col(id_col).alias("_id"), F.col(vec).alias("_v")).where(F.col("_v").isNotNull()))
+    n = rows.count()
+    first = rows.orderBy(F.xxhash64("_id"), "_id").limit(max(1, min(MOST_CELLS, math.ceil(n / cell_rows)))).collect()
+    if not first:
+        return rows.select(F.col("_id").alias("id1"), F.col("_id").alias("id2"), F.lit(0.0).alias("distance"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    dealt = cut_lineage(rows.mapInPandas(_visits(_matrix([r["_v"] for r in first]), eps), f"{kinds}, _cell long, _home boolean"))
+    sizes = dealt.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))  # a row per cell
+    dealt = dealt.join(F.broadcast(sizes), "_cell").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    # home rows of block i meet home rows of blocks j >= i and visitors of every block
+    at, every = F.col("_block"), F.sequence(F.lit(0), F.col("_blocks") - 1)
+    left = F.transform(every, lambda j: F.struct(at.alias("_bi"), j.alias("_bj")))
+    right = F.transform(every, lambda i: F.struct(i.alias("_bi"), at.alias("_bj")))
+    places = F.when(F.col("_home"), F.array_union(left, F.filter(right, lambda p: p["_bi"] <= p["_bj"]))).otherwise(right)
+    spread = dealt.select("*", F.inline(places)).drop("_blocks")
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _pair_distances(pdf)
+        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
+        ids, x = pdf["_id"].to_numpy(), _matrix(pdf["_v"])
+        home, blk = pdf["_home"].to_numpy(bool), pdf["_block"].to_numpy()
+        a = np.flatnonzero(home & (blk == bi))
+        b = np.flatnonzero((blk == bj) & (~home | (bi <= bj)))
+        sq = (x * x).sum(axis=1)
+        close = sq[a][:, None] + sq[b][None, :] - 2 * x[a] @ x[b].T <= eps * eps + 1e-6 * (1 + eps * eps)
+        if bi == bj:
+            close &= ~(home[b][None, :] & (a[:, None] >= b[None, :]))
+        i, j = np.nonzero(close)
+        i, j = a[i], b[j]
+        d = np.concatenate([np.sqrt(((x[i[k:k + 8192]] - x[j[k:k + 8192]]) ** 2).sum(axis=1)) for k in range(0, len(i), 8192)] or [np.zeros(0)])
         keep = d <= eps
-        return pd.DataFrame({"id1": a[keep].astype(np.int64), "id2": b[keep].astype(np.int64),
-                             "distance": d[keep]})
+        p, q = ids[i[keep]], ids[j[keep]]
+        return pd.DataFrame({"id1": np.minimum(p, q), "id2": np.maximum(p, q), "distance": d[keep]})
+
+    return spread.groupBy("_cell", "_bi", "_bj").applyInPandas(near, "id1 long, id2 long, distance double")
 
-    return rep.groupBy("_p1", "_p2").applyInPandas(near, "id1 long, id2 long, distance double")
+
+def distance_histogram(df: DataFrame, eps: float, id_col: str = "vec_id", vec: str = "embedding",
+                       width: float = 0.05) -> DataFrame:
+    """Counts of the pairwise Euclidean distances up to ``eps`` per bin
+    floor(d / width), over the exact threshold pairs."""
+    scale = 1.0 / width
+    return epsilon_pairs(df, eps, id_col, vec).groupBy(F.floor(F.col("distance") * scale).cast("long").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def _edge_state(edges: DataFrame) -> tuple:

@@ -21,10 +21,10 @@ def _emb(spark, sf):
     return spread(table(spark, sf, "embeddings", ["vec_id", "embedding"]), "vec_id")
 
 
-@register("distance_histogram", "J7 A16", _DIST + """
-SELECT CAST(floor(distance * 20.0) AS BIGINT) AS bin, count(*) AS n FROM d GROUP BY ALL""")
+@register("distance_histogram", "J7 A16", _DIST + f"""
+SELECT CAST(floor(distance * 20.0) AS BIGINT) AS bin, count(*) AS n FROM d WHERE distance <= {EPS} GROUP BY ALL""")
 def distance_histogram(spark, sf):
-    return cl.distance_histogram(_emb(spark, sf), width=0.05)
+    return cl.distance_histogram(_emb(spark, sf), EPS, width=0.05)
 
 
 @register("epsilon_pairs", "J7", _DIST + f"""

@@ -160,6 +160,20 @@ def test_components_match_union_find(spark):
         assert comp[i] == min(members)
 
 
+def test_epsilon_pairs_for_any_cells_and_blocks(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(150, 3)) * .05, np.zeros((5, 3))])
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))] + [(999, None)], "vec_id long, embedding array<double>")
+    for eps in (0.0, 0.3, 1.0):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        want = sorted((i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= eps)
+        for cell, block in ((1000, 1000), (20, 7), (3, 50)):
+            got = sorted((r.id1, r.id2) for r in cl.epsilon_pairs(df, eps, block_rows=block, cell_rows=cell).collect())
+            assert got == want
+    assert cl.epsilon_pairs(df.limit(0), 1.0).count() == 0
+
+
 def test_blind_mentions_and_entity_filter(spark):
     texts = spark.createDataFrame([(1, "flu and flu cold"), (2, "none")], "doc_id long, text string")
     ments = spark.createDataFrame([(1, 0, "flu", 0.95), (1, 1, "cold", 0.5)],
