@@ -17,4 +17,10 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 
-ORACLE = {"op8_licenses": licenses.ORACLE_SQL}
+ORACLE = {
+    "op2_length_buckets": packing.ORACLE_SQL,
+    "op5_embeddings": embeddings.ORACLE_SQL,
+    "op6_quality": quality.ORACLE_SQL,
+    "op8_licenses": licenses.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
+}

@@ -96,3 +96,29 @@ def batch_rows(packed: DataFrame, docs: DataFrame, key: str = "doc_id", text: st
 
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM documents),
+e AS (SELECT *, CAST(pow(2, greatest(CASE WHEN n = 0 THEN 1 ELSE floor(log2(n)) + 1 END - 7, 0)) AS BIGINT) AS unit FROM d),
+g AS (SELECT doc_id, n, ((n + unit - 1) // unit) * unit AS grid FROM e),
+h AS (SELECT grid AS w, count(*) AS c, row_number() OVER (ORDER BY grid) AS j FROM g GROUP BY grid),
+b AS (SELECT j, w, sum(c) OVER (ORDER BY j) AS below FROM h),
+dp(k, j, below, cost, widths) AS (
+  SELECT 0, CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT x.k + 1, x.j, x.b_below, x.cost, x.widths FROM (
+    SELECT dp.k, b.j, b.below AS b_below, dp.cost + b.w * (b.below - dp.below) AS cost, list_append(dp.widths, b.w) AS widths,
+           row_number() OVER (PARTITION BY b.j ORDER BY dp.cost + b.w * (b.below - dp.below), dp.j) AS r
+    FROM dp JOIN b ON b.j > dp.j WHERE dp.k < 8) x WHERE x.r = 1),
+best AS (SELECT widths FROM dp WHERE j = (SELECT max(j) FROM b) ORDER BY cost, k LIMIT 1),
+bk AS (SELECT unnest(widths) AS width, generate_subscripts(widths, 1) - 1 AS bucket FROM best),
+a AS (SELECT doc_id, n, bucket, width, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS slot,
+             greatest(1, 16384 // greatest(width, 1)) AS per
+      FROM (SELECT g.*, bk.bucket, bk.width, row_number() OVER (PARTITION BY g.doc_id ORDER BY bk.width) AS r FROM g JOIN bk ON bk.width >= g.grid) WHERE r = 1),
+o AS (SELECT bucket, sum(nb) OVER (ORDER BY bucket) - nb AS first FROM (
+  SELECT bucket, CAST(ceil(count(*) / any_value(per)) AS BIGINT) AS nb FROM a GROUP BY bucket))
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(bucket AS INT) AS bucket, CAST(width AS BIGINT) AS width,
+       CAST(first + slot // per AS BIGINT) AS batch_id, CAST(slot % per AS INT) AS batch_slot, CAST(width - n AS BIGINT) AS pad_tokens
+FROM a JOIN o USING (bucket)"""

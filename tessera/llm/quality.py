@@ -213,4 +213,54 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.select("doc_id", *BASE, "base_failed", "kept", "p_good")
+    return found.select("doc_id", *BASE, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+def _sql(rounds: int = 25) -> str:
+    """The same with windows as strings, and the estimation as a recursion
+    over one row of rates."""
+    def vote(r: Rule) -> str:
+        x = f"(CAST({r.part} AS DOUBLE) / {'1' if r.whole is None else f'nullif({r.whole}, 0)'})"
+        high = "TRUE" if r.high == float("inf") else f"{x} <= {r.high}"
+        bad = f"{x} < {r.bad_low}" + ("" if r.bad_high == float("inf") else f" OR {x} > {r.bad_high}")
+        return f"CASE WHEN {bad} THEN -1 WHEN {x} >= {r.low} AND {high} THEN 1 ELSE 0 END"
+
+    n = range(len(RULES))
+    def logs(side: str) -> str:
+        return " + ".join(f"(CASE WHEN v{j} < 0 THEN ln({side}{j}) WHEN v{j} > 0 THEN ln(1 - {side}{j}) ELSE 0 END)" for j in n)
+
+    posterior = f"1 / (1 + exp(least(({logs('b')}) + ln(1 - share) - ({logs('g')}) - ln(share), 700)))"
+    def rate(j: int, weight: str, bad: float, both: float) -> str:
+        return (f"(sum(CASE WHEN v{j} < 0 THEN {weight} ELSE 0 END) + {bad}) / (sum(CASE WHEN v{j} <> 0 THEN {weight} ELSE 0 END) + {both})")
+
+    new = ", ".join([f"(sum(n * p) + 9) / (sum(n) + 10)", *[rate(j, "n * p", 0.1, 10) for j in n], *[rate(j, "n * (1 - p)", 3, 10) for j in n]])
+    names = ", ".join(["share", *[f"g{j}" for j in n], *[f"b{j}" for j in n]])
+    start = ", ".join(["0.9::DOUBLE", *["0.01::DOUBLE" for _ in n], *["0.3::DOUBLE" for _ in n]])
+    votes = ", ".join(f"v{j}" for j in n)
+    ws = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{ws}+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: {{'p': i, 's': array_to_string(w[i:i + 7], ' ')}})) AS x FROM t WHERE len(w) > 8),
+twice AS (SELECT doc_id, x.p AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x.s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 8)) AS q FROM twice) GROUP BY doc_id),
+f AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(cov.c, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
+    length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs,
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS n_bare,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echoes
+  FROM t LEFT JOIN cov USING (doc_id)),
+v AS (SELECT *, {', '.join(f'{vote(r)} AS v{j}' for j, r in enumerate(RULES))} FROM f),
+pat AS (SELECT {votes}, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY ALL),
+em(it, {names}) AS (SELECT 0, {start} UNION ALL
+  SELECT it + 1, {new} FROM (SELECT *, {posterior} AS p FROM em, pat WHERE it < {rounds}) GROUP BY it),
+post AS (SELECT {votes}, {posterior} AS p FROM pat, em WHERE it = {rounds}),
+j AS (SELECT v.*, p, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM v JOIN post USING ({votes}))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       failed AS base_failed, NOT failed AND p >= 0.5 AS kept, round(p, 6) AS p_good FROM j"""
+
+
+ORACLE_SQL = _sql()

@@ -231,3 +231,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(read(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     return read_archives(spark, path).withColumnRenamed("key", "page_id")
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, lower(sha1(coalesce(html, ''))) AS digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND top > page_id THEN top END AS refers_to
+FROM m"""
