@@ -62,14 +62,16 @@ def summary_lcs_hits(ref_sents, pred_sents) -> int:
     pred_counts = Counter(t for s in pred_sents for t in s)
     number: dict[str, int] = {}
     as_numbers = lambda ts: np.array([number.setdefault(t, len(number)) for t in ts], np.int64)
-    pred_numbers = [as_numbers(p) for p in pred_sents]
+    pred_numbers = [(as_numbers(p), set(p)) for p in pred_sents]
     hits = 0
     for r in ref_sents:
         union: set[int] = set()
         own = as_numbers(r)
-        for p in pred_numbers:
-            if len(own) and len(p):
-                union.update(lcs_positions(own, p))
+        for p, tokens in pred_numbers:
+            # a token of the reference that isn't in the prediction never matches and doesn't turn the walk
+            some = [i for i, t in enumerate(r) if t in tokens]
+            if some:
+                union.update(some[i] for i in lcs_positions(own[some], p))
         for idx in sorted(union):
             tok = r[idx]
             if ref_counts[tok] > 0 and pred_counts[tok] > 0:

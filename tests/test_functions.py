@@ -33,6 +33,25 @@ def test_lcs_walk_steps_in_the_reference_on_ties():
     assert lcs_positions(np.array(list("abc")), np.array(list("cab"))) == [0, 1]
 
 
+def test_summary_lcs_against_full_tables():
+    rng = random.Random(3)
+    for _ in range(200):
+        ref, pred = [[[rng.choice("abcdef") for _ in range(rng.randint(0, 8))] for _ in range(rng.randint(0, 3))] for _ in range(2)]
+        left, right = Counter(t for s in ref for t in s), Counter(t for s in pred for t in s)
+        hits = 0
+        for r in ref:
+            union = set()
+            for p in pred:
+                if r and p:
+                    union.update(lcs_positions(np.array(r), np.array(p)))
+            for i in sorted(union):
+                if left[r[i]] > 0 and right[r[i]] > 0:
+                    hits += 1
+                    left[r[i]] -= 1
+                    right[r[i]] -= 1
+        assert summary_lcs_hits(ref, pred) == hits
+
+
 def test_summary_lcs_by_hand():
     # union over both sentences: w1 w2 from the first, w1 w3 w5 from the second
     ref, pred = ["w1 w2 w3 w4 w5".split()], ["w1 w2 w6 w7 w8".split(), "w1 w3 w8 w9 w5".split()]
