@@ -112,7 +112,7 @@ def normalize_text(col, remove_diacritics: bool = True) -> Column:
     """Score-time normalisation: ASCII punctuation, no control characters,
     one space around punctuation runs collapsed, optional diacritic removal."""
     x = F.translate(_c(col), NORM_PUNCT_FROM, NORM_PUNCT_TO)
-    x = F.regexp_replace(x, r"\p{Cc}", " ")
+    x = F.regexp_replace(x, r"[\p{Cc}\p{Cf}\p{Co}]", " ")
     if remove_diacritics:
         x = F.translate(x, DIACRITICS_FROM, DIACRITICS_TO)
     x = F.regexp_replace(x, r" +([.,!?;:])", "$1")

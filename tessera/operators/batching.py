@@ -18,6 +18,11 @@ from tessera.operators.splits import seeded_hash
 from tessera.session import cut_lineage
 
 
+def pair_length(source: Column, target: Column | None = None) -> Column:
+    """The length that batches a pair: its source's, or the longer side's."""
+    return source if target is None else F.greatest(source, target)
+
+
 def length_batches(df: DataFrame, id_col: str, length: str, bs: int) -> DataFrame:
     """Sort by length descending (id breaks ties), cut every ``bs`` rows."""
     idx = global_index(df, [F.col(length).desc(), F.col(id_col)], "_i")

@@ -89,9 +89,12 @@ def bootstrap_rouge(pairs: DataFrame, key: str, pred: str = "pred", ref: str = "
 
 
 def corpus_bleu(pairs: DataFrame, pred: str = "pred", ref: str = "ref", smooth: str = "exp",
-                tokenizer: str = "13a") -> DataFrame:
-    """Sum clipped matches / totals / lengths over rows, then the closed form."""
+                tokenizer: str = "13a", normalize: bool = False) -> DataFrame:
+    """Sum clipped matches / totals / lengths over rows, then the closed form;
+    with ``normalize`` both sides are normalised first."""
     from tessera.functions import text as tx
+    if normalize:
+        pairs = pairs.select(tx.normalize_text(pred).alias(pred), tx.normalize_text(ref).alias(ref))
     tok = bl.tokens_13a if tokenizer == "13a" else tx.ws_tokens
     stats = pairs.select(bl.bleu_stats(tok(pred), tok(ref)).alias("s")).select("s.*")
     sums = stats.agg(*[F.sum(c).cast("long").alias(c) for c in stats.columns])

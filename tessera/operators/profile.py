@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.arrays import distinct_overlap_ratio
 from tessera.operators.ordering import exact_quantiles
+from tessera.session import cut_lineage
 
 R = 6
 
@@ -18,7 +19,9 @@ R = 6
 def collapse_rare(df: DataFrame, col: str, threshold: int, out: str) -> DataFrame:
     """Replace categories seen at most ``threshold`` times (inclusive) by
     ``<rare>``.  Counts are a partial aggregate joined back (AQE broadcasts
-    the count table when it is small, shuffles it otherwise)."""
+    the count table when it is small, shuffles it otherwise); the rows, which
+    should be narrow, are written once for both sides."""
+    df = cut_lineage(df)
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
     return (df.join(counts, col, "left")
               .withColumn(out, F.when(F.col("_n") <= threshold, F.lit(tx.RARE_LABEL))
@@ -27,16 +30,18 @@ def collapse_rare(df: DataFrame, col: str, threshold: int, out: str) -> DataFram
 
 
 def category_counts(df: DataFrame, col: str) -> DataFrame:
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()  # one scalar to the driver
-    return counts.withColumn("share", F.round(F.col("n") / F.lit(total), R))
+    counts = cut_lineage(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")))
+    total = F.broadcast(counts.agg(F.sum("n").alias("_total")))  # one row
+    return counts.crossJoin(total).select(col, "n", F.round(F.col("n") / F.col("_total"), R).alias("share"))
 
 
 def numeric_profile(df: DataFrame, value: str, probs: dict[str, float],
                     group: Sequence[str] = (), prefix: str = "v", count_name: str = "n",
                     with_minmax_round: bool = False) -> DataFrame:
-    """count, min, max, mean and exact linear quantiles per group."""
+    """count, min, max, mean and exact linear quantiles per group.  The values
+    are written once; ordering and counting read them from there."""
     group = list(group)
+    df = cut_lineage(df.select(*group, value))
     mn, mx = F.min(value), F.max(value)
     if with_minmax_round:
         mn, mx = F.round(mn, R), F.round(mx, R)
@@ -47,9 +52,7 @@ def numeric_profile(df: DataFrame, value: str, probs: dict[str, float],
     q = q.select(*group, *[F.round(k, R).alias(k) for k in probs])
     if group:
         return basic.join(q, group)
-    # both sides are a single row: attach the quantiles as scalars
-    row = q.first()
-    return basic.select("*", *[F.lit(row[k] if row else None).cast("double").alias(k) for k in probs])
+    return basic.join(F.broadcast(q), F.lit(True), "left")  # a row each
 
 
 def target_source_overlap(pairs: DataFrame, keys: Sequence[str], source: str = "source",

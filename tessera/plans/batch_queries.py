@@ -9,12 +9,14 @@ from tessera.operators import batching as bt
 from tessera.plans import derived
 from tessera.plans import sqltext as sq
 from tessera.plans.catalog import register
+from tessera.session import cut_lineage
 
 _NW = f"""WITH d AS (SELECT doc_id, len({sq.ws_tokens('text')}) AS n_words FROM documents)"""
 
 
 def _nw(spark, sf):
-    return derived.documents(spark, sf).select("doc_id", tx.word_count("text").alias("n_words"))
+    """Ids and lengths, written once: ordering samples its input first."""
+    return cut_lineage(derived.documents(spark, sf).select("doc_id", tx.word_count("text").alias("n_words")))
 
 
 @register("length_batches", "W8", _NW + """
@@ -97,7 +99,7 @@ FROM b LEFT JOIN k USING (batch_id)""")
 def trim_batch(spark, sf):
     """Batches of eight by length; two of three rows are padded on the left,
     so a batch without a row that starts at once has all-pad columns in front."""
-    g = derived.doc_gold(spark, sf).select("sample_id", tx.alnum_tokens("gold").alias("tok"))
+    g = cut_lineage(derived.doc_gold(spark, sf).select("sample_id", tx.alnum_tokens("gold").alias("tok")))
     batched = bt.length_batches(g.withColumn("n", F.size("tok")), "sample_id", "n", 8)
     left = F.concat(F.array(F.lit("<pad>"), F.lit("<pad>")), F.col("tok"))
     padded = batched.withColumn("tok", F.when(F.col("sample_id") % 3 == 0, F.col("tok")).otherwise(left))

@@ -21,7 +21,7 @@ _KEYS = ["sample_id", "cand_rank"]
 SELECT doc_id, line_no, (o // 5) AS sample_id, (o % 5) AS cand_rank FROM (
   SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS o FROM doc_lines)""")
 def candidate_ids(spark, sf):
-    return cd.number_flat_candidates(derived.doc_lines(spark, sf).select("doc_id", "line_no"),
+    return cd.number_flat_candidates(cd.materialize(derived.doc_lines(spark, sf), ["doc_id", "line_no"]),
                                      ["doc_id", "line_no"], per_sample=5)
 
 

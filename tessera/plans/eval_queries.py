@@ -190,7 +190,7 @@ negs AS (SELECT q.sample_id, q.j, pool.sample_id AS neg_id FROM q JOIN pool ON p
 
 @register("negative_sampling", "J6 T7 F7", _NEG_SQL + "\nSELECT sample_id, j, neg_id FROM negs")
 def negative_sampling(spark, sf):
-    gold = derived.doc_gold(spark, sf).select("sample_id", "gold")
+    gold = cut_lineage(derived.doc_gold(spark, sf).select("sample_id", "gold"))
     return ng.sample_negatives(gold, "sample_id", "gold", 3, 42).select(
         "sample_id", "j", F.col("neg_key").alias("neg_id"))
 

@@ -68,3 +68,8 @@ def test_attach_gold_reports_a_missing_id(spark):
 def test_mean_length(spark):
     df = spark.createDataFrame([(["a", "<pad>"],), (["a", "b", "c"],)], "t array<string>")
     assert mt.mean_length(df, "t", "<pad>").first().gen_len == 2.0
+
+
+def test_bleu_of_normalised_texts(spark):
+    df = spark.createDataFrame([("\u201ea\u201d b\u200b c \u0219i d", '"a" b c si d')], "pred string, ref string")
+    assert mt.corpus_bleu(df, normalize=True).first().bleu == 100.0 > mt.corpus_bleu(df).first().bleu
