@@ -108,7 +108,7 @@ def tokens_13a(x: str) -> str:
 def normalize(x: str) -> str:
     from tessera.functions import text as tx
     y = f"translate({x}, '{tx.NORM_PUNCT_FROM.replace(chr(39), chr(39) * 2)}', '{tx.NORM_PUNCT_TO.replace(chr(39), chr(39) * 2)}')"
-    y = f"regexp_replace({y}, '[[\\p{{Cc}}\\p{{Cf}}\\p{{Co}}]\\p{{Cf}}\\p{{Co}}]', ' ', 'g')"
+    y = f"regexp_replace({y}, '[\\p{{Cc}}\\p{{Cf}}\\p{{Co}}]', ' ', 'g')"
     y = f"translate({y}, '{tx.DIACRITICS_FROM}', '{tx.DIACRITICS_TO}')"
     y = f"regexp_replace({y}, ' +([.,!?;:])', '\\1', 'g')"
     y = f"regexp_replace({y}, '{WS}+', ' ', 'g')"
