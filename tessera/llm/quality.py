@@ -187,7 +187,8 @@ def judged(texts: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _with_figures(docs: DataFrame, text: str, *carried: Column) -> DataFrame:
-    rows = docs.select(*carried, figures(F.col(text)).alias("_figures")).select("*", "_figures.*").drop("_figures")
+    # generated, not projected: a filter on a figure would else take all of them again
+    rows = docs.select(*carried, F.inline(F.array(figures(F.col(text)))))
     return rows.withColumn("_code", vote_code())
 
 
