@@ -8,12 +8,15 @@ that context hasn't seen it, an escape is paid (as many pseudo-counts as the
 context has distinct symbols) and the next shorter context predicts it among
 the symbols not yet excluded.  Below order 0 the remaining byte values are
 equally likely.  As the trie is nested (what a context has seen, its shorter
-ones have), each context's exclusions are one number, and scoring is a few
-table look-ups for each byte, in numpy.
+ones have), each context's exclusions are one number.
 
-The trie is broadcast, so its size is bounded: an order keeps the entries of
-at least the smallest power-of-two count that leaves ``most`` of them (no
-entry goes while they fit), and what is left out is reached by escapes.
+The trie grows with the corpus and stays in Spark.  A symbol's probability
+depends on nothing but the string of its longest context and itself, so it is
+worked out once for each distinct string of the texts, by joins of each order
+with the next shorter one: a string extends its shorter form by one byte, so
+no key of these joins or sums has more than 257 rows.  The most frequent
+strings are broadcast with their probabilities; all other strings of a text
+meet theirs in a join, and no entry of the trie is left out.
 
 Beside the score stands a unigram word model with add-one smoothing.  The
 words' counts grow with the corpus, so only words with a fixed share of all
@@ -28,14 +31,14 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import cut_lineage, read, small_batches
 from tessera.llm.simhash import word_runs
 
 ORDER = 5
-#: Entries of an order of the trie at most.
+#: Strings that are broadcast with their probabilities; the others are joined.
 MOST = 1 << 20
 #: A word with one in so many training tokens is broadcast; no more than that many words can be.
 SHARE = 1 << 16
@@ -44,6 +47,8 @@ END = b"\xff"
 _EMPTY = np.uint64(2**64 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 18
+#: White space: no word starts with it.
+_MARK = b"\t"
 
 
 def held_out(key: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -97,9 +102,12 @@ def _counted(order: int, most: int = 1 << 21):
     def run(batches):
         parts, held = [], 0
         for batch in batches:
-            for keys, _ in framed((t.as_py() for t in batch.column(0)), order, 1 << 20):
-                parts.append(np.unique(keys, return_counts=True))
-                held += len(parts[-1][0])
+            asked = np.array(batch.column(1)) if batch.num_columns > 1 else np.zeros(batch.num_rows, bool)
+            for keys, who in framed((t.as_py() for t in batch.column(0)), order, 1 << 20):
+                learned = ~asked[who]
+                parts.append(np.unique(keys[learned], return_counts=True))
+                parts.append((rest := np.unique(keys[~learned]), np.zeros(len(rest), np.int64)))
+                held += len(parts[-2][0]) + len(rest)
                 if held > most:
                     parts = [_merged(parts)]
                     held = len(parts[0][0])
@@ -116,8 +124,9 @@ def _counted(order: int, most: int = 1 << 21):
 
 
 def gathered(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, n: counts of all strings of ``order`` bytes and a symbol."""
-    return texts.select("_text").mapInArrow(_counted(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    """key, n: counts of all strings of ``order`` bytes and a symbol; texts
+    whose ``_held_out`` is true add their strings, but count nothing."""
+    return texts.select("_text", *[c for c in texts.columns if c == "_held_out"]).mapInArrow(_counted(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 # --------------------------------- the trie ---------------------------------
@@ -159,8 +168,9 @@ class Table:
 
 
 class Trie:
-    """The model: for each order the entries (context and symbol) and the
-    contexts, with what escapes and exclusions need."""
+    """A trie in memory: for each order the entries (context and symbol) and
+    the contexts, with what escapes and exclusions need.  Only for counts of
+    a known size; ``lm_scores`` takes ``logged``."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """levels: for each order from 0 sorted keys and their counts; every
@@ -209,8 +219,8 @@ class Trie:
 
 
 def fit(counts: DataFrame, order: int = ORDER, most: int = MOST) -> Trie:
-    """The trie of ``gathered`` counts.  All orders are summed in Spark; the
-    driver gets ``most`` entries of each at most."""
+    """The trie in memory of ``gathered`` counts, cut to ``most`` entries of
+    each order by power-of-two counts: not the whole model beyond that."""
     levels, least = [], 1
     for j in range(order + 1):
         own = counts if j == order else counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
@@ -227,6 +237,49 @@ def fit(counts: DataFrame, order: int = ORDER, most: int = MOST) -> Trie:
     return Trie(levels)
 
 
+def logged(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, n, logp: log10 probability of the symbol of each string of
+    ``gathered`` counts, whole for any number of strings."""
+    levels = [counts.select("key", "n")]
+    for j in range(order - 1, -1, -1):
+        short = F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
+        levels.append(cut_lineage(levels[-1].groupBy(short.alias("key")).agg(F.sum("n").alias("n"))))
+    lower = None
+    for j, level in enumerate(reversed(levels)):
+        seen, rows = F.col("n") > 0, level
+        if j:
+            names = [F.col(c).alias(f"_{c}") for c in ("key", "n", "total", "kinds", "rest")]
+            rows = level.join(lower.select(*names), F.col("key").bitwiseAND(F.lit((1 << 8 * j) - 1)) == F.col("_key"))
+        context = Window.partitionBy(F.shiftright("key", 8))
+        covered = F.sum(F.when(seen, F.col("_n")).otherwise(0)).over(context) if j else F.lit(0)
+        rows = rows.select("*", F.sum("n").over(context).alias("total"), F.sum(seen.cast("long")).over(context).alias("kinds"), covered.alias("covered"))
+        if j:  # a miss here: the shorter context predicts or escapes, without the symbols seen here
+            new = F.col("_kinds") - F.col("kinds")
+            left = F.col("_total") - F.col("covered") + new
+            rest = (F.when(F.col("_n") > 0, F.log10(F.col("_n") / left))
+                    .when(left > 0, F.log10(new / left) + F.col("_rest")).otherwise(F.col("_rest")))
+        else:
+            rest = -F.log10(F.lit(256) - F.col("kinds"))
+        lower = rows.select("key", "n", "total", "kinds", F.when(~seen, rest).alias("rest"))
+    left = F.col("total") + F.col("kinds")
+    return lower.select("key", "n", F.when(F.col("n") > 0, F.log10(F.col("n") / left))
+                        .when(left > 0, F.log10(F.col("kinds") / left) + F.col("rest")).otherwise(F.col("rest")).alias("logp"))
+
+
+def frequent(strings: DataFrame, most: int = MOST) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys and log10 probabilities of the strings with at least the smallest
+    power-of-two count that leaves ``most`` of them, and that count."""
+    band = F.when(F.col("n") > 0, F.length(F.bin("n"))).otherwise(0)
+    sizes = {r["b"]: r["c"] for r in strings.groupBy(band.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    b, held = 64, 0
+    while b >= 0 and held + sizes.get(b, 0) <= most:
+        held += sizes.get(b, 0)
+        b -= 1
+    least = 1 << b if b >= 0 else 0
+    rows = strings.where(F.col("n") >= least).select("key", "logp").toArrow()
+    return rows["key"].to_numpy().view(np.uint64), rows["logp"].to_numpy(), least
+
+
 # -------------------------------- word counts -------------------------------
 
 def _word_counts(batches, most: int = 200_000):
@@ -255,23 +308,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
 SCORED = "row long, key {key}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long"
 
 
-def _scored(trie, common, order: int, key_type: pa.DataType):
-    """For each text a row of its figures over broadcast words, and a row for
-    each other word of it."""
+def _scored(strings, common, order: int, key_type: pa.DataType):
+    """For each text a row of its figures over broadcast words and strings,
+    and a row for each other word and string of it.  A string is joined as
+    _MARK and its eight bytes."""
     fields = [("row", pa.int64()), ("key", key_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
               ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int64())]
     names = [n for n, _ in fields]
 
     def run(batches):
-        model, known_words = trie.value, common.value
+        (keys, logp), known_words = strings.value, common.value
+        table = Table(keys)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = [t.as_py() for t in batch.column("_text")]
-            scores = np.zeros(len(texts))
+            scores, ids, tokens, known, base, rare = np.zeros(len(texts)), [], [], [], [], ([], [], [])
             for keys, who in framed(texts, order):
-                np.add.at(scores, who[first := np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))],
-                          np.add.reduceat(model.scores(keys), first))
-            ids, tokens, known, base, rare = [], [], [], [], ([], [], [])
+                at = table.find(keys)
+                scores += np.bincount(who, np.where(at >= 0, logp[at] if len(logp) else 0.0, 0.0), len(texts))
+                if (at < 0).any():
+                    yield _unknown(keys[at < 0], row + who[at < 0])
             for text in texts:
                 end = known_words.get(b"")
                 n_tokens, n_known, total = 1, int(end is not None), end or 0.0
@@ -299,6 +355,17 @@ def _scored(trie, common, order: int, key_type: pa.DataType):
                 empty = [pa.nulls(len(ids), t) for _, t in fields[1:7]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *empty, pa.array(words, pa.binary()), pa.array(n, pa.int64())], names)
 
+    def _unknown(keys, rows):
+        at = np.lexsort((keys, rows))
+        keys, rows = keys[at], rows[at]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]))
+        n = np.diff(np.append(first, len(keys)))
+        marked = np.empty((len(first), 9), np.uint8)
+        marked[:, 0], marked[:, 1:] = _MARK[0], keys[first].astype(">u8").view(np.uint8).reshape(-1, 8)
+        words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.arange(0, 9 * len(first) + 1, 9, dtype=np.int32)), pa.py_buffer(marked)])
+        empty = [pa.nulls(len(first), t) for _, t in fields[1:7]]
+        return pa.RecordBatch.from_arrays([pa.array(rows[first]), *empty, words, pa.array(n.astype(np.int64))], names)
+
     return run
 
 
@@ -324,15 +391,20 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: i
     texts = _texts(docs, text, F.col(key).alias("_key"), out.alias("_held_out"))
     train = texts.where(~F.col("_held_out"))
     counts = cut_lineage(word_counts(train))
+    strings = cut_lineage(logged(cut_lineage(gathered(texts, order)), order))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # the end of a text is in every text: never left to the join
     common = {bytes(r["word"]): float(np.log10(r["c"] + 1)) for r in counts.where((F.col("c") * share >= n) | (F.length("word") == 0)).toLocalIterator()}
-    trie = fit(cut_lineage(gathered(train, order)), order, most)
+    keys, logp, least = frequent(strings, most)
+    met = counts.withColumn("logp", F.lit(None).cast("double"))
+    if least:  # strings that aren't broadcast
+        marked = F.concat(F.lit(_MARK), F.unhex(F.lpad(F.hex("key"), 16, "0")))
+        met = met.unionByName(strings.where(F.col("n") < least).select(marked.alias("word"), F.lit(None).cast("long").alias("c"), "logp"))
     sc = spark.sparkContext
     field = texts.select("_key").schema["_key"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
-    scored = texts.mapInArrow(_scored(sc.broadcast(trie), sc.broadcast(common), order, to_arrow_type(field)), SCORED.format(key=field.simpleString()))
-    found = scored.join(counts, "word", "left")
+    scored = texts.mapInArrow(_scored(sc.broadcast((keys, logp)), sc.broadcast(common), order, to_arrow_type(field)), SCORED.format(key=field.simpleString()))
+    found = scored.join(met, "word", "left")
     known = F.col("c").isNotNull()
     sums = found.groupBy("row").agg(
         F.max("key").alias(key), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
@@ -340,7 +412,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: i
         F.lit(n).cast("long").alias("train_tokens"),
         (F.max("base") + F.coalesce(F.sum(F.when(known, F.col("n") * F.log10(F.col("c") + 1.0))), F.lit(0.0))
          - F.max("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        F.max("score").alias("score"))
+        (F.max("score") + F.coalesce(F.sum(F.col("n") * F.col("logp")), F.lit(0.0))).alias("score"))
     return sums.drop("row")
 
 

@@ -82,6 +82,13 @@ def test_against_plain_python(spark):
     check(df, rows, 2, share=20)
 
 
+def test_strings_beyond_the_broadcast(spark):
+    rows = sample()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for order, most in ((4, 60), (3, 0), (0, 5), (5, 700)):
+        check(df, rows, order, most=most)
+
+
 def test_no_training_and_empty(spark):
     assert lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     keys = [k for k in range(100) if is_out(k)][:3]
