@@ -47,6 +47,19 @@ SENTENCES = {
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-free-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    # the same notices as BREAK cuts them, at a colon, semicolon or "v. "
+    "gpl-program": "this program is free software",
+    "gpl-3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-either-3": "either version 3 of the license or at your option any later version",
+    "gpl-either-2": "either version 2 of the license or at your option any later version",
+    "gpl-version-3": "version 3 of the license",
+    "gpl-version-2": "version 2 of the license",
+    "gpl-useful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-even": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mpl-2-terms-v": "this source code form is subject to the terms of the mozilla public license v",
+    "apache-2-url": "http www apache org licenses license 2.0",
     "gpl-details": "see the gnu general public license for more details",
     "gpl-received": "you should have received a copy of the gnu general public license along with this program",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -64,6 +77,18 @@ SENTENCES = {
 
 #: (licence, identifiers in order); the first rule that matches claims the sentences.
 RULES = (
+    ("Apache-2.0", ("apache-2-the-license", "apache-2-compliance", "apache-2-copy", "apache-2-url", "apache-2-as-is", "apache-2-see")),
+    ("GPL-3.0-or-later", ("gpl-program", "gpl-3-terms", "gpl-useful", "gpl-even", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl-program", "gpl-2-terms", "gpl-useful", "gpl-even", "gpl-details")),
+    ("GPL-3.0-or-later", ("gpl-program", "gpl-terms", "gpl-either-3", "gpl-useful", "gpl-even", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl-program", "gpl-terms", "gpl-either-2", "gpl-useful", "gpl-even", "gpl-details")),
+    ("GPL-3.0-or-later", ("gpl-3-terms",)),
+    ("GPL-2.0-or-later", ("gpl-2-terms",)),
+    ("GPL-3.0-or-later", ("gpl-terms", "gpl-either-3")),
+    ("GPL-2.0-or-later", ("gpl-terms", "gpl-either-2")),
+    ("GPL-3.0-only", ("gpl-terms", "gpl-version-3")),
+    ("GPL-2.0-only", ("gpl-terms", "gpl-version-2")),
+    ("MPL-2.0", ("mpl-2-terms-v",)),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
@@ -105,8 +130,9 @@ RULES = (
 
 _SPACE = r"[\x20\x09-\x0D]"
 #: A sentence ends at a mark that white space or the end follows, at a colon
-#: or semicolon before white space, and at an empty line.
-BREAK = rf"[.!?]+({_SPACE}+|$)|[:;]{_SPACE}+|\n{_SPACE}*\n"
+#: or semicolon before white space, and at an empty line; the number of a list
+#: item that follows is no sentence of its own.
+BREAK = rf"([.!?]+({_SPACE}+|$)|[:;]{_SPACE}+|\n{_SPACE}*\n)({_SPACE}*\(?[0-9]{{1,2}}[.)]{_SPACE}+)?"
 #: Each known sentence holds one of these; a text without any has none of them.
 HINTS = ("licens", "redistribution", "permission", "reserved", "cc0", "software", "warranty")
 # the same text for Java's and for RE2's regular expressions
