@@ -65,17 +65,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0].item()
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``_key`` and ``_fp`` (signed) of every row."""
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, *more: str) -> DataFrame:
+    """``_key`` and ``_fp`` (signed) of every row, and its columns ``more``."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["_key", "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["_key", "_fp", *more])
 
-    return docs.select(F.col(key).alias("_key"), F.encode(F.col(text), "UTF-8").alias("_text")).mapInArrow(run, f"_key {kind}, _fp long")
+    schema = ", ".join([f"_key {kind}, _fp long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)])
+    return docs.select(F.col(key).alias("_key"), F.encode(F.col(text), "UTF-8").alias("_text"), *more).mapInArrow(run, schema)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -206,10 +207,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, key: str =
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, most: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose key isn't its component's
-    smallest; rows without a key stay."""
-    found = near_duplicates(docs, shingle, most, key, text)
-    return docs.join(found.where(F.col(key) != F.col("component_id")).select(key), key, "left_anti")
+    """One row of ``docs`` for each component: that with the smallest key
+    (null keys last), of equal keys the first as the rows are written here."""
+    docs = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut_lineage(fingerprints(docs, key, text, shingle, "_row"))
+    low = F.min(F.struct(F.col("_key").isNull(), "_key", "_row"))
+    distinct = cut_lineage(rows.groupBy("_fp").agg(low.alias("_low")))
+    if most:
+        labels = connected_components(distinct.select("_fp"), near_links(distinct, most), "_fp")
+        distinct = labels.join(distinct, "_fp").groupBy("cluster").agg(F.min("_low").alias("_low"))
+    return docs.join(distinct.select(F.col("_low._row").alias("_row")), "_row", "left_semi").drop("_row")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,15 @@ def test_components_against_all_pairs(spark):
     assert all(exact[k] == c for k, c in zip(keys, slow_components(keys, fps, 0)) if k is not None)
 
 
+def test_one_row_of_each_group(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (3, a), (3, b), (None, c), (None, c), (None, d), (4, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (0, 2):
+        assert sorted(map(repr, map(tuple, keep_one(df, most=most).collect()))) == sorted(map(repr, [(1, a), (3, b), (None, c), (4, d)]))
+
+
 def test_long_lists_and_all_distances(spark):
     rng = random.Random(8)
     centre = rng.getrandbits(64)
