@@ -75,6 +75,36 @@ SENTENCES = {
     "reserved": "all rights reserved",
 }
 
+#: Published forms of one sentence each: licence, its sentences.
+FORMS = (
+    ("MIT", ("this project is licensed under the mit license", "this software is licensed under the mit license", "this project is released under the mit license", "distributed under the mit license")),
+    ("Apache-2.0", ("this project is licensed under the apache license 2.0", "this project is licensed under the apache license version 2.0", "licensed under the apache license 2.0", "licensed under the apache 2.0 license", "released under the apache license version 2.0", "apache license version 2.0")),
+    ("GPL-3.0-only", ("licensed under the gnu general public license v3.0", "licensed under the gnu general public license version 3", "this project is licensed under the gnu general public license v3.0", "gnu general public license version 3", "gnu general public license v3.0")),
+    ("GPL-2.0-only", ("licensed under the gnu general public license v2.0", "licensed under the gnu general public license version 2", "this project is licensed under the gnu general public license v2.0", "gnu general public license version 2", "gnu general public license v2.0")),
+    ("LGPL-3.0-only", ("licensed under the gnu lesser general public license v3.0", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3")),
+    ("LGPL-2.1-only", ("licensed under the gnu lesser general public license v2.1", "licensed under the gnu lesser general public license version 2.1", "gnu lesser general public license version 2.1")),
+    ("AGPL-3.0-only", ("licensed under the gnu affero general public license v3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3")),
+    ("AGPL-3.0-or-later", ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",)),
+    ("LGPL-3.0-or-later", ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",)),
+    ("MPL-2.0", ("mozilla public license version 2.0", "licensed under the mozilla public license 2.0", "licensed under the mozilla public license version 2.0", "this project is licensed under the mozilla public license 2.0")),
+    ("BSD-3-Clause", ("bsd 3 clause license", "licensed under the bsd 3 clause license", "this project is licensed under the bsd 3 clause license")),
+    ("BSD-2-Clause", ("bsd 2 clause license", "licensed under the bsd 2 clause license", "this project is licensed under the bsd 2 clause license")),
+    ("ISC", ("isc license", "licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies")),
+    ("Zlib", ("zlib license", "licensed under the zlib license", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions")),
+    ("Unlicense", ("the unlicense", "this is free and unencumbered software released into the public domain")),
+    ("EPL-2.0", ("eclipse public license v 2.0", "licensed under the eclipse public license 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at")),
+    ("BSL-1.0", ("boost software license version 1.0", "distributed under the boost software license version 1.0")),
+    ("CC-BY-4.0", ("this work is licensed under a creative commons attribution 4.0 international license", "creative commons attribution 4.0 international license")),
+    ("CC-BY-SA-4.0", ("this work is licensed under a creative commons attribution sharealike 4.0 international license",)),
+    ("CC-BY-NC-4.0", ("this work is licensed under a creative commons attribution noncommercial 4.0 international license",)),
+    ("CC-BY-ND-4.0", ("this work is licensed under a creative commons attribution noderivatives 4.0 international license",)),
+)
+SENTENCES |= {f"{name}-form-{k}".lower(): form for name, forms in FORMS for k, form in enumerate(forms)}
+#: The one identifier of a licence's forms: that of an earlier sentence, or the first form's.
+OWN = {"MIT": "mit-licensed", "Apache-2.0": "apache-2-name", "GPL-3.0-only": "gpl-3-name", "GPL-2.0-only": "gpl-2-name", "MPL-2.0": "mpl-2-terms",
+       "CC-BY-4.0": "cc-by-name", "CC-BY-SA-4.0": "cc-by-sa-name", "CC-BY-NC-4.0": "cc-by-nc-name", "CC-BY-ND-4.0": "cc-by-nd-name"}
+FORM_OF = {f"{name}-form-{k}".lower(): OWN.get(name, f"{name}-form-0".lower()) for name, forms in FORMS for k in range(len(forms))}
+
 #: (licence, identifiers in order); the first rule that matches claims the sentences.
 RULES = (
     ("Apache-2.0", ("apache-2-the-license", "apache-2-compliance", "apache-2-copy", "apache-2-url", "apache-2-as-is", "apache-2-see")),
@@ -125,6 +155,7 @@ RULES = (
     ("BSD-3-Clause", ("spdx-bsd-3",)),
     ("MPL-2.0", ("spdx-mpl-2",)),
     ("CC0-1.0", ("spdx-cc0",)),
+    *((name, (f"{name}-form-0".lower(),)) for name, _ in FORMS if name not in OWN),
     ("all-rights-reserved", ("reserved",)),
 )
 
@@ -137,8 +168,8 @@ BREAK = rf"([.!?]+({_SPACE}+|$)|[:;]{_SPACE}+|\n{_SPACE}*\n)({_SPACE}*\(?[0-9]{{
 HINTS = ("licens", "redistribution", "permission", "reserved", "cc0", "software", "warranty")
 # the same text for Java's and for RE2's regular expressions
 _DOT, _REST = r"([0-9])\.([0-9])", r"[^\p{L}\p{N}+_]+"
-KNOWN = {text.replace(".", "_"): name for name, text in SENTENCES.items()}
-WORDS = {name: text.count(" ") + 1 for name, text in SENTENCES.items()}
+KNOWN = {text.replace(".", "_"): FORM_OF.get(name, name) for name, text in SENTENCES.items()}
+WORDS = {name: text.count(" ") + 1 for name, text in SENTENCES.items() if FORM_OF.get(name, name) == name}
 
 
 def normalised(sentence: Column) -> Column:

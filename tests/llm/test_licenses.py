@@ -87,6 +87,20 @@ def test_published_notices(spark):
     assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL).fetchall())
 
 
+FORMS = [("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+         ("This project is licensed under the MIT License.", "MIT"), ("Licensed under the GNU General Public License v3.0", "GPL-3.0-only"),
+         ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1-only"),
+         (GPL.format(":", ",", 3).replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"), ("ISC License", "ISC"), ("zlib License", "Zlib"),
+         ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("Mozilla Public License Version 2.0\n====", "MPL-2.0"),
+         ("Eclipse Public License - v 2.0", "EPL-2.0"), ("Boost Software License, Version 1.0.", "BSL-1.0")]
+
+
+def test_published_sentences(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(FORMS)]
+    got = licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: name for i, (_, name) in enumerate(FORMS)}
+
+
 def test_cases(spark):
     df = spark.createDataFrame([(a, b, 1, []) for a, b, _, _ in CASES], "doc_id long, text string, licenses int, _ids array<int>")
     got = licenses(df).collect()
