@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, embeddings, langid, licenses, packing, ppm, quality, sharding, simhash, warc
+from tessera.llm import bpe, embeddings, langid, licenses, packing, pieces, ppm, quality, runs, sharding, simhash, warc
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_ppm": ppm.op9_ppm,
     "op10_warc": warc.op10_warc,
+    "op11_runs": runs.op11_runs,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
 }
 
 ORACLE = {
