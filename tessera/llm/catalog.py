@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, embeddings, langid, licenses, packing, pieces, ppm, quality, runs, sharding, simhash, warc
+from tessera.llm import alignment, bpe, embeddings, langid, licenses, packing, pieces, ppm, quality, runs, sharding, simhash, warc
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_runs": runs.op11_runs,
     "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE = {
