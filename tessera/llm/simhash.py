@@ -208,15 +208,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, key: str =
 
 def keep_one(docs: DataFrame, shingle: int = 3, most: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest key
-    (null keys last), of equal keys the first as the rows are written here."""
-    docs = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows = cut_lineage(fingerprints(docs, key, text, shingle, "_row"))
+    (null keys last), of equal keys the first as the rows are written here.
+    All columns of ``docs`` are kept, whatever their names."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    docs = cut_lineage(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc")))
+    narrow = docs.select(F.col("_doc")[key].alias("_key"), F.col("_doc")[text].alias("_text"), "_row")
+    rows = cut_lineage(fingerprints(narrow, "_key", "_text", shingle, "_row"))
     low = F.min(F.struct(F.col("_key").isNull(), "_key", "_row"))
     distinct = cut_lineage(rows.groupBy("_fp").agg(low.alias("_low")))
     if most:
         labels = connected_components(distinct.select("_fp"), near_links(distinct, most), "_fp")
         distinct = labels.join(distinct, "_fp").groupBy("cluster").agg(F.min("_low").alias("_low"))
-    return docs.join(distinct.select(F.col("_low._row").alias("_row")), "_row", "left_semi").drop("_row")
+    return docs.join(distinct.select(F.col("_low._row").alias("_row")), "_row", "left_semi").select("_doc.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

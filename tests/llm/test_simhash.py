@@ -116,3 +116,12 @@ def test_long_lists_and_all_distances(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d", 7, "x", 1.5), (1, "a b c d", 8, "y", None), (None, "e f g h", None, "z", 0.0), (3, None, 9, None, 2.0), (4, "", 1, "q", 3.0)]
+    names = ["doc_id", "text", "_row", "_key", "a.b"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, _key string, `a.b` double")
+    got = keep_one(df)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[2], rows[3]], key=repr)
