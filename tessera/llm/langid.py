@@ -8,7 +8,8 @@ most letters is the text's.
 
 The model is counted from labelled texts in one distributed pass: trigrams
 fall in 2^16 hashed cells and scripts have numbers, so a language is a vector
-of fixed length, whatever the size of the corpus.
+of fixed length, whatever the size of the corpus.  There may be any number of
+languages; with many, the model is kept as the cells that each one has.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import cut_lineage, read, small_batches
 
 CELLS = 1 << 16
-#: Languages at most; the model is broadcast and has CELLS numbers for each.
+#: With more languages the model holds only the cells that a language has.
 LANGUAGES = 256
 #: What a change of language between two words costs, in nats.
 PENALTY = 12.0
@@ -169,9 +170,28 @@ def _counted(batches):
 
 @dataclass
 class Model:
+    """Log-probabilities of the cells in each language: a row of ``weights``
+    for each cell, or with many languages what each cell's languages have over
+    ``floor``, the log-probability of a cell that a language doesn't have."""
+
     languages: list[str]
-    weights: np.ndarray  # log-probability of each cell (row) in each language
     candidates: np.ndarray  # for each script, the languages that are tried
+    weights: np.ndarray | None = None
+    floor: np.ndarray | None = None
+    start: np.ndarray | None = None  # of each cell's entries
+    lang: np.ndarray | None = None
+    over: np.ndarray | None = None
+
+    def scores(self, w: Words) -> np.ndarray:
+        """The log-probability of each word (row) in each language."""
+        if self.weights is not None:
+            return np.add.reduceat(self.weights[w.cell], w.first, axis=0)
+        size = np.diff(np.append(w.first, len(w.cell)))
+        out = size[:, None] * self.floor[None, :]
+        some = self.start[w.cell + 1] - self.start[w.cell]
+        entry = np.repeat(self.start[w.cell] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+        np.add.at(out, (np.repeat(np.repeat(np.arange(len(size)), size), some), self.lang[entry]), self.over[entry])
+        return out
 
 
 def learn(labelled: DataFrame, lang: str = "lang", text: str = "text") -> Model:
@@ -179,20 +199,26 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text")).where(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     counts = cut_lineage(rows.mapInArrow(_counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")))
-    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    n = np.zeros((CELLS + len(NAMES), len(languages)))
-    if languages:
-        found = counts.toArrow()  # at most CELLS and the scripts for each language
-        number = {x: i for i, x in enumerate(languages)}
-        n[found["cell"].to_numpy(), [number[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy()
-    cells, scripts = n[:CELLS], n[CELLS:]
-    weights = np.log((cells + 0.5) / (cells.sum(axis=0) + 0.5 * CELLS))
+    found = counts.toArrow()  # at most CELLS and the scripts for each language
+    languages = sorted(found["lang"].unique().to_pylist())
+    number = {x: i for i, x in enumerate(languages)}
+    own = np.array([number[x] for x in found["lang"].to_pylist()], np.int64)
+    cell, n = found["cell"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.float64)
+    is_cell = cell < CELLS
+    scripts = np.zeros((len(NAMES), len(languages)))
+    scripts[cell[~is_cell] - CELLS, own[~is_cell]] = n[~is_cell]
     tried = scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0))
     tried[~tried.any(axis=1)] = True  # a script that no language has narrows nothing
     tried[0] = True
-    return Model(languages, weights.astype(np.float32), tried)
+    own, cell, n = own[is_cell], cell[is_cell], n[is_cell]
+    if len(languages) <= LANGUAGES:
+        cells = np.zeros((CELLS, len(languages)))
+        cells[cell, own] = n
+        return Model(languages, tried, np.log((cells + 0.5) / (cells.sum(axis=0) + 0.5 * CELLS)).astype(np.float32))
+    total = np.bincount(own, n, len(languages)) + 0.5 * CELLS
+    order = np.lexsort((own, cell))
+    return Model(languages, tried, floor=np.log(0.5 / total), start=np.searchsorted(cell[order], np.arange(CELLS + 1)),
+                 lang=own[order].astype(np.int32), over=np.log((n[order] + 0.5) / 0.5).astype(np.float32))
 
 
 # --------------------------------- labelling --------------------------------
@@ -232,7 +258,7 @@ def _labelled(texts: list[str | None], model: Model, penalty: float):
         flat = [(w, base) for _, parts in own for w, base in parts if len(w.start)]
         if not flat:
             return
-        scores = np.concatenate([np.where(model.candidates[w.script], np.add.reduceat(model.weights[w.cell], w.first, axis=0), -1e6) for w, _ in flat])
+        scores = np.concatenate([np.where(model.candidates[w.script], model.scores(w), -1e6) for w, _ in flat])
         path = best_paths(scores, sizes, penalty)
         starts, ends = (np.concatenate([getattr(w, x) + base for w, base in flat]) for x in ("start", "end"))
         letters = np.concatenate([w.letters for w, _ in flat])

@@ -95,3 +95,24 @@ def test_accuracy_on_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     out = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == langs[r.doc_id] for r in out) >= 0.98 * len(out)
+
+
+def test_more_languages_than_the_dense_model_takes(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    own = {f"l{k:03}": ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(30)] for k in range(300)}
+    rows = [(i, " ".join(rng.choices(own[x], k=40)), x) for i, x in enumerate([*own] * 4)]
+    df = spark.createDataFrame([*rows, (-1, None, "l000"), (-2, "12 !", None)], "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert len(model.languages) == 300 and model.weights is None
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model, F.col("doc_id")).collect()}
+    assert got[-1] == got[-2] == "und" and sum(got[i] == x for i, _, x in rows) > 0.99 * len(rows)
+    # both kinds of model give the same scores
+    few = df.where("lang < 'l020'")
+    dense = langid.learn(few)
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    sparse = langid.learn(few)
+    w = langid.words_in(" ".join(t for _, t, _ in rows[:50]))
+    np.testing.assert_allclose(dense.scores(w), sparse.scores(w), rtol=1e-4)
+    assert keep_known(df).columns == df.columns
