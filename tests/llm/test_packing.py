@@ -2,9 +2,7 @@ import itertools
 import random
 import re
 
-from pyspark.sql import functions as F
-
-from tessera.llm.packing import batch_rows, best_widths, on_grid, pack
+from tessera.llm.packing import batch_rows, best_widths, pack
 
 
 def test_widths_against_all_choices():
@@ -21,10 +19,25 @@ def test_widths_against_all_choices():
             assert len(got) <= k and cost(got) == best
 
 
-def test_grid_is_bounded_and_above(spark):
-    rows = spark.range(0, 300_000, 7).select("id", on_grid(F.col("id")).alias("g")).collect()
-    assert all(r.g >= r.id and r.g - r.id <= r.id // 64 and (r.id > 128 or r.g == r.id) for r in rows)
-    assert len({r.g for r in rows}) < 1000
+def test_widths_are_optimal_over_many_lengths():
+    """Against the plain programme over all beginnings."""
+    rng = random.Random(4)
+    for _ in range(20):
+        lengths = sorted(rng.sample(range(0, 5000), rng.randint(30, 120)))
+        counts = [rng.choice([1, 1, 2, 1000]) for _ in lengths]
+        below = [0, *itertools.accumulate(counts)]
+        n, cost = len(lengths), {(0, 0): 0}
+        for k in range(1, 7):
+            for j in range(1, n + 1):
+                cost[k, j] = min((cost[k - 1, i] + lengths[j - 1] * (below[j] - below[i]) for i in range(j) if (k - 1, i) in cost), default=10**18)
+        got = best_widths(lengths, counts, 6)
+        assert sum(c * min(w for w in got if w >= g) for g, c in zip(lengths, counts)) == min(cost[k, n] for k in range(1, 7))
+
+
+def test_widths_are_exact_lengths(spark):
+    texts = ["w " * 129] * 6 + ["w " * 257, "w " * 1003]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted({(r.n_tokens, r.width) for r in pack(df).collect()}) == [(129, 129), (257, 257), (1003, 1003)]
 
 
 def test_batches_hold_the_budget(spark):
