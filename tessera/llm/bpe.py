@@ -31,11 +31,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import read, small_batches
+from tessera.llm._common import read, sliced
 
 #: Words in a worker's cache at most.
 CACHE = 300_000
-#: Characters of a text that are normalised at a time (cut at white space).
+#: Characters of a text that are normalised at a time (cut where a word ends).
 PIECE = 1 << 16
 #: The white space of Unicode, as a class body.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -51,7 +51,8 @@ ADDED = {
 # fixed values: lower-case forms that Unicode 16 and 17 added
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
          **{0x10D50 + i: 0x10D70 + i for i in range(22)}, **{0x16EA0 + i: 0x16EBB + i for i in range(25)}}
-_CUT = regex.compile(r"[\t-\r ]")
+# before white space, or between an ASCII letter or digit and a sign that no word has after it
+_CUT = regex.compile(r"(?=[\t-\r ])|(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])")
 
 
 def class_bodies() -> tuple[dict[str, str], frozenset[str]]:
@@ -219,7 +220,7 @@ class Tokenizer:
             while at < stop:
                 end = stop
                 if stop - at > PIECE and (cut := _CUT.search(text, at + PIECE, stop)):
-                    end = cut.start()  # NFC and words don't cross white space
+                    end = cut.start()  # NFC and words don't cross it
                 part = text[at:end]
                 words = r["words"]
                 if not part.isascii():
@@ -234,36 +235,46 @@ class Tokenizer:
                 yield m[0], []
                 at = m.end()
 
-    def _of(self, word: str) -> tuple[str, str, int]:
-        """Ids and decoded text of a word, each joined by blanks, and the
-        number of its tokens."""
+    def _of(self, word: str) -> tuple[str, tuple[int, ...]]:
+        """Ids of a word of ordinary length, joined by blanks and as numbers."""
         r = self._prepared()
-        numbers = [t for part in self.word_tokens(word.encode()) for t in part]
-        out = (" ".join([str(r["id"][t]) for t in numbers]), " ".join([r["tokens"][t] for t in numbers]), len(numbers))
-        if len(word) <= 64:
-            if len(r["cache"]) >= CACHE:
-                r["cache"].clear()
-            r["cache"][word] = out
+        ids = tuple([r["id"][t] for part in self.word_tokens(word.encode()) for t in part])
+        out = (" ".join(map(str, ids)), ids)
+        if len(r["cache"]) >= CACHE:
+            r["cache"].clear()
+        r["cache"][word] = out
         return out
 
-    def stretches(self, text: str) -> Iterator[tuple[str, str, int]]:
-        """Ids, tokens and their number of successive stretches of a text;
-        one blank stands between the ids and between the tokens of two."""
-        get, of = self._prepared()["cache"].get, self._of
+    def stretches(self, text: str) -> Iterator[tuple[str, list[int]]]:
+        """Ids of successive stretches of a text, joined by blanks and as
+        numbers; one blank stands between the ids of two."""
+        r = self._prepared()
+        get, of = r["cache"].get, self._of
         for special, words in self.words(text):
             if special:
-                yield str(self.special[special]), special, 1
-            elif words:
-                found = [get(w) or of(w) for w in words]
-                yield " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])
+                yield str(self.special[special]), [self.special[special]]
+                continue
+            found = []
+            for w in words:
+                if len(w) <= 64:
+                    found.append(get(w) or of(w))
+                    continue
+                if found:
+                    yield _joined(found)
+                    found = []
+                for part in self.word_tokens(w.encode()):
+                    ids = [r["id"][t] for t in part]
+                    yield " ".join(map(str, ids)), ids
+            if found:
+                yield _joined(found)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.stretches(text) for i in ids.split()]
+        return [i for _, ids in self.stretches(text) for i in ids]
 
     # ------------------------------- decoding -------------------------------
 
     def decoder(self, as_text: bool | None = None) -> Decoder:
-        return Decoder(self, self.byte_level_decoder if as_text is None else as_text)
+        return Decoder(self, ("bytes" if self.byte_level_decoder else "tokens") if as_text is None else "text" if as_text else "tokens")
 
     def decode(self, ids: Iterable[int], as_text: bool | None = None) -> str:
         d = self.decoder(as_text)
@@ -271,38 +282,46 @@ class Tokenizer:
 
 
 class Decoder:
-    """Incremental decoding.  ``as_text`` turns the symbols of tokens back
-    into bytes and these into text, with a blank for a word's end; otherwise
-    the tokens themselves are joined by blanks."""
+    """Incremental decoding.  "tokens" joins the tokens by blanks, as a file
+    without a decoder does; "bytes" turns the symbols of tokens back into
+    bytes and these into text, as a byte-level decoder does; "text" does too,
+    with a blank for a word's end and special tokens as they are."""
 
-    def __init__(self, tokenizer: Tokenizer, as_text: bool):
-        self.end, self.as_text, self.begun = tokenizer.end, as_text, False
+    def __init__(self, tokenizer: Tokenizer, mode: str):
+        self.end, self.mode, self.begun = tokenizer.end, mode, False
         self.special = {i: t for t, i in tokenizer.special.items()}
-        self.token = {i: t for t, i in tokenizer.ids.items()} | self.special
-        self.byte = {s: b for b, s in enumerate(byte_symbols())}
+        r = tokenizer._prepared()
+        if "token" not in r:
+            byte = {s: b for b, s in enumerate(byte_symbols())}
+            r["token"] = {i: t for t, i in tokenizer.ids.items()} | self.special
+            r["bytes"] = {i: bytes(map(byte.__getitem__, t)) if byte.keys() >= set(t) else t.encode() for i, t in r["token"].items()}
+            r["text"] = r["bytes"] | {i: bytes(map(byte.__getitem__, t[:-len(self.end)])) + b" " for t, i in tokenizer.ids.items() if self.end and t.endswith(self.end)}
+        self.token, self.part = r["token"], r.get(mode)
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
+        if self.mode == "tokens":
+            get = self.token.get
+            known = [t for i in ids if (t := get(i)) is not None]
+            first, self.begun = " " if known and self.begun else "", self.begun or bool(known)
+            return first + " ".join(known)
+        if self.mode == "bytes":
+            return self.utf8.decode(b"".join([self.part.get(i, b"") for i in ids]))
         out = []
         for i in ids:
-            t = self.token.get(i)
-            if t is None:
-                continue
-            if not self.as_text:
-                out.append(" " + t if self.begun else t)
-            elif i in self.special:
-                out.append(self.utf8.decode(b"", True) + t)
+            if i in self.special:
+                out.append(self.utf8.decode(b"", True) + self.special[i])
                 self.utf8.reset()
             else:
-                ends = bool(self.end) and t.endswith(self.end)
-                body = t[:len(t) - len(self.end)] if ends else t
-                out.append(self.utf8.decode(bytes(self.byte[s] for s in body)) + " " * ends if not ends else
-                           self.utf8.decode(bytes(self.byte[s] for s in body) + b" "))
-            self.begun = True
+                out.append(self.utf8.decode(self.part.get(i, b"")))
         return "".join(out)
 
     def close(self) -> str:
-        return self.utf8.decode(b"", True) if self.as_text else ""
+        return "" if self.mode == "tokens" else self.utf8.decode(b"", True)
+
+
+def _joined(found: list[tuple[str, tuple[int, ...]]]) -> tuple[str, list[int]]:
+    return " ".join([x[0] for x in found]), [i for x in found for i in x[1]]
 
 
 def _digested(tokenizer):
@@ -311,12 +330,12 @@ def _digested(tokenizer):
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column("_text"):
-                a, b, total = hashlib.sha256(), hashlib.sha256(), 0
-                for i, tokens, some in t.stretches(text.as_py() or ""):
-                    if some:
-                        a.update((" " + i if total else i).encode())
-                        b.update((" " + tokens if total else tokens).encode())
-                        total += some
+                a, b, total, d = hashlib.sha256(), hashlib.sha256(), 0, t.decoder()
+                for written, some in t.stretches(text.as_py() or ""):
+                    a.update((" " + written if total else written).encode())
+                    b.update(d.feed(some).encode())
+                    total += len(some)
+                b.update(d.close().encode())
                 n.append(total)
                 ids.append(a.hexdigest())
                 decoded.append(b.hexdigest())
@@ -330,10 +349,9 @@ def _encoded(tokenizer):
     def run(batches):
         t = tokenizer.value
         for batch in batches:
-            for text, key in zip(batch.column("_text"), batch.column("_key")):
-                ids = t.encode(text.as_py() or "")
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], batch.schema.field("_key").type), pa.array([ids], pa.list_(pa.int32())),
-                                                  pa.array([t.decode(ids)])], ["_key", "ids", "decoded"])
+            ids = [t.encode(text.as_py() or "") for text in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(t.decode, ids), pa.string())],
+                                             ["_key", "ids", "decoded"])
 
     return run
 
@@ -343,10 +361,9 @@ def _over(docs: DataFrame, path: str | None, key: str, text: str, run, columns:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer.load(path))
-    return rows.mapInArrow(run(shared), f"_key {rows.schema['_key'].dataType.simpleString()}, {columns}").withColumnRenamed("_key", key)
+    return rows.mapInArrow(sliced(run(shared)), f"_key {rows.schema['_key'].dataType.simpleString()}, {columns}").withColumnRenamed("_key", key)
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

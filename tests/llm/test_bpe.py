@@ -90,3 +90,34 @@ def test_given_documents(spark, library):
     for r in digests(docs).collect():
         e = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest())
+
+
+def test_a_file_with_a_byte_level_decoder(spark, library, tmpdir_path):
+    """The digest of the decoded text is that of the decoder that the file names."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        j = json.load(f)
+    j["decoder"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": True}
+    path = f"{tmpdir_path}/t.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(j, f)
+    named = tokenizers.Tokenizer.from_file(path)
+    texts = ["The café 🙂 naïve <|endoftext|> é", "x" * 9000, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in digests(df, path).collect():
+        back = named.decode(named.encode(texts[r.doc_id], add_special_tokens=False).ids, skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+    t, rng = Tokenizer.load(path), random.Random(7)
+    for _ in range(500):
+        ids = [rng.randrange(49408) if rng.random() < 0.6 else rng.randrange(256) for _ in range(9)]
+        assert t.decode(ids) == named.decode(ids, skip_special_tokens=False)
+
+
+def test_long_texts_without_white_space(ours, library, monkeypatch):
+    from tessera.llm import bpe
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["abc", "'s", "!", "é", "9", "<|", "|>", "é", "x-y", "@", "don't", "12.5"]) for _ in range(400)) for _ in range(200)]
+    monkeypatch.setattr(bpe, "PIECE", 37)
+    same(ours, library, texts)
