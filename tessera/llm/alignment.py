@@ -115,6 +115,7 @@ class Tokenizers:
             for i in range(len(digits)):
                 digits[i, :sizes[i]] = np.frombuffer(str(i).encode(), np.uint8)
             r |= {"library": library, "quick": quick, "pieces": pieces, "a": first, "b": second, "digits": digits, "sizes": sizes,
+                  "kind": np.uint16 if len(digits) <= 1 << 16 else np.uint32,  # of an id
                   "a_size": np.array(list(map(len, first)), np.int64), "b_size": np.array(list(map(len, second)), np.int64),
                   "other": re.compile(f"[^\0-{chr(PLAIN - 1)}]")}
         return r
@@ -143,11 +144,11 @@ class Tokenizers:
                 slow.append(i)
         for i, e in zip(slow, r["library"].encode_batch_fast([" " + given[i] for i in slow], add_special_tokens=False)):
             first[i] = e.ids
-        out, none = [], np.zeros(0, np.uint32)
+        out, none, kind = [], np.zeros(0, r["kind"]), r["kind"]
         for t, x, y in zip(given, first, second):
             whole = (" " + t).encode()
             same = t and b"".join(map(a_of, x)) == whole and b"".join(map(b_of, y)) == whole
-            out.append((np.array(x, np.uint32), np.array(y, np.uint32)) if same else (none, none))
+            out.append((np.array(x, kind), np.array(y, kind)) if same else (none, none))
         return out
 
 
@@ -179,8 +180,8 @@ class Aligned:
 
 
 def align(tokens: list[tuple[np.ndarray, np.ndarray]], a_size: np.ndarray, b_size: np.ndarray) -> Aligned:
-    a = np.concatenate([x for x, _ in tokens] + [np.zeros(0, np.uint32)])
-    b = np.concatenate([y for _, y in tokens] + [np.zeros(0, np.uint32)])
+    a = np.concatenate([x for x, _ in tokens] + [np.zeros(0, np.uint16)])
+    b = np.concatenate([y for _, y in tokens] + [np.zeros(0, np.uint16)])
     a_to, b_to = np.cumsum(a_size[a]), np.cumsum(b_size[b])
     end = int(a_to[-1]) if len(a_to) else 0
     ends_a, ends_b = np.zeros(end + 1, bool), np.zeros(end + 1, bool)
@@ -517,7 +518,7 @@ def _second(shared, table, best, partial: bool, keep: bool):
             while at < batch.num_rows:
                 tokens, size, end = [], 0, at
                 while end < batch.num_rows and size < PORTION:
-                    tokens.append((np.frombuffer(batch.column("a")[end].as_py(), np.uint32), np.frombuffer(batch.column("b")[end].as_py(), np.uint32)))
+                    tokens.append((np.frombuffer(batch.column("a")[end].as_py(), r["kind"]), np.frombuffer(batch.column("b")[end].as_py(), r["kind"])))
                     size += 4 * len(tokens[-1][0])
                     end += 1
                 x = align(tokens, r["a_size"], r["b_size"])
