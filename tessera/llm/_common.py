@@ -17,11 +17,16 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def small_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
-    """Bound the Arrow batches sent to Python workers by rows and by bytes, so
-    that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def sliced(run, rows: int = 512, mb: int = 16):
+    """``run`` over smaller Arrow batches, bounded by rows and by bytes, so
+    that long texts don't pile up in a worker; the session stays as it is."""
+    def slices(batches):
+        for batch in batches:
+            most = max(1, min(rows, batch.num_rows * (mb << 20) // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, most):
+                yield batch.slice(at, most)
+
+    return lambda batches: run(slices(batches))
 
 
 def words_of(text: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut_lineage, read, small_batches
+from tessera.llm._common import cut_lineage, read, sliced
 from tessera.operators.cluster import connected_components
 
 #: Vectors (with equal labels or not) a cell is meant to hold, and most cells;
@@ -65,7 +65,7 @@ def centres(vectors: DataFrame, dims: int, cells: int, rounds: int = 4) -> np.nd
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, dims)), pa.array(np.tile(np.arange(dims), len(at))), pa.array(total[at].ravel())], ["cell", "dim", "x"])
 
-        moved = sample.select("_vec").mapInArrow(sums, "cell long, dim long, x double").groupBy("cell", "dim").agg(F.sum("x").alias("x"))
+        moved = sample.select("_vec").mapInArrow(sliced(sums), "cell long, dim long, x double").groupBy("cell", "dim").agg(F.sum("x").alias("x"))
         new = c.copy()
         for r in moved.toLocalIterator():
             new[r["cell"], r["dim"]] = r["x"]
@@ -154,7 +154,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    small_batches(vectors.sparkSession)
     v = F.col(vec)
     valid = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     valid = valid & F.col(label).isNotNull() & F.col(key).isNotNull()
@@ -189,7 +188,7 @@ def _compared(classes: DataFrame, c: np.ndarray, dims: int, threshold: float, bl
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9
     schema = ", ".join(f"{n} {k}" for n, k in kinds.items())
-    dealt = classes.mapInArrow(_visits(c, dims, radius), f"{schema}, _cell long, _home boolean")
+    dealt = classes.mapInArrow(sliced(_visits(c, dims, radius)), f"{schema}, _cell long, _home boolean")
     dealt = cut_lineage(dealt)
     sizes = dealt.groupBy("_label", "_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
     dealt = dealt.join(sizes, ["_label", "_cell"]).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))

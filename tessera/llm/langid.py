@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut_lineage, read, small_batches
+from tessera.llm._common import cut_lineage, read, sliced
 
 CELLS = 1 << 16
 #: With more languages the model holds only the cells that a language has.
@@ -196,9 +196,8 @@ class Model:
 
 def learn(labelled: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """The model of all rows with a language and a text."""
-    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text")).where(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    counts = cut_lineage(rows.mapInArrow(_counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")))
+    counts = cut_lineage(rows.mapInArrow(sliced(_counted), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")))
     found = counts.toArrow()  # at most CELLS and the scripts for each language
     languages = sorted(found["lang"].unique().to_pylist())
     number = {x: i for i, x in enumerate(languages)}
@@ -316,10 +315,9 @@ def predict(docs: DataFrame, model: Model, *carried: Column, text: str = "text",
     Repeated rows stay separate; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(*carried, F.col(text).alias("_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(rows.columns) - (not keep_text)]] + ["lang_pred string", "score double"]
-    out = rows.mapInArrow(_predicted(spark.sparkContext.broadcast(model), penalty, spans, keep_text), ", ".join([*kinds, *["_spans string"] * spans]))
+    out = rows.mapInArrow(sliced(_predicted(spark.sparkContext.broadcast(model), penalty, spans, keep_text)), ", ".join([*kinds, *["_spans string"] * spans]))
     if spans:
         out = out.withColumn("spans", F.from_json("_spans", "array<array<string>>")).withColumn("spans", F.transform("spans", lambda s: F.struct(
             F.get(s, F.lit(0)).cast("int").alias("start"), F.get(s, F.lit(1)).cast("int").alias("end"), F.get(s, F.lit(2)).alias("lang")))).drop("_spans")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut_lineage, read, small_batches
+from tessera.llm._common import cut_lineage, read, sliced
 from tessera.llm.simhash import word_runs
 
 ORDER = 5
@@ -126,7 +126,7 @@ def _counted(order: int, most: int = 1 << 21):
 def gathered(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """key, n: counts of all strings of ``order`` bytes and a symbol; texts
     whose ``_held_out`` is true add their strings, but count nothing."""
-    return texts.select("_text", *[c for c in texts.columns if c == "_held_out"]).mapInArrow(_counted(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("_text", *[c for c in texts.columns if c == "_held_out"]).mapInArrow(sliced(_counted(order)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 # --------------------------------- the trie ---------------------------------
@@ -300,7 +300,7 @@ def _word_counts(batches, most: int = 200_000):
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (UTF-8; empty: the end of a text), c."""
-    return texts.select("_text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return texts.select("_text").mapInArrow(sliced(_word_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 # ---------------------------------- scoring ---------------------------------
@@ -386,7 +386,6 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: i
     if not 0 <= order <= 6:
         raise ValueError("the order is 0 to 6")
     spark = docs.sparkSession
-    small_batches(spark)
     out = held_out(F.col(key), mod, rest)
     texts = _texts(docs, text, F.col(key).alias("_key"), out.alias("_held_out"))
     train = texts.where(~F.col("_held_out"))
@@ -403,7 +402,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: i
     sc = spark.sparkContext
     field = texts.select("_key").schema["_key"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
-    scored = texts.mapInArrow(_scored(sc.broadcast((keys, logp)), sc.broadcast(common), order, to_arrow_type(field)), SCORED.format(key=field.simpleString()))
+    scored = texts.mapInArrow(sliced(_scored(sc.broadcast((keys, logp)), sc.broadcast(common), order, to_arrow_type(field))), SCORED.format(key=field.simpleString()))
     found = scored.join(met, "word", "left")
     known = F.col("c").isNotNull()
     sums = found.groupBy("row").agg(

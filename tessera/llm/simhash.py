@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut_lineage, read, small_batches
+from tessera.llm._common import cut_lineage, read, sliced
 from tessera.operators.cluster import connected_components
 
 SEED = 42
@@ -67,7 +67,6 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, *more: str) -> DataFrame:
     """``_key`` and ``_fp`` (signed) of every row, and its columns ``more``."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -76,7 +75,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, *more: str)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["_key", "_fp", *more])
 
     schema = ", ".join([f"_key {kind}, _fp long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)])
-    return docs.select(F.col(key).alias("_key"), F.encode(F.col(text), "UTF-8").alias("_text"), *more).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("_key"), F.encode(F.col(text), "UTF-8").alias("_text"), *more).mapInArrow(sliced(run), schema)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
