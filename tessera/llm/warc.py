@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import checkpoint_dir, cut_lineage, read, small_batches
+from tessera.llm._common import checkpoint_dir, cut_lineage, read, sliced
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -104,7 +104,6 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str =
     null payloads (empty) are responses.  Other columns are not read.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("_key"), F.col(uri).alias("_uri"), body.alias("_body")).withColumn("_digest", F.sha1("_body"))
     # narrow: only keys and digests are shuffled
@@ -116,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str =
         revisits = F.broadcast(revisits)
     rows = rows.join(revisits, ["_key", "_digest"], "left").select(
         F.monotonically_increasing_id().alias("_number"), "_key", "_uri", "_body", "_digest", "_refers")
-    records = rows.mapInArrow(_records(segment, date), "value binary")
+    records = rows.mapInArrow(sliced(_records(segment, date)), "value binary")
     records.select(F.col("value").cast("string")).write.text(path, lineSep="\n")
 
 
@@ -205,7 +204,6 @@ def _joined(batches):
 
 def _rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The records of archives: those of one segment, and the segments."""
-    small_batches(spark)
     lines = spark.read.text(path, lineSep=(END + VERSION).decode())
     segmented = F.substring("value", 1, 100).contains("\r\nWARC-Segment-Number: ")
     value = F.col("value").cast("binary").alias("value")
@@ -215,7 +213,7 @@ def _rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The chunk rows of segmented records: record, chunk (from 1), key, total
     block bytes (last chunk), declared digest (first chunk), data."""
-    return _rows(spark, path)[1].mapInArrow(_chunks, "record string, chunk long, key long, total long, declared string, data binary")
+    return _rows(spark, path)[1].mapInArrow(sliced(_chunks), "record string, chunk long, key long, total long, declared string, data binary")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +222,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     payloads; a record that doesn't agree with its header is an error."""
     schema = "key long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     chunks = read_chunks(spark, path).repartition("record").sortWithinPartitions("record", "chunk")
-    return _rows(spark, path)[0].mapInArrow(_whole, schema).unionByName(chunks.mapInArrow(_joined, schema))
+    return _rows(spark, path)[0].mapInArrow(sliced(_whole), schema).unionByName(chunks.mapInArrow(_joined, schema))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
