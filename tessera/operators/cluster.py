@@ -4,9 +4,10 @@ entity blinding (J7 A16 C15 C16 P13 K7).
 Threshold pairs are exact: vectors are dealt to the cells of pivots, those
 near a border visit the cell behind it, and cells are compared in blocks of
 bounded size with numpy; only pairs within the threshold leave a task.
-Components are found by star contraction of the threshold edges, with the
-edges checkpointed to the shared checkpoint folder each round (lineage stays
-short; a lost executor recomputes one round).
+Components are found by contraction of the threshold edges: a forest for each
+partition, then star contraction, with the edges checkpointed to the shared
+checkpoint folder each round (lineage stays short; a lost executor recomputes
+one round), and one task once few edges are left.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,21 +120,48 @@ def _edge_state(edges: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "vec_id") -> DataFrame:
+#: Edges up to this number (16 MB) are contracted by one task.
+FEW_EDGES = 1 << 20
+
+
+def _forest(batches):
+    """A spanning forest of the edges, as (vertex, smallest vertex of its tree)."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        below = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(below, kind), pa.array(map(root, below), kind)], ["a", "b"])
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "vec_id", few: int = FEW_EDGES) -> DataFrame:
     """Label = smallest vertex id of the component (single linkage at the
     edge threshold).
 
-    Edges are rewritten by alternating large-star and small-star steps until
-    they stop changing; then every vertex points at its component's smallest
-    id.  The number of rounds grows with the logarithm of the graph, there is
-    no round limit.  Each round's edges go to the shared checkpoint folder.
-    Isolated vertices are their own component.  Joins on a hub vertex are
-    plain equi-joins on shuffled sides, which AQE splits when skewed.
+    Each partition's edges become a spanning forest first.  Up to
+    ``few`` edges are then contracted by one task; more are rewritten by
+    alternating large-star and small-star steps until they are few or stop
+    changing, with no round limit (the number of rounds grows with the
+    logarithm of the graph).  Each round's edges go to the shared checkpoint
+    folder.  Isolated vertices are their own component.  Joins on a hub vertex
+    are plain equi-joins on shuffled sides, which AQE splits when skewed.
     """
-    e = cut_lineage(edges.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b"))
-                         .where(F.col("a") != F.col("b")).distinct())
+    kind = edges.schema["id1"].dataType.simpleString()
+    e = edges.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).where(F.col("a") != F.col("b"))
+    e = cut_lineage(e.mapInArrow(_forest, f"a {kind}, b {kind}"))
     state = _edge_state(e)
-    while state[0]:
+    while state[0] > few:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(low, "a").where(F.col("b") > F.col("a"))
@@ -143,6 +172,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "v
         before, state = state, _edge_state(e)
         if state == before:
             break
+    if 0 < state[0] <= few:
+        e = e.coalesce(1).mapInArrow(_forest, f"a {kind}, b {kind}")
     v = vertices.select(F.col(id_col)).distinct()
     return v.join(e.select(F.col("a").alias(id_col), F.col("b").alias("_root")), id_col, "left").select(
         id_col, F.coalesce("_root", id_col).alias("cluster"))

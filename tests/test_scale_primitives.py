@@ -32,6 +32,10 @@ def test_rank_within_hot_group(spark):
 def test_components_of_a_long_path(spark):
     v = spark.range(520).select(F.col("id").alias("vec_id"))
     e = spark.range(499).select(F.col("id").alias("id1"), (F.col("id") + 1).alias("id2"))
+    for few in (0, 200, 1 << 20):  # star contraction alone, before one task, not at all
+        got = connected_components(v, e.repartition(7), few=few)
+        assert got.where("vec_id < 500").select("cluster").distinct().collect()[0][0] == 0
+        assert got.select("cluster").distinct().count() == 21
     got = connected_components(v, e)
     assert got.where("vec_id < 500").select("cluster").distinct().collect()[0][0] == 0
     assert got.select("cluster").distinct().count() == 21
