@@ -4,8 +4,10 @@ Vectors are compared only inside cells, and yet no link is lost.  A pair with
 cosine ``t`` or more is at most ``r = sqrt(2 - 2t)`` apart on the unit sphere,
 so if two such vectors have different home cells, the one of the cell with the
 larger number lies within ``r`` of the hyperplane between the two centres; it
-visits the other's cell.  The visit rule needs only the centres, therefore a
-rough k-means (fitted on a bounded sample) costs time at most, never links.
+visits the other's cell, unless the distances from the centres show that
+no vector of that cell can be within ``r``.  The visit rule holds for any
+centres, therefore a rough k-means (fitted on a bounded sample) costs time at
+most, never links.
 
 Equal vectors are one entry with a number of copies.  A cell of any size is
 cut into blocks, a task multiplies two blocks of bounded size, and passes on
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from tessera.llm._common import cut_lineage, read, sliced
 from tessera.operators.cluster import connected_components
 
-#: Vectors (with equal labels or not) a cell is meant to hold, and most cells;
-#: with more vectors the cells grow, and are compared in more blocks.
+#: Vectors of a label that a cell is meant to hold, and most cells; with more
+#: vectors the cells grow, and are compared in more blocks.
 CELL, MOST_CELLS = 8192, 4096
-#: The k-means sees at most about this many vectors for each cell.
-SAMPLE_PER_CELL = 64
+#: The k-means sees at most about this many vectors for each cell, in so many parts at most.
+SAMPLE_PER_CELL, SAMPLE_PARTS = 64, 16
+#: Up to so many cells, a table of distances from all centres narrows the visits.
+PIVOTS = 512
 BLOCK = 2048
 
 
@@ -47,12 +51,12 @@ def centres(vectors: DataFrame, dims: int, cells: int, rounds: int = 4) -> np.nd
     vectors (fewer than that are all used), chosen by a hash of their ids.
     Rounds run over the sample in Spark; the driver gets sums for each cell."""
     n = vectors.count()
-    share = min(1.0, cells * SAMPLE_PER_CELL / max(n, 1))
+    if cells == 1 or not n:
+        return np.zeros((min(n, 1), dims))
+    share = min(1.0, cells * SAMPLE_PER_CELL / n)
     ranked = vectors.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)))
-    sample = cut_lineage(ranked.where(F.col("_h") < int(share * (1 << 30)) + 1))
+    sample = cut_lineage(ranked.where(F.col("_h") < int(share * (1 << 30)) + 1).coalesce(SAMPLE_PARTS))
     first = sample.orderBy("_h", "_id").limit(cells).select("_vec").collect()
-    if not first:
-        return np.zeros((0, dims))
     c = _unit(np.array([r["_vec"] for r in first], np.float64))
     for _ in range(rounds):
         def sums(batches, c=c):
@@ -62,19 +66,55 @@ def centres(vectors: DataFrame, dims: int, cells: int, rounds: int = 4) -> np.nd
                 home = (x @ c.T).argmax(axis=1)
                 np.add.at(total, home, x)
                 seen[home] = True
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, dims)), pa.array(np.tile(np.arange(dims), len(at))), pa.array(total[at].ravel())], ["cell", "dim", "x"])
-
-        moved = sample.select("_vec").mapInArrow(sliced(sums), "cell long, dim long, x double").groupBy("cell", "dim").agg(F.sum("x").alias("x"))
-        new = c.copy()
-        for r in moved.toLocalIterator():
-            new[r["cell"], r["dim"]] = r["x"]
-        c = _unit(np.where(np.abs(new).max(axis=1, keepdims=True) > 0, new, c))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([seen.tobytes()])], ["total", "seen"])
+
+        total, seen = np.zeros(c.shape), np.zeros(len(c), bool)
+        for r in sample.select("_vec").mapInArrow(sliced(sums), "total binary, seen binary").toLocalIterator():  # a row for each of few parts
+            total += np.frombuffer(r["total"]).reshape(c.shape)
+            seen |= np.frombuffer(r["seen"], bool)
+        c = _unit(np.where(seen[:, None] & (np.abs(total).max(axis=1, keepdims=True) > 0), total, c))
     return c
 
 
-def _visits(c: np.ndarray, dims: int, radius: float):
-    """For every vector its home cell, and the lower cells that it visits."""
+def _home(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cosines with all centres, home cells, and distances from all centres."""
+    sims = x @ c.T
+    return sims, sims.argmax(axis=1), np.sqrt(np.maximum(0, 2 - 2 * sims))
+
+
+def reach(vectors: DataFrame, c: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """For each cell the least and greatest distance of its vectors from every
+    centre; none for one cell, or so many that the table would be large."""
+    if not 1 < len(c) <= PIVOTS:
+        return None
+
+    def span(batches):
+        low, high = np.full((len(c), len(c)), np.inf), np.full((len(c), len(c)), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                _, home, d = _home(_unit(_matrix(batch.column(0), dims)), c)
+                np.minimum.at(low, home, d)
+                np.maximum.at(high, home, d)
+        at = np.flatnonzero(np.isfinite(low[:, 0]))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in low[at]], pa.binary()), pa.array([x.tobytes() for x in high[at]], pa.binary())],
+                                         ["cell", "low", "high"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        low = np.min([np.frombuffer(x) for x in table["low"].to_pylist()], axis=0)
+        high = np.max([np.frombuffer(x) for x in table["high"].to_pylist()], axis=0)
+        return pa.table({"cell": table["cell"].slice(0, 1), "low": pa.array([low.tobytes()]), "high": pa.array([high.tobytes()])})
+
+    low, high = np.full((len(c), len(c)), np.inf), np.full((len(c), len(c)), -np.inf)
+    found = vectors.select("_vec").mapInArrow(sliced(span), "cell long, low binary, high binary")
+    for r in found.groupBy("cell").applyInArrow(joined, "cell long, low binary, high binary").toLocalIterator():  # a row for each cell
+        low[r["cell"]], high[r["cell"]] = np.frombuffer(r["low"]), np.frombuffer(r["high"])
+    return low, high
+
+
+def _visits(c: np.ndarray, dims: int, radius: float, spans: tuple[np.ndarray, np.ndarray] | None):
+    """For every vector its home cell, and the lower cells that it visits:
+    those whose border with its home is within ``radius``, and that have
+    vectors as far from every centre as it is, give or take ``radius``."""
     gaps = np.sqrt(np.maximum(0, ((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))) if len(c) <= 512 else None
 
     def run(batches):
@@ -82,10 +122,12 @@ def _visits(c: np.ndarray, dims: int, radius: float):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 x = _unit(_matrix(part.column("_vec"), dims))
-                sims = x @ c.T
-                home = sims.argmax(axis=1)
+                sims, home, d = _home(x, c)
                 gap = gaps[home] if gaps is not None else np.sqrt(np.maximum(0, 2 - 2 * c[home] @ c.T))
                 near = (sims.max(axis=1, keepdims=True) - sims <= radius * gap + 1e-9) & (np.arange(len(c)) < home[:, None])
+                if spans is not None:
+                    row, cell = np.nonzero(near)
+                    near[row, cell] = ((d[row] >= spans[0][cell] - radius - 1e-9) & (d[row] <= spans[1][cell] + radius + 1e-9)).all(axis=1)
                 near[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(near)
                 out = part.take(pa.array(row))
@@ -148,9 +190,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
     of their vectors, in double precision, is ``threshold`` or more.  Null and
     zero vectors, vectors with null or non-finite components and rows without
     a key link with nothing and are kept; vectors of different lengths aren't
-    compared.  Equal vectors of a label are linked.  A key is meant to occur
-    once: rows that repeat a key and a vector count as copies.  An empty table
-    gives an empty result; other columns are not read.
+    compared.  Equal vectors of a label are linked.  Rows that repeat a key
+    are vectors of their own, each with its links and component (equal ones
+    are copies); all rows with the smallest key of a component are kept.  An
+    empty table gives an empty result; other columns are not read.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
@@ -159,23 +202,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
     valid = valid & F.col(label).isNotNull() & F.col(key).isNotNull()
     rows = vectors.select(F.col(key).alias("_id"), F.col(label).alias("_label"), v.alias("_vec"), valid.alias("_valid"))
     # -0.0 and 0.0 are one value in a grouping and in a join
-    classes = rows.where("_valid").groupBy("_label", "_vec").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
-    classes = cut_lineage(classes.withColumn("_dims", F.size("_vec")))
+    classes = rows.where("_valid").groupBy("_label", "_vec").agg(F.min("_id").alias("_key"), F.count(F.lit(1)).alias("_n"))
+    classes = cut_lineage(classes.withColumns({"_dims": F.size("_vec"), "_id": F.monotonically_increasing_id()}))
+    sizes = classes.groupBy("_dims", "_label").agg(F.count(F.lit(1)).alias("n")).groupBy("_dims").agg(F.max("n").alias("n"))
     found = None
-    for size in sorted(r["_dims"] for r in classes.select("_dims").distinct().collect()):
-        own = classes.where(F.col("_dims") == size).drop("_dims")
-        cells = max(1, min(MOST_CELLS, math.ceil(own.count() / cell)))
-        links = _compared(own, centres(own, size, cells), size, threshold, block)
+    for r in sorted(sizes.collect()):  # a row for each length of vectors
+        own = classes.where(F.col("_dims") == r["_dims"]).select("_label", "_vec", "_id", "_n")
+        cells = max(1, min(MOST_CELLS, math.ceil(r["n"] / cell)))
+        links = _compared(own, centres(own, r["_dims"], cells), r["_dims"], threshold, block)
         found = links if found is None else found.unionByName(links)
     if found is None:
-        linked = classes.select("_id", F.lit(0).cast("long").alias("_links"), F.col("_id").alias("_low"))
+        linked = classes.select("_id", F.lit(0).cast("long").alias("_links"), F.col("_key").alias("_low"))
     else:
         found = cut_lineage(found)
         sums = found.where(F.col("id2").isNull()).groupBy(F.col("id1").alias("_id")).agg(F.sum("links").alias("_sum"))
         groups = connected_components(classes.select("_id"), found.where(F.col("id2").isNotNull()).select("id1", "id2"), "_id")
-        linked = classes.select("_id", "_n").join(sums, "_id", "left").join(groups, "_id").select(
-            "_id", (F.coalesce("_sum", F.lit(0)) + F.col("_n") - 1).cast("long").alias("_links"), F.col("cluster").alias("_low"))
-    of = classes.select("_label", "_vec", F.col("_id").alias("_class")).join(linked.withColumnRenamed("_id", "_class"), "_class").drop("_class")
+        groups = cut_lineage(groups.join(classes.select("_id", "_key", "_n"), "_id"))
+        low = groups.groupBy("cluster").agg(F.min("_key").alias("_low"))
+        linked = groups.join(low, "cluster").join(sums, "_id", "left").select(
+            "_id", (F.coalesce("_sum", F.lit(0)) + F.col("_n") - 1).cast("long").alias("_links"), "_low")
+    of = classes.select("_label", "_vec", "_id").join(linked, "_id").drop("_id")
     out = rows.where("_valid").join(of, ["_label", "_vec"]).select("_id", "_links", "_low")
     out = out.unionByName(rows.where(~F.col("_valid")).select("_id", F.lit(0).cast("long").alias("_links"), F.col("_id").alias("_low")))
     return out.select(F.col("_id").alias(key), F.col("_links").alias("n_links"), F.col("_low").alias("component_id"),
@@ -188,7 +234,7 @@ def _compared(classes: DataFrame, c: np.ndarray, dims: int, threshold: float, bl
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9
     schema = ", ".join(f"{n} {k}" for n, k in kinds.items())
-    dealt = classes.mapInArrow(sliced(_visits(c, dims, radius)), f"{schema}, _cell long, _home boolean")
+    dealt = classes.mapInArrow(sliced(_visits(c, dims, radius, reach(classes, c, dims))), f"{schema}, _cell long, _home boolean")
     dealt = cut_lineage(dealt)
     sizes = dealt.groupBy("_label", "_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
     dealt = dealt.join(sizes, ["_label", "_cell"]).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))

@@ -1,5 +1,6 @@
 import numpy as np
 
+from tessera.llm import embeddings
 from tessera.llm.embeddings import near_vectors, op5_embeddings
 
 
@@ -61,6 +62,31 @@ def test_against_all_pairs_in_many_cells_and_blocks(spark):
         assert got(near_vectors(df, cell=cell, block=block)) == want
 
 
+def test_repeated_keys(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [1.0, 0.01], 1), (7, [1.0, 0.01], 1), (5, [1.0, 0.0], 2), (9, [0.0, 1.0], 1), (5, None, 1)]
+    assert got(near_vectors(table(spark, rows))) == slow(rows) and len(slow(rows)) == len(rows)
+
+
+def test_visits_are_narrowed_and_whole(spark):
+    """Clusters on a sphere: every near pair shares a cell, in few visits."""
+    rng = np.random.default_rng(8)
+    points = np.concatenate([m + 0.15 * rng.normal(size=(60, 16)) for m in rng.normal(size=(30, 16))])
+    x = points / np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, 1, v.tolist(), 1) for i, v in enumerate(x)], "_id long, _label int, _vec array<double>, _n long")
+    c = embeddings.centres(df, 16, 40)
+    radius = np.sqrt(2 - 2 * 0.98)
+    seen = {}
+    for spans in (None, embeddings.reach(df, c, 16)):
+        dealt = df.mapInArrow(embeddings._visits(c, 16, radius, spans), "_id long, _label int, _vec array<double>, _n long, _cell long, _home boolean")
+        cells = {}
+        for r in dealt.collect():
+            cells.setdefault(r._id, {})[r._cell] = r._home
+        seen[spans is None] = sum(map(len, cells.values())) / len(cells)
+        for a, b in np.argwhere(np.triu(x @ x.T >= 0.98, 1)):
+            assert any(k in cells[b] and (home or cells[b][k]) for k, home in cells[a].items())
+    assert seen[False] <= seen[True] < 20
+
+
 def test_given_vectors(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
