@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import global_index
-from tessera.session import cut_lineage
+from tessera.session import Rounds, cut_lineage
 
 
 #: Vectors a cell is meant to hold, and most cells (pivots are broadcast).
@@ -161,6 +161,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "v
     e = edges.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).where(F.col("a") != F.col("b"))
     e = cut_lineage(e.mapInArrow(_forest, f"a {kind}, b {kind}"))
     state = _edge_state(e)
+    rounds = Rounds(edges.sparkSession) if state[0] > few else None
     while state[0] > few:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -168,10 +169,12 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "v
                      .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut_lineage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        e = rounds.cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, _edge_state(e)
         if state == before:
             break
+    if rounds:
+        e = rounds.close(e)
     if 0 < state[0] <= few:
         e = e.coalesce(1).mapInArrow(_forest, f"a {kind}, b {kind}")
     v = vertices.select(F.col(id_col)).distinct()

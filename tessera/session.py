@@ -8,6 +8,7 @@ the setting is missing (local tests).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,5 +65,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of an iteration, written to the shared checkpoint folder.
+
+    A checkpointed frame keeps its plan's estimated size, and the estimate of
+    a join is a product, so that it squares in every round of a loop; a table
+    that is read again has the size of its files, by which joins are chosen.
+    ``close`` keeps the result and removes the tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, 0
+        self.folder = f"{checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.folder}/{self.n}", self.n + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self, df: DataFrame) -> DataFrame:
+        out = cut_lineage(df)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
