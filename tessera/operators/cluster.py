@@ -149,8 +149,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "v
     """Label = smallest vertex id of the component (single linkage at the
     edge threshold).
 
-    Each partition's edges become a spanning forest first.  Up to
-    ``few`` edges are then contracted by one task; more are rewritten by
+    Up to ``few`` edges are contracted by one task.  More become a spanning
+    forest of each partition first, and if that is still more, are rewritten by
     alternating large-star and small-star steps until they are few or stop
     changing, with no round limit (the number of rounds grows with the
     logarithm of the graph).  Each round's edges go to the shared checkpoint
@@ -159,8 +159,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "v
     """
     kind = edges.schema["id1"].dataType.simpleString()
     e = edges.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).where(F.col("a") != F.col("b"))
-    e = cut_lineage(e.mapInArrow(_forest, f"a {kind}, b {kind}"))
+    e = cut_lineage(e)
     state = _edge_state(e)
+    if state[0] > few:
+        e = cut_lineage(e.mapInArrow(_forest, f"a {kind}, b {kind}"))
+        state = _edge_state(e)
     rounds = Rounds(edges.sparkSession) if state[0] > few else None
     while state[0] > few:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
