@@ -18,16 +18,6 @@ from tessera.llm._common import let, read
 # fixed values: sentences of public licence notices, by identifier, as they
 # are normalised, but for the dot of version numbers
 SENTENCES = {
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache-2": "spdx license identifier apache 2.0",
-    "spdx-gpl-2": "spdx license identifier gpl 2.0 only",
-    "spdx-gpl-2+": "spdx license identifier gpl 2.0 or later",
-    "spdx-gpl-3": "spdx license identifier gpl 3.0 only",
-    "spdx-gpl-3+": "spdx license identifier gpl 3.0 or later",
-    "spdx-bsd-2": "spdx license identifier bsd 2 clause",
-    "spdx-bsd-3": "spdx license identifier bsd 3 clause",
-    "spdx-mpl-2": "spdx license identifier mpl 2.0",
-    "spdx-cc0": "spdx license identifier cc0 1.0",
     "mit-name": "released under the mit license",
     "mit-licensed": "licensed under the mit license",
     "mit-title": "the mit license",
@@ -60,6 +50,13 @@ SENTENCES = {
     "gpl-even": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "mpl-2-terms-v": "this source code form is subject to the terms of the mozilla public license v",
     "apache-2-url": "http www apache org licenses license 2.0",
+    "lgpl-library": "this library is free software",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-either-2.1": "either version 2.1 of the license or at your option any later version",
+    "lgpl-2.1-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "lgpl-useful": "this library is distributed in the hope that it will be useful but without any warranty",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "lgpl-received": "you should have received a copy of the gnu lesser general public license along with this library",
     "gpl-details": "see the gnu general public license for more details",
     "gpl-received": "you should have received a copy of the gnu general public license along with this program",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -78,12 +75,12 @@ SENTENCES = {
 #: Published forms of one sentence each: licence, its sentences.
 FORMS = (
     ("MIT", ("this project is licensed under the mit license", "this software is licensed under the mit license", "this project is released under the mit license", "distributed under the mit license")),
-    ("Apache-2.0", ("this project is licensed under the apache license 2.0", "this project is licensed under the apache license version 2.0", "licensed under the apache license 2.0", "licensed under the apache 2.0 license", "released under the apache license version 2.0", "apache license version 2.0")),
-    ("GPL-3.0-only", ("licensed under the gnu general public license v3.0", "licensed under the gnu general public license version 3", "this project is licensed under the gnu general public license v3.0", "gnu general public license version 3", "gnu general public license v3.0")),
-    ("GPL-2.0-only", ("licensed under the gnu general public license v2.0", "licensed under the gnu general public license version 2", "this project is licensed under the gnu general public license v2.0", "gnu general public license version 2", "gnu general public license v2.0")),
-    ("LGPL-3.0-only", ("licensed under the gnu lesser general public license v3.0", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3")),
-    ("LGPL-2.1-only", ("licensed under the gnu lesser general public license v2.1", "licensed under the gnu lesser general public license version 2.1", "gnu lesser general public license version 2.1")),
-    ("AGPL-3.0-only", ("licensed under the gnu affero general public license v3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3")),
+    ("Apache-2.0", ("this project is licensed under the apache license 2.0", "this project is licensed under the apache license version 2.0", "licensed under the apache license 2.0", "licensed under the apache 2.0 license", "released under the apache license version 2.0", "apache license version 2.0", "apache license version 2.0 january 2004", "apache license version 2.0 january 2004 http www apache org licenses")),
+    ("GPL-3.0-only", ("licensed under the gnu general public license v3.0", "licensed under the gnu general public license version 3", "this project is licensed under the gnu general public license v3.0", "gnu general public license version 3", "gnu general public license v3.0", "gnu general public license version 3 29 june 2007")),
+    ("GPL-2.0-only", ("licensed under the gnu general public license v2.0", "licensed under the gnu general public license version 2", "this project is licensed under the gnu general public license v2.0", "gnu general public license version 2", "gnu general public license v2.0", "gnu general public license version 2 june 1991")),
+    ("LGPL-3.0-only", ("licensed under the gnu lesser general public license v3.0", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3", "gnu lesser general public license version 3 29 june 2007")),
+    ("LGPL-2.1-only", ("licensed under the gnu lesser general public license v2.1", "licensed under the gnu lesser general public license version 2.1", "gnu lesser general public license version 2.1", "gnu lesser general public license version 2.1 february 1999")),
+    ("AGPL-3.0-only", ("licensed under the gnu affero general public license v3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3", "gnu affero general public license version 3 19 november 2007")),
     ("AGPL-3.0-or-later", ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",)),
     ("LGPL-3.0-or-later", ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",)),
     ("MPL-2.0", ("mozilla public license version 2.0", "licensed under the mozilla public license 2.0", "licensed under the mozilla public license version 2.0", "this project is licensed under the mozilla public license 2.0")),
@@ -98,12 +95,28 @@ FORMS = (
     ("CC-BY-SA-4.0", ("this work is licensed under a creative commons attribution sharealike 4.0 international license",)),
     ("CC-BY-NC-4.0", ("this work is licensed under a creative commons attribution noncommercial 4.0 international license",)),
     ("CC-BY-ND-4.0", ("this work is licensed under a creative commons attribution noderivatives 4.0 international license",)),
+    ("CC-BY-NC-ND-4.0", ("this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license", "licensed under cc by nc nd 4.0")),
+    ("CC-BY-NC-SA-4.0", ("this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license", "licensed under cc by nc sa 4.0")),
 )
+#: Licences by the identifiers of tag lines; older identifiers of some.
+TAGGED = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+          "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Zlib",
+          "Unlicense", "EPL-2.0", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC0-1.0")
+OLDER = {f"{family}": f"{family}-only" for family in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+OLDER |= {f"{family}+": f"{family}-or-later" for family in OLDER}
+
+
+def _tag_sentence(identifier: str) -> str:
+    return "spdx license identifier " + identifier.lower().replace("-", " ")
+
+
+SENTENCES |= {f"spdx-{name}".lower(): _tag_sentence(name) for name in [*TAGGED, *OLDER]}
 SENTENCES |= {f"{name}-form-{k}".lower(): form for name, forms in FORMS for k, form in enumerate(forms)}
 #: The one identifier of a licence's forms: that of an earlier sentence, or the first form's.
 OWN = {"MIT": "mit-licensed", "Apache-2.0": "apache-2-name", "GPL-3.0-only": "gpl-3-name", "GPL-2.0-only": "gpl-2-name", "MPL-2.0": "mpl-2-terms",
        "CC-BY-4.0": "cc-by-name", "CC-BY-SA-4.0": "cc-by-sa-name", "CC-BY-NC-4.0": "cc-by-nc-name", "CC-BY-ND-4.0": "cc-by-nd-name"}
 FORM_OF = {f"{name}-form-{k}".lower(): OWN.get(name, f"{name}-form-0".lower()) for name, forms in FORMS for k in range(len(forms))}
+FORM_OF |= {f"spdx-{old}".lower(): f"spdx-{name}".lower() for old, name in OLDER.items()}
 
 #: (licence, identifiers in order); the first rule that matches claims the sentences.
 RULES = (
@@ -112,6 +125,12 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl-program", "gpl-2-terms", "gpl-useful", "gpl-even", "gpl-details")),
     ("GPL-3.0-or-later", ("gpl-program", "gpl-terms", "gpl-either-3", "gpl-useful", "gpl-even", "gpl-details")),
     ("GPL-2.0-or-later", ("gpl-program", "gpl-terms", "gpl-either-2", "gpl-useful", "gpl-even", "gpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl-library", "lgpl-terms", "lgpl-either-2.1", "lgpl-useful", "gpl-even", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl-library", "lgpl-2.1-terms", "lgpl-useful", "gpl-even", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl-library", "lgpl-terms", "gpl-either-3", "lgpl-useful", "gpl-even", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "lgpl-either-2.1")),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-terms",)),
+    ("LGPL-3.0-or-later", ("lgpl-terms", "gpl-either-3")),
     ("GPL-3.0-or-later", ("gpl-3-terms",)),
     ("GPL-2.0-or-later", ("gpl-2-terms",)),
     ("GPL-3.0-or-later", ("gpl-terms", "gpl-either-3")),
@@ -145,16 +164,7 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-name",)),
     ("CC-BY-ND-4.0", ("cc-by-nd-name",)),
     ("CC0-1.0", ("cc0-name",)),
-    ("MIT", ("spdx-mit",)),
-    ("Apache-2.0", ("spdx-apache-2",)),
-    ("GPL-2.0-only", ("spdx-gpl-2",)),
-    ("GPL-2.0-or-later", ("spdx-gpl-2+",)),
-    ("GPL-3.0-only", ("spdx-gpl-3",)),
-    ("GPL-3.0-or-later", ("spdx-gpl-3+",)),
-    ("BSD-2-Clause", ("spdx-bsd-2",)),
-    ("BSD-3-Clause", ("spdx-bsd-3",)),
-    ("MPL-2.0", ("spdx-mpl-2",)),
-    ("CC0-1.0", ("spdx-cc0",)),
+    *((name, (f"spdx-{name}".lower(),)) for name in TAGGED),
     *((name, (f"{name}-form-0".lower(),)) for name, _ in FORMS if name not in OWN),
     ("all-rights-reserved", ("reserved",)),
 )
@@ -164,6 +174,11 @@ _SPACE = r"[\x20\x09-\x0D]"
 #: or semicolon before white space, and at an empty line; the number of a list
 #: item that follows is no sentence of its own.
 BREAK = rf"([.!?]+({_SPACE}+|$)|[:;]{_SPACE}+|\n{_SPACE}*\n)({_SPACE}*\(?[0-9]{{1,2}}[.)]{_SPACE}+)?"
+#: A tag line's mark, and the expression that stands after it: identifiers joined by OR, AND or WITH.
+TAG = r"(?i)spdx-license-identifier:[\x20\t]*"
+_ID = r"[A-Za-z0-9]([A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+EXPRESSION = rf"^([\x20\t(]*{_ID}([\x20\t()]+(OR|AND|WITH)[\x20\t(]+{_ID})*[\x20\t)]*)"
+OPERAND, EXCEPTION = r"[\x20\t()]+(OR|AND)[\x20\t()]+", r"[\x20\t)]+WITH[\x20\t].*"
 #: Each known sentence holds one of these; a text without any has none of them.
 HINTS = ("licens", "redistribution", "permission", "reserved", "cc0", "software", "warranty")
 # the same text for Java's and for RE2's regular expressions
@@ -179,6 +194,21 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, _DOT, "$1_$2"), _REST, " "))
 
 
+def untagged(text: Column) -> Column:
+    """A text whose tag lines are sentences of their own, one for each
+    identifier of an expression, without the colon that would cut them;
+    exceptions (WITH) don't change a licence."""
+    def sentences(part: Column) -> Column:
+        expression = F.regexp_extract(part, EXPRESSION, 1)
+        operands = F.transform(F.split(expression, OPERAND), lambda o: F.concat(F.lit("SPDX-License-Identifier "), F.regexp_replace(o, EXCEPTION, "")))
+        return F.concat(F.lit("\n\n"), F.array_join(operands, "\n\n"), F.lit("\n\n"), F.substr(part, F.length(expression) + 1))
+
+    def tagged(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, TAG), lambda p, i: F.when(i == 0, p).otherwise(sentences(p))), "")
+
+    return F.when(F.contains(F.lower(text), F.lit("spdx-license-identifier:")), tagged(text)).otherwise(text)
+
+
 def identified(text: Column, lines: bool) -> Column:
     """Identifiers of a text's sentences in order, empty for unknown ones; a
     line break ends a sentence with ``lines`` and is a space without."""
@@ -220,7 +250,8 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RUL
     is none), n_matches, n_sentences (known licence sentences), identifiers
     (their sequence, joined by a blank) of every row.
 
-    A text is read line by line and across its line breaks (for notices that
+    A tag line (``SPDX-License-Identifier: MIT OR Apache-2.0``) gives the
+    licences of its expression.  A text is read line by line and across its line breaks (for notices that
     are set in lines); the reading that knows more words counts, the first of
     equals.  Null, empty and other texts without a known sentence have no
     licence.  Equal texts get equal results, repeated rows stay separate; an
@@ -236,7 +267,7 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RUL
         return let(low, lambda x: _any([F.contains(x, F.lit(h)) for h in HINTS]))
 
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("_key"), let(t, lambda x: F.when(hinted(x), both(x)).otherwise(none)).alias("_ids"))
+    rows = docs.select(F.col(key).alias("_key"), let(t, lambda x: F.when(hinted(x), let(untagged(x), both)).otherwise(none)).alias("_ids"))
     own = F.filter("_ids", lambda i: i != "")
     found = F.when(F.size(own) > 0, claimed(F.col("_ids"), rules)).otherwise(F.array().cast("array<struct<license:string,matches:int>>"))
     return rows.select("_key", own.alias("_own"), found.alias("_found")).select(
@@ -279,8 +310,15 @@ def _sql() -> str:
         counts.append(f"CASE WHEN n{i} > 0 THEN {quoted(name)} END")
     total = " + ".join(f"n{i}" for i in range(len(RULES)))
     return f"""
-WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, {as_map((k, quoted(v)) for k, v in KNOWN.items())} AS known,
-                      {as_map((k, v) for k, v in WORDS.items())} AS words FROM documents),
+WITH given AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+tags AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM (
+  SELECT doc_id, regexp_split_to_array(t, {quoted(TAG)}) AS p FROM given WHERE contains(lower(t), 'spdx-license-identifier:'))),
+expr AS (SELECT *, regexp_extract(part, {quoted(EXPRESSION)}, 1) AS e FROM tags),
+plain AS (SELECT doc_id, string_agg(CASE WHEN i = 1 THEN part ELSE chr(10) || chr(10) || array_to_string(list_transform(regexp_split_to_array(e, {quoted(OPERAND)}),
+    lambda o: 'SPDX-License-Identifier ' || regexp_replace(o, {quoted(EXCEPTION)}, '')), chr(10) || chr(10)) || chr(10) || chr(10) || substr(part, length(e) + 1) END, '' ORDER BY i) AS t
+  FROM expr GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(plain.t, given.t) AS t, {as_map((k, quoted(v)) for k, v in KNOWN.items())} AS known,
+                      {as_map((k, v) for k, v in WORDS.items())} AS words FROM given LEFT JOIN plain USING (doc_id)),
 read AS (SELECT doc_id, words, CASE WHEN {hints} THEN {ids(BREAK + '|' + chr(92) + 'n')} ELSE [] END AS a,
                 CASE WHEN {hints} THEN {ids(BREAK)} ELSE [] END AS b FROM texts),
 best AS (SELECT doc_id, CASE WHEN coalesce(list_sum(list_transform(b, lambda i: coalesce(words[i], 0))), 0)

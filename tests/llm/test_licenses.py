@@ -26,7 +26,7 @@ CASES = [
     (6, "Licensed under CC BY-NC 4.0. All rights reserved!", "CC-BY-NC-4.0 all-rights-reserved", 2),
     (7, "This work is licensed under the GNU General Public License, version 3.\n" * 3, "GPL-3.0-only", 3),
     (8, MIT, "MIT", 2), (8, MIT, "MIT", 2),
-    (9, "// SPDX-License-Identifier: Apache-2.0", "", 0), (10, "SPDX License Identifier GPL-3.0-or-later", "GPL-3.0-or-later", 1),
+    (9, "// SPDX-License-Identifier: Apache-2.0", "Apache-2.0", 1), (10, "SPDX License Identifier GPL-3.0-or-later", "GPL-3.0-or-later", 1),
     (11, "a|b * all rights reserved. |reserved| ", "", 0), (12, "ALL RIGHTS\tRESERVED", "all-rights-reserved", 1),
     (13, "x. " * 30_000 + "Released under the MIT License. " + "y " * 30_000, "MIT", 1),
 ]
@@ -87,6 +87,38 @@ def test_published_notices(spark):
     assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL).fetchall())
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+TAGS = [("// SPDX-License-Identifier: MIT\nimport x", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+        ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */\nint x;", "Apache-2.0 MIT"), ("SPDX-License-Identifier: (MIT AND BSD-3-Clause)", "BSD-3-Clause MIT"),
+        ("spdx-license-identifier: GPL-2.0+ WITH Classpath-exception-2.0", "GPL-2.0-or-later"), ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1-only"),
+        ("<!-- SPDX-License-Identifier: CC-BY-NC-ND-4.0 -->", "CC-BY-NC-ND-4.0"), ("SPDX-License-Identifier: MIT. All rights reserved.", "MIT all-rights-reserved"),
+        ("a\n# SPDX-License-Identifier: ISC\nb\n# SPDX-License-Identifier: Zlib\n", "ISC Zlib"), ("SPDX-License-Identifier: LicenseRef-mine", ""),
+        ("# SPDX-License-Identifier: Apache-2.0\n" + APACHE, "Apache-2.0"), ("SPDX-License-Identifier:", ""),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\nTERMS", "Apache-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", "GPL-3.0-only"),
+        ("GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\n", "GPL-2.0-only"), ("GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999\n\n", "LGPL-2.1-only"),
+        ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"), (LGPL, "LGPL-2.1-or-later")]
+
+
+def test_tags_and_titles(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(TAGS)]
+    got = licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: name for i, (_, name) in enumerate(TAGS)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL).fetchall())
+
+
 FORMS = [("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
          ("This project is licensed under the MIT License.", "MIT"), ("Licensed under the GNU General Public License v3.0", "GPL-3.0-only"),
          ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1-only"),
