@@ -1,6 +1,10 @@
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import warc
 from tessera.llm.warc import END, VERSION, cuts, op10_warc, read_archives, read_chunks, write_archives
 
 MARK = (END + VERSION).decode()
@@ -27,10 +31,12 @@ def test_cuts():
     rng = random.Random(2)
     for _ in range(300):
         block = b"".join(rng.choice([b"x", b"\r\n", END, VERSION, END + VERSION, b"WARC"]) for _ in range(rng.randint(0, 60)))
-        spans = list(cuts(b"H" + block, rng.randint(15, 40)))
-        parts = [(b"H" + block)[a:b] for a, b in spans]
-        assert b"".join(parts) == b"H" + block and all(parts)
-        assert not any(END + VERSION in p or p.startswith(VERSION) for p in parts)
+        body, size, before = memoryview(block), rng.randint(15, 40), rng.choice([0, 9])
+        spans = list(cuts(body, size, before))
+        parts = [block[a:b] for a, b in spans]
+        assert b"".join(parts) == block and (all(parts) or not block)
+        assert all(len(p) <= size - before * (i == 0) for i, p in enumerate(parts))
+        assert not any(END + VERSION in END + p for p in parts)
 
 
 def test_round_trip(spark, tmpdir_path):
@@ -47,6 +53,23 @@ def test_round_trip(spark, tmpdir_path):
     assert max(len(r.data) for r in read_chunks(spark, f"{tmpdir_path}/w5000").collect()) <= 5000
 
 
+def test_running_digests(spark, tmpdir_path):
+    """Every chunk carries the digest of the payload so far; one that is
+    changed is found where it is."""
+    body = "".join(str(i % 7) for i in range(9000))
+    path = f"{tmpdir_path}/w"
+    write_archives(spark.createDataFrame([(1, "u", body)], "page_id long, url string, html string"), path, segment=1000)
+    at = 0
+    for r in read_chunks(spark, path).orderBy("chunk").collect():
+        at += len(r.data)
+        assert r.so_far == hashlib.sha1(body[:at].encode()).hexdigest() and r.data == body[at - len(r.data):at].encode()
+    assert at == 9000
+    lines = spark.read.text(path, lineSep=MARK).select(F.regexp_replace("value", "X-Digest-So-Far: sha1:.", "X-Digest-So-Far: sha1:x").alias("value"))
+    lines.write.text(f"{path}2", lineSep=MARK)
+    with pytest.raises(Exception, match="doesn't agree with the digest so far"):
+        read_archives(spark, f"{path}2").collect()
+
+
 def test_hot_payload_and_split_files(spark, tmpdir_path):
     rng = random.Random(4)
     pages = [(i, "u", "z" * 2000 if i % 3 == 0 else f"{rng.random()} " * rng.randint(0, 90)) for i in range(900)]
@@ -63,6 +86,13 @@ def test_empty(spark, tmpdir_path):
     assert read_archives(spark, f"{tmpdir_path}/w").count() == 0
 
 
+def test_query_makes_chunks(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(warc, "read_archives", lambda s, path: found.append(read_chunks(s, path).count()) or read_archives(s, path))
+    op10_warc(spark, "/root/testdata/sf0.1").count()
+    assert found[0] > 20
+
+
 def test_query_on_given_pages(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
