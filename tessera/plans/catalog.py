@@ -34,5 +34,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from tessera.plans import (  # noqa: F401
         text_queries, split_queries, candidate_queries, metric_queries,
-        batch_queries, cluster_queries, eval_queries, augment_queries, sentence_queries, similarity_queries,
+        batch_queries, cluster_queries, eval_queries, augment_queries, sentence_queries, similarity_queries, file_queries,
     )

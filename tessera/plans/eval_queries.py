@@ -127,6 +127,11 @@ SELECT metric, round(avg(value), {R}) AS mean, round(stddev_pop(value), {R}) AS
        round(min(value), {R}) AS min, round(max(value), {R}) AS max, count(*) AS n
 FROM runs GROUP BY metric""")
 def aggregate_runs(spark, sf):
+    return ev.aggregate_runs(fold_scores(spark, sf))
+
+
+def fold_scores(spark, sf):
+    """(fold, metric, value): the mean scores of each fold's documents."""
     folds = splits.stratified_folds(table(spark, sf, "documents", ["doc_id", "lang"]), "doc_id",
                                     ["lang"], k=5, seed=42).select(F.col("doc_id").alias("sample_id"), "fold")
     c = derived.doc_candidate_tokens(spark, sf)
@@ -134,10 +139,9 @@ def aggregate_runs(spark, sf):
     sc = c.select("sample_id", rg.rouge_n(pt, rt, 1)["f"].alias("rouge1"), rg.rouge_n(pt, rt, 2)["f"].alias("rouge2"))
     per_fold = sc.join(folds, "sample_id").groupBy("fold").agg(
         F.round(F.avg("rouge1") * 100, 4).alias("rouge1"), F.round(F.avg("rouge2") * 100, 4).alias("rouge2"))
-    long_df = per_fold.select("fold", F.inline(F.array(
+    return per_fold.select("fold", F.inline(F.array(
         F.struct(F.lit("rouge1").alias("metric"), F.col("rouge1").alias("value")),
         F.struct(F.lit("rouge2").alias("metric"), F.col("rouge2").alias("value")))))
-    return ev.aggregate_runs(long_df)
 
 
 GRID = "max_rank=1:3:5 min_words=0:5"

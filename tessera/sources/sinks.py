@@ -33,6 +33,18 @@ def write_tsv(df: DataFrame, path: str, header: bool = False, mode: str = "error
     out.write.mode(mode).option("sep", "\t").option("header", header).option("quote", "\u0000").csv(path)
 
 
+def write_quoted_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Tab-separated export with a header, in which cells may hold tabs,
+    newlines and quotes: every cell is quoted, quotes in it are doubled."""
+    out = df.write.mode(mode).option("sep", "\t").option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_shards(df: DataFrame, directory: str, rank: str, mode: str = "errorifexists") -> None:
+    """JSON records of each rank in a folder ``rank_{k}.json`` of its own."""
+    df.withColumn("rank", F.format_string("rank_%d.json", F.col(rank).cast("long"))).write.mode(mode).partitionBy("rank").json(directory)
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Append metric rows (sorted keys) to a growing table."""
     metrics.select(*sorted(metrics.columns)).write.mode("append").parquet(path)

@@ -18,7 +18,7 @@ def read_tsv(spark: SparkSession, path: str, quoted: bool = True, header: bool =
     quotes escape, cells may span lines.  Otherwise quotes are plain text."""
     r = spark.read.option("sep", "\t").option("header", header)
     if quoted:
-        r = r.option("quote", '"').option("escape", '"').option("multiLine", True)
+        r = r.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quote", '"').option("escape", '"').option("multiLine", True)
     else:
         r = r.option("quote", "\u0000")
     if schema is not None:
@@ -43,14 +43,18 @@ def read_json_records(spark: SparkSession, path: str, multiline: bool = True) ->
     return spark.read.option("multiLine", multiline).json(path)
 
 
-def gather_shards(spark: SparkSession, directory: str, expected: int | None = None) -> DataFrame:
-    """Per-rank JSON shards (a list of {id, pred} each) -> (id, cand_rank,
-    pred) rows; a list of predictions is one row each, best first.  An id
+def gather_shards(spark: SparkSession, directory: str, expected: int | None = None, written: bool = False) -> DataFrame:
+    """Per-rank JSON shards (a list of {id, pred} each, or with ``written`` the
+    folders of ``sinks.write_shards``) -> (id, cand_rank, pred) rows; a list of predictions is one row each, best first.  An id
     that two ranks hold (padding of the last batch) is kept once.  With
     ``expected`` the number of shard files is checked (a commit-complete
     directory replaces polling)."""
-    df = spark.read.option("multiLine", True).json(f"{directory.rstrip('/')}/rank_*.json")
-    df = df.withColumn("_f", F.col("_metadata.file_path"))
+    if written:
+        df = spark.read.json(f"{directory.rstrip('/')}/rank=rank_*.json")
+        df = df.withColumn("_f", F.regexp_extract(F.col("_metadata.file_path"), r"rank_(\d+)\.json", 1))
+    else:
+        df = spark.read.option("multiLine", True).json(f"{directory.rstrip('/')}/rank_*.json")
+        df = df.withColumn("_f", F.col("_metadata.file_path"))
     if expected is not None:
         n = df.select("_f").distinct().count()
         if n != expected:

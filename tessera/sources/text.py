@@ -16,7 +16,7 @@ from tessera.functions import text as tx
 from tessera.operators.ordering import rank_within
 
 
-def numbered_lines(spark: SparkSession, path: str, name: str = "line_no") -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], name: str = "line_no") -> DataFrame:
     """(file, line_no, text) with a 0-based line number per file."""
     raw = spark.read.text(path).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
@@ -95,12 +95,41 @@ def path_field(pattern: str, name: str):
 
 
 def read_folds(spark: SparkSession, directory: str) -> DataFrame:
-    """``fold_{k}/{split}.{source,target}`` files -> (fold, split, pair_id,
-    source, target); ``pair_id`` is the line of the pair in its files."""
+    """``fold_{k}/{split}.{source,target}`` files, or folders of part files ->
+    (fold, split, pair_id, source, target); ``pair_id`` is the line of the
+    pair, counted on from part to part."""
     def side(name: str) -> DataFrame:
-        lines = numbered_lines(spark, f"{directory.rstrip('/')}/fold_*/*.{name}", "pair_id")
-        parts = r"fold_(\d+)/([^/]+)\.[^./]+$"
+        lines = numbered_lines(spark, f"{directory.rstrip('/')}/fold_*/*.{name}", "_line")
+        parts = rf"fold_(\d+)/([^/]+)\.{name}(?:/part-(\d+)[^/]*)?$"
         return lines.select(F.regexp_extract("file", parts, 1).cast("long").alias("fold"), F.regexp_extract("file", parts, 2).alias("split"),
-                            "pair_id", F.col("text").alias(name))
-
-    return side("source").join(side("target"), ["fold", "split", "pair_id"])
+                            F.regexp_extract("file", parts, 3).alias("_part"), "_line", F.col("text").alias(name))
+
+    source = side("source")
+    sizes = source.groupBy("fold", "split", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("fold", "split").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    bases = sizes.select("fold", "split", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    pairs = source.join(side("target"), ["fold", "split", "_part", "_line"]).join(F.broadcast(bases), ["fold", "split", "_part"])
+    return pairs.select("fold", "split", (F.col("_base") + F.col("_line")).alias("pair_id"), "source", "target")
+
+
+def line_index(spark: SparkSession, path: str) -> DataFrame:
+    """The sidecar of a folder of text: (file, first, n), the line numbers of
+    each file when files are read in the order of their names.  One row per
+    file; write it beside the data to read lines later."""
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
+
+
+def lines_at(spark: SparkSession, index: DataFrame, wanted: DataFrame, number: str = "line_no") -> DataFrame:
+    """``wanted`` with the ``text`` of its line numbers: only the files that
+    hold some are opened.  The driver sees the index and how many lines of
+    each file are wanted; numbers beyond the last line have no row."""
+    files = sorted((r["first"], r["n"], r["file"]) for r in index.collect())  # one row per file
+    spans = F.broadcast(spark.createDataFrame([(f, a, a + n) for a, n, f in files], "file string, _from long, _to long"))
+    rows = wanted.join(spans, (F.col(number) >= F.col("_from")) & (F.col(number) < F.col("_to")))
+    needed = [r["file"] for r in rows.select("file").distinct().collect()]  # of the index' files
+    if not needed:
+        return wanted.where(F.lit(False)).withColumn("text", F.lit(None).cast("string"))
+    text = numbered_lines(spark, needed, "_at")
+    return rows.withColumn("_at", F.col(number) - F.col("_from")).join(text, ["file", "_at"]).drop("file", "_at", "_from", "_to")

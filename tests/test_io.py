@@ -191,3 +191,35 @@ def test_ordered_text_and_sections(spark, tmpdir_path):
     sinks.write_sections(cluster_sections(comp, texts, "doc_id"), f"{tmpdir_path}/s", "doc_id")
     files = sorted(f for f in os.listdir(f"{tmpdir_path}/s") if f.startswith("part"))
     assert "".join(open(os.path.join(tmpdir_path, "s", f)).read() for f in files) == "Cluster 1\na\nb\n\nCluster 2\nc\n\n"
+
+
+def test_quoted_tsv_round_trip(spark, tmpdir_path):
+    rows = [(1, 'a\t"b"\nc', " x "), (2, '"', ""), (3, "plain", "\n\n")]
+    df = spark.createDataFrame(rows, "id long, `long text` string, other string")
+    sinks.write_quoted_tsv(df, f"{tmpdir_path}/q")
+    back = tabular.read_tsv(spark, f"{tmpdir_path}/q", rename={"long text": "text"})
+    assert back.columns == ["id", "text", "other"]
+    assert sorted((int(r.id), r.text, r.other or "") for r in back.collect()) == rows
+
+
+def test_lines_are_read_from_the_files_that_have_them(spark, tmpdir_path):
+    df = spark.range(1000).select("id", F.concat(F.lit("line "), F.col("id").cast("string")).alias("t")).repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    sinks.write_ordered_text(df, f"{tmpdir_path}/l", "id", "t")
+    index = text.line_index(spark, f"{tmpdir_path}/l")
+    assert index.count() > 1 and index.agg(F.sum("n")).first()[0] == 1000
+    wanted = spark.createDataFrame([(3,), (0,), (7,), (2000,)], "line_no long")
+    found = text.lines_at(spark, index, wanted)
+    assert sorted(map(tuple, found.collect())) == [(0, "line 0"), (3, "line 3"), (7, "line 7")]
+    assert len([f for f in found.inputFiles() if "/l/" in f]) == 1
+    assert text.lines_at(spark, index, wanted.where("line_no > 1000")).count() == 0
+    every = text.lines_at(spark, index, spark.range(1000).withColumnRenamed("id", "line_no"))
+    assert all(r.text == f"line {r.line_no}" for r in every.collect()) and every.count() == 1000
+
+
+def test_folds_of_written_folders(spark, tmpdir_path):
+    df = spark.createDataFrame([(i, f"s{i}", f"t{i}") for i in range(90)], "pair_id long, source string, target string")
+    for k in (0, 1):
+        write_pairs_text(df.where(F.col("pair_id") % 2 == k), f"{tmpdir_path}/fold_{k}", "train", parts=3)
+    rows = text.read_folds(spark, tmpdir_path).collect()
+    assert sorted((r.fold, r.pair_id, r.source, r.target) for r in rows) == sorted((k, i, f"s{2 * i + k}", f"t{2 * i + k}") for k in (0, 1) for i in range(45))
