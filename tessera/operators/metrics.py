@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions import bleu as bl
@@ -117,6 +117,13 @@ def corpus_score(pairs: DataFrame, metric: str, pred: str = "pred", ref: str = "
     return corpus_rouge(pairs, pred, ref, (metric,), **options)
 
 
+def observed(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of aggregates over its rows, filled by the
+    action that writes what is made of ``df``: no scan of its own."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in aggregates.items()]), seen
+
+
 def run_result(scores: DataFrame, n_rows: int, seconds: float) -> DataFrame:
     """Long-form scores with the run's rows, seconds and seconds per row."""
     extra = scores.sparkSession.createDataFrame(

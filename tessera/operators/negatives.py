@@ -45,7 +45,7 @@ def labelled_examples(examples: DataFrame, key: str, source: str, target: str, k
                           F.col(source).alias("source"), F.col(target).alias("candidate"),
                           F.lit(1.0).alias("label"))
     negs = sample_negatives(examples.select(key, target, source), key, target, k, seed)
-    negs = negs.join(examples.select(key, source), key)
+    negs = negs.join(examples.select(key, source, target), key)
     if score_fn is None:
         lab = F.lit(0.0)
     else:

@@ -56,7 +56,7 @@ dups AS (SELECT id1, id2, q1, q2,
 st AS (SELECT *, len({sq.sentences('q1')}) AS n1, len({sq.sentences('q2')}) AS n2 FROM dups)"""
 
 
-@register("duplicate_pairs", "S4 P8 J1", _DUP_SQL + "\nSELECT id1, id2, is_duplicate FROM dups")
+@register("duplicate_pairs", "P8", _DUP_SQL + "\nSELECT id1, id2, is_duplicate FROM dups")
 def duplicate_pairs(spark, sf):
     return _dups(spark, sf).select("id1", "id2", "is_duplicate")
 
@@ -106,7 +106,7 @@ _EXT_SQL = _KFOLD_SQL + ", " + _DUP_SQL.replace("WITH ", "", 1) + """,
 ext AS (SELECT id1, id2 FROM st WHERE is_duplicate = 1 AND abs(n1 - n2) >= 1 AND (n1 = 1 OR n2 = 1))"""
 
 
-@register("extend_folds", "C3 J9 X1 K9", _EXT_SQL + """,
+@register("extend_folds", "C3 J9 X1", _EXT_SQL + """,
 tot AS (SELECT count(*) AS n FROM f), e AS (SELECT count(*) AS n FROM ext)
 SELECT fold, tot.n - count(*) AS n_base_train, e.n AS n_extension, tot.n - count(*) + e.n AS n_train
 FROM f, tot, e GROUP BY fold, tot.n, e.n""")
@@ -114,16 +114,17 @@ def extend_folds(spark, sf):
     return splits.fold_train_sizes(_folds(spark, sf), au.mine(_dups(spark, sf)), k=10)
 
 
-@register("extended_fold_rows", "C3 J9 X1 T6 K9", _EXT_SQL + f""",
-tr AS (SELECT doc_id AS id, FALSE AS extension, {sq.seeded_hash("('0-' || doc_id)", 42)} AS h FROM f WHERE fold <> 0
-       UNION ALL SELECT id1 * 100000 - id2, TRUE, {sq.seeded_hash("('1-' || (id1 * 100000 - id2))", 42)} FROM ext),
-held AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM f WHERE fold = 0)
+@register("extended_fold_rows", "C3 J9 X1 T6", _EXT_SQL + f""",
+tr AS (SELECT CAST(doc_id AS VARCHAR) AS id, FALSE AS extension, {sq.seeded_hash("('0-' || doc_id)", 42)} AS h FROM f WHERE fold <> 0
+       UNION ALL SELECT id1 || ':' || id2, TRUE, {sq.seeded_hash("('1-' || id1 || ':' || id2)", 42)} FROM ext),
+held AS (SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS pos FROM f WHERE fold = 0)
 SELECT 'train' AS part, row_number() OVER (ORDER BY h, extension, id) - 1 AS pos, id, extension FROM tr
 UNION ALL SELECT 'val', pos, id, FALSE FROM held UNION ALL SELECT 'test', pos, id, FALSE FROM held""")
 def extended_fold_rows(spark, sf):
-    """Fold 0 with the mined pairs; a pair's id is id1 * 100000 - id2."""
-    mined = au.mine(_dups(spark, sf)).select((F.col("id1") * 100000 - F.col("id2")).alias("doc_id"))
-    return splits.extended_fold(_folds(spark, sf), mined, 0, "doc_id")
+    """Fold 0 with the mined pairs; ids are text, a pair's is ``id1:id2``."""
+    mined = au.mine(_dups(spark, sf)).select(F.concat_ws(":", "id1", "id2").alias("doc_id"))
+    folds = _folds(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return splits.extended_fold(folds, mined, 0, "doc_id")
 
 
 # mentions: the words of ten and more letters of each text, scored by a hash
@@ -145,7 +146,7 @@ def entity_filter(spark, sf):
     return au.has_entity(pairs, _mentions(spark, sf), threshold=0.99)
 
 
-@register("blind_mentions", "P13 C16", "WITH " + _MENTIONS + """,
+@register("blind_mentions", "P13", "WITH " + _MENTIONS + """,
 g AS (SELECT doc_id, list(mention ORDER BY mention) AS ms FROM ms WHERE score > 0.5 GROUP BY doc_id)
 SELECT doc_id, CASE WHEN ms IS NULL THEN text ELSE list_reduce(list_prepend(text, ms), lambda t, x: replace(t, x, 'disease')) END AS text
 FROM documents LEFT JOIN g USING (doc_id)""")

@@ -17,7 +17,7 @@ _BASE = sq.with_(sq.DOC_LINES, sq.DOC_CANDS)
 _KEYS = ["sample_id", "cand_rank"]
 
 
-@register("candidate_ids", "S1 W1 W13", sq.with_(sq.DOC_LINES) + """
+@register("candidate_ids", "W1 W13", sq.with_(sq.DOC_LINES) + """
 SELECT doc_id, line_no, (o // 5) AS sample_id, (o % 5) AS cand_rank FROM (
   SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS o FROM doc_lines)""")
 def candidate_ids(spark, sf):

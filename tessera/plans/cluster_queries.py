@@ -51,7 +51,7 @@ def cluster_components(spark, sf):
     return cl.connected_components(emb.select("vec_id"), cl.epsilon_pairs(emb, EPS).select("id1", "id2"))
 
 
-@register("cluster_size_profile", "C15 A18", _CC_SQL.replace(
+@register("cluster_size_profile", "C15", _CC_SQL.replace(
     "SELECT v AS vec_id, min(lab) AS cluster FROM r GROUP BY v",
     """, c AS (SELECT v, min(lab) AS cluster FROM r GROUP BY v),
 s AS (SELECT cluster, count(*) AS size FROM c GROUP BY cluster)

@@ -210,7 +210,7 @@ def _neg_part(name: str, rest: str) -> str:
   UNION ALL SELECT q.sample_id, p.sample_id, 0.0 FROM {name}q q JOIN {name}p p ON p.pos = q.idx WHERE p.gold <> q.gold)"""
 
 
-@register("gold_examples", "C4 X1 J6 B8", sq.with_(sq.DOC_LINES, sq.DOC_GOLD) + f""",
+@register("gold_examples", "C4 X1 J6", sq.with_(sq.DOC_LINES, sq.DOC_GOLD) + f""",
 {_neg_part('train', '<> 9')}, {_neg_part('test', '= 9')}
 SELECT 'train' AS part, * FROM train UNION ALL SELECT 'test', * FROM test""")
 def gold_examples(spark, sf):
@@ -221,6 +221,77 @@ def gold_examples(spark, sf):
     return ex.select("part", "guid", F.col("cand_key").alias("cand_id"), "label")
 
 
+def _scored_part(name: str) -> str:
+    return (f"{name}s AS (SELECT {name}.*, p.gold AS a, q.gold AS b FROM {name} JOIN doc_gold p ON p.sample_id = cand_id JOIN doc_gold q ON q.sample_id = guid), "
+            + sq.rouge_n_ctes(f"{name}s", ["guid", "cand_id", "label"], "a", "b", 1, f"{name}f"))
+
+
+@register("gold_examples_scored", "C4 B8 B1", sq.with_(sq.DOC_LINES, sq.DOC_GOLD) + f""",
+{_neg_part('train', '<> 9')}, {_neg_part('test', '= 9')}, {_scored_part('train')}, {_scored_part('test')},
+al AS (SELECT 'train' AS part, * FROM trainf UNION ALL SELECT 'test', * FROM testf)
+SELECT part, guid, cand_id, round(CASE WHEN label = 1 THEN 1.0 ELSE {sq.f1('m', 'np', 'nr')} END, {R}) AS label FROM al""")
+def gold_examples_scored(spark, sf):
+    """The labelled gold examples; a negative's label is its ROUGE-1 against
+    the gold text over that text's with itself."""
+    gold = derived.doc_gold(spark, sf)
+    held = splits.seeded_hash("sample_id", 7) % 10 == 9
+
+    def rouge_1(a, b):
+        return rg.rouge_n(tx.alnum_tokens(a), tx.alnum_tokens(b), 1)["f"]
+
+    ex = ng.split_examples({"train": gold.where(~held), "test": gold.where(held)}, "sample_id", "source", "gold", 3, 42, rouge_1)
+    return ex.select("part", "guid", F.col("cand_key").alias("cand_id"), F.round("label", R).alias("label"))
+
+
+@register("cv_labels", "C12 C5 W2 W3 X4", _BASE + f""",
+t AS (SELECT sample_id, cand_rank, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM doc_cands),
+l AS (SELECT sample_id, cand_rank, len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM t),
+s AS (SELECT sample_id, cand_rank, round(100 * {sq.f1('m', 'np', 'nr')}, 4) AS score FROM l),
+mx AS (SELECT sample_id, max(score) AS mx FROM s GROUP BY sample_id), {_doc_folds_sql()}
+SELECT fold, CASE WHEN fold = 4 THEN 'test' ELSE 'train' END AS part, sample_id, cand_rank,
+       CASE WHEN mx = 0 THEN 0.0 ELSE score / mx END AS relative_label, CAST(CASE WHEN score = mx THEN 1.0 ELSE 0.0 END AS DOUBLE) AS binary_label
+FROM s JOIN mx USING (sample_id) JOIN dfold ON dfold.doc_id = sample_id""")
+def cv_labels(spark, sf):
+    """The candidates of all folds with both kinds of labels, scored once; the
+    last fold is the test part."""
+    s = cd.score_candidates(derived.doc_candidates(spark, sf), "rougeL", stem=False)
+    s = cd.materialize(s, [*_KEYS, "score"])
+    both = cd.relative_labels(cd.relative_labels(s, name="relative_label"), name="binary_label", binary=True)
+    folds = splits.stratified_folds(table(spark, sf, "documents", ["doc_id", "lang"]), "doc_id", ["lang"], k=5, seed=42)
+    both = both.join(folds.select(F.col("doc_id").alias("sample_id"), "fold"), "sample_id")
+    return both.select("fold", splits.holdout_split("fold", 5, 4).alias("part"), *_KEYS, "relative_label", "binary_label")
+
+
+@register("observed_run", "A13 A14 C8", _BASE + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 2, "rn") + f""",
+s AS (SELECT sample_id, round(100 * {sq.f1('m', 'np', 'nr')}, 4) AS score FROM rn),
+b AS (SELECT sample_id, max(score) AS score FROM s GROUP BY sample_id)
+SELECT 'n_candidates' AS metric, CAST(count(*) AS DOUBLE) AS value FROM s
+UNION ALL SELECT 'n_some', CAST(count(*) AS DOUBLE) FROM s WHERE score > 0
+UNION ALL SELECT 'best_rouge2', round(avg(score), 4) FROM b UNION ALL SELECT 'n_obs', CAST(count(*) AS DOUBLE) FROM b
+UNION ALL SELECT 'took_time', 1.0""")
+def observed_run(spark, sf):
+    """The best candidates written in one pass, and the run's metrics beside
+    them: counts and score come from observations on the written plan."""
+    import time
+
+    from tessera.operators import metrics as mt
+    from tessera.session import Rounds
+    scored, seen = mt.observed(cd.score_candidates(derived.doc_candidates(spark, sf), "rouge2", stem=False), "candidates",
+                               n_candidates=F.count(F.lit(1)), n_some=F.count_if(F.col("score") > 0))
+    best, kept = mt.observed(cd.pick_best(scored, payload=()), "best", n=F.count(F.lit(1)), score=F.avg("score"))
+    files, start = Rounds(spark), time.time()
+    best.write.parquet(f"{files.folder}/best")
+    took, counts, run = time.time() - start, seen.get, kept.get
+    scores = spark.createDataFrame([("n_candidates", float(counts["n_candidates"])), ("n_some", float(counts["n_some"])),
+                                    ("best_rouge2", round(run["score"] or 0.0, 4))], "metric string, value double")
+    result = mt.run_result(scores, run["n"], took)
+    # what a clock says can't be compared: that it ran is told
+    clock = F.col("metric").isin("runtime", "seconds_per_sample")
+    result = result.where(F.col("metric") != "seconds_per_sample").select(
+        F.when(clock, "took_time").otherwise(F.col("metric")).alias("metric"), F.when(clock, (F.col("value") > 0).cast("double")).otherwise(F.col("value")).alias("value"))
+    return files.close(result)
+
+
 @register("prediction_examples", "C5 W2 W4", _BASE + f""",
 t AS (SELECT sample_id, cand_rank, text, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM doc_cands),
 l AS (SELECT sample_id, cand_rank, text, len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM t),
@@ -238,7 +309,7 @@ def prediction_examples(spark, sf):
     return ex.join(ids, "sample_id").select("guid", part.alias("part"), "cand_rank", F.col("text").alias("candidate"), "label")
 
 
-@register("prediction_run", "C13 C6 C9 B4 A13", _LEX + """,
+@register("prediction_run", "C13 C6 C9 B4", _LEX + """,
 pk AS (SELECT sample_id, 0 AS cand_rank, text, gold FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, cand_rank) AS k FROM lex) WHERE k = 1), """
           + sq.rouge_n_ctes("pk", _KEYS, "text", "gold", 1, "r1") + ", " + sq.rouge_n_ctes("pk", _KEYS, "text", "gold", 2, "r2") + f""",

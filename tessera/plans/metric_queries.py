@@ -22,7 +22,7 @@ def _pairs(spark, sf):
         *_KEYS, F.col("text").alias("pred"), F.col("gold").alias("ref"))
 
 
-@register("corpus_rouge", "B4 B9 A13", _ALL + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 1, "r1")
+@register("corpus_rouge", "B4", _ALL + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 1, "r1")
           + ", " + sq.rouge_n_ctes("doc_cands", _KEYS, "text", "gold", 2, "r2") + f""",
 lt AS (SELECT sample_id, cand_rank, {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM doc_cands),
 l AS (SELECT len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM lt)
@@ -83,6 +83,13 @@ def bootstrap_rouge(spark, sf):
     return mt.bootstrap_rouge(p, "key", replicates=_REPLICATES, seed=42, stem=False)
 
 
+@register("bootstrap_rouge_exact", "B4 multinomial")
+def bootstrap_rouge_exact(spark, sf):
+    """Percentiles of the corpus scores over exact resamples of all pairs."""
+    from tessera.operators import resampling
+    return resampling.bootstrap_rouge(_pairs(spark, sf), _KEYS, replicates=_REPLICATES, seed=42, stem=False)
+
+
 @register("rouge_lsum_scores", "B3 P6 P12")
 def rouge_lsum_scores(spark, sf):
     """Every document's whole text against its gold line."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import mentions as mn
 from tessera.operators import sparse
+from tessera.operators.cluster import connected_components
 from tessera.plans import derived
 from tessera.plans import sqltext as sq
 from tessera.plans.augment_queries import _MENTIONS, _mentions
@@ -56,6 +57,26 @@ def equal_documents(spark, sf):
     return members.select(F.col("id").alias("doc_id"), "same")
 
 
+_BLIND = "WITH RECURSIVE " + _MENTIONS + """,
+ow AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([a-z]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+blinded AS (SELECT o.doc_id, array_to_string(list_transform(parts, lambda p: CASE WHEN g.ms IS NOT NULL AND list_contains(g.ms, p) THEN 'disease' ELSE p END), '') AS text
+  FROM ow o LEFT JOIN (SELECT doc_id, list(mention) AS ms FROM ms WHERE score > 0.5 AND length(mention) >= 16 GROUP BY doc_id) g USING (doc_id)),
+""" + _VECTORS.replace("FROM documents", "FROM blinded")
+
+
+@register("cluster_blinded", "C16 C15 P13 U5", _BLIND + f""",
+p AS (SELECT a.id AS s, b.id AS t FROM tv a JOIN tv b ON a.term = b.term AND a.id <> b.id GROUP BY ALL HAVING sum(a.w * b.w) >= {COSINE}),
+r(v, lab) AS (SELECT DISTINCT id, id FROM tv UNION SELECT p.t, r.lab FROM r JOIN p ON p.s = r.v)
+SELECT v AS doc_id, min(lab) AS cluster FROM r GROUP BY v""")
+def cluster_blinded(spark, sf):
+    """Documents with their own mentions blinded, embedded after that, and
+    grouped by links of cosine COSINE or more."""
+    vectors = sparse.tfidf(blind_own_mentions(spark, sf))
+    pairs, members = sparse.cosine_join(vectors, COSINE)
+    links = pairs.select("id1", "id2").unionByName(members.where(F.col("id") != F.col("same")).select(F.col("same").alias("id1"), F.col("id").alias("id2")))
+    return connected_components(members.select(F.col("id").alias("doc_id")), links, "doc_id")
+
+
 _LONG = "[a-z]{8,}"
 
 
@@ -84,7 +105,7 @@ def dictionary_spans(spark, sf):
     return found.select("doc_id", F.size("spans").cast("long").alias("n_mentions"), F.array_join(written, " ").alias("spans"))
 
 
-@register("blind_dictionary", "P13 C16 dictionary", _SPANS_SQL + """,
+@register("blind_dictionary", "P13 dictionary", _SPANS_SQL + """,
 cuts AS (SELECT doc_id, 0 AS a, 0 AS b FROM documents UNION ALL SELECT doc_id, s, e FROM spans),
 gaps AS (SELECT doc_id, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a, b) AS nxt FROM cuts)
 SELECT d.doc_id, string_agg(CASE WHEN nxt IS NULL THEN substr(d.text, b + 1) ELSE substr(d.text, b + 1, nxt - b) END, 'disease' ORDER BY b) AS text
@@ -95,7 +116,7 @@ def blind_dictionary(spark, sf):
     return mn.blind_spans(docs, mn.mention_spans(docs, _dictionary(spark, sf)))
 
 
-@register("blind_own_mentions", "P13 C16", "WITH " + _MENTIONS + """,
+@register("blind_own_mentions", "P13", "WITH " + _MENTIONS + """,
 ow AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([a-z]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)
 SELECT o.doc_id, array_to_string(list_transform(parts, lambda p: CASE WHEN g.ms IS NOT NULL AND list_contains(g.ms, p) THEN 'disease' ELSE p END), '') AS text
 FROM ow o LEFT JOIN (SELECT doc_id, list(mention) AS ms FROM ms WHERE score > 0.5 AND length(mention) >= 16 GROUP BY doc_id) g USING (doc_id)""")

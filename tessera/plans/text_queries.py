@@ -72,7 +72,7 @@ _OVERLAP_SQL = f"""{sq.with_(sq.PAIRS_CONV)}, t AS (
          list_distinct({sq.ws_tokens('lower(source)')}) AS sw FROM pairs_conv)"""
 
 
-@register("overlap_scores", "B7 J1", _OVERLAP_SQL + f"""
+@register("overlap_scores", "B7", _OVERLAP_SQL + f"""
 SELECT conv_id, turn,
        CASE WHEN len(tw) = 0 THEN NULL
             ELSE round(len(list_intersect(tw, sw)) / len(tw), {R}) END AS overlap
