@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rouge as rg
 from tessera.functions import text as tx
 from tessera.operators import candidates as cd
+from tessera.operators import extractive as ex
 from tessera.plans import derived
 from tessera.plans import sqltext as sq
 from tessera.plans.catalog import register
@@ -129,6 +130,43 @@ def binary_labels(spark, sf):
     return cd.relative_labels(s, binary=True)
 
 
+def _extracted(spark, sf):
+    """The five most central sentences of every document."""
+    docs = derived.documents(spark, sf).select(F.col("doc_id").alias("sample_id"), tx.sentences("text").alias("sentences"))
+    return ex.extract(docs, 5, "sample_id")
+
+
+_SENT_SQL = f"""se AS (SELECT doc_id AS id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS j FROM (SELECT doc_id, {sq.sentences('text')} AS l FROM documents)),
+tk AS (SELECT id, j, unnest({sq.alnum_tokens('text')}) AS w FROM se),
+tc AS (SELECT id, j, w, CAST(count(*) AS DOUBLE) AS c FROM tk GROUP BY ALL),
+tn AS (SELECT id, j, w, c / sqrt(sum(c * c) OVER (PARTITION BY id, j)) AS x FROM tc),
+lk AS (SELECT a.id, a.j AS i, b.j, sum(a.x * b.x) AS s FROM tn a JOIN tn b ON a.id = b.id AND a.w = b.w AND a.j <> b.j GROUP BY ALL),
+dg AS (SELECT id, i, sum(s) AS d FROM lk GROUP BY ALL),
+nd AS (SELECT id, count(*) AS n FROM se GROUP BY id),
+x0 AS (SELECT id, j, 1.0 / n AS x FROM se JOIN nd USING (id)),
+""" + ",\n".join(f"""x{k + 1} AS (SELECT se.id, se.j, {1 - ex.DAMPING} / n + {ex.DAMPING} * coalesce(v, 0.0) AS x FROM se JOIN nd USING (id)
+  LEFT JOIN (SELECT lk.id, lk.j, sum(s * x / d) AS v FROM lk JOIN x{k} p ON p.id = lk.id AND p.j = lk.i JOIN dg ON dg.id = lk.id AND dg.i = lk.i GROUP BY ALL) u USING (id, j))"""
+                          for k in range(ex.STEPS)) + f""",
+rk AS (SELECT id AS sample_id, row_number() OVER (PARTITION BY id ORDER BY round(x, 9) DESC, j) - 1 AS cand_rank, j AS sentence_no, round(x, 9) AS score FROM x{ex.STEPS})"""
+
+
+@register("extractive_candidates", "U4 W1 D6", "WITH " + _SENT_SQL + f"""
+SELECT sample_id, cand_rank, sentence_no, round(score, {R}) AS score FROM rk WHERE cand_rank < 5""")
+def extractive_candidates(spark, sf):
+    return _extracted(spark, sf).select("sample_id", "cand_rank", "sentence_no", F.round("score", R).alias("score"))
+
+
+@register("extractive_run", "U4 C8 C9 B1")
+def extractive_run(spark, sf):
+    """Central sentences as candidates: of each document the one nearest to
+    its first line by ROUGE-2, beside what centrality alone would take."""
+    gold = derived.doc_gold(spark, sf).select("sample_id", "gold")
+    scored = cd.score_candidates(cd.attach_gold(_extracted(spark, sf).withColumnRenamed("score", "central"), gold), "rouge2", stem=False)
+    scored = cd.materialize(scored, [*_KEYS, "central", "score"])
+    first = scored.where(F.col("cand_rank") == 0).select("sample_id", F.col("score").alias("central_score"))
+    return cd.pick_best(scored, payload=()).join(first, "sample_id").select("sample_id", "cand_rank", "score", "central_score")
+
+
 @register("rerank_inputs", "C6 J2", _BASE + f""", g AS (
   SELECT doc_id AS sample_id, {sq.strip('text')} AS source FROM documents)
 SELECT c.sample_id, c.cand_rank, g.source, c.text AS candidate, CAST(0.0 AS DOUBLE) AS label
