@@ -1,9 +1,10 @@
 """Array helpers: n-grams and multiset overlap, all native and row-local.
 
-Multiset overlap (sum over shared items of the smaller count) is computed in
-O(n log n) per row without a shuffle: each side is sorted and run-length
-encoded into (value, count) pairs, the two run lists are merged by one more
-sort, and adjacent equal values contribute ``least(count_a, count_b)``.
+Multiset overlap (sum over shared items of the smaller count) is row-local.
+A few shared items are counted; with more of them each side is sorted and
+run-length encoded into (value, count) pairs, the two run lists are merged by
+one more sort, and adjacent equal values contribute ``least(count_a,
+count_b)``: O(n log n).
 """
 
 from __future__ import annotations
@@ -48,8 +49,28 @@ def value_counts(arr: Column) -> Column:
     return let(F.array_sort(arr), lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
+#: Up to so many shared items their counts are taken one by one.
+FEW_SHARED = 8
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """``sum_x min(count_a(x), count_b(x))`` as a LONG; 0 if either is empty."""
+    """``sum_x min(count_a(x), count_b(x))`` as a LONG; 0 if either is empty.
+
+    Items in both sides are found first, by hashing: most pairs of texts share
+    no n-gram or a few, which are counted; only the others are sorted."""
+    def counted(x, y, common):
+        def count(side, item):
+            return F.size(F.filter(side, lambda v: v == item))
+        return F.aggregate(common, F.lit(0).cast("long"), lambda acc, item: acc + F.least(count(x, item), count(y, item)))
+
+    def of(x, y):
+        return let(F.array_intersect(x, y), lambda common: F.when(F.coalesce(F.size(common), F.lit(0)) <= 0, F.lit(0).cast("long"))
+                   .when(F.size(common) <= FEW_SHARED, counted(x, y, common)).otherwise(_sorted_overlap(x, y)))
+
+    return let(a, lambda x: let(b, lambda y: of(x, y)))
+
+
+def _sorted_overlap(a: Column, b: Column) -> Column:
     merged = F.array_sort(F.concat(
         F.coalesce(value_counts(a), F.array().cast("array<struct<v:string,c:bigint>>")),
         F.coalesce(value_counts(b), F.array().cast("array<struct<v:string,c:bigint>>"))))

@@ -41,16 +41,21 @@ def tokens_13a(col) -> Column:
 
 
 def bleu_stats(hyp_tokens: Column, ref_tokens: Column, max_order: int = 4) -> Column:
-    """struct(sys_len, ref_len, m1..m4 clipped matches, t1..t4 totals)."""
-    def body(h):
-        def with_ref(r):
-            fields = [F.size(h).cast("long").alias("sys_len"), F.size(r).cast("long").alias("ref_len")]
-            for n in range(1, max_order + 1):
-                fields.append(multiset_overlap(ngrams(h, n), ngrams(r, n)).alias(f"m{n}"))
-                fields.append(F.greatest(F.size(h) - (n - 1), F.lit(0)).cast("long").alias(f"t{n}"))
-            return F.struct(*fields)
-        return let(ref_tokens, with_ref)
-    return let(hyp_tokens, body)
+    """struct(sys_len, ref_len, m1..m4 clipped matches, t1..t4 totals).  An
+    order is only counted where the one below it has a match."""
+    def with_tokens(h, r):
+        def orders(n, below):
+            if n > max_order:
+                fields = [F.size(h).cast("long").alias("sys_len"), F.size(r).cast("long").alias("ref_len")]
+                for k, m in enumerate(below, 1):
+                    fields += [m.alias(f"m{k}"), F.greatest(F.size(h) - (k - 1), F.lit(0)).cast("long").alias(f"t{k}")]
+                return F.struct(*fields)
+            matches = multiset_overlap(ngrams(h, n), ngrams(r, n))
+            if below:
+                matches = F.when(below[-1] > 0, matches).otherwise(F.lit(0).cast("long"))
+            return let(matches, lambda m: orders(n + 1, [*below, m]))
+        return orders(1, [])
+    return let(hyp_tokens, lambda h: let(ref_tokens, lambda r: with_tokens(h, r)))
 
 
 def corpus_bleu_from_sums(smooth: str = "exp", max_order: int = 4) -> list[Column]:
