@@ -57,9 +57,13 @@ def token(piece: Column) -> Column:
     ends, core = F.regexp_replace(inside, rf"{CLOSE}+\z", ""), F.regexp_replace(inside, rf"{TRAIL}+\z", "")
     kind = (F.when(ends.rlike(r"[?!]\z"), "final").when(ends.rlike(r"\.\.\z|…\z"), "ellipsis").when(ends.rlike(r"\.\z"), "dot").otherwise("mid"))
     word = F.lower(F.regexp_replace(core, r"[.?!…]+\z", ""))
-    case = F.when(core.rlike(r"^\p{Lu}"), "upper").when(core.rlike(r"^\p{Ll}"), "lower").otherwise("other")
-    return F.struct(F.when(word.rlike(r"^-?[0-9][0-9.,]*\z"), NUMBER).otherwise(word).alias("word"), kind.alias("kind"),
-                    core.rlike(r"(^|[^.])\.\z").alias("dot"), case.alias("case"))
+    first = F.substring(core, 1, 1)
+    case = F.when(first.rlike(r"^\p{Lu}"), "upper").when(first.rlike(r"^\p{Ll}"), "lower").otherwise("other")
+    # most tokens are plain lower-case words
+    plain = F.struct(F.rtrim(piece, F.lit(" \t\n\x0b\f\r")).alias("word"), F.lit("mid").alias("kind"), F.lit(False).alias("dot"), F.lit("lower").alias("case"))
+    other = F.struct(F.when(word.rlike(r"^-?[0-9][0-9.,]*\z"), NUMBER).otherwise(word).alias("word"), kind.alias("kind"),
+                     core.rlike(r"(^|[^.])\.\z").alias("dot"), case.alias("case"))
+    return F.when(piece.rlike(rf"^[a-z]+{SPACE}*\z"), plain).otherwise(other)
 
 
 def neighbours(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -191,9 +195,11 @@ def with_sentences(texts: DataFrame, model: SentenceModel, key: str = "doc_id",
     return rows.withColumn(name, F.when(F.size("_p") > 0, parts).otherwise(F.array().cast("array<string>"))).drop("_p", "_from", "_to", "boundaries")
 
 
-def sentence_counts(texts: DataFrame, model: SentenceModel, key: str = "doc_id", text: str = "text", name: str = "num_sent") -> DataFrame:
-    """(key, name): the number of sentences of every text."""
-    found = boundaries(texts, model, key, text).select(key, F.size("boundaries").alias("_n"))
-    some = F.size(pieces(F.col(text))) > 0
+def sentence_counts(texts: DataFrame, model: SentenceModel, key: str = "doc_id", text: str = "text", name: str = "num_sent",
+                    found: DataFrame | None = None) -> DataFrame:
+    """(key, name): the number of sentences of every text; ``found`` may give
+    its ``boundaries``."""
+    found = (boundaries(texts, model, key, text) if found is None else found).select(key, F.size("boundaries").alias("_n"))
+    some = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return texts.select(key, some.alias("_some")).join(found, key, "left").select(
         key, F.when(F.col("_some"), F.coalesce("_n", F.lit(0)) + 1).otherwise(0).cast("long").alias(name))

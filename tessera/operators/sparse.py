@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.arrays import let
 from tessera.operators.splits import seeded_hash
 from tessera.session import cut_lineage
 
@@ -47,8 +48,8 @@ def tfidf(texts: DataFrame, id_col: str = "doc_id", text: str = "text", bits: in
     rows = counts.join(frequency, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "term", weight.alias("weight")))).alias("v"))
     # in the array's order, so that equal texts get equal numbers
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, t: a + t["weight"] * t["weight"]))
-    rows = rows.withColumn("_norm", norm)
-    return rows.select("id", F.transform("v", lambda t: F.struct(t["n"].alias("n"), t["term"].alias("term"), (t["weight"] / F.col("_norm")).alias("weight"))).alias("vector"))
+    return rows.select("id", let(norm, lambda x: F.transform("v", lambda t: F.struct(
+        t["n"].alias("n"), t["term"].alias("term"), (t["weight"] / x).alias("weight")))).alias("vector"))
 
 
 def _prefixes(below: float):

@@ -12,6 +12,7 @@ from tessera.plans import derived
 from tessera.plans import sqltext as sq
 from tessera.plans.augment_queries import _DUP_SQL, _dups
 from tessera.plans.catalog import register
+from tessera.session import cut_lineage
 
 R = 6
 
@@ -108,8 +109,8 @@ LEFT JOIN (SELECT key, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ' ' ORDER
 def sentence_boundaries(spark, sf):
     """Sentences of every whole document, and the tokens that end one."""
     docs, model = derived.documents(spark, sf), _model(spark, sf)
-    found = bd.boundaries(docs, model)
-    return bd.sentence_counts(docs, model, name="n_sentences").join(found, "doc_id", "left").select(
+    found = cut_lineage(bd.boundaries(docs, model))
+    return bd.sentence_counts(docs, model, name="n_sentences", found=found).join(found, "doc_id", "left").select(
         "doc_id", "n_sentences", F.coalesce(F.array_join("boundaries", " "), F.lit("")).alias("boundaries"))
 
 
