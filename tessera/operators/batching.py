@@ -99,46 +99,44 @@ def trim_batch(batched: DataFrame, batch: str, tokens: str, pad: str) -> DataFra
 
 # ------------------------------- greedy cuts --------------------------------
 
-def chain_starts(rows: DataFrame, n: int, shard_rows: int = 65536) -> DataFrame:
+def chain_starts(rows: DataFrame, n: int, shard_rows: int = 65536, fan: int = 256) -> DataFrame:
     """Positions reached from 0 by following ``_next`` (> ``_o``), as ``_o``.
 
-    ``rows`` has ``_o`` = 0..n-1 and ``_next``.  Each shard of consecutive
-    positions works out, for every position, where a chain that passes it
-    leaves the shard.  Chains that enter a shard at different positions soon
-    meet, so the distinct exits are a few per shard; only their own exits come
-    to the driver, which follows one step per shard.  Each shard then replays
-    its part from its true entry.  The result doesn't depend on the shards.
+    ``rows`` has ``_o`` and ``_next``, for every position below ``n`` that a
+    ``_next`` names.  Each shard of consecutive positions works out, for every
+    position, where a chain that passes it leaves the shard.  Chains that enter
+    a shard at different positions soon meet, so the positions at which a shard
+    is entered are few; these and their exits are the rows of the next level,
+    of shards ``fan`` times as wide, up to one shard, whose chain begins at 0.
+    Then each level's shards replay their parts from their true entries.
+    Everything stays in Spark; the result doesn't depend on the shards.
     """
-    sharded = rows.select("_o", "_next", F.floor(F.col("_o") / shard_rows).cast("long").alias("_shard"))
+    shard = F.floor(F.col("_o") / shard_rows).cast("long").alias("_shard")
+    sharded = rows.select("_o", "_next", shard)
 
     def leaving(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        first, size = int(pdf["_o"].iloc[0]), len(pdf)
-        out = pdf["_next"].tolist()
-        for i in range(size - 1, -1, -1):
-            if out[i] - first < size:
-                out[i] = out[out[i] - first]
-        return pd.DataFrame({"_o": pdf["_o"].to_numpy(), "_exit": out})
-
-    exits = cut_lineage(sharded.groupBy("_shard").applyInPandas(leaving, "_o long, _exit long"))
-    met = exits.select(F.col("_exit").alias("_o")).distinct().join(exits, "_o").unionByName(exits.where(F.col("_o") == 0))
-    step = {r["_o"]: r["_exit"] for r in met.toLocalIterator()}
-    entries, at = [], 0
-    while at < n:
-        entries.append((at // shard_rows, at))
-        at = step[at]
-    entry = rows.sparkSession.createDataFrame(entries, "_shard long, _entry long")
+        end, out = (int(pdf["_shard"].iloc[0]) + 1) * shard_rows, {}
+        pdf = pdf.sort_values("_o", ascending=False)
+        for o, e in zip(pdf["_o"].tolist(), pdf["_next"].tolist()):
+            out[o] = out.get(e, e) if e < end else e
+        return pd.DataFrame({"_o": list(out), "_next": list(out.values())}, dtype="int64")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        first, nxt, out = int(pdf["_o"].iloc[0]), pdf["_next"].tolist(), []
-        i = int(pdf["_entry"].iloc[0]) - first
-        while i < len(nxt):
-            out.append(first + i)
-            i = nxt[i] - first
+        step, out, at = dict(zip(pdf["_o"].tolist(), pdf["_next"].tolist())), [], int(pdf["_entry"].iloc[0])
+        while at in step:
+            out.append(at)
+            at = step[at]
         return pd.DataFrame({"_o": out}, dtype="int64")
 
-    return sharded.join(entry, "_shard").groupBy("_shard").applyInPandas(replay, "_o long")
+    if n <= shard_rows:
+        entries = rows.sparkSession.createDataFrame([(0,)], "_o long")
+    else:
+        exits = cut_lineage(sharded.groupBy("_shard").applyInPandas(leaving, "_o long, _next long"))
+        entered = exits.select(F.col("_next").alias("_o")).distinct()
+        met = exits.join(entered, "_o", "left_semi").unionByName(exits.where(F.col("_o") == 0))
+        entries = chain_starts(cut_lineage(met), n, shard_rows * fan, fan)
+    entries = entries.select(shard, F.col("_o").alias("_entry"))
+    return sharded.join(entries, "_shard").groupBy("_shard").applyInPandas(replay, "_o long")
 
 
 def _numbered(rows: DataFrame, starts: DataFrame, name: str) -> DataFrame:
@@ -170,10 +168,11 @@ def token_budget_batches(df: DataFrame, id_col: str, length: str, max_tokens: in
 
 
 def pack_rows(pairs: DataFrame, order, src_len: str, tgt_len: str, max_tokens: int = 1024,
-              shard_rows: int = 65536) -> DataFrame:
+              shard_rows: int = 65536, max_rows: int = 65536) -> DataFrame:
     """``pairs`` with pack_id and pack_pos: consecutive pairs share a pack
     while the source lengths and the target lengths each add up to the budget
-    at most; a pair beyond the budget is alone.
+    at most; a pair beyond the budget is alone.  A pack holds ``max_rows``
+    pairs at most, since pairs without a token never fill one.
 
     Where the pack that starts at a row ends is a rank among prefix sums: the
     number of rows whose sum is at most the row's own start plus the budget.
@@ -189,7 +188,7 @@ def pack_rows(pairs: DataFrame, order, src_len: str, tgt_len: str, max_tokens: i
             sums.select((F.col("_from") + max_tokens).alias("_v"), F.lit(1).alias("_limit"), F.col("_o").alias("_r"), F.lit(0).cast("long").alias("_row")))
         ranked = running_sums(both, ["_v", "_limit", "_r"], ["_row"])
         ends = ends.join(ranked.where(F.col("_limit") == 1).select(F.col("_r").alias("_o"), F.col("_row_cum").cast("long").alias(f"_end{c}")), "_o")
-    nxt = cut_lineage(ends.select("_o", F.greatest(F.col("_o") + 1, F.least("_end_sl", "_end_tl")).cast("long").alias("_next")))
+    nxt = cut_lineage(ends.select("_o", F.greatest(F.col("_o") + 1, F.least("_end_sl", "_end_tl", F.col("_o") + max_rows)).cast("long").alias("_next")))
     packs = global_index(chain_starts(nxt, n, shard_rows), ["_o"], "pack_id")
     spans = nxt.join(packs, "_o").select("pack_id", F.posexplode(F.sequence(F.col("_o"), F.col("_next") - 1)).alias("pack_pos", "_o"))
     return rows.join(spans, "_o").drop("_sl", "_tl")

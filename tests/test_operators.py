@@ -111,6 +111,29 @@ def test_packs_against_row_by_row(spark):
         (k, len(v), " ".join(f"s{i}" for i in v), " ".join(f"t{i}" for i in v)) for k, v in enumerate(want)]
 
 
+def test_chains_over_many_levels(spark):
+    rng = random.Random(4)
+    nxt = [i + rng.choice([1, 2, 3, 30]) for i in range(3000)]
+    df = spark.createDataFrame([(i, min(e, 3000)) for i, e in enumerate(nxt)], "_o long, _next long")
+    want, at = [], 0
+    while at < 3000:
+        want.append(at)
+        at = nxt[at]
+    for shard, fan in ((7, 3), (50, 2), (100, 256)):
+        assert sorted(r._o for r in bt.chain_starts(df, 3000, shard, fan).collect()) == want
+    # chains that never meet: every exit of a shard is another position
+    apart = spark.createDataFrame([(i, min(i + 10, 500)) for i in range(500)], "_o long, _next long")
+    assert sorted(r._o for r in bt.chain_starts(apart, 500, 20, 2).collect()) == list(range(0, 500, 10))
+
+
+def test_packs_of_pairs_without_a_token(spark):
+    df = spark.createDataFrame([(i, 0, 0) for i in range(25)], "id long, a long, b long")
+    got = {}
+    for r in bt.pack_rows(df, ["id"], "a", "b", 100, max_rows=10).collect():
+        got.setdefault(r.pack_id, []).append(r.id)
+    assert [sorted(v) for _, v in sorted(got.items())] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+
+
 def test_trim_batch_cuts_interior_columns(spark):
     rows = [(1, 0, ["a", "p", "b", "p"]), (2, 0, ["p", "p", "c"]), (3, 1, ["p", "p"]), (4, 1, [])]
     df = spark.createDataFrame(rows, "id long, batch long, tok array<string>")
