@@ -205,11 +205,14 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.  The figures
-    are taken twice, once to estimate and once to filter, which moves no text
-    through a shuffle."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    model = estimate(_with_figures(docs, text).select("_code"))
-    return judged(_with_figures(docs, text, whole), model).where("kept").select("_row.*")
+    are taken once: rows are written with their pattern of votes (those that
+    fail the base test without their columns), and filtered by the model that
+    is estimated from the patterns.  No text goes through a shuffle."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    rows = _with_figures(docs, text, whole).select("_code", F.when(~base_failed(), F.col("_whole")).alias("_row"))
+    rows = cut_lineage(rows)
+    kept = rows.join(F.broadcast(estimate(rows)), "_code").where(F.col("_row").isNotNull() & (F.col("p_good") >= 0.5))
+    return kept.select("_row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

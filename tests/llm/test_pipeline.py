@@ -51,3 +51,17 @@ def test_empty_documents(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0
         docs = out if out.columns == docs.columns else docs
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for c in ("_row", "_code", "_whole", "_doc", "_key", "_text", "n_words", "lang_pred", "score", "a.b", "p_good"):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert len(rows) > 50 and all(r["_row"] == f"_row {r.doc_id}" and r["a.b"] == f"a.b {r.doc_id}" and r["score"] == f"score {r.doc_id}" for r in rows)
