@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm._common import cut_lineage, read, sliced
 
@@ -316,8 +317,9 @@ def predict(docs: DataFrame, model: Model, *carried: Column, text: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(*carried, F.col(text).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(rows.columns) - (not keep_text)]] + ["lang_pred string", "score double"]
-    out = rows.mapInArrow(sliced(_predicted(spark.sparkContext.broadcast(model), penalty, spans, keep_text)), ", ".join([*kinds, *["_spans string"] * spans]))
+    more = [("lang_pred", T.StringType()), ("score", T.DoubleType()), *[("_spans", T.StringType())] * spans]
+    schema = T.StructType([*rows.schema.fields[:len(rows.columns) - (not keep_text)], *[T.StructField(*m) for m in more]])
+    out = rows.mapInArrow(sliced(_predicted(spark.sparkContext.broadcast(model), penalty, spans, keep_text)), schema)
     if spans:
         out = out.withColumn("spans", F.from_json("_spans", "array<array<string>>")).withColumn("spans", F.transform("spans", lambda s: F.struct(
             F.get(s, F.lit(0)).cast("int").alias("start"), F.get(s, F.lit(1)).cast("int").alias("end"), F.get(s, F.lit(2)).alias("lang")))).drop("_spans")
