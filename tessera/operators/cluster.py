@@ -25,7 +25,8 @@ from tessera.session import Rounds, cut_lineage
 
 
 #: Vectors a cell is meant to hold, and most cells (pivots are broadcast).
-CELL, MOST_CELLS = 1024, 2048
+#: Wide cells and blocks copy vectors less often; a task's matrix has 128 MB.
+CELL, MOST_CELLS = 4096, 2048
 
 
 def _matrix(column) -> np.ndarray:
@@ -57,7 +58,7 @@ def _visits(pivots: np.ndarray, eps: float):
 
 
 def epsilon_pairs(df: DataFrame, eps: float, id_col: str = "vec_id", vec: str = "embedding",
-                  block_rows: int = 1024, cell_rows: int = CELL) -> DataFrame:
+                  block_rows: int = 4096, cell_rows: int = CELL) -> DataFrame:
     """All pairs (id1 < id2) with distance <= eps, exact.
 
     A vector lives in the cell of its nearest pivot.  If two vectors within

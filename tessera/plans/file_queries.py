@@ -113,6 +113,25 @@ def file_shards(spark, sf):
     return files.close(tabular.read_json_records(spark, f"{files.folder}/test_results.json", multiline=False).select("metric", "value"))
 
 
+_FIRST = sq.with_(sq.DOC_LINES, sq.DOC_CANDS.replace("WHERE c.line_no >= 1", "WHERE c.line_no = 1"))
+
+
+@register("file_scores", "B9 S1 J1 K1 K5", _FIRST.rstrip() + ", " + sq.rouge_n_ctes("doc_cands", ["sample_id", "cand_rank"], "text", "gold", 1, "r1") + ", "
+          + sq.rouge_n_ctes("doc_cands", ["sample_id", "cand_rank"], "text", "gold", 2, "r2") + f""",
+l AS (SELECT len(pt) AS np, len(rt) AS nr, {sq.lcs_len('pt', 'rt')} AS m FROM (SELECT {sq.alnum_tokens('text')} AS pt, {sq.alnum_tokens('gold')} AS rt FROM doc_cands))
+SELECT 'rouge1' AS metric, round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) AS value FROM r1
+UNION ALL SELECT 'rouge2', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) FROM r2 UNION ALL SELECT 'rougeL', round(avg({sq.f1('m', 'np', 'nr')}) * 100, 4) FROM l""")
+def file_scores(spark, sf):
+    """A file of predictions (each document's first candidate) scored against
+    a file of gold texts, line by line, and the scores as JSON."""
+    files = Rounds(spark)
+    first = derived.doc_candidates(spark, sf).where(F.col("cand_rank") == 0).select(F.col("sample_id").alias("pair_id"), F.col("text").alias("source"), F.col("gold").alias("target"))
+    sinks.write_pairs_text(first, files.folder, "run")
+    pairs = text.parallel_pairs(spark, f"{files.folder}/run.source", f"{files.folder}/run.target")
+    sinks.write_metrics_json(mt.corpus_rouge(pairs, pred="source", ref="target", stem=False), f"{files.folder}/scores.json")
+    return files.close(tabular.read_json_records(spark, f"{files.folder}/scores.json", multiline=False).select("metric", "value"))
+
+
 @register("file_translations", "S11 S10", _NUMBERED + "SELECT source, target FROM np")
 def file_translations(spark, sf):
     """Translation records, of which one pair of languages is taken."""

@@ -131,14 +131,14 @@ def mine_augmentation_trained(spark, sf):
     """The miner with sentences counted by the learned boundaries: of whole
     documents once each, and of a line and a line with the next."""
     docs, model = derived.documents(spark, sf), _model(spark, sf)
-    pairs = _dups(spark, sf).where(F.col("is_duplicate") == 1).select("id1", "id2", "is_duplicate")
-    whole = bd.sentence_counts(docs, model)
+    pairs = cut_lineage(_dups(spark, sf).where(F.col("is_duplicate") == 1).select("id1", "id2", "is_duplicate"))
+    whole = cut_lineage(bd.sentence_counts(docs, model))
     lines = docs.select("doc_id", tx.non_empty_lines("text").alias("_l")).select(
         F.col("doc_id").alias("id1"), F.posexplode(F.transform("_l", lambda x, i: F.struct(x.alias("a"), F.get("_l", i + 1).alias("b")))).alias("i", "p"))
     lines = lines.where(F.col("p.b").isNotNull()).select("id1", (-1 - F.col("i")).cast("long").alias("id2"), "p").join(pairs, ["id1", "id2"])
     sides = lines.select("id1", "id2", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("p.a").alias("text")),
                                                         F.struct(F.lit(2).alias("side"), F.concat_ws(" ", "p.a", "p.b").alias("text")))))
-    sides = sides.withColumn("_key", F.concat_ws(" ", "id1", "id2", "side"))
+    sides = cut_lineage(sides.withColumn("_key", F.concat_ws(" ", "id1", "id2", "side")))
     counts = sides.select("id1", "id2", "side", "_key").join(bd.sentence_counts(sides, model, "_key"), "_key")
     short = counts.groupBy("id1", "id2").agg(F.max(F.when(F.col("side") == 1, F.col("num_sent"))).alias("num_sent_1"),
                                              F.max(F.when(F.col("side") == 2, F.col("num_sent"))).alias("num_sent_2"))
