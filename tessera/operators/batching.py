@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators.ordering import global_index, rank_within, running_sums
 from tessera.operators.splits import seeded_hash
 from tessera.session import cut_lineage
@@ -23,6 +24,22 @@ def pair_length(source: Column, target: Column | None = None) -> Column:
     return source if target is None else F.greatest(source, target)
 
 
+def length_table(pairs: DataFrame, source: str = "source", target: str | None = "target", length=tx.word_count, cap: int | None = None,
+                 name: str = "length") -> DataFrame:
+    """``pairs`` with the length that batches them, by a length expression (a
+    tokenizer's hook, or words), of the source or of the longer side, at most
+    ``cap``; nulls count 0."""
+    n = pair_length(*[F.coalesce(length(F.col(c)), F.lit(0)) for c in (source, target) if c])
+    return pairs.withColumn(name, (n if cap is None else F.least(n, F.lit(cap))).cast("long"))
+
+
+def with_lengths(rows: DataFrame, table: DataFrame, key: str, text: str, name: str = "length") -> DataFrame:
+    """``rows`` with the lengths of a table of (key, name); rows that it lacks
+    get the characters of their line, its newline included."""
+    known = table.select(key, F.col(name).alias("_known"))
+    return rows.join(known, key, "left").withColumn(name, F.coalesce("_known", tx.char_len_with_newline(text))).drop("_known")
+
+
 def length_batches(df: DataFrame, id_col: str, length: str, bs: int) -> DataFrame:
     """Sort by length descending (id breaks ties), cut every ``bs`` rows."""
     idx = global_index(df, [F.col(length).desc(), F.col(id_col)], "_i")

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import batching as bt
 from tessera.operators import evaluation as ev
 from tessera.operators import metrics as mt
 from tessera.operators import profile, splits
-from tessera.operators.batching import round_robin_shards
 from tessera.operators.cluster import cluster_sections
 from tessera.operators.ordering import global_index
 from tessera.plans import cluster_queries, derived, eval_queries, metric_queries  # noqa: F401
@@ -104,7 +104,7 @@ def file_shards(spark, sf):
     files = Rounds(spark)
     cands = derived.doc_candidates(spark, sf)
     lists = cands.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_rank", "text"))), lambda c: c["text"]).alias("pred"))
-    ranked = round_robin_shards(lists.withColumnRenamed("sample_id", "id"), "id", 4, pad=True)
+    ranked = bt.round_robin_shards(lists.withColumnRenamed("sample_id", "id"), "id", 4, pad=True)
     sinks.write_shards(ranked.select("id", "pred", "shard"), f"{files.folder}/ranks", "shard")
     rows = tabular.gather_shards(spark, f"{files.folder}/ranks", expected=4, written=True)
     gold = derived.doc_gold(spark, sf).select(F.col("sample_id").alias("id"), "gold")
@@ -158,6 +158,24 @@ def file_folds(spark, sf):
     return files.close(text.read_folds(spark, files.folder))
 
 
+@register("file_length_table", "C19 P14 S14 W8", _NUMBERED + f""",
+sp AS (SELECT *, CASE {sq.seeded_hash('pair_id', 9)} % 10 WHEN 9 THEN 'test' WHEN 8 THEN 'val' ELSE 'train' END AS split FROM np),
+le AS (SELECT split, pair_id, CASE WHEN split = 'test' THEN length(source) + 1
+         ELSE least(greatest(len({sq.ws_tokens('source')}), len({sq.ws_tokens('target')})), 60) END AS length FROM sp)
+SELECT split, pair_id, CAST(length AS BIGINT) AS length, (row_number() OVER (ORDER BY length DESC, pair_id) - 1) // 16 AS batch_id FROM le""")
+def file_length_table(spark, sf):
+    """The job that saves token lengths of the train and val parts; batches of
+    all pairs by them, and by characters where there is none."""
+    files = Rounds(spark)
+    part = splits.seeded_hash("pair_id", 9) % 10
+    rows = files.cut(_pairs(spark, sf).withColumn("split", F.when(part == 9, "test").when(part == 8, "val").otherwise("train")))
+    lengths = bt.length_table(rows.where(F.col("split") != "test"), cap=60).select("split", "pair_id", "length")
+    lengths.write.partitionBy("split").parquet(f"{files.folder}/lengths")
+    table_ = spark.read.parquet(f"{files.folder}/lengths")
+    known = bt.with_lengths(rows.select("split", "pair_id", "source"), table_, "pair_id", "source")
+    return files.close(bt.length_batches(known.select("split", "pair_id", "length"), "pair_id", "length", 16))
+
+
 @register("file_sections", "K7 A18 C15", cluster_queries._CC_SQL.replace("SELECT v AS vec_id, min(lab) AS cluster FROM r GROUP BY v", """, cl AS (SELECT v, min(lab) AS c FROM r GROUP BY v),
 nu AS (SELECT c, row_number() OVER (ORDER BY c) AS no FROM (SELECT DISTINCT c FROM cl)),
 li AS (SELECT no, 0 AS kind, CAST(NULL AS BIGINT) AS v, 'Cluster ' || no AS line FROM nu UNION ALL SELECT no, 1, v, 'vector ' || v FROM cl JOIN nu USING (c)
