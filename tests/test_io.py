@@ -222,3 +222,16 @@ def test_folds_of_written_folders(spark, tmpdir_path):
         write_pairs_text(df.where(F.col("pair_id") % 2 == k), f"{tmpdir_path}/fold_{k}", "train", parts=3)
     rows = text.read_folds(spark, tmpdir_path).collect()
     assert sorted((r.fold, r.pair_id, r.source, r.target) for r in rows) == sorted((k, i, f"s{2 * i + k}", f"t{2 * i + k}") for k in (0, 1) for i in range(45))
+
+
+def test_length_table(spark):
+    from tessera.functions import hooks
+    from tessera.operators import batching as bt
+
+    df = spark.createDataFrame([(1, "a b c", "d"), (2, None, "x y"), (3, "p " * 90, "q")], "pair_id long, source string, target string")
+    got = {r.pair_id: r.length for r in bt.length_table(df, cap=50).collect()}
+    assert got == {1: 3, 2: 2, 3: 50}
+    chars = bt.length_table(df, target=None, length=lambda c: hooks.length(lambda texts: [len(t) for t in texts], c))
+    assert {r.pair_id: r.length for r in chars.collect()} == {1: 5, 2: 0, 3: 180}
+    known = bt.with_lengths(df.select("pair_id", F.coalesce("source", F.lit("")).alias("source")), bt.length_table(df).where("pair_id < 3"), "pair_id", "source")
+    assert {r.pair_id: r.length for r in known.collect()} == {1: 3, 2: 2, 3: 181}
