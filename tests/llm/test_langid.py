@@ -116,3 +116,69 @@ def test_more_languages_than_the_dense_model_takes(spark, monkeypatch):
     w = langid.words_in(" ".join(t for _, t, _ in rows[:50]))
     np.testing.assert_allclose(dense.scores(w), sparse.scores(w), rtol=1e-4)
     assert keep_known(df).columns == df.columns
+
+
+def slow_words(s):
+    """(letters, script, cells) of the words of a text, character by character."""
+    def script(c):
+        return next((n for n, blocks in enumerate(langid.SCRIPTS.values(), 1) if any(a <= ord(c) <= b for a, b in blocks)), 0)
+
+    def cell(a, b, c):
+        x = sum(v * m for v, m in zip((a, b, c), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))) % 2**64
+        x ^= x >> 29
+        return (x * 0xBF58476D1CE4E5B9) % 2**64 >> 48
+
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+    out, i = [], 0
+    while i < len(low):
+        j = i
+        while j < len(low) and unicodedata.category(low[j])[0] in "LM":
+            j += 1
+        letters = [c for c in low[i:j] if unicodedata.category(c)[0] == "L"]
+        if letters:
+            codes = [0, *map(ord, low[i:j]), 0]
+            out.append((len(letters), next((script(c) for c in letters if script(c)), 0), [cell(*codes[k:k + 3]) for k in range(len(codes) - 2)]))
+        i = max(j, i + 1)
+    return out
+
+
+def test_whole_query_against_plain_python(spark):
+    """Counts, candidates, scores and the best path of every document."""
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in docs}
+    words = {r.doc_id: slow_words(r.text or "") for r in docs}
+    cells, scripts = {}, {}
+    for r in docs:
+        if not held[r.doc_id] and r.lang is not None and r.text is not None:
+            for _, script, found in words[r.doc_id]:
+                cells.setdefault(r.lang, Counter()).update(found)
+                scripts.setdefault(r.lang, Counter())[script] += 1
+    languages = sorted(cells)
+    total = {x: sum(c.values()) + 0.5 * langid.CELLS for x, c in cells.items()}
+
+    def tried(script):
+        own = [x for x in languages if scripts[x][script] >= max(1, langid.SCRIPT_SHARE * sum(scripts[x].values()))]
+        return languages if script == 0 or not own else own
+
+    got = {r.doc_id: r for r in op1_language(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        found, best, back = words[r.doc_id], None, []
+        for _, script, own in found:
+            score = {x: sum(np.float32(np.log((cells[x][c] + 0.5) / total[x])) for c in own) if x in tried(script) else -1e6 for x in languages}
+            if best is None:
+                best = score
+                continue
+            top = max(best.values())
+            back.append({x: x if best[x] >= top - langid.PENALTY else min(y for y in languages if best[y] == top) for x in languages})
+            best = {x: score[x] + max(best[x], top - langid.PENALTY) for x in languages}
+        held_by, state = Counter(), best and min(x for x in languages if best[x] == max(best.values()))
+        for k in range(len(found) - 1, -1, -1):
+            held_by[state] += found[k][0]
+            state = back[k - 1][state] if k else state
+        want = min((x for x in held_by if held_by[x] == max(held_by.values())), default="und")
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (want, held[r.doc_id]), r.doc_id
+        assert abs(got[r.doc_id].score - (held_by[want] / sum(held_by.values()) if held_by else 0.0)) < 1e-9
