@@ -149,3 +149,13 @@ def first_word_accuracy(spark, sf):
 SELECT doc_id, {sq.normalize('text')} AS text_norm FROM documents""")
 def normalize_text(spark, sf):
     return derived.documents(spark, sf).select("doc_id", tx.normalize_text("text").alias("text_norm"))
+
+
+@register("generated_length", "A12 P15", _ALL + f""", g AS (SELECT {sq.ws_tokens('text')} AS t FROM doc_cands)
+SELECT 'gen_len' AS metric, round(avg(len(list_filter(t[1:20], lambda x: x <> 'a'))), 1) AS value FROM g""")
+def generated_length(spark, sf):
+    """The mean length of generated texts cut to twenty tokens, without a
+    token that stands for padding."""
+    from tessera.operators import batching as bt
+    rows = derived.doc_candidates(spark, sf).select(bt.truncate(tx.ws_tokens("text"), 20).alias("t"))
+    return mt.mean_length(rows, "t", pad="a").select(F.lit("gen_len").alias("metric"), F.col("gen_len").alias("value"))

@@ -112,3 +112,10 @@ def new_word_counts(spark, sf):
 SELECT word, count(*) AS n FROM nw GROUP BY word ORDER BY n DESC, word LIMIT 20""")
 def missing_words(spark, sf):
     return profile.top_k(profile.new_word_frequency(derived.pairs_conv(spark, sf)), "n", "word", 20)
+
+
+@register("sentence_lines", "P12 P6 P10", f"""
+SELECT doc_id, 'summarize: ' || array_to_string({sq.sentences('text')}, chr(10)) AS text FROM documents""")
+def sentence_lines(spark, sf):
+    """Every document with a sentence a line, behind a prefix."""
+    return derived.documents(spark, sf).select("doc_id", tx.add_prefix(tx.sentence_per_line("text"), "summarize: ").alias("text"))
