@@ -85,8 +85,12 @@ def _dictionary(spark, sf):
 
 
 _SPANS_SQL = f"""WITH RECURSIVE dict AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_LONG}')) AS m FROM benchmark),
-hit AS (SELECT doc_id, text, m FROM documents JOIN dict ON contains(text, m)),
-occ AS (SELECT doc_id, m, unnest(list_filter(range(1, length(text) - length(m) + 2), lambda i: text[i:i + length(m) - 1] = m)) - 1 AS s FROM hit),
+pt AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS k
+  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([a-z]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents)),
+ps AS (SELECT doc_id, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pt),
+rn AS (SELECT DISTINCT part FROM ps WHERE regexp_matches(part, '^[a-z]+$')),
+hr AS (SELECT part, m, unnest(list_filter(range(1, length(part) - length(m) + 2), lambda i: part[i:i + length(m) - 1] = m)) - 1 AS s FROM rn JOIN dict ON contains(part, m)),
+occ AS (SELECT doc_id, m, CAST(off + s AS BIGINT) AS s FROM ps JOIN hr USING (part)),
 longest AS (SELECT doc_id, s, max(s + length(m)) AS e FROM occ GROUP BY doc_id, s),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM longest),
 pick(doc_id, k, s, e, upto, kept) AS (
