@@ -83,3 +83,21 @@ def test_own_mentions_as_by_replacing_one_after_the_other(spark):
     m = spark.createDataFrame(mentions, "doc_id long, mention string, start int")
     assert sorted(map(tuple, mn.blind_own(df, m).collect())) == sorted(map(tuple, blind_mentions(df, m).collect()))
     assert np.all([len(r) == 2 for r in mn.blind_own(df, m).collect()])
+
+
+def test_join_shuffles_no_met_pairs(spark):
+    """Blocks of any size give the pairs of one block, and no join on terms or
+    on the candidates' vectors is left."""
+    df = spark.createDataFrame(list(enumerate(corpus(11))), "doc_id long, text string")
+    vectors = sparse.tfidf(df, bits=14)
+    pairs, _ = sparse.cosine_join(vectors, 0.6)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, pairs.collect()))
+    kept, at_once = sparse.BLOCK, sparse.AT_ONCE
+    try:
+        sparse.BLOCK, sparse.AT_ONCE = 200, 50
+        got = sorted(map(tuple, sparse.cosine_join(vectors, 0.6)[0].collect()))
+    finally:
+        sparse.BLOCK, sparse.AT_ONCE = kept, at_once
+    assert len(want) > 10 and [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-12)
