@@ -24,9 +24,11 @@ from tessera.operators.ordering import global_index
 from tessera.session import Rounds, cut_lineage
 
 
-#: Vectors a cell is meant to hold, and most cells (pivots are broadcast).
-#: Wide cells and blocks copy vectors less often; a task's matrix has 128 MB.
-CELL, MOST_CELLS = 4096, 2048
+#: Vectors a cell is meant to hold, most of either side in a task, and most
+#: cells (pivots are broadcast).  Where cells lie close, a vector visits half of
+#: them, and its cell is copied for each block of visitors: wide ones copy
+#: little.  A task compares its rows tile by tile.
+CELL, BLOCK, TILE, MOST_CELLS = 1 << 14, 1 << 15, 2048, 2048
 
 
 def _matrix(column) -> np.ndarray:
@@ -58,7 +60,7 @@ def _visits(pivots: np.ndarray, eps: float):
 
 
 def epsilon_pairs(df: DataFrame, eps: float, id_col: str = "vec_id", vec: str = "embedding",
-                  block_rows: int = 4096, cell_rows: int = CELL) -> DataFrame:
+                  block_rows: int = BLOCK, cell_rows: int = CELL) -> DataFrame:
     """All pairs (id1 < id2) with distance <= eps, exact.
 
     A vector lives in the cell of its nearest pivot.  If two vectors within
@@ -66,8 +68,9 @@ def epsilon_pairs(df: DataFrame, eps: float, id_col: str = "vec_id", vec: str =
     halfway between the pivots) separates them, so each is within ``eps`` of
     it; the one with the higher cell visits the other's.  How many cells a
     vector visits depends on the space around it, not on the number of rows.
-    Cells of any size are compared in blocks of bounded size.  Null vectors
-    have no pair; all vectors must have one length.
+    Home rows and visitors of a cell are cut into blocks of bounded size;
+    every block of home rows meets those after it and every block of visitors.
+    Null vectors have no pair; all vectors must have one length.
     """
     rows = cut_lineage(df.select(F.col(id_col).alias("_id"), F.col(vec).alias("_v")).where(F.col("_v").isNotNull()))
     n = rows.count()
@@ -75,32 +78,43 @@ def epsilon_pairs(df: DataFrame, eps: float, id_col: str = "vec_id", vec: str =
     if not first:
         return rows.select(F.col("_id").alias("id1"), F.col("_id").alias("id2"), F.lit(0.0).alias("distance"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    dealt = cut_lineage(rows.mapInPandas(_visits(_matrix([r["_v"] for r in first]), eps), f"{kinds}, _cell long, _home boolean"))
-    sizes = dealt.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))  # a row per cell
-    dealt = dealt.join(F.broadcast(sizes), "_cell").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
-    # home rows of block i meet home rows of blocks j >= i and visitors of every block
-    at, every = F.col("_block"), F.sequence(F.lit(0), F.col("_blocks") - 1)
-    left = F.transform(every, lambda j: F.struct(at.alias("_bi"), j.alias("_bj")))
-    right = F.transform(every, lambda i: F.struct(i.alias("_bi"), at.alias("_bj")))
-    places = F.when(F.col("_home"), F.array_union(left, F.filter(right, lambda p: p["_bi"] <= p["_bj"]))).otherwise(right)
-    spread = dealt.select("*", F.inline(places)).drop("_blocks")
+    dealt = rows.mapInPandas(_visits(_matrix([r["_v"] for r in first]), eps), f"{kinds}, _cell long, _home boolean")
+    blocks = [F.greatest(F.ceil(F.count_if(c) / block_rows), F.lit(1)).cast("int").alias(k) for k, c in (("_homes", F.col("_home")), ("_visitors", ~F.col("_home")))]
+    sizes = cut_lineage(dealt.groupBy("_cell").agg(*blocks))  # a row per cell; dealt again below, which is cheaper than to keep the copies
+    dealt = dealt.join(F.broadcast(sizes), "_cell", "left").fillna(1, ["_homes", "_visitors"])
+    at = F.pmod(F.xxhash64("_id"), F.when(F.col("_home"), F.col("_homes")).otherwise(F.col("_visitors"))).cast("int")
+    dealt = dealt.withColumn("_block", at)
+    # a place: block of home rows, and the one that it meets: of home rows (from 0) or of visitors (from -1 down)
+    at, homes = F.col("_block"), F.sequence(F.lit(0), F.col("_homes") - 1)
+    before = F.transform(F.filter(homes, lambda i: i <= at), lambda i: F.struct(i.alias("_bi"), at.alias("_bj")))
+    after = F.transform(F.filter(homes, lambda j: j > at), lambda j: F.struct(at.alias("_bi"), j.alias("_bj")))
+    guests = F.transform(F.sequence(F.lit(0), F.col("_visitors") - 1), lambda j: F.struct(at.alias("_bi"), (-1 - j).alias("_bj")))
+    visits = F.transform(homes, lambda i: F.struct(i.alias("_bi"), (-1 - at).alias("_bj")))
+    places = F.when(F.col("_home"), F.concat(before, after, guests)).otherwise(visits)
+    spread = dealt.select("_id", "_v", "_cell", "_home", "_block", F.inline(places))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
         ids, x = pdf["_id"].to_numpy(), _matrix(pdf["_v"])
         home, blk = pdf["_home"].to_numpy(bool), pdf["_block"].to_numpy()
         a = np.flatnonzero(home & (blk == bi))
-        b = np.flatnonzero((blk == bj) & (~home | (bi <= bj)))
-        sq = (x * x).sum(axis=1)
-        close = sq[a][:, None] + sq[b][None, :] - 2 * x[a] @ x[b].T <= eps * eps + 1e-6 * (1 + eps * eps)
-        if bi == bj:
-            close &= ~(home[b][None, :] & (a[:, None] >= b[None, :]))
-        i, j = np.nonzero(close)
-        i, j = a[i], b[j]
-        d = np.concatenate([np.sqrt(((x[i[k:k + 8192]] - x[j[k:k + 8192]]) ** 2).sum(axis=1)) for k in range(0, len(i), 8192)] or [np.zeros(0)])
-        keep = d <= eps
-        p, q = ids[i[keep]], ids[j[keep]]
-        return pd.DataFrame({"id1": np.minimum(p, q), "id2": np.maximum(p, q), "distance": d[keep]})
+        b = np.flatnonzero(~home if bj < 0 else home & (blk == bj))
+        sq, most = (x * x).sum(axis=1), eps * eps + 1e-6 * (1 + eps * eps)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for lo in range(0, len(a), TILE):
+            for at in range(lo if bi == bj else 0, len(b), TILE):
+                r, c = a[lo:lo + TILE], b[at:at + TILE]
+                close = sq[r][:, None] + sq[c][None, :] - 2 * x[r] @ x[c].T <= most
+                if bi == bj and lo == at:
+                    close = np.triu(close, 1)
+                i, j = np.nonzero(close)
+                for k in range(0, len(i), 8192):
+                    p, q = r[i[k:k + 8192]], c[j[k:k + 8192]]
+                    d = np.sqrt(((x[p] - x[q]) ** 2).sum(axis=1))
+                    found.append((p[d <= eps], q[d <= eps], d[d <= eps]))
+        p, q, d = map(np.concatenate, zip(*found))
+        p, q = ids[p], ids[q]
+        return pd.DataFrame({"id1": np.minimum(p, q), "id2": np.maximum(p, q), "distance": d})
 
     return spread.groupBy("_cell", "_bi", "_bj").applyInPandas(near, "id1 long, id2 long, distance double")
 
@@ -150,8 +164,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "v
     """Label = smallest vertex id of the component (single linkage at the
     edge threshold).
 
-    Up to ``few`` edges are contracted by one task.  More become a spanning
-    forest of each partition first, and if that is still more, are rewritten by
+    The edges of each partition become a spanning forest first, so that no
+    other edge is written.  Up to ``few`` of these are contracted by one task;
+    more are rewritten by
     alternating large-star and small-star steps until they are few or stop
     changing, with no round limit (the number of rounds grows with the
     logarithm of the graph).  Each round's edges go to the shared checkpoint
@@ -160,11 +175,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "v
     """
     kind = edges.schema["id1"].dataType.simpleString()
     e = edges.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).where(F.col("a") != F.col("b"))
-    e = cut_lineage(e)
+    e = cut_lineage(e.mapInArrow(_forest, f"a {kind}, b {kind}"))
     state = _edge_state(e)
-    if state[0] > few:
-        e = cut_lineage(e.mapInArrow(_forest, f"a {kind}, b {kind}"))
-        state = _edge_state(e)
     rounds = Rounds(edges.sparkSession) if state[0] > few else None
     while state[0] > few:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

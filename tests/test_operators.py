@@ -222,3 +222,29 @@ def test_param_grid(spark):
     assert len(combos) == 4 and combos[0] == {"num_beams": "1", "length_penalty": "0.9"}
     g = ev.grid_frame(spark, "num_beams=1:2 length_penalty=0.9:1.0 early=true").collect()
     assert len(g) == 4 and all(r.early == 1.0 for r in g)
+
+
+def test_vectors_are_copied_little_where_cells_lie_close(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    written = []
+    kept = cl.cut_lineage
+    monkeypatch.setattr(cl, "cut_lineage", lambda d: written.append(kept(d)) or written[-1])
+    pairs = cl.epsilon_pairs(df, 1.0, block_rows=400, cell_rows=100)
+    assert all(w.count() <= 1200 for w in written)  # the copies that visit cells aren't written
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = sorted((i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= 1.0)
+    assert want and sorted((r.id1, r.id2) for r in pairs.collect()) == want
+
+
+def test_components_write_a_forest_only(spark, monkeypatch):
+    written = []
+    kept = cl.cut_lineage
+    monkeypatch.setattr(cl, "cut_lineage", lambda d: written.append(kept(d)) or written[-1])
+    edges = spark.createDataFrame([(i, j) for i in range(40) for j in range(i)], "id1 long, id2 long").coalesce(1)
+    got = cl.connected_components(spark.range(41).withColumnRenamed("id", "vec_id"), edges)
+    assert {r.vec_id: r.cluster for r in got.collect()} == {**dict.fromkeys(range(40), 0), 40: 40}
+    assert written[0].count() == 39
