@@ -11,7 +11,8 @@ threshold always has a pair of members below it: the threshold links of the
 vectors, carried over to clusters, hold every later candidate.  In a round all
 clusters that are each other's nearest merge at once, which gives the same
 hierarchy as one merge at a time; centroids and sizes are updated, and only the
-links of merged clusters are measured anew.
+links of merged clusters that may still be below the threshold, by the old
+distances and sizes, are measured anew.
 
 *Single linkage.*  Boruvka rounds over the links: every component takes its
 shortest link out, components that are joined contract.  The links taken are a
@@ -63,6 +64,24 @@ def _measure(pairs: DataFrame, clusters: DataFrame, threshold: float) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q", "x", "y").mapInArrow(_measured(threshold), f"a {kind}, b {kind}, d double")
 
 
+def _may_be_near(links: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of clusters that may be below the threshold after a
+    round, of the links of their parts, which tell by themselves for most.
+
+    The square of the distance of two clusters of P and Q vectors that were
+    merged of parts x and y at heights u and v is, by Lance and Williams,
+    (sum of (size x + size y) d(x, y)^2 - Q u^2 - P v^2) / (P + Q).  Parts
+    without a link are as far as the threshold at least."""
+    (p, q), (u, v), (k, m) = ([F.col(f"_{c}_{end}") for end in ("a", "b")] for c in ("size", "z", "k"))
+    share = (F.col("_was_a") + F.col("_was_b")).cast("double")
+    less = q * F.coalesce(u * u, F.lit(0.0)) + p * F.coalesce(v * v, F.lit(0.0))
+    sums = links.select(F.least("_new_a", "_new_b").alias("a"), F.greatest("_new_a", "_new_b").alias("b"), share.alias("s"), (share * F.col("d") * F.col("d")).alias("sd"),
+                        less.alias("less"), (m * p + k * q).cast("double").alias("all"), (p + q).alias("n"))
+    sums = sums.groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("sd").alias("sd"), *[F.max(c).alias(c) for c in ("less", "all", "n")])
+    far = F.when(F.col("all") > F.col("s"), (F.col("all") - F.col("s")) * threshold * threshold).otherwise(0.0)
+    return sums.where(F.col("sd") + far - F.col("less") < F.col("n") * (threshold * threshold * (1 + 1e-9))).select("a", "b")
+
+
 def ward_merges(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", links: DataFrame | None = None) -> DataFrame:
     """(round, id1, id2, height, size): the merges of Ward's linkage below
     ``threshold``.  A cluster is named by its smallest id; ``id1 < id2`` merge
@@ -83,10 +102,17 @@ def ward_merges(vectors: DataFrame, threshold: float, id_col: str = "vec_id", ve
     copies = rank_within(points.join(names, "centroid").where(F.col("id") != F.col("a")).select("a", "id"), ["a"], ["id"], "n")
     found, k = [rounds.cut(copies.select(F.lit(0).cast("long").alias("round"), F.col("a").alias("id1"), F.col("id").alias("id2"), F.lit(0.0).alias("height"),
                               (F.col("n") + 2).alias("size")))], 1
-    if links is None:
-        links = epsilon_pairs(clusters, threshold, "id", "centroid")
-    links = links.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
-    links = rounds.cut(_measure(links, clusters, threshold))  # of the given ones, those of the first of equal vectors
+    if links is None:  # no pair comes twice, and its distance is there
+        links = epsilon_pairs(clusters, threshold, "id", "centroid").select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("distance").alias("d"))
+        if not names.isEmpty():
+            for end, n in (("a", "p"), ("b", "q")):
+                links = links.join(clusters.where(F.col("size") > 1).select(F.col("id").alias(end), F.col("size").alias(n)), end, "left").fillna(1, [n])
+            p, q = F.col("p"), F.col("q")
+            links = links.select("a", "b", (F.sqrt(2 * p * q / (p + q)) * F.col("d")).alias("d"))
+        links = rounds.cut(links.where(F.col("d") < threshold))
+    else:
+        links = links.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+        links = rounds.cut(_measure(links, clusters, threshold))  # of the given ones, those of the first of equal vectors
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     clusters = rounds.cut(clusters.join(ends, "id", "left_semi"))  # the others merge with nothing
     while not links.isEmpty():
@@ -99,16 +125,19 @@ def ward_merges(vectors: DataFrame, threshold: float, id_col: str = "vec_id", ve
         mean = F.zip_with("x", "y", lambda u, v: (u * F.col("p") + v * F.col("q")) / (F.col("p") + F.col("q")))
         merged = rounds.cut(mutual.join(one, "a").join(two, "b").select("a", "b", "d", (F.col("p") + F.col("q")).alias("size"), mean.alias("centroid")))
         found.append(merged.select(F.lit(k).cast("long").alias("round"), F.col("a").alias("id1"), F.col("b").alias("id2"), F.col("d").alias("height"), "size"))
-        moved = merged.select(F.inline(F.array(F.struct(F.col("a").alias("old"), F.col("a").alias("new")), F.struct(F.col("b").alias("old"), F.col("a").alias("new")))))
+        moved = merged.select("d", "size", F.inline(F.array(F.struct(F.col("a").alias("old"), F.col("a").alias("new")), F.struct(F.col("b").alias("old"), F.col("a").alias("new")))))
+        # of each cluster before the round: what it is now, the sizes before and now, the height of its merge and how many merged
+        ends = rounds.cut(clusters.select(F.col("id").alias("old"), F.col("size").alias("was")).join(moved, "old", "left").select(
+            "old", F.coalesce("new", "old").alias("new"), "was", F.coalesce("size", "was").alias("size"), F.col("d").alias("z"),
+            F.when(F.col("new").isNull(), 1).otherwise(2).alias("k")))
         clusters = rounds.cut(clusters.join(moved.select(F.col("old").alias("id")), "id", "left_anti")
                                        .unionByName(merged.select(F.col("a").alias("id"), "size", "centroid")))
         for end in ("a", "b"):
-            links = links.join(moved.withColumnsRenamed({"old": end, "new": f"_{end}"}), end, "left")
-        changed = F.col("_a").isNotNull() | F.col("_b").isNotNull()
-        a, b = F.coalesce("_a", "a"), F.coalesce("_b", "b")
-        links = rounds.cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "d", changed.alias("changed")).where(F.col("a") != F.col("b")))
-        again = _measure(links.where("changed").select("a", "b").distinct(), clusters, threshold)
-        links = rounds.cut(links.where("not changed").select("a", "b", "d").unionByName(again))
+            links = links.join(ends.select(F.col("old").alias(end), *[F.col(c).alias(f"_{c}_{end}") for c in ends.columns if c != "old"]), end)
+        links = rounds.cut(links.where(F.col("_new_a") != F.col("_new_b")))
+        same = (F.col("_k_a") == 1) & (F.col("_k_b") == 1)
+        again = _measure(_may_be_near(links.where(~same), threshold), clusters, threshold)
+        links = rounds.cut(links.where(same).select("a", "b", "d").unionByName(again))
         k += 1
     return rounds.close(reduce(DataFrame.unionByName, found))
 
