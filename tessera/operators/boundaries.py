@@ -12,7 +12,8 @@ What a period after a word means is learned from the corpus itself:
   whether a word after an unclear period begins one.
 
 All statistics come from one table: the tokens of all texts, each with the
-token before it where that has a period, counted (map-side first).  Only three
+token before it where that has a period, counted (map-side first) as they
+stand and then by what they are.  Only three
 totals reach the driver.  The classifier explodes the places that may be a
 boundary and joins the learned types; AQE broadcasts them while they are
 small.  Places that need no second look-up get a key of their own in its join,
@@ -66,15 +67,30 @@ def token(piece: Column) -> Column:
     return F.when(piece.rlike(rf"^[a-z]+{SPACE}*\z"), plain).otherwise(other)
 
 
+def raw_tokens(text: Column) -> Column:
+    """The tokens of a text as they stand, without white space."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+
+
+def _may_end(raw: Column) -> Column:
+    """False only for tokens of the kind mid: a test without an expression."""
+    return F.contains(raw, F.lit(".")) | F.contains(raw, F.lit("?")) | F.contains(raw, F.lit("!")) | F.contains(raw, F.lit("…"))
+
+
 def neighbours(texts: DataFrame, text: str = "text") -> DataFrame:
     """(before, kind, word, dot, case, n): how often each token follows a token
     that ends in that way (``kind`` null: the beginning of a text); ``before``
-    is that token's word where it ends with a period, else null."""
-    rows = texts.select(F.transform(pieces(F.col(text)), token).alias("_t"))
-    pairs = F.transform("_t", lambda t, i: F.struct(
-        F.when(F.get("_t", i - 1)["kind"] == "dot", F.get("_t", i - 1)["word"]).alias("before"), F.get("_t", i - 1)["kind"].alias("kind"),
-        t["word"].alias("word"), t["dot"].alias("dot"), t["case"].alias("case")))
-    return rows.select(F.inline(pairs)).groupBy("before", "kind", "word", "dot", "case").agg(F.count(F.lit(1)).alias("n"))
+    is that token's word where it ends with a period, else null.  Tokens are
+    counted as they stand first, and each different one is taken apart once."""
+    rows = texts.select(raw_tokens(F.col(text)).alias("_t")).where(F.size("_t") > 0)
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.slice("_t", 1, F.size("_t") - 1)).alias("p"), F.col("_t").alias("t"))
+    rows = rows.select(F.inline(pairs).alias("p", "t"))
+    rows = rows.select(F.when(_may_end(F.col("p")) | F.col("p").isNull(), F.col("p")).otherwise("").alias("p"), "t")  # '' stands for all of the kind mid
+    rows = rows.groupBy("p", "t").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select(F.when(F.col("p") != "", token(F.col("p"))).alias("p"), (F.col("p") == "").alias("mid"), token(F.col("t")).alias("t"), "n")
+    kind = F.when(F.col("mid"), "mid").otherwise(F.col("p.kind"))
+    return rows.select(F.when(kind == "dot", F.col("p.word")).alias("before"), kind.alias("kind"), "t.word", "t.dot", "t.case", "n").groupBy(
+        "before", "kind", "word", "dot", "case").agg(F.sum("n").alias("n"))
 
 
 def _log(k: Column, x: Column) -> Column:
@@ -154,10 +170,11 @@ def boundaries(texts: DataFrame, model: SentenceModel, key: str = "doc_id", text
     """(key, boundaries): the numbers (from 0) of the tokens that end a
     sentence before another token, ascending, for texts that have any.  Keys
     must be unique."""
-    rows = texts.select(F.col(key).alias("_key"), F.transform(pieces(F.col(text)), token).alias("_t"))
-    ends = F.transform("_t", lambda t, i: F.struct(i.alias("at"), t["kind"].alias("kind"), t["word"].alias("before"), F.get("_t", i + 1)["word"].alias("word"),
-                                                   F.get("_t", i + 1)["case"].alias("case")))
-    places = rows.select("_key", F.inline(F.filter(ends, lambda e: (e["kind"] != "mid") & e["word"].isNotNull())))
+    rows = texts.select(F.col(key).alias("_key"), raw_tokens(F.col(text)).alias("_t")).where(F.size("_t") > 1)
+    pairs = F.arrays_zip(F.slice("_t", 1, F.size("_t") - 1).alias("a"), F.slice("_t", 2, F.size("_t") - 1).alias("b"))
+    ends = rows.select("_key", F.posexplode(pairs).alias("at", "_p")).where(_may_end(F.col("_p.a")))
+    ends = ends.select("_key", "at", token(F.col("_p.a")).alias("a"), token(F.col("_p.b")).alias("b")).where(F.col("a.kind") != "mid")
+    places = ends.select("_key", "at", F.col("a.kind").alias("kind"), F.col("a.word").alias("before"), "b.word", "b.case")
     short = model.types.where("abbreviation").select(F.col("word").alias("before"), F.lit(True).alias("_short"))
     places = places.join(short, "before", "left")
     dot = F.col("kind") == "dot"
