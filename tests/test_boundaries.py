@@ -121,3 +121,18 @@ def test_rouge_lsum_over_learned_sentences(spark):
         f = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
         assert got[k] == pytest.approx((prec, rec, f), abs=1e-5), k
     assert len(got) == len(cut) and summary_lcs_udf
+
+
+def test_tokens_are_taken_apart_once_each(spark):
+    """Tokens are counted as they stand before any expression looks at them."""
+    df = spark.createDataFrame([(1, "Dr. No said no. (Yes!) \x0b no…\tA. 3.5 x"), (2, None), (3, " \n"), (4, "no")], "doc_id long, text string")
+    plan = bd.neighbours(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "(^|[^.])" not in plan[plan.index("Contains("):]  # below the first count
+    rows = df.select(F.transform(bd.pieces(F.col("text")), bd.token).alias("t")).collect()
+    want = {}
+    for r in rows:
+        for k, t in enumerate(r.t):
+            p = r.t[k - 1] if k else None
+            key = (p.word if p and p.kind == "dot" else None, p and p.kind, t.word, t.dot, t.case)
+            want[key] = want.get(key, 0) + 1
+    assert {tuple(r)[:5]: r.n for r in bd.neighbours(df).collect()} == want

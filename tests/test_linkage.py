@@ -93,3 +93,17 @@ def test_registered_ward_queries(spark):
     joined = {b for _, b, *_ in want}
     labels = catalog.QUERIES["ward_clusters"](spark, sf).collect()
     assert {r.vec_id for r in labels if r.vec_id != r.cluster} == joined
+
+
+def test_ward_measures_few_links_anew(spark, monkeypatch):
+    """Links that the old distances show to be too far bring no centroids."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 12))
+    points = [(i, [float(v) for v in r / np.sqrt((r * r).sum())]) for i, r in enumerate(x)]
+    asked, kept = [], lk._measure
+    monkeypatch.setattr(lk, "_measure", lambda pairs, *more: asked.append(pairs.count()) or kept(pairs, *more))
+    merges = lk.ward_merges(frame(spark, points), 1.0)
+    got = sorted((r.id1, r.id2, round(r.height, 6), r.size) for r in merges.collect())
+    assert got == [tuple(r) for r in slow_ward(points, 1.0)]
+    links = cl.epsilon_pairs(frame(spark, points), 1.0).count()
+    assert links > 100 and sum(asked) < links / 2, (links, asked)
