@@ -7,6 +7,8 @@ and mirrored in ``tessera.plans.sqltext`` for the DuckDB oracle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 # Python's str.split()/str.strip() whitespace: ASCII \s, the file/group/record/
 # unit separators 0x1c-0x1f, NEL 0x85 and every Unicode separator (Z*).
 PY_WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+# The same characters, for trimming.
+WS_CHARS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 # ROUGE tokeniser: lower-case, anything outside [a-z0-9] separates tokens.
 NON_ALNUM = r"[^a-z0-9]+"
 # Sentence end: one of . ! ? followed by whitespace.
@@ -32,7 +36,7 @@ def _c(col) -> Column:
 
 def strip(col) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), rf"^{PY_WS}+|{PY_WS}+$", "")
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def clean_text(col) -> Column:
@@ -73,6 +77,14 @@ def sentences(col) -> Column:
     return F.filter(F.transform(F.split(marked, SENT_MARK), strip), lambda s: s != "")
 
 
+_PYTHON_SENT_END = re.compile(r"([.!?])\s+")  # Python's \s is PY_WS
+
+
+def python_sentences(text: str) -> list[str]:
+    """``sentences`` of a Python string, blank pieces and blanks around left in."""
+    return _PYTHON_SENT_END.sub("\\1" + SENT_MARK, text).split(SENT_MARK)
+
+
 def sentence_count(col) -> Column:
     return F.size(sentences(col)).cast("long")
 
@@ -87,6 +99,13 @@ def non_empty_lines(col) -> Column:
     return F.filter(F.transform(F.split(_c(col), "\n"), strip), lambda s: s != "")
 
 
+def first_line(col) -> Column:
+    """The first of ``non_empty_lines``, without taking the others; NULL for a
+    blank text."""
+    line = strip(F.substring_index(F.ltrim(_c(col), F.lit(WS_CHARS)), "\n", 1))
+    return F.when(line != "", line)
+
+
 def add_prefix(col, prefix: str | None) -> Column:
     return F.concat(F.lit(prefix or ""), _c(col))
 

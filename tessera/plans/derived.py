@@ -67,5 +67,5 @@ def doc_gold(spark: SparkSession, sf: str) -> DataFrame:
     """(sample_id, gold, source): the first cleaned line of each document."""
     return documents(spark, sf).select(
         F.col("doc_id").alias("sample_id"),
-        F.get(tx.non_empty_lines("text"), 0).alias("gold"),
+        tx.first_line("text").alias("gold"),
         F.col("text").alias("source")).where(F.col("gold").isNotNull())
