@@ -27,13 +27,14 @@ def once(**columns: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Contiguous n-grams of a token array, joined by one space."""
+    """Contiguous n-grams of a token array, joined by one space (of single
+    items: a slice for each would copy the whole array each time)."""
     if n == 1:
         return tokens
     return let(tokens, lambda t: F.when(
         F.size(t) >= n,
         F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)),
-                    lambda i: F.array_join(F.slice(t, i, n), " ")),
+                    lambda i: F.concat_ws(" ", *[F.get(t, i + (k - 1)) for k in range(n)])),
     ).otherwise(F.array().cast("array<string>")))
 
 

@@ -66,7 +66,9 @@ def bootstrap_means(rows: DataFrame, order: Sequence[str], values: Sequence[str]
     gives the rows their positions and should be unique; null values count as
     0.  A task passes on one row of sums for each replicate."""
     names = list(values)
-    placed = cut_lineage(global_index(rows.select(*order, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in names]), order, "_at"))
+    # written first: positions read their rows twice, and values may be dear
+    known = cut_lineage(rows.select(*order, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in names]))
+    placed = cut_lineage(global_index(known, order, "_at"))
     n = placed.count()
 
     def sums(batches):
