@@ -85,6 +85,10 @@ def python_sentences(text: str) -> list[str]:
     return _PYTHON_SENT_END.sub("\\1" + SENT_MARK, text).split(SENT_MARK)
 
 
+def python_sentence_count(text: str) -> int:
+    return sum(1 for s in python_sentences(text) if s.strip())
+
+
 def sentence_count(col) -> Column:
     return F.size(sentences(col)).cast("long")
 

@@ -25,19 +25,17 @@ def symmetric_pairs(spark, sf):
 def _dups(spark, sf):
     """Pairs of documents that share their first line, and of each line with
     itself and the next one (id2 < 0): duplicates of one and more sentences.
-    Words and sentences are taken once per document and per line."""
-    docs = derived.documents(spark, sf).select(
-        "doc_id", F.get(tx.non_empty_lines("text"), 0).alias("_first"),
-        F.array_distinct(tx.lower_ws_tokens("text")).alias("w"), tx.sentence_count("text").alias("n"))
-    stars = au.star_pairs(docs, "doc_id", F.col("_first"), ["w", "n"])
-    lines = derived.documents(spark, sf).select("doc_id", tx.non_empty_lines("text").alias("_l"))
-    two = F.transform("_l", lambda x, i: F.struct(x.alias("a"), F.get(F.col("_l"), i + 1).alias("b")))
-    lines = lines.select("doc_id", F.posexplode(F.filter(two, lambda p: p["b"].isNotNull())).alias("i", "p"))
-    both = F.concat_ws(" ", "p.a", "p.b")
+    Words and sentences are taken once per line, and for the documents only
+    where they are paired."""
+    docs = derived.documents(spark, sf).select("doc_id", tx.first_line("text").alias("_first"), F.lower("text").alias("t"))
+    stars = au.star_pairs(docs, "doc_id", F.col("_first"), ["t"])
+    stars = stars.select("id1", "id2", F.inline(F.array(au.pair_words("t_1", "t_2"))))
+    lines = derived.documents(spark, sf).select("doc_id", au.line_words(F.lower("text")).alias("_l"))
+    two = F.transform("_l", lambda x, i: F.struct(x.alias("a"), F.get(F.col("_l"), i + 1)["w"].alias("w")))
+    lines = lines.select("doc_id", F.posexplode(F.filter(two, lambda p: p["w"].isNotNull())).alias("i", "p"))
     runs = lines.select(
         F.col("doc_id").alias("id1"), (-1 - F.col("i")).cast("long").alias("id2"),
-        F.array_distinct(tx.lower_ws_tokens(F.col("p.a"))).alias("w_1"), F.array_distinct(tx.lower_ws_tokens(both)).alias("w_2"),
-        tx.sentence_count(F.col("p.a")).alias("n_1"), tx.sentence_count(both).alias("n_2"))
+        F.col("p.a.w").alias("w_1"), F.array_union("p.a.w", "p.w").alias("w_2"), F.col("p.a.n").alias("n_1"), F.col("p.a.n_next").alias("n_2"))
     pairs = stars.select("id1", "id2", "w_1", "w_2", "n_1", "n_2").unionByName(runs)
     dup = au.jaccard_at_least(F.col("w_1"), F.col("w_2"), 1, 2).cast("long")
     return pairs.select("id1", "id2", F.col("n_1").alias("num_sent_1"), F.col("n_2").alias("num_sent_2"), once(is_duplicate=dup))
