@@ -1,14 +1,17 @@
-"""BLEU building blocks: the 13a tokeniser as a native regex chain and
-per-row clipped n-gram statistics (aggregated by plain sums, never by
-averaging sentence BLEU)."""
+"""BLEU building blocks: the 13a tokeniser (a native regex chain, and the same
+in Python) and per-row clipped n-gram statistics from one Arrow UDF
+(aggregated by plain sums, never by averaging sentence BLEU)."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.functions.arrays import let, multiset_overlap, ngrams
+from tessera.functions.rouge import gram_counts, shared
 
 # --- fixed values: 13a tokeniser rules (in application order) ---------------
 # 1. punctuation and symbols  { | } ~  [ \ ] ^ _ `  space ! " # $ % &  ( ) * +
@@ -40,22 +43,46 @@ def tokens_13a(col) -> Column:
     return tx.ws_tokens(x)
 
 
-def bleu_stats(hyp_tokens: Column, ref_tokens: Column, max_order: int = 4) -> Column:
-    """struct(sys_len, ref_len, m1..m4 clipped matches, t1..t4 totals).  An
-    order is only counted where the one below it has a match."""
-    def with_tokens(h, r):
-        def orders(n, below):
-            if n > max_order:
-                fields = [F.size(h).cast("long").alias("sys_len"), F.size(r).cast("long").alias("ref_len")]
-                for k, m in enumerate(below, 1):
-                    fields += [m.alias(f"m{k}"), F.greatest(F.size(h) - (k - 1), F.lit(0)).cast("long").alias(f"t{k}")]
-                return F.struct(*fields)
-            matches = multiset_overlap(ngrams(h, n), ngrams(r, n))
-            if below:
-                matches = F.when(below[-1] > 0, matches).otherwise(F.lit(0).cast("long"))
-            return let(matches, lambda m: orders(n + 1, [*below, m]))
-        return orders(1, [])
-    return let(hyp_tokens, lambda h: let(ref_tokens, lambda r: with_tokens(h, r)))
+_PYTHON_RULES = [(re.compile(pat), rep.replace("$", "\\")) for pat, rep in TOK13A_RULES]
+
+
+def python_tokens_13a(text: str) -> list[str]:
+    """``tokens_13a`` of a Python string."""
+    text = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for ent, ch in ENTITIES:
+        text = text.replace(ent, ch)
+    text = f" {text} "
+    for pat, rep in _PYTHON_RULES:
+        text = pat.sub(rep, text)
+    return text.split()
+
+
+def bleu_stats(hyp, ref, tokenizer: str = "13a", max_order: int = 4) -> Column:
+    """struct(sys_len, ref_len, m1..m4 clipped matches, t1..t4 totals) of two
+    texts, in tokens of 13a or between blanks; a length is null for a null
+    text.  An order is only counted where the one below it has a match; a
+    reference is taken apart once for the rows in succession that have it."""
+    tokens = python_tokens_13a if tokenizer == "13a" else str.split
+    names = ["sys_len", "ref_len", *[f"{c}{n}" for c in "mt" for n in range(1, max_order + 1)]]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def stats(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        rows, last, known, grams = [], None, [], {}
+        for h, r in zip(hyp, ref):
+            if r != last:
+                last, known, grams = r, tokens(r or ""), {}
+            own, matches = tokens(h or ""), []
+            for n in range(1, max_order + 1):
+                if matches and not matches[-1]:
+                    matches.append(0)
+                    continue
+                if n not in grams:
+                    grams[n] = gram_counts(known, n)
+                matches.append(shared(gram_counts(own, n), grams[n]))
+            rows.append([None if h is None else len(own), None if r is None else len(known), *matches, *[max(0, len(own) - n) for n in range(max_order)]])
+        return pd.DataFrame({n: pd.array([row[i] for row in rows], "Int64") for i, n in enumerate(names)})
+
+    return stats(hyp, ref)
 
 
 def corpus_bleu_from_sums(smooth: str = "exp", max_order: int = 4) -> list[Column]:

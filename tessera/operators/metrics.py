@@ -95,8 +95,7 @@ def corpus_bleu(pairs: DataFrame, pred: str = "pred", ref: str = "ref", smooth:
     from tessera.functions import text as tx
     if normalize:
         pairs = pairs.select(tx.normalize_text(pred).alias(pred), tx.normalize_text(ref).alias(ref))
-    tok = bl.tokens_13a if tokenizer == "13a" else tx.ws_tokens
-    stats = pairs.select(bl.bleu_stats(tok(pred), tok(ref)).alias("s")).select("s.*")
+    stats = pairs.select(F.inline(F.array(bl.bleu_stats(pred, ref, tokenizer))))
     sums = stats.agg(*[F.sum(c).cast("long").alias(c) for c in stats.columns])
     return sums.select("*", *bl.corpus_bleu_from_sums(smooth))
 

@@ -71,3 +71,66 @@ def test_ngrams_of_a_long_text(spark):
 def test_first_line(spark):
     df = spark.createDataFrame([(t,) for t in [*TEXTS, "\n \n\t x y \n z", "\n", "a"]], "t string")
     assert all(r.a == r.b for r in df.select(tx.first_line("t").alias("a"), F.get(tx.non_empty_lines("t"), 0).alias("b")).collect())
+
+
+ODD = [*TEXTS, "a 3.5, b-c 7-8 &quot;x&quot; &amp;lt; {y} ~z <skipped> u-\nv", "1.2.3 .,. 4-, é ü,x.9 -\n- \x1c", "A-1 a_b (c) [d] 100% !"]
+
+
+def test_bleu_of_texts_is_that_of_token_columns(spark):
+    from tessera.functions import bleu as bl
+    from tessera.operators import metrics as mt
+    df = spark.createDataFrame([(h, r) for r in ODD for h in ODD], "pred string, ref string").coalesce(1)
+    alike = df.select("pred", bl.tokens_13a("pred").alias("t")).collect()
+    assert all(r.t == (None if r.pred is None else bl.python_tokens_13a(r.pred)) for r in alike)
+    for name, tok in (("13a", bl.tokens_13a), ("whitespace", tx.ws_tokens)):
+        got = df.select("*", F.inline(F.array(bl.bleu_stats("pred", "ref", name)))).collect()
+        t = df.select(tok("pred").alias("h"), tok("ref").alias("r"))
+        grams = [(ar.ngrams(F.col("h"), n), ar.ngrams(F.col("r"), n)) for n in range(1, 5)]
+        want = t.select(F.size("h").alias("sys_len"), F.size("r").alias("ref_len"), *[ar.multiset_overlap(a, b).alias(f"m{n}") for n, (a, b) in enumerate(grams, 1)],
+                        *[F.greatest(F.size("h") - (n - 1), F.lit(0)).alias(f"t{n}") for n in range(1, 5)]).collect()
+        assert [tuple(r)[2:] for r in got] == [tuple(r) for r in want]
+    plan = mt.corpus_bleu(df)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "transform" not in plan  # one UDF, nothing per n-gram
+
+
+def test_words_and_sentences_of_lines_and_pairs(spark):
+    from tessera.operators import augment as au
+    texts = [*[t for t in ODD if t], "A b. c\n\n d a! \nb\n. \x01\n\x01 x\ny.\x01 z? ", "q\x01\nr", "\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", au.line_words(F.lower("t")).alias("l"), tx.non_empty_lines(F.lower("t")).alias("x")).collect()
+    lines = [x for r in rows for x in r.x]
+    n = {r.t: r.n for r in spark.createDataFrame([(t,) for r in rows for t in [*r.x, *map(" ".join, zip(r.x, r.x[1:]))]], "t string").select("t", tx.sentence_count("t").alias("n")).collect()}
+    assert lines
+    for r in rows:
+        assert [l.n for l in r.l] == [n[x] for x in r.x]
+        assert [l.n_next for l in r.l] == [*[n[f"{a} {b}"] for a, b in zip(r.x, r.x[1:])], *[None] * bool(r.x)]
+        number = {}
+        assert [set(l.w) for l in r.l] == [{number.setdefault(w, len(number)) for w in x.split()} for x in r.x]
+    pairs = spark.createDataFrame([(a, b) for a in texts[:6] for b in texts[:6]], "a string, b string").coalesce(1)
+    for r in pairs.select("*", au.pair_words(F.lower("a"), F.lower("b")).alias("s")).collect():
+        a, b = set(r.a.lower().split()), set(r.b.lower().split())
+        assert (len(r.s.w_1), len(r.s.w_2), len({*r.s.w_1} & {*r.s.w_2})) == (len(a), len(b), len(a & b))
+        assert r.s.n_1 == sum(bool(x.strip()) for x in tx.python_sentences(r.a)) and len(r.s.w_2) == len({*r.s.w_2})
+
+
+def test_vectors_move_texts_once(spark):
+    """Against plain Python, with ids that repeat or are null."""
+    from math import log, sqrt
+
+    from tessera.operators import sparse
+    rnd = random.Random(5)
+    docs = [(rnd.choice([None, *range(25)]), " ".join(rnd.choice(["Ab", "b", "C c", "d\x1c", "é", f"w{rnd.randrange(60)}"]) for _ in range(rnd.randrange(9)))) for _ in range(60)] + [(99, None), (98, " ")]
+    got = {r.id: r.vector for r in sparse.tfidf(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), bits=5).collect()}
+    hashed = {r.w: r.t for r in spark.createDataFrame([(w,) for _, t in docs for w in (t or "").lower().split()], "w string").select("w", sparse.bucket(F.col("w"), 5).alias("t")).collect()}
+    of = {}
+    for i, t in docs:
+        for w in (t or "").lower().split():
+            of.setdefault(i, Counter())[hashed[w]] += 1
+    n, total = Counter(t for c in of.values() for t in c), len(of.keys() - {None})
+    assert got.keys() == of.keys()
+    for i, c in of.items():
+        want = sorted((n[t], t, k * (log((1 + total) / (1 + n[t])) + 1)) for t, k in c.items())
+        norm = sqrt(sum(w * w for *_, w in want))
+        assert [(v.n, v.term) for v in got[i]] == [w[:2] for w in want]
+        assert [v.weight for v in got[i]] == pytest.approx([w / norm for *_, w in want])
+    plan = sparse.tfidf(spark.createDataFrame(docs, "doc_id long, text string"), bits=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # behind the counts nothing is shuffled
