@@ -30,12 +30,13 @@ def features(pairs: DataFrame, source: str = "source", candidate: str = "candida
                                   f_rouge2=bigrams, f_length=F.log1p(tx.word_count(candidate).cast("double"))))
 
 
-def fit_scorer(examples: DataFrame, label: str = "label", key: str = "guid", most: int = 1_000_000, seed: int = 42,
+def fit_scorer(examples: DataFrame, label: str = "label", key: str = "guid", most: int | None = None, seed: int = 42,
                source: str = "source", candidate: str = "candidate") -> LinearRegressionModel:
-    """Least squares on about ``most`` labelled rows at most, chosen by a
-    seeded hash of their keys; fewer rows are all used."""
-    n = examples.count()
-    if n > most:
+    """Least squares on all labelled rows: sums of products, added up by task.
+    Only a caller that names ``most`` gets a fit on about so many rows, chosen
+    by a seeded hash of their keys."""
+    n = 0 if most is None else examples.count()
+    if most is not None and n > most:
         examples = examples.where(seeded_hash(key, seed) % 1_000_000 < int(1_000_000 * most / n))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(features(examples, source, candidate))
     return LinearRegression(featuresCol="_x", labelCol=label, solver="normal", regParam=1e-6).fit(rows)

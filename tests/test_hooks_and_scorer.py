@@ -35,6 +35,18 @@ def test_scorer_learns_a_linear_label(spark):
     assert fit_scorer(ex, most=40).coefficients.size == 4
 
 
+def test_scorer_is_fitted_on_all_rows(spark):
+    """Over a million rows, of which a share by the hash of their keys would be
+    all with the label 0: the mean of the fit is that of all labels."""
+    from tessera.operators.splits import seeded_hash
+
+    keys = spark.range(1_000_200).select(F.col("id").alias("guid"), (seeded_hash("id", 42) % 1_000_000 >= 999_800).alias("rare"))
+    ex = keys.select("guid", F.lit("a b").alias("source"), F.lit("a").alias("candidate"), F.when(F.col("rare"), 1e6).otherwise(0.0).alias("label"))
+    want = ex.agg(F.avg("label")).first()[0]
+    got = score_pairs(fit_scorer(ex), spark.createDataFrame([("a b", "a")], "source string, candidate string")).first().score
+    assert want > 0 and abs(got - want) < 1e-6 * want
+
+
 def test_predict_best_and_metrics(spark):
     rows = [(1, 0, "a b c", "a b c"), (1, 1, "x", "a b c"), (2, 0, "q", "d e"), (2, 1, "d e", "d e")]
     df = spark.createDataFrame(rows, "sample_id long, cand_rank long, text string, gold string")
