@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let, once
 from tessera.functions.text import strip
 from tessera.session import cut_lineage
 
@@ -42,6 +43,8 @@ OPEN = r"""[("'\[{“‘«¿¡]"""
 CLOSE = r"""[)"'\]}”’»]"""
 TRAIL = r"""[)"'\]}”’»,;:]"""
 NUMBER = "##number##"
+#: The characters of SPACE, OPEN and CLOSE, for trims.
+WHITE, _OPEN, _CLOSE = " \t\n\x0b\f\r", "(\"'[{“‘«¿¡", ")\"']}”’»"
 
 
 def pieces(text: Column) -> Column:
@@ -54,16 +57,21 @@ def token(piece: Column) -> Column:
     outer punctuation, numbers as one type; ``kind`` is what it ends with, but
     for closing quotes and brackets: dot, ellipsis, final (? or !) or mid;
     ``dot`` tells whether the word has a period, also before a comma."""
-    inside = F.regexp_replace(piece, rf"^{OPEN}+|{SPACE}+\z", "")
-    ends, core = F.regexp_replace(inside, rf"{CLOSE}+\z", ""), F.regexp_replace(inside, rf"{TRAIL}+\z", "")
-    kind = (F.when(ends.rlike(r"[?!]\z"), "final").when(ends.rlike(r"\.\.\z|…\z"), "ellipsis").when(ends.rlike(r"\.\z"), "dot").otherwise("mid"))
-    word = F.lower(F.regexp_replace(core, r"[.?!…]+\z", ""))
-    first = F.substring(core, 1, 1)
-    case = F.when(first.rlike(r"^\p{Lu}"), "upper").when(first.rlike(r"^\p{Ll}"), "lower").otherwise("other")
+    bare = F.ltrim(F.rtrim(piece, F.lit(WHITE)), F.lit(_OPEN))
+
+    def told(ends: Column, core: Column) -> Column:
+        kind = (F.when(F.endswith(ends, F.lit("?")) | F.endswith(ends, F.lit("!")), "final")
+                .when(F.endswith(ends, F.lit("..")) | F.endswith(ends, F.lit("…")), "ellipsis").when(F.endswith(ends, F.lit(".")), "dot").otherwise("mid"))
+        first = F.substring(core, 1, 1)
+        case = F.when(first.rlike(r"^\p{Lu}"), "upper").when(first.rlike(r"^\p{Ll}"), "lower").otherwise("other")
+        word = let(F.lower(F.rtrim(core, F.lit(".?!…"))), lambda w: F.when(w.rlike(r"^-?[0-9][0-9.,]*\z"), NUMBER).otherwise(w))
+        dot = F.endswith(core, F.lit(".")) & ~F.endswith(core, F.lit(".."))
+        return F.struct(word.alias("word"), kind.alias("kind"), dot.alias("dot"), case.alias("case"))
+
     # most tokens are plain lower-case words
-    plain = F.struct(F.rtrim(piece, F.lit(" \t\n\x0b\f\r")).alias("word"), F.lit("mid").alias("kind"), F.lit(False).alias("dot"), F.lit("lower").alias("case"))
-    other = F.struct(F.when(word.rlike(r"^-?[0-9][0-9.,]*\z"), NUMBER).otherwise(word).alias("word"), kind.alias("kind"),
-                     core.rlike(r"(^|[^.])\.\z").alias("dot"), case.alias("case"))
+    plain = F.struct(F.rtrim(piece, F.lit(WHITE)).alias("word"), F.lit("mid").alias("kind"), F.lit(False).alias("dot"), F.lit("lower").alias("case"))
+    other = let(bare, lambda x: let(F.struct(F.rtrim(x, F.lit(_CLOSE)).alias("ends"), F.rtrim(x, F.lit(_CLOSE + ",;:")).alias("core")),
+                                    lambda y: told(y["ends"], y["core"])))
     return F.when(piece.rlike(rf"^[a-z]+{SPACE}*\z"), plain).otherwise(other)
 
 
@@ -82,12 +90,12 @@ def neighbours(texts: DataFrame, text: str = "text") -> DataFrame:
     that ends in that way (``kind`` null: the beginning of a text); ``before``
     is that token's word where it ends with a period, else null.  Tokens are
     counted as they stand first, and each different one is taken apart once."""
-    rows = texts.select(raw_tokens(F.col(text)).alias("_t")).where(F.size("_t") > 0)
+    rows = texts.select(once(_t=raw_tokens(F.col(text)))).where(F.size("_t") > 0)
     pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.slice("_t", 1, F.size("_t") - 1)).alias("p"), F.col("_t").alias("t"))
     rows = rows.select(F.inline(pairs).alias("p", "t"))
     rows = rows.select(F.when(_may_end(F.col("p")) | F.col("p").isNull(), F.col("p")).otherwise("").alias("p"), "t")  # '' stands for all of the kind mid
     rows = rows.groupBy("p", "t").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.select(F.when(F.col("p") != "", token(F.col("p"))).alias("p"), (F.col("p") == "").alias("mid"), token(F.col("t")).alias("t"), "n")
+    rows = rows.select("n", once(p=F.when(F.col("p") != "", token(F.col("p"))), mid=F.col("p") == "", t=token(F.col("t"))))
     kind = F.when(F.col("mid"), "mid").otherwise(F.col("p.kind"))
     return rows.select(F.when(kind == "dot", F.col("p.word")).alias("before"), kind.alias("kind"), "t.word", "t.dot", "t.case", "n").groupBy(
         "before", "kind", "word", "dot", "case").agg(F.sum("n").alias("n"))
@@ -170,10 +178,10 @@ def boundaries(texts: DataFrame, model: SentenceModel, key: str = "doc_id", text
     """(key, boundaries): the numbers (from 0) of the tokens that end a
     sentence before another token, ascending, for texts that have any.  Keys
     must be unique."""
-    rows = texts.select(F.col(key).alias("_key"), raw_tokens(F.col(text)).alias("_t")).where(F.size("_t") > 1)
+    rows = texts.select(F.col(key).alias("_key"), once(_t=raw_tokens(F.col(text)))).where(F.size("_t") > 1)
     pairs = F.arrays_zip(F.slice("_t", 1, F.size("_t") - 1).alias("a"), F.slice("_t", 2, F.size("_t") - 1).alias("b"))
     ends = rows.select("_key", F.posexplode(pairs).alias("at", "_p")).where(_may_end(F.col("_p.a")))
-    ends = ends.select("_key", "at", token(F.col("_p.a")).alias("a"), token(F.col("_p.b")).alias("b")).where(F.col("a.kind") != "mid")
+    ends = ends.select("_key", "at", once(a=token(F.col("_p.a")), b=token(F.col("_p.b")))).where(F.col("a.kind") != "mid")
     places = ends.select("_key", "at", F.col("a.kind").alias("kind"), F.col("a.word").alias("before"), "b.word", "b.case")
     short = model.types.where("abbreviation").select(F.col("word").alias("before"), F.lit(True).alias("_short"))
     places = places.join(short, "before", "left")
@@ -205,7 +213,7 @@ def with_sentences(texts: DataFrame, model: SentenceModel, key: str = "doc_id",
     """``texts`` with their sentences (stripped, as they stand in the text) as
     an array; a null or blank text has none.  Keys must be unique."""
     found = boundaries(texts, model, key, text)
-    rows = texts.join(found, key, "left").withColumn("_p", pieces(F.col(text)))
+    rows = texts.join(found, key, "left").select("*", once(_p=pieces(F.col(text))))
     ends = F.concat(F.coalesce("boundaries", F.array().cast("array<int>")), F.array(F.size("_p") - 1))
     rows = rows.withColumn("_from", F.concat(F.array(F.lit(-1)), F.coalesce("boundaries", F.array().cast("array<int>")))).withColumn("_to", ends)
     parts = F.zip_with("_from", "_to", lambda a, b: strip(F.array_join(F.slice("_p", a + 2, b - a), "")))

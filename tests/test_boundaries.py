@@ -136,3 +136,22 @@ def test_tokens_are_taken_apart_once_each(spark):
             key = (p.word if p and p.kind == "dot" else None, p and p.kind, t.word, t.dot, t.case)
             want[key] = want.get(key, 0) + 1
     assert {tuple(r)[:5]: r.n for r in bd.neighbours(df).collect()} == want
+
+
+def test_places_are_taken_apart_once(spark):
+    """A token of a place, or of a counted pair, stands once in the plan, below
+    a generator: not again in each column and filter that uses it."""
+    df = spark.createDataFrame([(1, "Dr. No said no. (Yes!)")], "doc_id long, text string")
+    model = bd.train(df)
+    for frame, also in ((bd.boundaries(df, model), 1), (bd.neighbours(df), 0)):  # boundaries asks for a number before once more
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("THEN " + bd.NUMBER) == 2 and plan.count(bd.NUMBER) <= 2 + 2 * also
+    assert bd.with_sentences(df, model)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("piece, want", [
+    ("Dr. ", ("dr", "dot", True, "upper")), ("(\"Yes!\")\n", ("yes", "final", False, "upper")), ("e.g.,", ("e.g", "mid", True, "lower")), ("wait...", ("wait", "ellipsis", False, "lower")),
+    ("3.5.", (bd.NUMBER, "dot", True, "other")), ("-1,000", (bd.NUMBER, "mid", False, "other")), (".", ("", "dot", True, "other")), ("…”", ("", "ellipsis", False, "other")), ("plain \t", ("plain", "mid", False, "lower")),
+    ("“‘Éa?’”;", ("éa", "mid", False, "upper")), ("", ("", "mid", False, "other")), (None, (None, "mid", None, "other"))])
+def test_token(spark, piece, want):
+    assert tuple(spark.createDataFrame([(piece,)], "p string").select(F.inline(F.array(bd.token(F.col("p"))))).first()) == want
