@@ -101,3 +101,35 @@ def test_join_shuffles_no_met_pairs(spark):
         sparse.BLOCK, sparse.AT_ONCE = kept, at_once
     assert len(want) > 10 and [r[:2] for r in got] == [r[:2] for r in want]
     assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-12)
+
+
+def test_blocks_and_copies_are_not_shuffled(spark):
+    """Vectors lie where their blocks were written: nothing deals them out to
+    the pairs of blocks, and equal ones are found without them."""
+    texts = corpus(13, 700) * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    vectors = sparse.tfidf(df, bits=14)
+    pairs, members = sparse.cosine_join(vectors, 0.6)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    none, alone = sparse.cosine_join(vectors, 0.6, compare=False)
+    assert none is None and "vector" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    first = {}
+    same = {i: first.setdefault(" ".join(sorted(t.split())), i) for i, t in enumerate(texts)}
+    assert {r.id: r.same for r in members.collect()} == {r.id: r.same for r in alone.collect()} == same
+    want, kept = sorted(map(tuple, pairs.collect())), sparse.COPIES
+    try:
+        sparse.COPIES = 10
+        got = sorted(map(tuple, sparse.cosine_join(vectors, 0.6)[0].collect()))
+    finally:
+        sparse.COPIES = kept
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-12)
+    assert {x for r in want for x in r[:2]} <= set(same.values()) and len(want) > 100
+
+
+def test_counts_of_one_id_are_one_text(spark):
+    """Packed counts add up over the rows of an id, also of none."""
+    df = spark.createDataFrame([(1, "a b a"), (2, "c"), (1, "b c"), (None, "a"), (None, "a d"), (3, "a a b b c")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, "a b a b c"), (2, "c"), (None, "a a d"), (3, "a a b b c")], "doc_id long, text string")
+    got, want = ({r.id: [tuple(t) for t in r.vector] for r in sparse.tfidf(x.repartition(3), bits=14).collect()} for x in (df, one))
+    assert got == want and len(got) == 4 and got[1] == got[3]
